@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import text_batches
 from kinfold.session import materialize
 
 K = 20
@@ -74,6 +75,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, probe_share: float = PROBE_SHARE, probe_rows: int = PROBE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows of ``vectors`` found for each row of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
+    text_batches(spark)
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     data, asked = clean(vectors), clean(queries)
     most = data.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square")).orderBy(F.desc("n"), "d").first()

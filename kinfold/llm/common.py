@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.session import ship
+
 #: Rows of text that go to Python at once; a batch of very long texts is cut further by bytes (tokens.pieces).
 TEXT_BATCH = 512
 #: Most rows of a side that is broadcast. Beyond it the join shuffles.
@@ -16,7 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers for this session: texts are large rows."""
+    """Make the session fit for Python work on texts: the package on the executors, and batches of few rows."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXT_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
 

@@ -25,17 +25,18 @@ from kinfold.session import materialize
 KEEP = 0.5
 DIMENSIONS = 1 << 14
 MOST_TRAINING = 20_000
-EM_ROUNDS, EM_PRIOR = 60, 0.9
+EM_ROUNDS = 60
 STEPS, BATCH, RATE, DECAY = 600, 512, 0.05, 1e-5
 RULE = Words(fold=False)
-#: Each labeller: its measure, bad from here on, good up to here.
+#: Each labeller: its measure, bad from here on, good within these bounds (None: never). In between it says nothing.
 LABELLERS = (
-    ("symbols", 0.08, 0.04),
-    ("upper", 0.5, 0.25),
-    ("bars", 0.15, 0.02),
-    ("stutter", 0.25, 0.1),
-    ("sameness", 0.9, 0.8),
-    ("marks", 0.5, 0.3),
+    ("symbols", 0.08, None),
+    ("bars", 0.15, None),
+    ("marks", 0.4, None),
+    ("stutter", 0.25, None),
+    ("sameness", 0.8, (0.0, 0.6)),
+    ("upper", 0.5, (0.0, 0.2)),
+    ("stops", 9.0, (0.02, 0.4)),
 )
 #: Words from which sameness tells anything.
 LEAST_WORDS = 40
@@ -70,19 +71,22 @@ class Shapes:
         ends = self.per_row(np.isin(self.last, np.frombuffer(b"#$%&*!|", np.uint8)))
         return {
             "symbols": part(self.per_row(self.odd), self.per_row(self.length)),
-            "upper": part(self.per_row(self.upper), self.per_row(self.upper + self.lower)),
+            "upper": np.where(t.count >= 5, part(self.per_row(self.upper), self.per_row(self.upper + self.lower)), np.nan),
             "bars": part(self.per_row(self.bar), t.count),
             "stutter": np.where(t.count >= 5, self.per_row(self.again) / n, np.nan),
-            "sameness": np.where(t.count >= LEAST_WORDS, 1 - distinct / n - np.minimum(0.35, np.log10(n / LEAST_WORDS + 1e-9) * 0.1), np.nan),
+            # A longer text repeats more of its words; a tenth for every tenfold length is no defect.
+            "sameness": np.where(t.count >= LEAST_WORDS, 1 - distinct / n - 0.1 * np.log10(n / LEAST_WORDS + 1e-9), np.nan),
             "marks": part(ends, t.count),
+            "stops": np.where(t.count >= 5, self.per_row(np.isin(self.last, np.frombuffer(b".,;:?", np.uint8))) / n, np.nan),
         }
 
     def votes(self) -> np.ndarray:
-        """A digit in base 3 for each labeller: 0 nothing, 1 bad, 2 good."""
+        """A digit in base 4 for each labeller: 0 nothing, 1 bad, 2 good, 3 too little text to tell."""
         measures, code = self.measures(), np.zeros(self.tokens.rows, np.int64)
         for name, bad, good in LABELLERS:
             m = measures[name]
-            code = code * 3 + np.where(np.isnan(m), 0, np.where(m >= bad, 1, np.where(m <= good, 2, 0)))
+            low, high = good or (1.0, 0.0)
+            code = code * 4 + np.where(np.isnan(m), 3, np.where(m >= bad, 1, np.where((m >= low) & (m <= high), 2, 0)))
         return code
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,19 +120,18 @@ def label_model(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray]:
     codes = np.array(sorted(counts), np.int64)
     n = np.array([counts[c] for c in codes], float)
     k = len(LABELLERS)
-    digits = np.array([[c // 3 ** (k - 1 - j) % 3 for j in range(k)] for c in codes])
-    # The start: good unless the votes for bad are as many as a third of those for good.
-    good = np.where((digits == 1).sum(1) * 3 >= np.maximum(1, (digits == 2).sum(1)), 0.1, 0.9)
-    good = np.where((digits == 0).all(1), EM_PRIOR, good)
+    digits = np.array([[c // 4 ** (k - 1 - j) % 4 for j in range(k)] for c in codes])
+    # The start: a vote for bad makes a text suspect. A labeller that only knows defects tells by its silence too, so that
+    # saying nothing is an outcome like the others; too little text to tell is none.
+    good = np.where((digits == 1).any(1), 0.25, 0.95)
     table = np.zeros((2, k, 3))
     for _ in range(EM_ROUNDS):
         share = (good @ n + 9) / (n.sum() + 10)
         for side, weight in ((0, (1 - good) * n), (1, good * n)):
             for j in range(k):
-                seen = np.bincount(digits[:, j], weight, 3) + (np.array([1.0, 2.0, 0.5]) if side == 0 else np.array([1.0, 0.5, 2.0]))
+                seen = np.bincount(digits[:, j], weight, 4)[:3] + 1.0
                 table[side, j] = seen / seen.sum()
-        # Nothing said is nothing known: an abstention leaves the odds alone.
-        odds = np.log(share / (1 - share)) + sum(np.where(digits[:, j] > 0, np.log(table[1, j, digits[:, j]] / table[0, j, digits[:, j]]), 0) for j in range(k))
+        odds = np.log(share / (1 - share)) + sum(np.log(np.append(table[1, j] / table[0, j], 1.0))[digits[:, j]] for j in range(k))
         good = sigmoid(odds)
     right = np.array([((1 - share) * table[0, j, 1] + share * table[1, j, 2]) / max(1e-9, (1 - share) * table[0, j, 1:].sum() + share * table[1, j, 1:].sum()) for j in range(k)])
     return dict(zip(codes.tolist(), good.tolist(), strict=True)), right
@@ -138,7 +141,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """``docs`` in struct ``row``, and posterior, score, keep of its ``text``."""
     spark = docs.sparkSession
     text_batches(spark)
-    # Patterns are few, 3 to the number of labellers; their counts cover all documents.
+    # Patterns are few, 4 to the number of labellers; their counts cover all documents.
     counts = {r.votes: r["count"] for r in votes(docs.select("text")).groupBy("votes").count().collect()}
     posterior, _ = label_model(counts) if counts else ({}, None)
     share = min(1.0, MOST_TRAINING / max(1, sum(counts.values())))
