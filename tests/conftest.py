@@ -9,12 +9,11 @@ DATA = os.environ.get("KINFOLD_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from kinfold.session import local_session
 
     session = local_session("4", "4g")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     session.stop()
 
