@@ -93,6 +93,10 @@ def _contexts(before: Column) -> Column:
     return F.filter(F.array(F.concat(F.lit("1:"), trim(one)), F.concat(F.lit("2:"), trim(two))), lambda c: F.length(c) > 2)
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+
+
 def _joined(spans: Column) -> Column:
     """kind:start:end of spans (start, kind number, end), comma-joined in their order."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -119,7 +123,7 @@ def find_private(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *[c.alias(k) for k, c in base_spans(text).items()], F.when(text.rlike("[0-9]"), matches(text, INSTANCE)).alias("instances"))
     kinds = KINDS[:-1]
-    base = F.concat(*[F.transform(k, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))) for i, k in enumerate(kinds)])
+    base = F.concat(*[_of_kind(k, i) for i, k in enumerate(kinds)])
     found = found.select("rid", "doc_id", base.alias("base"), *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], "instances")
     found = materialize(found, "found")
     instances = found.select("rid", "base", F.explode("instances").alias("i")).select("rid", "i.start", "i.end", F.lower("i.value").alias("value"), "i.before", F.exists("base", lambda b: (b["start"] < F.col("i.end")) & (b["end"] > F.col("i.start"))).alias("seed"))
