@@ -2,7 +2,8 @@
 
 1. Every text becomes its set of shingle hashes. Texts with equal sets are one class, known by a hash of the set.
 2. Classes are partitioned into groups of similar ones: classes that share the least shingle of a part of the hash space
-   are compared with the first of them, and verified links are contracted into groups.
+   are compared with the most central of them, the one whose least shingles are the most common; those it does not link
+   with are compared with the most central of the rest, a few times. Verified links are contracted into groups.
 3. The matrix: a group's tokens are the union of its members' prefix tokens. All sets stand in one order of tokens, and
    two sets that reach the threshold share at least ``SHARED`` tokens of their prefixes, so a group of which a query
    holds fewer tokens has no partner for it: n_q - (p_q - overlap) bounds the overlap with every member. Only tokens of
@@ -25,9 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import sized_join, small, text_batches
+from kinfold.llm.common import sized_join, text_batches
 from kinfold.llm.components import components
 from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces, shingle_sets
 from kinfold.session import materialize
@@ -41,6 +43,8 @@ SHARED = 3
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
 #: Parts of the hash space with a least shingle each, as a power of two.
 PARTS_BITS = 3
+#: Rounds of comparing classes that share a least shingle with one of them.
+STAR_ROUNDS = 3
 #: Partners that are compared with one anchor in one task.
 ANCHOR_PARTNERS = 1024
 RULE = Words()
@@ -154,19 +158,40 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int =
     return ordered.mapInArrow(compare, "a long, b long")
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the first class that shares a least shingle with it."""
-    sharing = classes.select("cid", "id", F.explode("least").alias("token"))
-    first = sharing.groupBy("token").agg(F.min(F.struct("id", "cid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return sharing.join(first, "token").select(F.col("first.cid").alias("a"), F.col("cid").alias("b")).filter("a <> b").distinct()
+def shared_least(classes: DataFrame) -> DataFrame:
+    """token, cid, centre of the classes that share a least shingle; the centre is larger for more common shingles."""
+    sharing = classes.select("cid", F.explode("least").alias("token"))
+    sizes = sharing.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    sharing = sharing.join(sizes, "token")
+    centres = sharing.groupBy("cid").agg(F.sum("n").alias("centre"))
+    return sharing.select("token", "cid").join(centres, "cid").select("token", "cid", "centre")
+
+
+def star_links(classes: DataFrame, docs: DataFrame, width: int = WIDTH, rounds: int = STAR_ROUNDS) -> DataFrame:
+    """Verified links (a, b) of each class to central classes that share a least shingle with it."""
+    open_ = materialize(shared_least(classes), "sharing")
+    links = None
+    for i in range(rounds):
+        lead = open_.groupBy("token").agg(F.max(F.struct("centre", "cid")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("token", F.col("lead.cid").alias("lead"))
+        led = materialize(open_.join(lead, "token").filter("cid <> lead"), "led")
+        found = materialize(verified(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes, docs, width), "links")
+        links = found if links is None else links.unionByName(found)
+        if i < rounds - 1:
+            # What a leader does not reach, directly or through others, tries the next one.
+            grouped = components(links)
+            root = lambda c: grouped.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+            led = led.join(root("lead"), "lead", "left").join(root("cid"), "cid", "left")
+            apart = F.coalesce("lead_root", "lead") != F.coalesce("cid_root", "cid")
+            open_ = materialize(led.filter(apart).select("token", "cid", "centre"), "sharing")
+    return links
 
 
 def matrix_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of classes that the token-group matrix leaves to compare; ``rows``: cid, grp, n, prefix."""
-    posted = rows.select("grp", F.explode("prefix").alias("token"))
-    shared = posted.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
-    shared = materialize(shared, "shared")
-    cells = sized_join(rows.select("cid", "grp", "n", F.explode("prefix").alias("token")), shared, "token").distinct()
+    # A token's rows meet once: those of tokens that one group alone holds go no further.
+    token = W.partitionBy("token")
+    posted = rows.select("cid", "grp", "n", F.explode("prefix").alias("token"))
+    cells = posted.withColumn("low", F.min("grp").over(token)).withColumn("high", F.max("grp").over(token)).filter("low <> high").select("token", "cid", "grp", "n").distinct()
     cells = materialize(cells, "cells")
     matrix = cells.select("token", F.col("grp").alias("other")).distinct()
     needed = F.ceil(F.col("n") * THRESHOLD / 100)
@@ -183,7 +208,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     text_batches(spark)
     signed = materialize(signatures(docs, width), "signatures")
     classes = materialize(signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("id").alias("id"), F.any_value("least").alias("least")), "classes")
-    links = materialize(verified(star_pairs(classes), classes, docs, width), "links")
+    links = star_links(classes, docs, width)
     grouped = components(links)
     rows = materialize(prefixes(docs, frequent_tokens(signed), width), "prefixes")
     rows = sized_join(rows, grouped.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("grp"), "n", "prefix")
