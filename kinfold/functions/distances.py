@@ -56,7 +56,7 @@ def hash_similarity(a: Column, d: Column, p: Column, bits: tuple[int, int, int]
     if normalized:
         length = weighted([(F.when(c.isNotNull(), F.lit(float(n))), w) for c, n, w in zip((a, d, p), bits, (0.25, 0.35, 0.40), strict=True)])
     value = 100 * (1 - hash_distance(a, d, p) / length)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), F.lit(0.0))
+    return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)))
 
 
 def hash_vote(a: Column, d: Column, p: Column) -> Column:
