@@ -6,10 +6,14 @@ columns of their own, computed once a row.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SIDE = 8
+#: Frequencies of the cosine hash in either direction.
+LOW = 8
 
 
 def round_half_up(c: Column) -> Column:
@@ -40,15 +44,76 @@ def fold_bits(n: int, bit) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when(bit(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
 
 
-def average_hash(grid: Column, average: Column, side: int = SIDE) -> Column:
-    return fold_bits(side * side, lambda i: F.get(grid, i) >= average)
+def average_hash(grid: Column, average: Column, side: int = SIDE, high_first: bool = False) -> Column:
+    """Pixels from the average on. ``high_first``: the first pixel is the highest bit."""
+    n = side * side
+    return fold_bits(n, lambda i: F.get(grid, n - 1 - i if high_first else i) >= average)
 
 
-def difference_hash(grid: Column, side: int = SIDE) -> Column:
-    def at(i: Column) -> Column:
-        return F.floor(i / (side - 1)).cast("int") * side + i % (side - 1)
+def difference_hash(grid: Column, width: int = SIDE, height: int = SIDE, high_first: bool = False) -> Column:
+    """Pixels above their right neighbour, row after row; a grid of 9 x 8 gives 64 bits."""
+    n = height * (width - 1)
 
-    return fold_bits(side * (side - 1), lambda i: F.get(grid, at(i)) > F.get(grid, at(i) + 1))
+    def at(i: Column) -> Column:
+        return F.floor(i / (width - 1)).cast("int") * width + i % (width - 1)
+
+    return fold_bits(n, lambda i: F.get(grid, at(n - 1 - i if high_first else i)) > F.get(grid, at(n - 1 - i if high_first else i) + 1))
+
+
+def enlarged(grid: Column, side: int, times: int) -> Column:
+    """Each pixel as a square of ``times`` pixels."""
+    wide = side * times
+    return F.transform(F.sequence(F.lit(0), F.lit(wide * wide - 1)), lambda i: F.get(grid, (F.floor(F.floor(i / wide) / times) * side + F.floor((i % wide) / times)).cast("int")))
+
+
+def cosine_hash(grid: Column, high_first: bool = False) -> Column:
+    """The low frequencies of a square grid above their mean, the constant part left out: 63 bits, or 64 with the first
+    place empty and highest where ``high_first``. Products of matrices, a batch at a time."""
+
+    @F.arrow_udf("long")
+    def fold(column: pa.Array) -> pa.Array:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(sizes), np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        for i, end in enumerate(np.cumsum(sizes.astype(np.int64))):
+            n = int(round(float(sizes[i]) ** 0.5))
+            u = np.arange(min(LOW, n // 2))[:, None]
+            basis = np.cos((2 * np.arange(n)[None] + 1) * u * np.pi / (2 * n)) * np.where(u == 0, 1, np.sqrt(2)) / np.sqrt(n)
+            low = (basis @ flat[end - n * n : end].reshape(n, n) @ basis.T).ravel()
+            bits = low >= low[1:].mean() if high_first else low > low[1:].mean()
+            places = np.arange(len(low))
+            value = sum(1 << int(len(low) - 1 - k if high_first else k - 1) for k in places[1:][bits[1:]])
+            out[i] = value - (1 << 64) if value >= 1 << 63 else value
+        return pa.array(out)
+
+    return fold(grid)
+
+
+def merged_boxes(boxes: Column) -> Column:
+    """Boxes (x, y, width, height, weight) of one item, overlapping ones as one around both with the larger weight, until
+    none overlap; largest first."""
+    kind = pa.struct([("x", pa.int32()), ("y", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("weight", pa.float64())])
+
+    def merge(rest: list[dict]) -> list[dict]:
+        rest, out = sorted(rest, key=lambda b: -b["width"] * b["height"]), []
+        while rest:
+            now = dict(rest.pop(0))
+            while True:
+                other = next((b for b in rest if b["x"] < now["x"] + now["width"] and now["x"] < b["x"] + b["width"] and b["y"] < now["y"] + now["height"] and now["y"] < b["y"] + b["height"]), None)
+                if other is None:
+                    break
+                rest.remove(other)
+                x, y = min(now["x"], other["x"]), min(now["y"], other["y"])
+                right, low = max(now["x"] + now["width"], other["x"] + other["width"]), max(now["y"] + now["height"], other["y"] + other["height"])
+                now = {"x": x, "y": y, "width": right - x, "height": low - y, "weight": max(now["weight"], other["weight"])}
+            out.append(now)
+        return out
+
+    @F.arrow_udf("array<struct<x:int,y:int,width:int,height:int,weight:double>>")
+    def fold(column: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else merge(b) for b in column.to_pylist()], pa.list_(kind))
+
+    return fold(boxes)
 
 
 def block_means(grid: Column, side: int = SIDE) -> Column:

@@ -282,3 +282,19 @@ def picture_adjustments(spark: SparkSession, d: str) -> DataFrame:
     edge = grids.total(F.transform(grids.laplacian(F.col("grid")), lambda v: F.sqrt((3 * v * v).cast("double"))))
     df = df.select("id", (F.least(F.lit(100.0), edge / 64 / 5) * 1.2).alias("s"), (m / 255 * 100).alias("b"), (F.sqrt(grids.total(F.transform("grid", lambda v: (v - m) * (v - m))) / 64) / 255 * 100).alias("c"))
     return df.select("id", grids.adjustments(F.col("b"), F.col("c"), F.col("s")).alias("a")).select("id", "a.*")
+
+
+MSB = f"{GRID}, raw as (select id, {_fold(64, 'g[64 - i] >= m')} a from gm)"
+
+
+@query(f"with {MSB} select id, lower(lpad(hex(a::uhugeint), 16, '0')) a_hash from raw")
+def high_first_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The average hash in the layout with the first pixel in the highest bit."""
+    return _grids(spark, d).select("id", grids.hex_of(grids.average_hash(F.col("grid"), F.col("mean"), high_first=True), 16).alias("a_hash"))
+
+
+@query()
+def cosine_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The frequency hash of the pictures at 32 x 32."""
+    big = _grids(spark, d).select("id", grids.enlarged(F.col("grid"), 8, 4).alias("big"))
+    return big.select("id", grids.hex_of(grids.cosine_hash(F.col("big")), 16).alias("hash"))

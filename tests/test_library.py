@@ -254,3 +254,22 @@ def test_keyed_table_and_stream(spark, tmp_path):
     assert {r.id for r in table.read().collect()} == {2, 3}
     assert upsert.maintenance_due(4000, 0, 30) and not upsert.maintenance_due(4000, 0, 3)
     assert [upsert.rebuild_due(n) for n in (0, 49, 50, 250)] == ["none", "none", "update", "rebuild"]
+
+
+def test_cosine_hash_and_boxes(spark):
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 256, (32, 32))
+    frame = spark.createDataFrame([(g.ravel().tolist(),)], "g array<int>")
+    row = frame.select(grids.cosine_hash(F.col("g")).alias("h"), grids.cosine_hash(F.col("g"), high_first=True).alias("m")).first()
+    low = np.zeros((8, 8))
+    at = np.arange(32)
+    for v in range(8):
+        for u in range(8):
+            wave = np.cos((2 * at[:, None] + 1) * v * np.pi / 64) * np.cos((2 * at[None] + 1) * u * np.pi / 64)
+            low[v, u] = (g * wave).sum() * (1 if u == 0 else 2**0.5) * (1 if v == 0 else 2**0.5) / 32
+    flags = low.ravel() > low.ravel()[1:].mean()
+    assert row.h == sum(1 << (i - 1) for i in range(1, 64) if flags[i])
+    assert row.m == sum(1 << (63 - i) for i in range(1, 64) if flags[i])
+    boxes = [(0, 0, 2, 2, 0.5), (1, 1, 3, 3, 0.9), (4, 0, 1, 1, 0.1), (3, 3, 4, 4, 0.2)]
+    frame = spark.createDataFrame([([dict(zip(("x", "y", "width", "height", "weight"), b, strict=True)) for b in boxes],)], "b array<struct<x:int,y:int,width:int,height:int,weight:double>>")
+    assert [tuple(b) for b in frame.select(grids.merged_boxes(F.col("b")).alias("m")).first().m] == [(0, 0, 7, 7, 0.9)]
