@@ -183,6 +183,8 @@ def star_links(classes: DataFrame, docs: DataFrame, width: int = WIDTH, rounds:
             led = led.join(root("lead"), "lead", "left").join(root("cid"), "cid", "left")
             apart = F.coalesce("lead_root", "lead") != F.coalesce("cid_root", "cid")
             open_ = materialize(led.filter(apart).select("token", "cid", "centre"), "sharing")
+            if not open_.limit(1).count():
+                break
     return links
 
 
