@@ -174,11 +174,17 @@ def _train(sample: pa.Table) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer, from at most some MOST_TRAINING rows of a few dozen shapes."""
     if not sample.num_rows:
         return np.zeros(DIMENSIONS), 3.0
-    order = np.argsort([hash(tuple(r)) for r in sample["index"].to_pylist()], kind="stable")
-    rows = sample.take(pa.array(order))
-    lengths = np.array([len(r) for r in rows["index"].to_pylist()])
-    index = rows["index"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    value = rows["value"].combine_chunks().flatten().to_numpy().astype(float)
+    # An order of the rows that does not depend on how they came: by a hash of their features.
+    whole = sample.combine_chunks()
+    lengths = whole["index"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    flat = mix(whole["index"].combine_chunks().flatten().to_numpy().astype(U) + U(1))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(flat, dtype=U)])
+    end = np.cumsum(lengths)
+    order = np.argsort(total[end] - total[end - lengths], kind="stable")
+    rows = whole.take(pa.array(order))
+    lengths = lengths[order]
+    index = rows["index"].combine_chunks().flatten().to_numpy().astype(np.int32)
+    value = rows["value"].combine_chunks().flatten().to_numpy()
     good = rows["good"].to_numpy()
     rng = np.random.default_rng(7)
     cut = np.concatenate([[0], np.cumsum(lengths)])

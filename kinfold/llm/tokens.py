@@ -7,6 +7,7 @@ known by a 64-bit hash from here on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U)
 
 
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers for a stretch of bytes, made once in each process that cuts words."""
+    return _powers(_R, _STEP), _powers(pow(_R, -1, 2**64), _STEP)
+
+
 class Words:
     """A rule for words: which bytes belong to one, after A-Z become a-z. ``space``: all but blanks; else letters, digits and bytes from 0x80."""
 
@@ -41,7 +48,6 @@ class Words:
         self.inside = ~(((b >= 9) & (b <= 13)) | (b == 32)) if space else ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122)) | (b >= 128)
         folded = np.where((b >= 65) & (b <= 90), b + 32, b) if fold else b
         self.values = mix(folded.astype(U) + U(0x51ED270B))
-        self.up, self.down = _powers(_R, _STEP), _powers(pow(_R, -1, 2**64), _STEP)
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of every word, and the row it is in."""
@@ -64,7 +70,7 @@ class Words:
             base = begin[i]
             j = max(i + 1, int(np.searchsorted(end, base + _STEP, "right")))
             n = int(end[j - 1] - base)
-            up, down = (self.up, self.down) if n <= _STEP else (_powers(_R, n), _powers(pow(_R, -1, 2**64), n))
+            up, down = _tables() if n <= _STEP else (_powers(_R, n), _powers(pow(_R, -1, 2**64), n))
             total = np.zeros(n + 1, U)
             np.cumsum(self.values[data[base : base + n]] * down[:n], out=total[1:])
             at = begin[i:j] - base
