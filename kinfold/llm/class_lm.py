@@ -1,14 +1,16 @@
 """Language-model scoring with Brown classes.
 
-P(word | before) = P(class of word | class of before) * P(word | its class). Counts of words cover all training texts and
-all words; the ``CLUSTERED`` most frequent words are assigned to ``CLASSES`` classes by the exchange algorithm on their
-bigram counts, which cover all training texts too: a Spark job looks for the best class of every word under the present
-class counts, half of the words move, and the round counts only if the likelihood rises. All other words have a class by
-their form (length, letters beyond ASCII, signs), so that unseen words have one, and the end of a text is a class of its
-own, which also stands before each text.
-
-The base score needs the count of every token. Counts of the ``BROADCAST`` most frequent words are broadcast; the other
-words of a text meet their counts in a shuffled join.
+P(word | before) = P(class of word | class of before) * P(word | its class). Counts of words and of pairs of neighbours
+cover all training texts; every word seen ``MIN_COUNT`` times or more is assigned to one of ``CLASSES`` classes by the
+exchange algorithm, in turns. First the ``CLUSTERED`` most frequent words move one after the other, as often as it pays, on
+the counts of pairs between them and the classes of all others, which are of bounded size. Then a Spark job joins the pairs
+with the present classes into the counts of classes beside each other word, and a drawn part of these words takes its best
+classes under the broadcast class counts (all of them the first time); the turn counts only if the likelihood rises, else
+the part becomes smaller. It ends when a turn, carried on to all words, gains less than ``TOLERANCE`` a token. Rarer words have a class by their form (length, letters beyond ASCII, signs), which stands for
+unseen words, and the end of a text is a class of its own, which also stands before each text.
+
+The scores need the count and the class of every token. Those of the ``BROADCAST`` most frequent words are broadcast; the
+other words of a text meet theirs in a shuffled join.
 
 A word is known by 64 bits. Training texts are those whose crc32 of the id modulo 7 is not 2.
 
@@ -24,15 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import crc_mod, text_batches
-from kinfold.llm.tokens import Tokens, U, Words, lists, pieces
+from kinfold.llm.common import crc_mod, small, text_batches
+from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces
 from kinfold.session import materialize
 
 FOLDS, HELD_OUT = 7, 2
-CLUSTERED, CLASSES, ROUNDS = 2048, 64, 8
+CLUSTERED, CLASSES = 2048, 64
+#: Training occurrences from which a word has a class of the exchange; the gain a token (nats) below which it ends.
+MIN_COUNT, TOLERANCE = 2, 0.01
+#: Cells of context that are weighed at once.
+CELLS = 1 << 13
 #: Words whose counts are broadcast: 16 bytes each.
 BROADCAST = 1 << 20
-#: Forms of words outside the clustering.
+#: Forms of words below MIN_COUNT.
 LENGTHS, FORMS = 9, 36
 #: Weight of the class distribution in transitions, in tokens.
 SMOOTHING = 1.0
@@ -87,47 +93,33 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """What scoring needs: sorted frequent words with counts and symbols, classes, transitions, emission sizes."""
+    """What scoring needs: sorted frequent words with counts and classes, transitions, emission sizes."""
 
-    def symbols(self, tokens: Tokens, form: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word: its symbol (clustered word, or a form), its count (0 if not broadcast), whether it is broadcast."""
+    def counted(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: its count (0 if not broadcast), whether it is broadcast."""
         if not len(self.word):
-            return CLUSTERED + 1 + form.astype(np.int64), np.zeros(len(form), np.int64), np.zeros(len(form), bool)
+            return np.zeros(len(tokens.hash), np.int64), np.zeros(len(tokens.hash), bool)
         at = np.minimum(np.searchsorted(self.word, tokens.hash), len(self.word) - 1)
         found = self.word[at] == tokens.hash
-        symbol = np.where(found & (self.symbol[at] >= 0), self.symbol[at], CLUSTERED + 1 + form)
-        return symbol.astype(np.int64), np.where(found, self.n[at], 0), found
-
-
-SYMBOLS = CLUSTERED + 1 + FORMS
-END = CLUSTERED
-TOTAL = CLASSES + 1 + FORMS
+        return np.where(found, self.n[at], 0), found
 
+    def labels(self, tokens: Tokens, form: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word: its class (by form if not broadcast), its count (0 if not broadcast), whether it is broadcast."""
+        n, found = self.counted(tokens)
+        label = CLASSES + 1 + form.astype(np.int64)
+        label[found] = self.label[np.searchsorted(self.word, tokens.hash[found])]
+        return label, n, found
 
-def _sequence(symbol: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all rows with an end behind each, and the row of each symbol."""
-    rows = len(count)
-    cut = np.cumsum(count)
-    return np.insert(symbol, cut, END), np.repeat(np.arange(rows), count + 1)
+    def path(self, label: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of each row, the logarithms of its class transitions without those of the words' class sizes."""
+        cut = np.cumsum(count)
+        after = np.insert(label, cut, CLASSES)
+        before = np.concatenate([[CLASSES], after[:-1]])
+        row, own = np.repeat(np.arange(len(count)), count + 1), np.repeat(np.arange(len(count)), count)
+        return np.bincount(row, self.transition[before, after], len(count)) - np.bincount(own, self.spread[label], len(count))
 
 
-def bigrams(texts: DataFrame, model: Model) -> DataFrame:
-    """before, after, n over the symbols of all ``texts``; an end stands before each text."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def count(batches):
-        seen = np.zeros(SYMBOLS * SYMBOLS, np.int32)
-        for batch in pieces(batches, "text"):
-            tokens = Tokens(RULE, batch.column("text"))
-            symbol, _, _ = shared.value.symbols(tokens, forms(tokens))
-            after, _ = _sequence(symbol, tokens.count)
-            before = np.concatenate([[END], after[:-1]])
-            pair, n = np.unique(before * SYMBOLS + after, return_counts=True)
-            seen[pair] += n.astype(np.int32)
-        for part in np.array_split(np.flatnonzero(seen), 16):
-            yield pa.record_batch([pa.array((part // SYMBOLS).astype(np.int32)), pa.array((part % SYMBOLS).astype(np.int32)), pa.array(seen[part].astype(np.int64))], ["before", "after", "n"])
-
-    return texts.mapInArrow(count, "before int, after int, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
+TOTAL = CLASSES + 1 + FORMS
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -160,78 +152,198 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, itself: float, c
     return best, float(gain[best] - gain[own])
 
 
-def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The class of every symbol, and the class bigram counts.
+def settle(pairs: np.ndarray, of: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Moves heads one after the other until a sweep gains less than ``least``; their classes, and the class counts.
 
-    A row holds a symbol with all that stands behind and before it, at most SYMBOLS each, so rounds are narrow jobs.
+    pairs: counts of neighbours, of heads first and of the classes of all other words behind them; of: classes of heads.
     """
-    spark = pairs.sparkSession
-    behind = pairs.groupBy(F.col("before").alias("symbol")).agg(F.collect_list(F.struct("after", "n")).alias("behind"))
-    ahead = pairs.groupBy(F.col("after").alias("symbol")).agg(F.collect_list(F.struct("before", "n")).alias("ahead"))
-    rows = materialize(behind.join(ahead, "symbol", "full_outer").repartition("symbol"), "contexts")
-    assigned = np.concatenate([np.arange(CLUSTERED) % CLASSES, CLASSES + np.arange(1 + FORMS)]).astype(np.int64)
+    label = np.concatenate([of, np.arange(TOTAL)])
+    one = np.zeros((len(label), TOTAL))
+    one[np.arange(len(label)), label] = 1
+    classes = one.T @ (pairs @ one)
+    gained = np.inf
+    while gained >= least and len(of):
+        gained = 0.0
+        for w in range(len(of)):
+            own, itself = int(label[w]), float(pairs[w, w])
+            after, before = np.bincount(label, pairs[w], TOTAL), np.bincount(label, pairs[:, w], TOTAL)
+            after[own] -= itself
+            before[own] -= itself
+            best, gain = best_class(own, after, before, itself, classes)
+            if gain > 1e-9 and best != own:
+                for k, sign in ((own, -1), (best, 1)):
+                    classes[k] += sign * after
+                    classes[:, k] += sign * before
+                    classes[k, k] += sign * itself
+                label[w] = best
+                gained += gain
+    return label[: len(of)], classes
+
+
+#: Stand for the words of a fixed class in pairs: this number plus the class.
+FIXED = -(2**63) + 1024
+
+
+def word_pairs(texts: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """before, after, n of all neighbours in ``texts``; words below MIN_COUNT and the end by their fixed class."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    deep = model.deep
+
+    def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
-    def context(cell, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not cell.is_valid or not len(cell.values):
-            return np.zeros(0, np.int64), np.zeros(0)
-        return of[cell.values.field(0).to_numpy(zero_copy_only=False)], cell.values.field(1).to_numpy(zero_copy_only=False).astype(float)
+        def fold():
+            before, after, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            _, first, back = np.unique(mix(before.view(U)) + after.view(U), return_index=True, return_inverse=True)
+            held[:] = [(before[first], after[first], np.bincount(back, n, len(first)).astype(np.int64))]
 
-    def class_counts(of: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(of)
+        def out():
+            fold()
+            return pa.record_batch([pa.array(x) for x in held.pop()], ["before", "after", "n"])
 
-        def count(batches):
-            seen = np.zeros((TOTAL, TOTAL))
-            for batch in batches:
-                for symbol, cell in zip(batch.column("symbol").to_pylist(), batch.column("behind"), strict=True):
-                    to, n = context(cell, shared.value)
-                    seen[shared.value[symbol]] += np.bincount(to, n, TOTAL)
-            yield pa.record_batch([pa.array([seen.ravel().tolist()], pa.list_(pa.float64()))], ["seen"])
+        for batch in pieces(batches, "text"):
+            tokens = Tokens(RULE, batch.column("text"))
+            form = forms(tokens)
+            n, found = shared.value.counted(tokens)
+            word = np.where(found & (n >= MIN_COUNT) | deep & ~found, tokens.hash.view(np.int64), FIXED + CLASSES + 1 + form.astype(np.int64))
+            after = np.insert(word, np.cumsum(tokens.count), FIXED + CLASSES)
+            held.append((np.concatenate([[FIXED + CLASSES], after[:-1]]), after, np.ones(len(after), np.int64)))
+            size += len(after)
+            if size > FLUSH:
+                fold()
+                size = len(held[0][0])
+                if size > FLUSH // 2:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    pairs = texts.mapInArrow(count, "before long, after long, n long")
+    if deep:
+        # Words that are not broadcast may be below MIN_COUNT.
+        rare = counts.filter(F.col("n") < MIN_COUNT)
+        for side in ("before", "after"):
+            fixed = rare.select(F.col("word").alias(side), (F.lit(FIXED + CLASSES + 1) + F.col("form")).alias("fixed"))
+            pairs = pairs.join(fixed, side, "left").withColumn(side, F.coalesce("fixed", side)).drop("fixed")
+    return pairs.groupBy("before", "after").agg(F.sum("n").alias("n"))
 
-        got = rows.select("symbol", "behind").mapInArrow(count, "seen array<double>").toArrow()["seen"]
-        return sum((np.array(x.as_py()).reshape(TOTAL, TOTAL) for x in got), np.zeros((TOTAL, TOTAL)))
 
-    def moves(of: np.ndarray, classes: np.ndarray, turn: int, parts: int) -> pa.Table:
-        shared = spark.sparkContext.broadcast((of, classes))
+def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_class`` of many words at once (a row each); the gain of a word of a fixed class is infinite.
+
+    Only cells with counts are weighed, as all others gain nothing.
+    """
+    k, each = np.arange(CLASSES), np.arange(len(own))
+    free = own < CLASSES
+    gain = np.zeros((len(own), CLASSES))
+    for counts, others, n in ((after, before, classes[:CLASSES].T), (before, after, classes[:, :CLASSES])):
+        w, c = np.nonzero(counts)
+        for i in range(0, len(w), CELLS):
+            v, d = w[i : i + CELLS], c[i : i + CELLS]
+            base, add = n[d].copy(), counts[v, d]
+            at = np.flatnonzero(free[v])
+            base[at, own[v[at]]] -= add[at]
+            at = np.flatnonzero(own[v] == d)
+            base[at] -= others[v[at], :CLASSES]
+            at = at[free[v[at]]]
+            base[at, own[v[at]]] -= itself[v[at]]
+            start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            gain[v[start]] += np.add.reduceat(_xlogx(base + add[:, None]) - _xlogx(base), start, axis=0)
+    rows, columns, both = (np.tile(x[:CLASSES], (len(own), 1)) for x in (classes.sum(1), classes.sum(0), np.diagonal(classes)))
+    out, into, itself_ = after.sum(1) + itself, before.sum(1) + itself, itself[:, None]
+    f, o = each[free], own[free]
+    rows[f, o] -= out[free]
+    columns[f, o] -= into[free]
+    both[f, o] -= after[f, o] + before[f, o] + itself[free]
+    a, b = after[:, :CLASSES], before[:, :CLASSES]
+    gain += _xlogx(both + a + b + itself_) - _xlogx(both + a) - _xlogx(both + b) + _xlogx(both)
+    gain -= _xlogx(rows + out[:, None]) - _xlogx(rows) + _xlogx(columns + into[:, None]) - _xlogx(columns)
+    best = gain.argmax(1)
+    won = np.full(len(own), np.inf)
+    won[f] = gain[f, best[f]] - gain[f, o]
+    return best, won
+
+
+def exchange(pairs: DataFrame, heads: pa.Table, others: DataFrame, tokens: int) -> tuple[DataFrame, np.ndarray]:
+    """The classes (word, label) of all words, and the class bigram counts.
+
+    heads: the most frequent words, first ones first; others: word and label (a fixed one) of the other ones.
+    """
+    spark = pairs.sparkSession
+    fixed = spark.range(CLASSES, TOTAL).select((F.col("id") + FIXED).alias("word"), F.col("id").cast("int").alias("label"))
+    few = small(others)
+    size = heads.num_rows
+    ids = heads["word"].to_numpy()
+
+    def labelled(table_: DataFrame, words: DataFrame, side: str) -> DataFrame:
+        label = words.unionByName(fixed).select(F.col("word").alias(side), F.col("label").alias(f"{side}_label"))
+        return table_.join(F.broadcast(label) if few else label, side)
+
+    def with_heads(others: DataFrame, label: np.ndarray) -> DataFrame:
+        return others.unionByName(spark.createDataFrame(pa.table({"word": ids, "label": label.astype(np.int32)})))
+
+    def collapsed(others: DataFrame) -> np.ndarray:
+        """Counts of pairs of heads and the classes of all others; heads are known by numbers from TOTAL on."""
+        words = with_heads(others, TOTAL + np.arange(size))
+        got = labelled(labelled(pairs, words, "before"), words, "after").groupBy("before_label", "after_label").agg(F.sum("n").alias("n")).toArrow()
+        at = [(x.to_numpy() - TOTAL) % (size + TOTAL) for x in (got["before_label"], got["after_label"])]
+        seen = np.zeros((size + TOTAL, size + TOTAL))
+        seen[at[0], at[1]] = got["n"].to_numpy()
+        return seen
+
+    def moved(others: DataFrame, of: np.ndarray, classes: np.ndarray, mine) -> DataFrame:
+        """``others`` after those that ``mine`` tells have taken their best class."""
+        shared = spark.sparkContext.broadcast(classes)
+        words = with_heads(others, of)
+        heads_ = F.broadcast(spark.createDataFrame(pa.table({"word": ids})))
+        known = lambda side: (F.col(side) >= FIXED + TOTAL) | (F.col(side) < FIXED)
+        beside = lambda side, other, k: labelled(pairs.filter(known(side) & mine(F.col(side))), words, other).select(F.col(side).alias("word"), F.lit(k).alias("side"), F.col(f"{other}_label").alias("near"), "n")
+        twice = pairs.filter((F.col("before") == F.col("after")) & known("before") & mine(F.col("before"))).select(F.col("before").alias("word"), F.lit(2).alias("side"), F.lit(0).alias("near"), "n")
+        contexts = beside("before", "after", 0).unionByName(beside("after", "before", 1)).unionByName(twice).join(heads_, "word", "left_anti").groupBy("word", "side", "near").agg(F.sum("n").alias("n"))
+        contexts = contexts.groupBy("word").agg(F.collect_list(F.struct("side", "near", "n")).alias("cells"))
 
         def move(batches):
-            of, classes = shared.value
             for batch in batches:
-                out = []
-                for symbol, b, a in zip(batch.column("symbol").to_pylist(), batch.column("behind"), batch.column("ahead"), strict=True):
-                    to, n = context(b, of)
-                    back, m = context(a, of)
-                    ids = b.values.field(0).to_numpy(zero_copy_only=False) if b.is_valid and len(b.values) else np.zeros(0)
-                    itself = float(n[ids == symbol].sum())
-                    after, before = np.bincount(to, n, TOTAL), np.bincount(back, m, TOTAL)
-                    after[of[symbol]] -= itself
-                    before[of[symbol]] -= itself
-                    best, gain = best_class(int(of[symbol]), after, before, itself, classes)
-                    if gain > 1e-9 and best != of[symbol]:
-                        out.append((symbol, best))
-                yield pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32())], ["symbol", "best"])
-
-        return rows.filter((F.col("symbol") < CLUSTERED) & (F.col("symbol") % parts == turn % parts)).mapInArrow(move, "symbol int, best int").toArrow()
-
-    classes = class_counts(assigned)
-    now = likelihood(classes)
-    parts = 2
-    for turn in range(rounds):
-        found = moves(assigned, classes, turn, parts)
-        if not found.num_rows:
-            continue
-        tried = assigned.copy()
-        tried[found["symbol"].to_numpy()] = found["best"].to_numpy()
-        counted = class_counts(tried)
-        value = likelihood(counted)
-        if value > now:
-            assigned, classes, now = tried, counted, value
-        else:
-            parts *= 2
-    return assigned, classes
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all training words (word, form, n)."""
+                cells = batch.column("cells")
+                flat = cells.flatten()
+                row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+                side, near, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                after, before, itself = np.zeros((len(cells), TOTAL)), np.zeros((len(cells), TOTAL)), np.zeros(len(cells))
+                after[row[side == 0], near[side == 0]] = n[side == 0]
+                before[row[side == 1], near[side == 1]] = n[side == 1]
+                itself[row[side == 2]] = n[side == 2]
+                own = batch.column("label").to_numpy()
+                after[np.arange(len(own)), own] -= itself
+                before[np.arange(len(own)), own] -= itself
+                best, gain = best_classes(own, after, before, itself, shared.value)
+                go = gain > 1e-9
+                yield pa.record_batch([batch.column("word").filter(pa.array(go)), pa.array(best[go].astype(np.int32))], ["word", "best"])
+
+        found = others.join(contexts, "word").mapInArrow(move, "word long, best int")
+        return materialize(others.join(found, "word", "left").select("word", F.coalesce("best", "label").alias("label")), "labels")
+
+    least = TOLERANCE * tokens / 4
+    of, classes = settle(collapsed(others), np.arange(size) % CLASSES, least)
+    # Words without a class open in their best one.
+    if others.limit(1).count():
+        others = moved(others, of, classes, lambda c: F.lit(True))
+        of, classes = settle(collapsed(others), of, least)
+        now, parts, turn, gain = likelihood(classes), 2, 0, np.inf
+        while gain * parts >= TOLERANCE * tokens:
+            turn += 1
+            tried = moved(others, of, classes, lambda c, turn=turn, parts=parts: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(parts)) == 0)
+            label, counted = settle(collapsed(tried), of, least)
+            gain = likelihood(counted) - now
+            if gain < 0:
+                parts, gain = parts * 2, np.inf
+            else:
+                others, of, classes, now = tried, label, counted, now + gain
+    return with_heads(others, of), classes
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and all training words (word, form, n, label)."""
     texts = docs.filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("text").cast("binary").alias("text"))
     counts = materialize(word_counts(texts), "words")
     ends = texts.count()
@@ -251,63 +363,76 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     order = np.argsort(word)
     model.word, model.n = word[order], n[order]
     model.least = least
-    model.symbol = np.full(len(word), -1, np.int32)
-    top = np.lexsort((model.word, -model.n))[:CLUSTERED]
-    model.symbol[top] = np.arange(len(top))
-    assigned, classes = exchange(materialize(bigrams(texts, model), "bigrams"), rounds)
-    model.assigned = assigned
+    # Whether words that are not broadcast can have a class of the exchange.
+    model.deep = least is None or least > MIN_COUNT
+    classed = counts.filter(F.col("n") >= MIN_COUNT)
+    heads = classed.orderBy(F.desc("n"), "word").limit(CLUSTERED).select("word").toArrow()
+    others = classed.join(F.broadcast(docs.sparkSession.createDataFrame(heads)), "word", "left_anti")
+    others = materialize(others.select("word", (F.lit(CLASSES + 1) + F.col("form")).cast("int").alias("label")), "labels")
+    labels, classes = exchange(materialize(word_pairs(texts, counts, model), "pairs"), heads, others, max(1, model.tokens))
+    counts = counts.join(labels, "word", "left").withColumn("label", F.coalesce("label", (F.lit(CLASSES + 1) + F.col("form")).cast("int")))
+    counts = materialize(counts, "words")
+    got = counts.filter(F.col("n") >= least).select("word", F.col("label").cast("short").alias("label")).toArrow() if least is not None else None
+    model.label = got["label"].to_numpy()[np.argsort(got["word"].to_numpy().view(U))] if got else np.zeros(0, np.int16)
     after = classes.sum(0)
     share = (after + 1) / (after.sum() + TOTAL)
     model.transition = np.log10((classes + SMOOTHING * share) / (classes.sum(1, keepdims=True) + SMOOTHING))
-    # Tokens and distinct words of each class: clustered words by their class, the others by form.
+    # Tokens and distinct words of each class.
     size, kinds = np.zeros(TOTAL), np.zeros(TOTAL)
-    form_of = (got["form"].to_numpy()[order] if got else np.zeros(0, np.int16))
-    for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
-        size[CLASSES + 1 + r.form] += r.n
-        kinds[CLASSES + 1 + r.form] += r.k
-    np.subtract.at(size, CLASSES + 1 + form_of[top], model.n[top])
-    np.subtract.at(kinds, CLASSES + 1 + form_of[top], 1)
-    np.add.at(size, assigned[np.arange(len(top))], model.n[top])
-    np.add.at(kinds, assigned[np.arange(len(top))], 1)
+    for r in counts.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        size[r.label] += r.n
+        kinds[r.label] += r.k
     model.spread = np.log10(size + kinds + 1)
     model.spread[CLASSES] = 0.0
     return model, counts
 
 
-def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     text_batches(spark)
-    model, counts = train(docs, rounds)
+    model, counts = train(docs)
     shared = spark.sparkContext.broadcast(model)
-    kind = [("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("path", pa.float64()), ("rest", pa.list_(pa.int64()))]
+    kind = [("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("path", pa.float64()), ("rest", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("labels", pa.list_(pa.int16()))]
 
-    @F.arrow_udf("n_tokens long, known long, logs double, path double, rest array<long>")
+    @F.arrow_udf("n_tokens long, known long, logs double, path double, rest array<long>, at array<int>, labels array<short>")
     def scan(text: pa.Array) -> pa.Array:
         m = shared.value
         out = []
         for batch in pieces([pa.record_batch([text], ["text"])], "text"):
             tokens = Tokens(RULE, batch.column("text"))
-            symbol, n, found = m.symbols(tokens, forms(tokens))
-            label = m.assigned[symbol]
-            sequence, row = _sequence(symbol, tokens.count)
-            after = m.assigned[sequence]
-            before = np.concatenate([[CLASSES], after[:-1]])
-            total = lambda x, r: np.bincount(r, x, tokens.rows)
-            path = total(m.transition[before, after], row) - total(m.spread[label], tokens.row)
-            logs = total(np.log10(n + 1.0), tokens.row) + np.log10(m.ends + 1.0)
-            known = total(found.astype(float), tokens.row) + (1 if m.ends else 0)
-            rest = lists(tokens.hash[~found], np.concatenate([[0], np.cumsum(np.bincount(tokens.row[~found], minlength=tokens.rows))]))
-            out.append(pa.StructArray.from_arrays([pa.array(tokens.count + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(path), rest], [k for k, _ in kind]))
+            label, n, found = m.labels(tokens, forms(tokens))
+            total = lambda x: np.bincount(tokens.row, x, tokens.rows)
+            logs = total(np.log10(n + 1.0)) + np.log10(m.ends + 1.0)
+            known = total(found.astype(float)) + (1 if m.ends else 0)
+            cut = np.concatenate([[0], np.cumsum(tokens.count)])
+            rest = np.concatenate([[0], np.cumsum(np.bincount(tokens.row[~found], minlength=tokens.rows))])
+            # Places and classes matter only where words that are not broadcast can have a class of the exchange.
+            at = (np.arange(len(label)) - cut[tokens.row])[~found] if m.deep else np.zeros(0, np.int64)
+            held = (label.astype(np.int16), cut) if m.deep else (np.zeros(0, np.int16), cut * 0)
+            out.append(pa.StructArray.from_arrays([pa.array(tokens.count + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(m.path(label, tokens.count)), lists(tokens.hash[~found], rest), lists(at.astype(np.int32), rest if m.deep else rest * 0), lists(*held)], [k for k, _ in kind]))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct(kind))
 
+    @F.arrow_udf("double")
+    def path(labels: pa.Array, places: pa.Array, named: pa.Array) -> pa.Array:
+        """The path with the classes ``named`` at ``places`` of ``labels``."""
+        count = np.diff(labels.offsets.to_numpy())
+        cut = np.concatenate([[0], np.cumsum(count)])
+        label = labels.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(places)), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        label[cut[row] + places.flatten().to_numpy(zero_copy_only=False)] = named.flatten().to_numpy(zero_copy_only=False)
+        return pa.array(shared.value.path(label, count))
+
     first = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), scan(F.col("text").cast("binary")).alias("s")).select("rid", "doc_id", "held_out", "s.*")
     first = materialize(first, "scored")
-    # Words that are not broadcast meet their counts; only the sum of their logarithms comes back.
+    # Words that are not broadcast meet their counts and classes; sums of logarithms and classes by place come back.
     rare = counts.filter(F.col("n") < model.least) if model.least is not None else counts
-    found = first.select("rid", F.explode("rest").alias("word")).join(rare.select("word", "n"), "word")
-    found = found.groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.count("*").alias("more_known"))
-    joined = first.drop("rest").join(found, "rid", "left")
+    found = first.select("rid", F.explode(F.arrays_zip("rest", "at")).alias("w")).select("rid", F.col("w.rest").alias("word"), F.col("w.at").alias("at")).join(rare.select("word", "n", "label"), "word")
+    sums = [F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.count("*").alias("more_known")]
+    found = found.groupBy("rid").agg(*sums, *([F.collect_list(F.struct("at", "label")).alias("named")] if model.deep else []))
+    joined = first.drop("rest", "at").join(found, "rid", "left")
+    if model.deep:
+        joined = joined.withColumn("path", path("labels", "named.at", "named.label"))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     base = logs - F.col("n_tokens") * float(np.log10(model.tokens + model.types + 1))
     # P(word | class) takes the same logarithms, without that of the end.

@@ -406,6 +406,33 @@ def test_lm_exchange_raises_likelihood():
     assert abs(class_lm.likelihood(moved) - class_lm.likelihood(n) - gain) < 1e-6
 
 
+def test_lm_many_words_move_as_one():
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 60, (class_lm.TOTAL, class_lm.TOTAL)).astype(float)
+    own = np.array([3, 0, 63, 7])
+    after, before = rng.integers(0, 2, (2, 4, class_lm.TOTAL)).astype(float)
+    itself = np.array([2.0, 0, 1, 3])
+    best, gain = class_lm.best_classes(own, after, before, itself, n)
+    for i in range(4):
+        one = class_lm.best_class(int(own[i]), after[i], before[i], itself[i], n)
+        assert best[i] == one[0] and abs(gain[i] - one[1]) < 1e-6
+
+
+def test_lm_all_words_have_classes(spark, monkeypatch):
+    """Words beyond the start are classed by their neighbours, broadcast or not."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{c}{i:03d}" for i in range(900)] for c in "pqr"]
+    docs = docs_of(spark, [" ".join(str(rng.choice(kinds[k % 3])) for k in range(60)) for _ in range(300)])
+    class_lm.text_batches(spark)
+    _, counts = class_lm.train(docs)
+    rows = counts.collect()
+    assert len(rows) > class_lm.CLUSTERED + 300 and all((r.label < class_lm.CLASSES) == (r.n >= class_lm.MIN_COUNT) for r in rows)
+    whole = {r.doc_id: r for r in class_lm.digest(docs).collect()}
+    monkeypatch.setattr(class_lm, "BROADCAST", 400)
+    part = {r.doc_id: r for r in class_lm.digest(docs).collect()}
+    assert all(abs(whole[i].score - part[i].score) < 1e-6 * abs(whole[i].score) for i in whole)
+
+
 def test_lm_odd_rows(spark):
     rows = class_lm.digest(docs_of(spark, ODD, ids=[None, *range(1, 9), 8])).collect()
     assert len(rows) == len(ODD) and all(r.n_tokens == len(words(t)) + 1 for r, t in zip(sorted(rows, key=lambda r: r.n_tokens), sorted(ODD, key=lambda t: len(words(t))), strict=True))
