@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction; DataFrame functions only.
 
-Seeds are e-mail addresses, IP addresses, card and phone numbers found by fixed patterns. Every identifier-like token
-(letters, digits and a few signs, a digit among them) is an instance with the words before it; these are its lexical
-patterns. Rounds over the graph of patterns and instances score both: a pattern by the mean score of its distinct
+Seeds are e-mail addresses, IP addresses, card and phone numbers found by fixed patterns, as whole spans. Every
+identifier-like token (letters, digits and a few signs, a digit among them) that overlaps none of them is a candidate. Both
+are instances; the words before an instance are its lexical patterns. Rounds over the graph of patterns and instances score both: a pattern by the mean score of its distinct
 instances, smoothed; an instance by the chance that any of its patterns is right; seeds stay at 1. Instances of patterns
 that enough distinct seeds support, with a score of at least ``ACCEPT``, are new spans of kind ``context``.
 
@@ -36,17 +36,19 @@ SMOOTHING = 1.0
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, before) of every match; ``before`` is the text since the match before it."""
+    """Array of (start, end, value, before) of every match; ``before`` is the text before it, CONTEXT code points at most."""
     both = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string,before:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(CONTEXT)).alias("before"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
+        before = F.right(F.concat(acc["tail"], x["p"]), F.lit(CONTEXT))
+        found = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), before.alias("before"))
+        tail = F.right(F.concat(before, x["m"]), F.lit(CONTEXT))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(found)).alias("out")))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def _luhn(value: Column) -> Column:
@@ -124,13 +126,16 @@ def find_private(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *[c.alias(k) for k, c in base_spans(text).items()], F.when(text.rlike("[0-9]"), matches(text, INSTANCE)).alias("instances"))
     kinds = KINDS[:-1]
     base = F.concat(*[_of_kind(k, i) for i, k in enumerate(kinds)])
-    found = found.select("rid", "doc_id", base.alias("base"), *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], "instances")
+    seeds = F.concat(*[F.transform(k, lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"))) for k in kinds])
+    found = found.select("rid", "doc_id", base.alias("base"), seeds.alias("seeds"), *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], "instances")
     found = materialize(found, "found")
-    instances = found.select("rid", "base", F.explode("instances").alias("i")).select("rid", "i.start", "i.end", F.lower("i.value").alias("value"), "i.before", F.exists("base", lambda b: (b["start"] < F.col("i.end")) & (b["end"] > F.col("i.start"))).alias("seed"))
-    edges = instances.select("value", "seed", F.explode(_contexts(F.col("before"))).alias("pattern"))
+    overlaps = F.exists("base", lambda b: (b["start"] < F.col("i.end")) & (b["end"] > F.col("i.start")))
+    instances = found.select("rid", "base", F.explode("instances").alias("i")).filter(~overlaps).select("rid", "i.start", "i.end", F.lower("i.value").alias("value"), "i.before", F.lit(False).alias("seed"))
+    sown = found.select(F.explode("seeds").alias("i")).select(F.lower("i.value").alias("value"), "i.before", F.lit(True).alias("seed"))
+    edges = instances.select("value", "before", "seed").unionByName(sown).select("value", "seed", F.explode(_contexts(F.col("before"))).alias("pattern"))
     good = score_graph(edges, rounds).filter(F.col("score") >= ACCEPT)
-    new = instances.filter(~F.col("seed")).join(good, "value").groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(len(kinds)).alias("kind"), "end")).alias("new"))
-    joined = found.drop("instances").join(new, "rid", "left")
+    new = instances.join(good, "value").groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(len(kinds)).alias("kind"), "end")).alias("new"))
+    joined = found.drop("instances", "seeds").join(new, "rid", "left")
     every = F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     counts = [f"n_{k}" for k in kinds]
     return joined.select("doc_id", *counts, F.when(F.col("new").isNotNull(), F.size("new")).otherwise(0).cast("long").alias("n_context"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))

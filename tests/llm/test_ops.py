@@ -190,6 +190,18 @@ def test_pii_whole_table(spark, data):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(found[k]) for k in BASE]
 
 
+@pytest.mark.parametrize("seed", ["+1 (743) 555-38{:02d}", "1.2.3.{}", "user{}@mail.example.com", "4111 1111 1111 1111", "{}@mail.example.com"])
+def test_pii_whole_seeds(spark, seed):
+    """Seeds of every form teach the words before the whole span."""
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "6011 0000 0000 0004", "3530 1113 3330 0000"]
+    names = ["ann", "bob", "cyd", "dee", "eva", "fay", "gus", "hal", "ivy", "joe", "kim", "lou"]
+    filled = cards * 3 if seed[0] == "4" else [seed.format(n) for n in names] if seed[0] == "{" else [seed.format(i) for i in range(12)]
+    texts = [f"please reach them via {v} today" for v in filled] + ["please reach them via user77_mailbox today"]
+    rows = {r.doc_id: r for r in pii.digest(docs_of(spark, texts)).collect()}
+    start = texts[12].index("user77")
+    assert rows[12].spans == f"context:{start}:{start + 14}"
+
+
 def test_pii_contexts_discover(spark):
     texts = [f"please contact admin at u{i}@mail.example.com today" for i in range(12)] + ["please contact admin at user77_mailbox today", "nothing 12345678 here"]
     rows = {r.doc_id: r for r in pii.digest(docs_of(spark, texts)).collect()}
