@@ -206,6 +206,11 @@ def matrix_pairs(rows: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id."""
+    return rooted_copies(docs, width).drop("root")
+
+
+def rooted_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``near_copies`` with the root of their component, null without shingles."""
     spark = docs.sparkSession
     text_batches(spark)
     signed = materialize(signatures(docs, width), "signatures")
@@ -218,21 +223,42 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     linked = components(links.unionByName(more))
     rooted = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("cid", "component_id")
-    return signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid").join(named, "cid", "left").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = rooted.join(least, "root").select("cid", "component_id", "root")
+    return signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid").join(named, "cid", "left").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return near_copies(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def class_of(text: pa.Array) -> pa.Array:
+    """The class of each text, null without shingles."""
+    out = []
+    for batch in pieces([pa.record_batch([text], ["text"])], "text"):
+        value, cut = shingle_sets(Tokens(RULE, batch.column("text")), WIDTH)
+        out.append(pa.array(_set_hash(value, cut).view(np.int64), mask=np.diff(cut) == 0))
+    return pa.concat_arrays(out) if out else pa.array([], pa.int64())
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; of repeated rows of one id, one."""
-    found = near_copies(docs.select("doc_id", "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id")).distinct()
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kept_id"))
-    joined = sized_join(keyed, kept, "kept_id", "left_semi")
-    return joined.select("row.*")
+    """One row of every component: that with the least id (null last), then the least class; of equal ones, any one.
+
+    Texts without shingles are components of their own; of those with one id, one stays, and all those without id.
+    """
+    found = materialize(rooted_copies(docs.select("doc_id", "text")).select("doc_id", "class_id", "root"), "rooted")
+    linked = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class_id")).alias("k")).select("k.doc_id", "k.class_id")
+    alone = found.filter("root is null").select("doc_id", "class_id").distinct()
+    # Ids and classes of the rows that stay, and whether other rows have the same.
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kept_id")
+    class_ = lambda c: [F.coalesce(c, F.lit(0)).alias("kept_class"), c.isNull().alias("blank")]
+    key = ["kept_id", "kept_class", "blank"]
+    times = found.groupBy(id_of, *class_(F.col("class_id"))).agg((F.count("*") > 1).alias("repeated"))
+    kept = materialize(linked.unionByName(alone).select(id_of, *class_(F.col("class_id"))).join(times, key), "kept")
+    keyed = docs.select(F.struct("*").alias("row"), id_of, F.arrow_udf("long")(class_of)(F.col("text").cast("binary")).alias("class")).select("row", "kept_id", *class_(F.col("class")))
+    joined = sized_join(keyed, kept, key)
+    many = F.col("repeated") & ~(F.col("blank") & F.col("row.doc_id").isNull())
+    once = joined.filter(many).groupBy(*key).agg(F.any_value("row").alias("row"))
+    return joined.filter(~many).select("row.*").unionByName(once.select("row.*"))
 
 
 ORACLE_SQL = """

@@ -130,6 +130,21 @@ def test_ngram_join_empty(spark):
     assert ngram_join.keep_one(docs_of(spark, ["a b", "a b", "c"], ids=[5, 4, 9])).select("doc_id").orderBy("doc_id").collect() == [(4,), (9,)]
 
 
+def test_keep_one_chooses_rows(spark):
+    """Repeated rows, ids with two texts and null ids leave one row of each component."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, a), (3, a), (3, b), (5, b), (2, b + " more"), (None, a), (None, a + " end"), (None, c), (None, c), (None, c + " end"), (7, d), (7, d + " end"), (None, ""), (None, None), (9, ""), (9, "")]
+    docs = docs_of(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    out = ngram_join.keep_one(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    of = lambda k: [g for g in got if (g[1] or "").startswith(k)]
+    assert of("a") == [(3, a)] and of("b") == [(2, b + " more")]
+    assert len(of("c")) == 1 and len(of("d")) == 1 and of("c")[0][0] is None
+    assert Counter(i for i, t in got if not t) == {None: 2, 9: 1}
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 240)]
