@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,29 +37,61 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset; it gets a new folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="kinfold-"))
     return path.rstrip("/")
 
 
+#: Folders of the open ``scratch`` blocks, the innermost last.
+_folders: list[str] = []
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/kinfold-{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder of the innermost ``scratch`` block, or in the shared folder."""
+    return f"{_folders[-1] if _folders else shared_dir(spark)}/kinfold-{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside go when the block ends, but those materialised with ``outlive``."""
+    _folders.append(shared_path(spark, "scratch"))
+    try:
+        yield
+    finally:
+        remove(spark, _folders.pop())
+
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def materialize(df: DataFrame, tag: str, outlive: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors.
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
+    Its shuffle files are given back as soon as it is written. ``outlive``: it belongs to the block around this one.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path, compression="zstd")
+    inner = _folders.pop() if outlive and _folders else None
+    try:
+        path = shared_path(spark, tag)
+    finally:
+        if inner:
+            _folders.append(inner)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
