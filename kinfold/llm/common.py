@@ -10,7 +10,7 @@ from kinfold.session import ship
 #: Rows of text that go to Python at once; a batch of very long texts is cut further by bytes (tokens.pieces).
 TEXT_BATCH = 512
 #: Most rows of a side that is broadcast. Beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 #: Words as the contracts define them: runs of anything but U+0020 and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -39,6 +39,6 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join that broadcasts ``right`` only where it has been counted to be small."""
-    return left.join(F.broadcast(right) if small(right) else right, on, how)
+def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join that broadcasts ``right``, a materialised table, only where it has been counted to have ``most`` rows or fewer."""
+    return left.join(F.broadcast(right) if small(right, most) else right, on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.session import materialize
+from kinfold.session import materialize, scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,20 +22,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a > b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of ``edges`` (a, b long); the root is the least node of its component and not listed itself.
 
     Each round is two aggregates and two joins on narrow rows, written to the shared folder; a few rounds do for stars,
-    the logarithm of the longest path at most. Loops and repeated edges do no harm; no edges, no rows.
+    the logarithm of the longest path at most. It ends when a round changes no edge. Loops and repeated edges do no harm;
+    no edges, no rows.
     """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = materialize(now, "edges"), None
-    for _ in range(rounds):
-        now = materialize(_star(_star(now, True), False), "edges")
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    spark = edges.sparkSession
+    with scratch(spark):
+        now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        now = materialize(now, "edges")
+        for _ in range(rounds):
+            before, now = now, materialize(_star(_star(now, True), False), "edges")
+            # Edges are distinct, so sets of one size without a new edge are equal.
+            if before.count() == now.count() and not now.join(before, ["a", "b"], "left_anti").limit(1).count():
+                return materialize(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "components", outlive=True)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

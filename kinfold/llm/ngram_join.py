@@ -1,18 +1,20 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
 1. Every text becomes its set of shingle hashes. Texts with equal sets are one class, known by a hash of the set.
-2. Classes are partitioned into groups of similar ones: classes that share the least shingle of a part of the hash space
-   are compared with the most central of them, the one whose least shingles are the most common; those it does not link
-   with are compared with the most central of the rest, a few times. Verified links are contracted into groups.
-3. The matrix: a group's tokens are the union of its members' prefix tokens. All sets stand in one order of tokens, and
-   two sets that reach the threshold share at least ``SHARED`` tokens of their prefixes, so a group of which a query
-   holds fewer tokens has no partner for it: n_q - (p_q - overlap) bounds the overlap with every member. Only tokens of
-   two groups or more are joined, and only members of groups that qualify are opened and compared, all shingles of both.
-   A pair inside one group is connected already and needs no comparison.
+2. Classes are partitioned into groups of similar ones: the hash space is cut into parts, classes that share the least
+   shingle of a part follow the most central class among them (its least shingles are the most common), and those that
+   follow one leader by ``ALIKE`` parts are compared with it; what no leader reaches tries the leaders of the rest, a few
+   times. Verified links make the groups.
+3. The matrix. All sets stand in one order of tokens, and two sets that reach the threshold share ``SHARED`` tokens of
+   their prefixes. The cells of the matrix are the prefix tokens that two groups or more hold; a query and a group meet
+   where they share enough cells. There the group's members lie in a task as the union of all their tokens, a chunk at a
+   time: a query of n tokens opens the chunk if the union holds ceil(0.75 n) of them, the least that any partner must
+   share, and only then members are counted, all shingles of both. Of two groups the larger one is stored and the smaller
+   one asks. Pairs inside one group are connected already and need no comparison.
 4. Components of all links give the classes of near copies.
 
 Frequent tokens stand last in the order, so that prefixes hold rare ones; any order gives the same links, hence the
-frequent ones may be taken from a sample of classes. They are broadcast, ``MOST_FREQUENT`` at most.
+frequent ones may be taken from a sample of texts. They are broadcast, ``MOST_FREQUENT`` at most.
 
 A shingle and a class are known by 64 bits; two different ones of n are taken for one with probability n^2 / 2^65.
 
@@ -25,28 +27,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import sized_join, text_batches
 from kinfold.llm.components import components
 from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces, shingle_sets
-from kinfold.session import materialize
+from kinfold.session import materialize, scratch
 
 WIDTH = 5
 #: Intersection over union from which two documents link, in hundredths.
 THRESHOLD = 75
 #: Tokens that the prefixes of two linked sets share at least (all of a smaller overlap).
 SHARED = 3
-#: One class in so many tells which tokens are frequent, from so many sampled classes on.
-SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
-#: Parts of the hash space with a least shingle each, as a power of two.
-PARTS_BITS = 3
-#: Rounds of comparing classes that share a least shingle with one of them.
+#: One text in so many tells which tokens are frequent, from so many sampled texts on.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 500_000
+#: Parts of the hash space with a least shingle each, as a power of two; parts by which a class follows a leader.
+PARTS_BITS, ALIKE = 4, 4
+#: Rounds of comparing classes with leaders.
 STAR_ROUNDS = 3
-#: Partners that are compared with one anchor in one task.
-ANCHOR_PARTNERS = 1024
+#: Shingles of a group's members that lie in a task at once.
+CHUNK = 1 << 20
+#: Tokens of several groups that are broadcast, 8 bytes each; more of them are joined.
+MOST_CELLS = 2_000_000
+#: Pairs with texts that are broadcast.
+MOST_ROLES = 300_000
 RULE = Words()
 #: Stands for a null id in joins.
 NO_ID = -(2**63) + 11
@@ -63,202 +68,238 @@ def _set_hash(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return mix((total[cut[1:]] - total[cut[:-1]]) ^ mix(n))
 
 
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id (null: NO_ID), doc_id, n, cid (null without shingles), least shingles by part, and all shingles of sampled classes."""
+def _held(sorted_: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which of ``value`` are in ``sorted_``."""
+    if not len(sorted_):
+        return np.zeros(len(value), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, value), len(sorted_) - 1)] == value
 
-    def sign(batches):
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def frequent_tokens(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """Tokens of several sampled texts, the most frequent of them up to MOST_FREQUENT."""
+
+    def cut(batches):
         for batch in pieces(batches, "text"):
-            value, cut = shingle_sets(Tokens(RULE, batch.column("text")), width)
-            n = np.diff(cut)
-            owner = np.repeat(np.arange(len(n)), n)
-            part = (value >> U(64 - PARTS_BITS)).astype(np.int64) + owner * (1 << PARTS_BITS)
-            least = np.ones(len(value), bool)
-            least[1:] = part[1:] != part[:-1]
-            cid = _set_hash(value, cut)
-            taken = (mix(cid) % U(SAMPLE) == 0)[owner]
-            split = lambda keep: lists(value[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(n)))]))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(cid.view(np.int64), mask=n == 0), split(least), split(taken)], ["doc_id", "n", "cid", "least", "sample"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    signed = rows.mapInArrow(sign, "doc_id long, n int, cid long, least array<long>, sample array<long>")
-    return signed.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-
-
-def frequent_tokens(signed: DataFrame) -> np.ndarray:
-    """Tokens of several sampled classes, the most frequent of them up to MOST_FREQUENT."""
-    counts = signed.filter(F.size("sample") > 0).dropDuplicates(["cid"]).select(F.explode("sample").alias("token")).groupBy("token").count().filter(F.col("count") >= FREQUENT)
-    counts = materialize(counts, "frequent")
-    least, total = FREQUENT, 0
-    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).limit(10_000).collect():
-        total += r.n
+            yield pa.record_batch([pa.array(shingle_sets(Tokens(RULE, batch.column("text")), width)[0].view(np.int64))], ["token"])
+
+    sampled = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("text")).distinct()
+    counts = materialize(sampled.mapInArrow(cut, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT), "frequent")
+    least, total = None, 0
+    # One row for each count, the highest first.
+    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        total += r.k
         if total > MOST_FREQUENT:
             break
-        least = r["count"]
-    if total > MOST_FREQUENT and least == FREQUENT:
+        least = r.n
+    if least is None:
         return np.zeros(0, U)
-    got = [r.token for r in counts.filter(F.col("count") >= least).select("token").toLocalIterator()]
-    return np.sort(np.array(got, np.int64).view(U))
+    return np.sort(counts.filter(F.col("n") >= least).select("token").toArrow()["token"].to_numpy().view(U))
+
 
+def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> DataFrame:
+    """doc_id, id (null: NO_ID), text_hash, n, cid (null without shingles), least shingles by part, and the prefix.
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """cid, n, prefix: the first n - needed + SHARED tokens of each set, frequent ones last."""
+    The prefix is the first n - needed + SHARED tokens of the set, frequent ones last.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def cut_off(batches):
+    def sign(batches):
         late = shared.value
         for batch in pieces(batches, "text"):
             value, cut = shingle_sets(Tokens(RULE, batch.column("text")), width)
             n = np.diff(cut)
             owner = np.repeat(np.arange(len(n)), n)
+            part = (value >> U(64 - PARTS_BITS)).astype(np.int64) + owner * (1 << PARTS_BITS)
+            least = np.ones(len(value), bool)
+            least[1:] = part[1:] != part[:-1]
             cid = _set_hash(value, cut)
-            if len(late) and len(value):
-                often = late[np.minimum(np.searchsorted(late, value), len(late) - 1)] == value
-                order = np.argsort(owner * 2 + often, kind="stable")
-                value = value[order]
-            keep = np.arange(len(value)) - cut[owner] < (n - _needed(n) + SHARED)[owner]
-            out = lists(value[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(n)))]))
-            some = pa.array(n > 0)
-            yield pa.record_batch([pa.array(cid.view(np.int64)), pa.array(n.astype(np.int32)), out], ["cid", "n", "prefix"]).filter(some)
+            split = lambda value, keep: lists(value[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(n)))]))
+            ranked = value[np.argsort(owner * 2 + _held(late, value), kind="stable")]
+            first = np.arange(len(value)) - cut[owner] < (n - _needed(n) + SHARED)[owner]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(n.astype(np.int32)), pa.array(cid.view(np.int64), mask=n == 0), split(value, least), split(ranked, first)], ["doc_id", "text_hash", "n", "cid", "least", "prefix"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(cut_off, "cid long, n int, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n int, cid long, least array<long>, prefix array<long>").withColumn("id", _id())
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Those of ``pairs`` (a, b: classes) that link, by all shingles of both texts.
+def opened(queries: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """a, b: for each query one member, if any, that it links with in each chunk of its group.
 
-    Texts stream through tasks behind their anchor a: one text of each partner, and the anchor's once for every
-    ANCHOR_PARTNERS of them.
+    queries: grp, cid; members: grp, cid, n of the same groups. A group's members are cut into chunks of about CHUNK
+    shingles, and a query meets every chunk.
     """
-    pairs = materialize(pairs, "pairs")
-    heavy = pairs.groupBy("a").count().filter(F.col("count") > ANCHOR_PARTNERS).select("a", F.ceil(F.col("count") / ANCHOR_PARTNERS).cast("int").alias("parts"))
-    salted = sized_join(pairs, materialize(heavy, "heavy"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
-    roles = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cid")).unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cid")).distinct())
-    ids = classes.select("cid", "id")
-    roles = materialize(roles.join(ids, "cid"), "roles")
-    texts = sized_join(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("binary").alias("text")), roles, "id")
-    ordered = texts.select("a", "salt", "role", "cid", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    parts = members.groupBy("grp").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts"))
+    stored = members.join(parts, "grp").select("grp", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "cid")
+    asked = queries.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "cid")
+    roles = materialize(stored.unionByName(asked).join(classes.select("cid", "id"), "cid"), "roles")
+    texts = sized_join(docs.select(_id().alias("id"), F.col("text").cast("binary").alias("text")), roles, "id", most=MOST_ROLES)
+    ordered = texts.select("grp", "part", "role", "cid", "text").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "cid")
 
     def compare(batches):
-        anchor, own = None, np.zeros(0, U)
+        at, sets, union = None, {}, None
         for batch in pieces(batches, "text"):
             value, cut = shingle_sets(Tokens(RULE, batch.column("text")), width)
             cid = _set_hash(value, cut).view(np.int64)
-            a, role, want = (batch.column(c).to_numpy() for c in ("a", "role", "cid"))
+            grp, part, role, want = (batch.column(c).to_numpy() for c in ("grp", "part", "role", "cid"))
             hits = []
+            # Rows of one id with different texts: only that of the class counts.
             for i in np.flatnonzero(cid == want):
+                if (grp[i], part[i]) != at:
+                    at, sets, union = (grp[i], part[i]), {}, None
                 mine = value[cut[i] : cut[i + 1]]
                 if role[i] == 0:
-                    anchor, own = a[i], mine.copy()
-                elif anchor == a[i] and len(own):
-                    same = int(np.count_nonzero(own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine))
-                    if 100 * same >= THRESHOLD * (len(own) + len(mine) - same):
-                        hits.append((int(a[i]), int(want[i])))
-            yield pa.record_batch([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], ["a", "b"])
+                    sets[int(want[i])] = mine.copy()
+                    continue
+                if union is None:
+                    union = _Union(sets)
+                found = union.partner(mine, int(want[i]))
+                if found is not None:
+                    hits.append((int(want[i]), found))
+            yield pa.record_batch([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return ordered.mapInArrow(compare, "a long, b long")
 
 
-def shared_least(classes: DataFrame) -> DataFrame:
-    """token, cid, centre of the classes that share a least shingle; the centre is larger for more common shingles."""
-    sharing = classes.select("cid", F.explode("least").alias("token"))
-    sizes = sharing.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    sharing = sharing.join(sizes, "token")
-    centres = sharing.groupBy("cid").agg(F.sum("n").alias("centre"))
-    return sharing.select("token", "cid").join(centres, "cid").select("token", "cid", "centre")
+class _Union:
+    """The token union of a chunk of members, with the members of each token."""
+
+    def __init__(self, sets: dict[int, np.ndarray]):
+        self.ids = np.array(list(sets), np.int64)
+        self.size = np.array([len(x) for x in sets.values()], np.int64)
+        tokens = np.concatenate(list(sets.values())) if sets else np.zeros(0, U)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.ids)), self.size)[order]
+        self.token, first = np.unique(tokens[order], return_index=True)
+        self.cut = np.append(first, len(tokens))
+
+    def partner(self, mine: np.ndarray, own: int) -> int | None:
+        """A member other than ``own`` that reaches the threshold."""
+        if not len(self.token):
+            return None
+        at = np.minimum(np.searchsorted(self.token, mine), len(self.token) - 1)
+        at = at[self.token[at] == mine]
+        if len(at) < _needed(len(mine)):
+            return None
+        n = self.cut[at + 1] - self.cut[at]
+        new = np.cumsum(n) - n
+        same = np.bincount(self.owner[np.repeat(self.cut[at] - new, n) + np.arange(n.sum())], minlength=len(self.ids))
+        fine = (100 * same >= THRESHOLD * (len(mine) + self.size - same)) & (self.ids != own)
+        return int(self.ids[np.argmax(fine)]) if fine.any() else None
 
 
 def star_links(classes: DataFrame, docs: DataFrame, width: int = WIDTH, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """Verified links (a, b) of each class to central classes that share a least shingle with it."""
-    open_ = materialize(shared_least(classes), "sharing")
+    """Verified links (a, b) of classes to leaders that share least shingles with them."""
+    tokens = classes.select("cid", F.size("least").alias("parts"), F.explode("least").alias("token"))
+    sizes = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    central = tokens.join(sizes, "token").groupBy("cid", "parts").agg(F.sum("k").alias("centre"), F.collect_list("token").alias("shared"))
+    open_ = materialize(central, "open")
     links = None
     for i in range(rounds):
-        lead = open_.groupBy("token").agg(F.max(F.struct("centre", "cid")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("token", F.col("lead.cid").alias("lead"))
-        led = materialize(open_.join(lead, "token").filter("cid <> lead"), "led")
-        found = materialize(verified(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes, docs, width), "links")
+        spread = open_.select("cid", "parts", "centre", F.explode("shared").alias("token"))
+        lead = spread.groupBy("token").agg(F.max(F.struct("centre", "cid")).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("lead.cid").alias("lead"))
+        led = spread.join(lead, "token").filter("cid <> lead").groupBy("cid", "lead", "parts").agg(F.count("*").alias("alike")).filter(F.col("alike") >= F.least(F.lit(ALIKE), "parts"))
+        led = materialize(led.select("cid", F.col("lead").alias("grp")), "led")
+        leaders = led.select("grp").distinct()
+        stored = leaders.select("grp", F.col("grp").alias("cid")).join(classes.select("cid", "n"), "cid")
+        found = materialize(opened(led, stored, classes, docs, width), "links")
         links = found if links is None else links.unionByName(found)
         if i < rounds - 1:
-            # What a leader does not reach, directly or through others, tries the next one.
-            grouped = components(links)
-            root = lambda c: grouped.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            led = led.join(root("lead"), "lead", "left").join(root("cid"), "cid", "left")
-            apart = F.coalesce("lead_root", "lead") != F.coalesce("cid_root", "cid")
-            open_ = materialize(led.filter(apart).select("token", "cid", "centre"), "sharing")
-            if not open_.limit(1).count():
+            # What follows no leader yet tries those of the rest.
+            done = found.select(F.col("a").alias("cid")).unionByName(leaders.select(F.col("grp").alias("cid"))).distinct()
+            open_ = materialize(open_.join(done, "cid", "left_anti"), "open")
+            if not found.limit(1).count():
                 break
     return links
 
 
-def matrix_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes that the token-group matrix leaves to compare; ``rows``: cid, grp, n, prefix."""
-    # A token's rows meet once: those of tokens that one group alone holds go no further.
-    token = W.partitionBy("token")
-    posted = rows.select("cid", "grp", "n", F.explode("prefix").alias("token"))
-    cells = posted.withColumn("low", F.min("grp").over(token)).withColumn("high", F.max("grp").over(token)).filter("low <> high").select("token", "cid", "grp", "n").distinct()
-    cells = materialize(cells, "cells")
-    matrix = cells.select("token", F.col("grp").alias("other")).distinct()
-    needed = F.ceil(F.col("n") * THRESHOLD / 100)
-    qualified = cells.join(matrix, "token").filter("grp <> other").groupBy("cid", "grp", "n", "other").agg(F.count("*").alias("overlap"))
-    qualified = qualified.filter(F.col("overlap") >= F.least(F.lit(SHARED), needed))
-    members = cells.select(F.col("cid").alias("member"), F.col("grp").alias("other"), F.col("n").alias("size")).distinct()
-    opened = qualified.join(members, "other").filter("cid < member").filter(f"100 * least(n, size) >= {THRESHOLD} * greatest(n, size)")
-    return opened.select(F.col("cid").alias("a"), F.col("member").alias("b")).distinct()
+def cells(rows: DataFrame) -> DataFrame:
+    """The matrix: token, cid, grp, n for prefix tokens that several groups hold; ``rows``: cid, grp, n, prefix."""
+    posted = rows.select("grp", F.explode("prefix").alias("token"))
+    several = materialize(posted.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token"), "several")
+    if several.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        return rows.select("cid", "grp", "n", F.explode("prefix").alias("token")).join(several, "token")
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(several.toArrow()["token"].to_numpy()))
+
+    @F.arrow_udf("array<long>")
+    def held(prefix: pa.Array) -> pa.Array:
+        value = prefix.flatten().to_numpy()
+        keep = _held(shared.value, value)
+        count = np.concatenate([[0], np.cumsum(keep)])
+        return lists(value[keep], count[np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy())])])
+
+    return rows.select("cid", "grp", "n", F.explode(held("prefix")).alias("token"))
+
+
+def matrix_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Links (a, b) between groups; ``rows``: cid, grp, n, prefix."""
+    matrix = materialize(cells(rows).select("token", "cid", "grp", "n"), "cells")
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = materialize(sizes.join(matrix.select("grp").distinct(), "grp", "left_semi"), "sizes")
+    asked = matrix.join(sizes.select("grp", "members"), "grp").select("token", "cid", "n", "grp", "members")
+    union = matrix.select("token", "grp").distinct().join(sizes, "grp").select("token", F.col("grp").alias("other"), F.col("members").alias("others"), "low", "high")
+    # The smaller group asks the larger one, where some member can be of a size near enough.
+    meet = asked.join(union, "token").filter("members < others or (members = others and grp < other)").filter(f"100 * n >= {THRESHOLD} * low and 100 * high >= {THRESHOLD} * n")
+    needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100))
+    queries = meet.groupBy("cid", "n", "other").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= needed)
+    queries = materialize(queries.select(F.col("other").alias("grp"), "cid"), "queries")
+    members = sized_join(rows.select("grp", "cid", "n"), queries.select("grp").distinct(), "grp")
+    return opened(queries, members, classes, docs, width)
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id."""
-    return rooted_copies(docs, width).drop("root")
+    return rooted_copies(docs, width).drop("root", "text_hash")
 
 
 def rooted_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``near_copies`` with the root of their component, null without shingles."""
+    """The rows of ``near_copies`` with the root of their component, null without shingles, and a hash of the text."""
     spark = docs.sparkSession
     text_batches(spark)
-    signed = materialize(signatures(docs, width), "signatures")
-    classes = materialize(signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("id").alias("id"), F.any_value("least").alias("least")), "classes")
-    links = star_links(classes, docs, width)
-    grouped = components(links)
-    rows = materialize(prefixes(docs, frequent_tokens(signed), width), "prefixes")
-    rows = sized_join(rows, grouped.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("grp"), "n", "prefix")
-    more = verified(matrix_pairs(rows), classes, docs, width)
-    linked = components(links.unionByName(more))
-    rooted = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("root", "cid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("cid", "component_id", "root")
-    return signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid").join(named, "cid", "left").select("doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    with scratch(spark):
+        signed = materialize(signatures(docs, frequent_tokens(docs, width), width), "signatures")
+        classes = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("least").alias("least"), F.any_value("prefix").alias("prefix"))
+        classes = materialize(classes, "classes")
+        signed = materialize(signed.drop("least", "prefix"), "rows")
+        with scratch(spark):
+            links = materialize(star_links(classes, docs, width), "stars", outlive=True)
+        grouped = components(links)
+        rows = materialize(classes.join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("root", "cid").alias("grp"), "n", "prefix"), "groups")
+        with scratch(spark):
+            more = materialize(matrix_links(rows, classes, docs, width), "matrix", outlive=True)
+        # Components of the groups, by the links between them.
+        group = lambda c: rows.select(F.col("cid").alias(c), F.col("grp").alias(f"{c}_grp"))
+        joined = components(more.join(group("a"), "a").join(group("b"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b")))
+        rooted = rows.select("cid", "least_id", "grp").join(joined.withColumnRenamed("node", "grp"), "grp", "left").select("cid", "least_id", F.coalesce("root", "grp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        named = rooted.join(least, "root").select("cid", "component_id", "root")
+        out = signed.join(named, "cid", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+        return materialize(out, "copies", outlive=True)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return near_copies(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
-def class_of(text: pa.Array) -> pa.Array:
-    """The class of each text, null without shingles."""
-    out = []
-    for batch in pieces([pa.record_batch([text], ["text"])], "text"):
-        value, cut = shingle_sets(Tokens(RULE, batch.column("text")), WIDTH)
-        out.append(pa.array(_set_hash(value, cut).view(np.int64), mask=np.diff(cut) == 0))
-    return pa.concat_arrays(out) if out else pa.array([], pa.int64())
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every component: that with the least id (null last), then the least class; of equal ones, any one.
+    """One row of every component: that with the least id (null last), then the least hash of the text; of equal ones, any one.
 
-    Texts without shingles are components of their own; of those with one id, one stays, and all those without id.
+    Texts without shingles are components of their own; of equal rows with an id one stays, and all rows without id.
     """
-    found = materialize(rooted_copies(docs.select("doc_id", "text")).select("doc_id", "class_id", "root"), "rooted")
-    linked = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class_id")).alias("k")).select("k.doc_id", "k.class_id")
-    alone = found.filter("root is null").select("doc_id", "class_id").distinct()
-    # Ids and classes of the rows that stay, and whether other rows have the same.
-    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kept_id")
-    class_ = lambda c: [F.coalesce(c, F.lit(0)).alias("kept_class"), c.isNull().alias("blank")]
-    key = ["kept_id", "kept_class", "blank"]
-    times = found.groupBy(id_of, *class_(F.col("class_id"))).agg((F.count("*") > 1).alias("repeated"))
-    kept = materialize(linked.unionByName(alone).select(id_of, *class_(F.col("class_id"))).join(times, key), "kept")
-    keyed = docs.select(F.struct("*").alias("row"), id_of, F.arrow_udf("long")(class_of)(F.col("text").cast("binary")).alias("class")).select("row", "kept_id", *class_(F.col("class")))
+    found = rooted_copies(docs.select("doc_id", "text"))
+    key = ["kept_id", "kept_hash"]
+    linked = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash", F.lit(False).alias("blank"))
+    alone = found.filter("root is null").select("doc_id", "text_hash", F.lit(True).alias("blank")).distinct()
+    times = found.groupBy(_id().alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg((F.count("*") > 1).alias("repeated"))
+    kept = linked.unionByName(alone).select(_id().alias("kept_id"), F.col("text_hash").alias("kept_hash"), "blank").join(times, key)
+    kept = materialize(kept.select(*key, (F.col("repeated") & ~(F.col("blank") & (F.col("kept_id") == NO_ID))).alias("many")), "kept")
+    keyed = docs.select(F.struct("*").alias("row"), _id().alias("kept_id"), F.xxhash64("text").alias("kept_hash"))
     joined = sized_join(keyed, kept, key)
-    many = F.col("repeated") & ~(F.col("blank") & F.col("row.doc_id").isNull())
-    once = joined.filter(many).groupBy(*key).agg(F.any_value("row").alias("row"))
-    return joined.filter(~many).select("row.*").unionByName(once.select("row.*"))
+    once = joined.filter("many").groupBy(*key).agg(F.any_value("row").alias("row"))
+    return joined.filter("not many").select("row.*").unionByName(once.select("row.*"))
 
 
 ORACLE_SQL = """
