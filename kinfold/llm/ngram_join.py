@@ -1,16 +1,17 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
 1. Every text becomes its set of shingle hashes. Texts with equal sets are one class, known by a hash of the set.
-2. Classes are partitioned into groups of similar ones: the hash space is cut into parts, classes that share the least
-   shingle of a part follow the most central class among them (its least shingles are the most common), and those that
-   follow one leader by ``ALIKE`` parts are compared with it; what no leader reaches tries the leaders of the rest, a few
-   times. Verified links make the groups.
+2. Classes are partitioned into groups of similar ones: the hash space is cut into parts, and of the classes that share
+   the least shingle of a part the most central one leads (its least shingles are the most common). A class belongs to the
+   leader that it shares most parts with, ``ALIKE`` at least, and is compared with it; verified links make the first roots.
 3. The matrix. All sets stand in one order of tokens, and two sets that reach the threshold share ``SHARED`` tokens of
-   their prefixes. The cells of the matrix are the prefix tokens that two groups or more hold; a query and a group meet
-   where they share enough cells. There the group's members lie in a task as the union of all their tokens, a chunk at a
-   time: a query of n tokens opens the chunk if the union holds ceil(0.75 n) of them, the least that any partner must
-   share, and only then members are counted, all shingles of both. Of two groups the larger one is stored and the smaller
-   one asks. Pairs inside one group are connected already and need no comparison.
+   their prefixes. The cells of the matrix are the prefix tokens that a group holds; tokens that no other root holds bound
+   what a class can share, and most classes end here. A query and a group meet where they share enough cells under
+   different roots and their bounds allow 3/7 of both sizes. There the group's members lie in a task as the union of all
+   their tokens, a chunk at a time: a query of n tokens opens the chunk if the union holds ceil(0.75 n) of them, the least
+   that any partner must share, and only then members are counted, all shingles of both. Of two groups the larger one is
+   stored and the smaller one asks; within a group those ask that the leader's root does not hold. A chunk tells a link
+   only if its own links do not connect the two already, so that no group emits its pairs.
 4. Components of all links give the classes of near copies.
 
 Frequent tokens stand last in the order, so that prefixes hold rare ones; any order gives the same links, hence the
@@ -44,8 +45,6 @@ SHARED = 3
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 500_000
 #: Parts of the hash space with a least shingle each, as a power of two; parts by which a class follows a leader.
 PARTS_BITS, ALIKE = 4, 4
-#: Rounds of comparing classes with leaders.
-STAR_ROUNDS = 3
 #: Shingles of a group's members that lie in a task at once.
 CHUNK = 1 << 20
 #: Tokens of several groups that are broadcast, 8 bytes each; more of them are joined.
@@ -127,24 +126,24 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> Dat
 
 
 def opened(queries: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """a, b: for each query one member, if any, that it links with in each chunk of its group.
+    """a, b: links of queries with members of their groups, as many as connect the roots that they connect.
 
-    queries: grp, cid; members: grp, cid, n of the same groups. A group's members are cut into chunks of about CHUNK
-    shingles, and a query meets every chunk.
+    queries: grp, cid, root; members: grp, cid, root, n of the same groups. A group's members are cut into chunks of about
+    CHUNK shingles, and a query meets every chunk.
     """
     parts = members.groupBy("grp").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts"))
-    stored = members.join(parts, "grp").select("grp", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "cid")
-    asked = queries.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "cid")
+    stored = members.join(parts, "grp").select("grp", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "cid", "root")
+    asked = queries.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "cid", "root")
     roles = materialize(stored.unionByName(asked).join(classes.select("cid", "id"), "cid"), "roles")
     texts = sized_join(docs.select(_id().alias("id"), F.col("text").cast("binary").alias("text")), roles, "id", most=MOST_ROLES)
-    ordered = texts.select("grp", "part", "role", "cid", "text").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "cid")
+    ordered = texts.select("grp", "part", "role", "cid", "root", "text").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "cid")
 
     def compare(batches):
         at, sets, union = None, {}, None
         for batch in pieces(batches, "text"):
             value, cut = shingle_sets(Tokens(RULE, batch.column("text")), width)
             cid = _set_hash(value, cut).view(np.int64)
-            grp, part, role, want = (batch.column(c).to_numpy() for c in ("grp", "part", "role", "cid"))
+            grp, part, role, want, root = (batch.column(c).to_numpy() for c in ("grp", "part", "role", "cid", "root"))
             hits = []
             # Rows of one id with different texts: only that of the class counts.
             for i in np.flatnonzero(cid == want):
@@ -152,13 +151,11 @@ def opened(queries: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
                     at, sets, union = (grp[i], part[i]), {}, None
                 mine = value[cut[i] : cut[i + 1]]
                 if role[i] == 0:
-                    sets[int(want[i])] = mine.copy()
+                    sets[int(want[i])] = (int(root[i]), mine.copy())
                     continue
                 if union is None:
                     union = _Union(sets)
-                found = union.partner(mine, int(want[i]))
-                if found is not None:
-                    hits.append((int(want[i]), found))
+                hits += [(int(want[i]), m) for m in union.partners(mine, int(root[i]))]
             yield pa.record_batch([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return ordered.mapInArrow(compare, "a long, b long")
@@ -167,86 +164,108 @@ def opened(queries: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
 class _Union:
     """The token union of a chunk of members, with the members of each token."""
 
-    def __init__(self, sets: dict[int, np.ndarray]):
+    def __init__(self, sets: dict[int, tuple[int, np.ndarray]]):
         self.ids = np.array(list(sets), np.int64)
-        self.size = np.array([len(x) for x in sets.values()], np.int64)
-        tokens = np.concatenate(list(sets.values())) if sets else np.zeros(0, U)
+        self.root = np.array([r for r, _ in sets.values()], np.int64)
+        self.size = np.array([len(x) for _, x in sets.values()], np.int64)
+        tokens = np.concatenate([x for _, x in sets.values()]) if sets else np.zeros(0, U)
         order = np.argsort(tokens, kind="stable")
         self.owner = np.repeat(np.arange(len(self.ids)), self.size)[order]
         self.token, first = np.unique(tokens[order], return_index=True)
         self.cut = np.append(first, len(tokens))
+        self.joined: dict[int, int] = {}
 
-    def partner(self, mine: np.ndarray, own: int) -> int | None:
-        """A member other than ``own`` that reaches the threshold."""
+    def find(self, root: int) -> int:
+        while (up := self.joined.get(root, root)) != root:
+            self.joined[root] = self.joined.get(up, up)
+            root = up
+        return root
+
+    def partners(self, mine: np.ndarray, root: int) -> list[int]:
+        """Members that reach the threshold and that no link told before connects with ``root``."""
         if not len(self.token):
-            return None
+            return []
         at = np.minimum(np.searchsorted(self.token, mine), len(self.token) - 1)
         at = at[self.token[at] == mine]
         if len(at) < _needed(len(mine)):
-            return None
+            return []
         n = self.cut[at + 1] - self.cut[at]
         new = np.cumsum(n) - n
         same = np.bincount(self.owner[np.repeat(self.cut[at] - new, n) + np.arange(n.sum())], minlength=len(self.ids))
-        fine = (100 * same >= THRESHOLD * (len(mine) + self.size - same)) & (self.ids != own)
-        return int(self.ids[np.argmax(fine)]) if fine.any() else None
+        out = []
+        for k in np.flatnonzero((100 * same >= THRESHOLD * (len(mine) + self.size - same)) & (self.root != root)):
+            x, y = self.find(root), self.find(int(self.root[k]))
+            if x != y:
+                self.joined[x] = y
+                out.append(int(self.ids[k]))
+        return out
 
 
-def star_links(classes: DataFrame, docs: DataFrame, width: int = WIDTH, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """Verified links (a, b) of classes to leaders that share least shingles with them."""
+def groups(classes: DataFrame) -> DataFrame:
+    """cid, grp: the leader that each class belongs to; a class without one leads itself."""
     tokens = classes.select("cid", F.size("least").alias("parts"), F.explode("least").alias("token"))
     sizes = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
     central = tokens.join(sizes, "token").groupBy("cid", "parts").agg(F.sum("k").alias("centre"), F.collect_list("token").alias("shared"))
-    open_ = materialize(central, "open")
-    links = None
-    for i in range(rounds):
-        spread = open_.select("cid", "parts", "centre", F.explode("shared").alias("token"))
-        lead = spread.groupBy("token").agg(F.max(F.struct("centre", "cid")).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("lead.cid").alias("lead"))
-        led = spread.join(lead, "token").filter("cid <> lead").groupBy("cid", "lead", "parts").agg(F.count("*").alias("alike")).filter(F.col("alike") >= F.least(F.lit(ALIKE), "parts"))
-        led = materialize(led.select("cid", F.col("lead").alias("grp")), "led")
-        leaders = led.select("grp").distinct()
-        stored = leaders.select("grp", F.col("grp").alias("cid")).join(classes.select("cid", "n"), "cid")
-        found = materialize(opened(led, stored, classes, docs, width), "links")
-        links = found if links is None else links.unionByName(found)
-        if i < rounds - 1:
-            # What follows no leader yet tries those of the rest.
-            done = found.select(F.col("a").alias("cid")).unionByName(leaders.select(F.col("grp").alias("cid"))).distinct()
-            open_ = materialize(open_.join(done, "cid", "left_anti"), "open")
-            if not found.limit(1).count():
-                break
-    return links
+    spread = materialize(central, "central").select("cid", "parts", "centre", F.explode("shared").alias("token"))
+    lead = spread.groupBy("token").agg(F.max(F.struct("centre", "cid")).alias("lead")).select("token", F.col("lead.cid").alias("lead"))
+    led = spread.join(lead, "token").groupBy("cid", "lead", "parts").agg(F.count("*").alias("alike")).filter(F.col("alike") >= F.least(F.lit(ALIKE), "parts"))
+    best = led.groupBy("cid").agg(F.max(F.struct("alike", "lead")).alias("best")).select("cid", F.col("best.lead").alias("lead"))
+    return classes.select("cid", "n").join(best, "cid", "left").select("cid", "n", F.coalesce("lead", "cid").alias("grp"))
+
+
+def star_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Verified links (a, b) of classes to their leaders; ``placed``: cid, grp, n."""
+    led = placed.filter("cid <> grp").select("grp", "cid", F.col("cid").alias("root"))
+    leaders = led.select(F.col("grp").alias("cid")).distinct().join(placed.select("cid", "n"), "cid")
+    return opened(led, leaders.select(F.col("cid").alias("grp"), "cid", F.col("cid").alias("root"), "n"), classes, docs, width)
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """The matrix: token, cid, grp, n for prefix tokens that several groups hold; ``rows``: cid, grp, n, prefix."""
-    posted = rows.select("grp", F.explode("prefix").alias("token"))
-    several = materialize(posted.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token"), "several")
+    """cid, grp, root, n, bound, tokens: the prefix tokens that other roots hold too; ``rows``: cid, grp, root, n, prefix.
+
+    bound: n less the prefix tokens that no other root holds, the most that a partner can share. Classes whose bound is
+    below what any partner needs are left out.
+    """
+    posted = rows.select("root", F.explode("prefix").alias("token"))
+    several = materialize(posted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token"), "several")
     if several.limit(MOST_CELLS + 1).count() > MOST_CELLS:
-        return rows.select("cid", "grp", "n", F.explode("prefix").alias("token")).join(several, "token")
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(several.toArrow()["token"].to_numpy()))
-
-    @F.arrow_udf("array<long>")
-    def held(prefix: pa.Array) -> pa.Array:
-        value = prefix.flatten().to_numpy()
-        keep = _held(shared.value, value)
-        count = np.concatenate([[0], np.cumsum(keep)])
-        return lists(value[keep], count[np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy())])])
-
-    return rows.select("cid", "grp", "n", F.explode(held("prefix")).alias("token"))
-
-
-def matrix_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Links (a, b) between groups; ``rows``: cid, grp, n, prefix."""
-    matrix = materialize(cells(rows).select("token", "cid", "grp", "n"), "cells")
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    sizes = materialize(sizes.join(matrix.select("grp").distinct(), "grp", "left_semi"), "sizes")
-    asked = matrix.join(sizes.select("grp", "members"), "grp").select("token", "cid", "n", "grp", "members")
-    union = matrix.select("token", "grp").distinct().join(sizes, "grp").select("token", F.col("grp").alias("other"), F.col("members").alias("others"), "low", "high")
-    # The smaller group asks the larger one, where some member can be of a size near enough.
-    meet = asked.join(union, "token").filter("members < others or (members = others and grp < other)").filter(f"100 * n >= {THRESHOLD} * low and 100 * high >= {THRESHOLD} * n")
+        found = rows.select("cid", F.explode("prefix").alias("token")).join(several, "token").groupBy("cid").agg(F.collect_list("token").alias("tokens"))
+        held_rows = rows.join(found, "cid")
+    else:
+        shared = rows.sparkSession.sparkContext.broadcast(np.sort(several.toArrow()["token"].to_numpy()))
+
+        @F.arrow_udf("array<long>")
+        def held(prefix: pa.Array) -> pa.Array:
+            value = prefix.flatten().to_numpy()
+            keep = _held(shared.value, value)
+            count = np.concatenate([[0], np.cumsum(keep)])
+            return lists(value[keep], count[np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy())])])
+
+        held_rows = rows.withColumn("tokens", held("prefix"))
+    bound = F.col("n") - F.size("prefix") + F.size("tokens")
+    fits = (100 * F.col("bound") >= THRESHOLD * F.col("n")) & (F.size("tokens") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100)))
+    return held_rows.select("cid", "grp", "root", "n", bound.alias("bound"), "tokens").filter(fits)
+
+
+def matrix_links(rows: DataFrame, mains: DataFrame, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Links (a, b) between roots; ``rows``: cid, grp, root, n, prefix; ``mains``: grp, main, the leader's root."""
+    held = materialize(cells(rows), "cells")
+    sizes = held.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("bound").alias("most"))
+    sizes = materialize(sizes.join(mains, "grp"), "sizes")
+    posted = held.select("cid", "grp", "root", "n", "bound", F.explode("tokens").alias("token"))
+    # Two sets of n and m tokens link if they share 3/7 (n + m); the smallest holder of a token tells who may at all.
+    enough = lambda bound, n: (100 + THRESHOLD) * bound >= THRESHOLD * n
+    holders = posted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min("n").alias("smallest")).filter("first <> last").select("token", "smallest")
+    posted = materialize(posted.join(holders, "token").filter(enough(F.col("bound"), F.col("n") + F.col("smallest"))).select("token", "cid", "grp", "root", "n", "bound"), "matrix")
+    asked = posted.join(sizes.select("grp", "members", "main"), "grp")
+    union = posted.groupBy("token", "grp").agg(F.min("root").alias("first"), F.max("root").alias("last")).join(sizes, "grp").select("token", F.col("grp").alias("other"), F.col("members").alias("others"), "first", "last", "low", "high", "most")
+    asks = F.when(F.col("grp") == F.col("other"), F.col("root") != F.col("main")).otherwise((F.col("members") < F.col("others")) | ((F.col("members") == F.col("others")) & (F.col("grp") < F.col("other"))))
+    near = enough(F.least("bound", "most"), F.col("n") + F.col("low")) & (THRESHOLD * F.col("n") <= 100 * F.col("high"))
+    meet = asked.join(union, "token").filter(asks & near & ((F.col("first") != F.col("root")) | (F.col("last") != F.col("root"))))
     needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100))
-    queries = meet.groupBy("cid", "n", "other").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= needed)
-    queries = materialize(queries.select(F.col("other").alias("grp"), "cid"), "queries")
-    members = sized_join(rows.select("grp", "cid", "n"), queries.select("grp").distinct(), "grp")
+    queries = meet.groupBy("cid", "root", "n", "other").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= needed)
+    queries = materialize(queries.select(F.col("other").alias("grp"), "cid", "root"), "queries")
+    members = held.select("grp", "cid", "root", "n").join(queries.select("grp").distinct(), "grp", "left_semi")
     return opened(queries, members, classes, docs, width)
 
 
@@ -265,15 +284,20 @@ def rooted_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         classes = materialize(classes, "classes")
         signed = materialize(signed.drop("least", "prefix"), "rows")
         with scratch(spark):
-            links = materialize(star_links(classes, docs, width), "stars", outlive=True)
-        grouped = components(links)
-        rows = materialize(classes.join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("root", "cid").alias("grp"), "n", "prefix"), "groups")
+            placed = materialize(groups(classes), "placed", outlive=True)
+        with scratch(spark):
+            links = materialize(star_links(placed, classes, docs, width), "stars", outlive=True)
+        rooted = components(links)
+        of = lambda c, name: rooted.select(F.col("node").alias(c), F.col("root").alias(name))
+        rows = placed.join(of("cid", "found"), "cid", "left").withColumn("root", F.coalesce("found", "cid")).drop("found")
+        rows = materialize(rows.join(classes.select("cid", "least_id", "prefix"), "cid"), "groups")
+        mains = placed.select("grp").distinct().join(of("grp", "found"), "grp", "left").select("grp", F.coalesce("found", "grp").alias("main"))
         with scratch(spark):
-            more = materialize(matrix_links(rows, classes, docs, width), "matrix", outlive=True)
-        # Components of the groups, by the links between them.
-        group = lambda c: rows.select(F.col("cid").alias(c), F.col("grp").alias(f"{c}_grp"))
-        joined = components(more.join(group("a"), "a").join(group("b"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b")))
-        rooted = rows.select("cid", "least_id", "grp").join(joined.withColumnRenamed("node", "grp"), "grp", "left").select("cid", "least_id", F.coalesce("root", "grp").alias("root"))
+            more = materialize(matrix_links(rows, mains, classes, docs, width), "matrix", outlive=True)
+        # Components of the roots, by the links between them.
+        root = lambda c: rows.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
+        joined = components(more.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        rooted = rows.select("cid", "least_id", F.col("root").alias("node")).join(joined, "node", "left").select("cid", "least_id", F.coalesce("root", "node").alias("root"))
         least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
         named = rooted.join(least, "root").select("cid", "component_id", "root")
         out = signed.join(named, "cid", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")

@@ -118,7 +118,7 @@ def test_ngram_join_is_exact(spark, seed):
 
 def test_ngram_join_matrix_alone_is_exact(spark, monkeypatch):
     """Without the first round of stars, the matrix must find every link by itself; few tokens are frequent."""
-    monkeypatch.setattr(ngram_join, "star_links", lambda c, *_: c.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0))
+    monkeypatch.setattr(ngram_join, "star_links", lambda placed, *_: placed.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0))
     monkeypatch.setattr(ngram_join, "FREQUENT", 1)
     docs = docs_of(spark, near_copy_texts(5))
     got = sorted([tuple(r) for r in ngram_join.digest(docs).collect()], key=repr)
