@@ -2,12 +2,13 @@
 
 P(word | before) = P(class of word | class of before) * P(word | its class). Counts of words and of pairs of neighbours
 cover all training texts; every word seen ``MIN_COUNT`` times or more is assigned to one of ``CLASSES`` classes by the
-exchange algorithm, in turns. First the ``CLUSTERED`` most frequent words move one after the other, as often as it pays, on
-the counts of pairs between them and the classes of all others, which are of bounded size. Then a Spark job joins the pairs
-with the present classes into the counts of classes beside each other word, and a drawn part of these words takes its best
-classes under the broadcast class counts (all of them the first time); the turn counts only if the likelihood rises, else
-the part becomes smaller. It ends when a turn, carried on to all words, gains less than ``TOLERANCE`` a token. Rarer words have a class by their form (length, letters beyond ASCII, signs), which stands for
-unseen words, and the end of a text is a class of its own, which also stands before each text.
+exchange algorithm. The texts are written once as numbers of words. First the ``HEADS`` most frequent words move one after
+the other, as often as it pays. Then, in turns, a pass counts the classes beside each word of a drawn part of all words;
+these take their best classes under the broadcast class counts (all words without a class the first time), and the turn
+counts only if the likelihood rises, else the part becomes smaller. It ends when a turn, carried on to all words, gains less
+than ``TOLERANCE`` nats a token. Words beyond the ``BROADCAST`` most frequent ones take their best class once, at the end.
+Rarer words have a class by their form (length, letters beyond ASCII, signs), which stands for unseen words, and the end of
+a text is a class of its own, which also stands before each text.
 
 The scores need the count and the class of every token. Those of the ``BROADCAST`` most frequent words are broadcast; the
 other words of a text meet theirs in a shuffled join.
@@ -26,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import crc_mod, small, text_batches
+from kinfold.llm.common import crc_mod, text_batches
 from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces
-from kinfold.session import materialize
+from kinfold.session import materialize, scratch
 
 FOLDS, HELD_OUT = 7, 2
-CLUSTERED, CLASSES = 2048, 64
+HEADS, CLASSES = 512, 64
 #: Training occurrences from which a word has a class of the exchange; the gain a token (nats) below which it ends.
 MIN_COUNT, TOLERANCE = 2, 0.01
-#: Cells of context that are weighed at once.
-CELLS = 1 << 13
+#: Cells of context that are weighed at once; words whose contexts lie in a task at once.
+CELLS, BUCKET = 1 << 13, 4096
 #: Words whose counts are broadcast: 16 bytes each.
 BROADCAST = 1 << 20
 #: Forms of words below MIN_COUNT.
@@ -180,53 +181,20 @@ def settle(pairs: np.ndarray, of: np.ndarray, least: float) -> tuple[np.ndarray,
     return label[: len(of)], classes
 
 
-#: Stand for the words of a fixed class in pairs: this number plus the class.
-FIXED = -(2**63) + 1024
+def context_counts(flat: np.ndarray, cut: np.ndarray, label: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word, near, n of the drawn words of a batch of codes: classes behind (near), before (TOTAL + near), and itself behind (2 TOTAL)."""
+    before = np.roll(flat, 1)
+    before[cut[:-1]] = len(label) - 1
+    wide = drawn[before], drawn[flat]
+    twice = flat[wide[1] & (before == flat)]
+    key = np.concatenate([before[wide[0]].astype(np.int64) * CONTEXT + label[flat[wide[0]]], flat[wide[1]].astype(np.int64) * CONTEXT + TOTAL + label[before[wide[1]]], twice.astype(np.int64) * CONTEXT + 2 * TOTAL])
+    key, n = np.unique(key, return_counts=True)
+    return key // CONTEXT, key % CONTEXT, n
 
 
-def word_pairs(texts: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """before, after, n of all neighbours in ``texts``; words below MIN_COUNT and the end by their fixed class."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    deep = model.deep
-
-    def count(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def fold():
-            before, after, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-            _, first, back = np.unique(mix(before.view(U)) + after.view(U), return_index=True, return_inverse=True)
-            held[:] = [(before[first], after[first], np.bincount(back, n, len(first)).astype(np.int64))]
-
-        def out():
-            fold()
-            return pa.record_batch([pa.array(x) for x in held.pop()], ["before", "after", "n"])
-
-        for batch in pieces(batches, "text"):
-            tokens = Tokens(RULE, batch.column("text"))
-            form = forms(tokens)
-            n, found = shared.value.counted(tokens)
-            word = np.where(found & (n >= MIN_COUNT) | deep & ~found, tokens.hash.view(np.int64), FIXED + CLASSES + 1 + form.astype(np.int64))
-            after = np.insert(word, np.cumsum(tokens.count), FIXED + CLASSES)
-            held.append((np.concatenate([[FIXED + CLASSES], after[:-1]]), after, np.ones(len(after), np.int64)))
-            size += len(after)
-            if size > FLUSH:
-                fold()
-                size = len(held[0][0])
-                if size > FLUSH // 2:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
-
-    pairs = texts.mapInArrow(count, "before long, after long, n long")
-    if deep:
-        # Words that are not broadcast may be below MIN_COUNT.
-        rare = counts.filter(F.col("n") < MIN_COUNT)
-        for side in ("before", "after"):
-            fixed = rare.select(F.col("word").alias(side), (F.lit(FIXED + CLASSES + 1) + F.col("form")).alias("fixed"))
-            pairs = pairs.join(fixed, side, "left").withColumn(side, F.coalesce("fixed", side)).drop("fixed")
-    return pairs.groupBy("before", "after").agg(F.sum("n").alias("n"))
+CONTEXT = 2 * TOTAL + 1
+#: Counts of a cell that are looked up instead of computed.
+LOOKED_UP = 16
 
 
 def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,18 +206,28 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself:
     free = own < CLASSES
     gain = np.zeros((len(own), CLASSES))
     for counts, others, n in ((after, before, classes[:CLASSES].T), (before, after, classes[:, :CLASSES])):
+        table = _xlogx(n[None] + np.arange(LOOKED_UP + 1)[:, None, None]) - _xlogx(n)[None]
         w, c = np.nonzero(counts)
         for i in range(0, len(w), CELLS):
             v, d = w[i : i + CELLS], c[i : i + CELLS]
-            base, add = n[d].copy(), counts[v, d]
-            at = np.flatnonzero(free[v])
-            base[at, own[v[at]]] -= add[at]
-            at = np.flatnonzero(own[v] == d)
-            base[at] -= others[v[at], :CLASSES]
-            at = at[free[v[at]]]
-            base[at, own[v[at]]] -= itself[v[at]]
+            add = counts[v, d]
+            plain = (add <= LOOKED_UP) & (own[v] != d)
+            delta = table[np.minimum(add, LOOKED_UP).astype(np.int64), d]
+            at = np.flatnonzero(plain & free[v])
+            stay = n[d[at], own[v[at]]]
+            delta[at, own[v[at]]] = _xlogx(stay) - _xlogx(stay - add[at])
+            at = np.flatnonzero(~plain)
+            if len(at):
+                base, u = n[d[at]].copy(), v[at]
+                f = np.flatnonzero(free[u])
+                base[f, own[u[f]]] -= add[at[f]]
+                f = np.flatnonzero(own[u] == d[at])
+                base[f] -= others[u[f], :CLASSES]
+                f = f[free[u[f]]]
+                base[f, own[u[f]]] -= itself[u[f]]
+                delta[at] = _xlogx(base + add[at, None]) - _xlogx(base)
             start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            gain[v[start]] += np.add.reduceat(_xlogx(base + add[:, None]) - _xlogx(base), start, axis=0)
+            gain[v[start]] += np.add.reduceat(delta, start, axis=0)
     rows, columns, both = (np.tile(x[:CLASSES], (len(own), 1)) for x in (classes.sum(1), classes.sum(0), np.diagonal(classes)))
     out, into, itself_ = after.sum(1) + itself, before.sum(1) + itself, itself[:, None]
     f, o = each[free], own[free]
@@ -265,85 +243,215 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself:
     return best, won
 
 
-def exchange(pairs: DataFrame, heads: pa.Table, others: DataFrame, tokens: int) -> tuple[DataFrame, np.ndarray]:
-    """The classes (word, label) of all words, and the class bigram counts.
+def chosen(word: np.ndarray, cells: np.ndarray, own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that gain by moving and their new classes; ``cells``: a row of CONTEXT counts each."""
+    after, before, itself = cells[:, :TOTAL].astype(float), cells[:, TOTAL : 2 * TOTAL].astype(float), cells[:, 2 * TOTAL].astype(float)
+    each = np.arange(len(word))
+    after[each, own] -= itself
+    before[each, own] -= itself
+    seen = cells.any(1)
+    best, gain = best_classes(own[seen], after[seen], before[seen], itself[seen], classes)
+    go = gain > 1e-9
+    return word[seen][go], best[go]
+
+
+class Codes:
+    """The training texts as numbers of words, and passes over them.
 
-    heads: the most frequent words, first ones first; others: word and label (a fixed one) of the other ones.
+    codes: one array for each text, ending with the end of the text. The words known by number are ``word``; behind them
+    come the forms of the other words, then the end.
     """
-    spark = pairs.sparkSession
-    fixed = spark.range(CLASSES, TOTAL).select((F.col("id") + FIXED).alias("word"), F.col("id").cast("int").alias("label"))
-    few = small(others)
-    size = heads.num_rows
-    ids = heads["word"].to_numpy()
-
-    def labelled(table_: DataFrame, words: DataFrame, side: str) -> DataFrame:
-        label = words.unionByName(fixed).select(F.col("word").alias(side), F.col("label").alias(f"{side}_label"))
-        return table_.join(F.broadcast(label) if few else label, side)
-
-    def with_heads(others: DataFrame, label: np.ndarray) -> DataFrame:
-        return others.unionByName(spark.createDataFrame(pa.table({"word": ids, "label": label.astype(np.int32)})))
-
-    def collapsed(others: DataFrame) -> np.ndarray:
-        """Counts of pairs of heads and the classes of all others; heads are known by numbers from TOTAL on."""
-        words = with_heads(others, TOTAL + np.arange(size))
-        got = labelled(labelled(pairs, words, "before"), words, "after").groupBy("before_label", "after_label").agg(F.sum("n").alias("n")).toArrow()
-        at = [(x.to_numpy() - TOTAL) % (size + TOTAL) for x in (got["before_label"], got["after_label"])]
-        seen = np.zeros((size + TOTAL, size + TOTAL))
-        seen[at[0], at[1]] = got["n"].to_numpy()
-        return seen
-
-    def moved(others: DataFrame, of: np.ndarray, classes: np.ndarray, mine) -> DataFrame:
-        """``others`` after those that ``mine`` tells have taken their best class."""
-        shared = spark.sparkContext.broadcast(classes)
-        words = with_heads(others, of)
-        heads_ = F.broadcast(spark.createDataFrame(pa.table({"word": ids})))
-        known = lambda side: (F.col(side) >= FIXED + TOTAL) | (F.col(side) < FIXED)
-        beside = lambda side, other, k: labelled(pairs.filter(known(side) & mine(F.col(side))), words, other).select(F.col(side).alias("word"), F.lit(k).alias("side"), F.col(f"{other}_label").alias("near"), "n")
-        twice = pairs.filter((F.col("before") == F.col("after")) & known("before") & mine(F.col("before"))).select(F.col("before").alias("word"), F.lit(2).alias("side"), F.lit(0).alias("near"), "n")
-        contexts = beside("before", "after", 0).unionByName(beside("after", "before", 1)).unionByName(twice).join(heads_, "word", "left_anti").groupBy("word", "side", "near").agg(F.sum("n").alias("n"))
-        contexts = contexts.groupBy("word").agg(F.collect_list(F.struct("side", "near", "n")).alias("cells"))
+
+    def __init__(self, texts: DataFrame, model: Model, form: np.ndarray):
+        self.spark, self.size = texts.sparkSession, len(model.word)
+        self.fixed = np.concatenate([CLASSES + 1 + np.arange(FORMS), [CLASSES]])
+        shared = self.spark.sparkContext.broadcast(model)
+
+        def encode(batches):
+            m = shared.value
+            for batch in pieces(batches, "text"):
+                tokens = Tokens(RULE, batch.column("text"))
+                n, found = m.counted(tokens)
+                code = len(m.word) + forms(tokens).astype(np.int64)
+                own = found & (n >= MIN_COUNT)
+                code[own] = np.searchsorted(m.word, tokens.hash[own])
+                cut = np.cumsum(tokens.count)
+                code = np.insert(code, cut, len(m.word) + FORMS)
+                yield pa.record_batch([lists(code.astype(np.int32), np.concatenate([[0], cut + np.arange(1, len(cut) + 1)]))], ["codes"])
+
+        self.table = materialize(texts.mapInArrow(encode, "codes array<int>"), "codes")
+        # Words below MIN_COUNT are never met by number.
+        self.start = np.where(model.n >= MIN_COUNT, CLASSES + 1 + form.astype(np.int64), -1)
+
+    def labels(self, own: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.maximum(own, 0), self.fixed]).astype(np.int16)
+
+    def pairs(self, label: np.ndarray, kinds: int) -> np.ndarray:
+        """Counts of neighbours under ``label`` (below ``kinds``) over all texts."""
+        shared = self.spark.sparkContext.broadcast(label.astype(np.int16))
+
+        def count(batches):
+            key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for batch in batches:
+                flat, cut = _flat(batch.column("codes"))
+                now = shared.value[flat].astype(np.int64)
+                before = np.roll(now, 1)
+                before[cut[:-1]] = shared.value[-1]
+                new, k = np.unique(before * kinds + now, return_counts=True)
+                key, back = np.unique(np.concatenate([key, new]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([n, k]), len(key)).astype(np.int64)
+            yield pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
+
+        got = self.table.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(kinds * kinds)
+        out[got["key"].to_numpy()] = got["n"].to_numpy()
+        return out.reshape(kinds, kinds)
+
+    def moved(self, own: np.ndarray, classes: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """``own`` after each drawn word has taken its best class.
+
+        A task counts contexts and deals them to buckets of words; a bucket holds a dense table of its words' contexts,
+        which all tasks' counts are added to, whatever their number.
+        """
+        label, size = self.labels(own), self.size
+        buckets = max(1, -(-size // BUCKET))
+        shared = self.spark.sparkContext.broadcast((label, np.concatenate([drawn & (own >= 0), np.zeros(FORMS + 1, bool)]), classes))
+
+        def count(batches):
+            label, drawn, _ = shared.value
+            held, cells = [], 0
+
+            def out():
+                word, near, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+                key, back = np.unique((word % buckets) << 50 | (word // buckets) << 16 | near, return_inverse=True)
+                n = np.bincount(back, n, len(key)).astype(np.int64)
+                bucket = key >> 50
+                start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
+                cut = np.append(start, len(key))
+                held.clear()
+                return pa.record_batch([pa.array(bucket[start].astype(np.int32)), lists(((key >> 16) & ((1 << 34) - 1)).astype(np.int32), cut), lists((key & 0xFFFF).astype(np.int16), cut), lists(n.astype(np.int32), cut)], ["bucket", "word", "near", "n"])
+
+            for batch in batches:
+                flat, cut = _flat(batch.column("codes"))
+                held.append(context_counts(flat, cut, label, drawn))
+                cells += len(held[-1][0])
+                if cells > FLUSH:
+                    yield out()
+                    cells = 0
+            if held:
+                yield out()
 
         def move(batches):
+            label, _, classes = shared.value
+            at, table = None, None
+
+            def out():
+                word = np.arange(len(table)) * buckets + at
+                word, best = chosen(word, table, label[word].astype(np.int64), classes)
+                return pa.record_batch([pa.array(word.astype(np.int32)), pa.array(best.astype(np.int16))], ["word", "best"])
+
             for batch in batches:
-                cells = batch.column("cells")
-                flat = cells.flatten()
-                row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
-                side, near, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                after, before, itself = np.zeros((len(cells), TOTAL)), np.zeros((len(cells), TOTAL)), np.zeros(len(cells))
-                after[row[side == 0], near[side == 0]] = n[side == 0]
-                before[row[side == 1], near[side == 1]] = n[side == 1]
-                itself[row[side == 2]] = n[side == 2]
-                own = batch.column("label").to_numpy()
-                after[np.arange(len(own)), own] -= itself
-                before[np.arange(len(own)), own] -= itself
-                best, gain = best_classes(own, after, before, itself, shared.value)
-                go = gain > 1e-9
-                yield pa.record_batch([batch.column("word").filter(pa.array(go)), pa.array(best[go].astype(np.int32))], ["word", "best"])
-
-        found = others.join(contexts, "word").mapInArrow(move, "word long, best int")
-        return materialize(others.join(found, "word", "left").select("word", F.coalesce("best", "label").alias("label")), "labels")
-
-    least = TOLERANCE * tokens / 4
-    of, classes = settle(collapsed(others), np.arange(size) % CLASSES, least)
-    # Words without a class open in their best one.
-    if others.limit(1).count():
-        others = moved(others, of, classes, lambda c: F.lit(True))
-        of, classes = settle(collapsed(others), of, least)
+                for i in range(batch.num_rows):
+                    bucket = batch.column("bucket")[i].as_py()
+                    if bucket != at:
+                        if at is not None:
+                            yield out()
+                        at, table = bucket, np.zeros((len(range(bucket, size, buckets)), CONTEXT), np.int64)
+                    word, near, n = (batch.column(c)[i].values.to_numpy() for c in ("word", "near", "n"))
+                    # A task's cells are distinct.
+                    table[word, near] += n
+            if at is not None:
+                yield out()
+
+        dealt = self.table.mapInArrow(count, "bucket int, word array<int>, near array<short>, n array<int>").repartition("bucket").sortWithinPartitions("bucket")
+        got = dealt.mapInArrow(move, "word int, best short").toArrow()
+        after = own.copy()
+        after[got["word"].to_numpy()] = got["best"].to_numpy()
+        return after
+
+
+def _flat(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return codes.flatten().to_numpy(), np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy())])
+
+
+def exchange(codes: Codes, n: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word known by number (-1: seen too rarely), and the class bigram counts."""
+    own = codes.start.copy()
+    heads = np.lexsort((np.arange(len(n)), -n))[:HEADS]
+    heads = heads[own[heads] >= 0]
+    # The most frequent words settle first, one after the other, among the forms of all others.
+    of = own.copy()
+    of[heads] = TOTAL + np.arange(len(heads))
+    seen = codes.pairs(codes.labels(of), TOTAL + HEADS)
+    order = np.concatenate([TOTAL + np.arange(len(heads)), np.arange(TOTAL)])
+    own[heads], classes = settle(seen[np.ix_(order, order)], np.arange(len(heads)) % CLASSES, TOLERANCE * tokens / 4)
+    rest = own >= CLASSES
+    if rest.any():
+        # Words without a class open in their best one; then part after part moves.
+        own = codes.moved(own, classes, rest)
+        classes = codes.pairs(codes.labels(own), TOTAL)
         now, parts, turn, gain = likelihood(classes), 2, 0, np.inf
         while gain * parts >= TOLERANCE * tokens:
             turn += 1
-            tried = moved(others, of, classes, lambda c, turn=turn, parts=parts: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(parts)) == 0)
-            label, counted = settle(collapsed(tried), of, least)
+            tried = codes.moved(own, classes, mix(np.arange(len(own)).astype(U) + U(turn << 40)) % U(parts) == 0)
+            counted = codes.pairs(codes.labels(tried), TOTAL)
             gain = likelihood(counted) - now
             if gain < 0:
                 parts, gain = parts * 2, np.inf
             else:
-                others, of, classes, now = tried, label, counted, now + gain
-    return with_heads(others, of), classes
+                own, classes, now = tried, counted, now + gain
+    return own, classes
+
+
+def deep_labels(texts: DataFrame, counts: DataFrame, model: Model, classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """word, label of the words that are not broadcast and seen MIN_COUNT times or more: the best class beside the others.
+
+    Also the class bigram counts with these classes.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((model, classes))
+
+    def count(batches):
+        m, _ = shared.value
+        for batch in pieces(batches, "text"):
+            tokens = Tokens(RULE, batch.column("text"))
+            label, _, found = m.labels(tokens, forms(tokens))
+            cut = np.cumsum(tokens.count)
+            near, word = np.insert(label, cut, CLASSES), np.insert(np.where(found, U(0), tokens.hash), cut, U(0))
+            begin = np.concatenate([[0], cut + np.arange(1, len(cut) + 1)])[:-1]
+            before, last = np.roll(near, 1), np.roll(word, 1)
+            before[begin], last[begin] = CLASSES, 0
+            keep = (word != 0) | (last != 0)
+            yield pa.record_batch([pa.array(x[keep]) for x in (last.view(np.int64), word.view(np.int64), before.astype(np.int16), near.astype(np.int16))], ["before", "after", "before_near", "after_near"])
+
+    def move(batches):
+        for batch in batches:
+            cells = batch.column("cells")
+            row, flat = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), cells.flatten()
+            table = np.zeros((len(cells), CONTEXT), np.int64)
+            table[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+            word, best = chosen(batch.column("word").to_numpy(), table, batch.column("own").to_numpy().astype(np.int64), shared.value[1])
+            yield pa.record_batch([pa.array(word), pa.array(best.astype(np.int32))], ["word", "label"])
+
+    # Pairs of neighbours with such a word among them; 0 stands for the others.
+    pairs = texts.mapInArrow(count, "before long, after long, before_near short, after_near short")
+    pairs = materialize(pairs.groupBy("before", "after", "before_near", "after_near").agg(F.count("*").alias("n")), "pairs")
+    beside = lambda side, near: pairs.filter(F.col(side) != 0).select(F.col(side).alias("word"), near.cast("int").alias("near"), "n")
+    contexts = beside("before", F.col("after_near")).unionByName(beside("after", F.col("before_near") + TOTAL)).unionByName(pairs.filter("before = after").select(F.col("before").alias("word"), F.lit(2 * TOTAL).alias("near"), "n"))
+    own = counts.filter((F.col("n") < (model.least or 2**62)) & (F.col("n") >= MIN_COUNT)).select("word", (F.lit(CLASSES + 1) + F.col("form")).cast("int").alias("own"))
+    cells = contexts.groupBy("word", "near").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("near", "n")).alias("cells")).join(own, "word")
+    labels = materialize(cells.mapInArrow(move, "word long, label int"), "deep")
+    named = pairs
+    for side in ("before", "after"):
+        named = named.join(labels.select(F.col("word").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
+    out = classes.copy()
+    for b, a, sign in ((F.col("before_near"), F.col("after_near"), -1), (F.coalesce("before_label", "before_near"), F.coalesce("after_label", "after_near"), 1)):
+        for r in named.groupBy(b.cast("int").alias("b"), a.cast("int").alias("a")).agg(F.sum("n").alias("n")).collect():
+            out[r.b, r.a] += sign * r.n
+    return labels, out
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and all training words (word, form, n, label)."""
+    """The model, and the training words that are not broadcast (word, n, label)."""
     texts = docs.filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("text").cast("binary").alias("text"))
     counts = materialize(word_counts(texts), "words")
     ends = texts.count()
@@ -357,41 +465,43 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         if total > BROADCAST:
             break
         least = r.n
-    got = counts.filter(F.col("n") >= least).select("word", "form", "n").toArrow() if least is not None else None
-    word = got["word"].to_numpy().view(U) if got else np.zeros(0, U)
-    n = got["n"].to_numpy() if got else np.zeros(0, np.int64)
-    order = np.argsort(word)
-    model.word, model.n = word[order], n[order]
+    got = counts.filter(F.col("n") >= least).toArrow() if least is not None else None
+    model.word, form, model.n = (got[c].to_numpy() if got else np.zeros(0, np.int64) for c in ("word", "form", "n"))
+    del got
+    order = np.argsort(model.word.view(U))
+    model.word, form, model.n = model.word[order].view(U), form[order], model.n[order]
     model.least = least
     # Whether words that are not broadcast can have a class of the exchange.
     model.deep = least is None or least > MIN_COUNT
-    classed = counts.filter(F.col("n") >= MIN_COUNT)
-    heads = classed.orderBy(F.desc("n"), "word").limit(CLUSTERED).select("word").toArrow()
-    others = classed.join(F.broadcast(docs.sparkSession.createDataFrame(heads)), "word", "left_anti")
-    others = materialize(others.select("word", (F.lit(CLASSES + 1) + F.col("form")).cast("int").alias("label")), "labels")
-    labels, classes = exchange(materialize(word_pairs(texts, counts, model), "pairs"), heads, others, max(1, model.tokens))
-    counts = counts.join(labels, "word", "left").withColumn("label", F.coalesce("label", (F.lit(CLASSES + 1) + F.col("form")).cast("int")))
-    counts = materialize(counts, "words")
-    got = counts.filter(F.col("n") >= least).select("word", F.col("label").cast("short").alias("label")).toArrow() if least is not None else None
-    model.label = got["label"].to_numpy()[np.argsort(got["word"].to_numpy().view(U))] if got else np.zeros(0, np.int16)
+    with scratch(docs.sparkSession):
+        label, classes = exchange(Codes(texts, model, form), model.n, max(1, model.tokens))
+    model.label = np.where(label < 0, CLASSES + 1 + form.astype(np.int64), label).astype(np.int16)
+    rare = counts.filter(F.col("n") < least) if least is not None else counts
+    own = (F.lit(CLASSES + 1) + F.col("form")).cast("int")
+    if model.deep:
+        labels, classes = deep_labels(texts, counts, model, classes)
+        rare = rare.join(labels, "word", "left").select("word", "n", F.coalesce("label", own).alias("label"))
+        rare = materialize(rare, "rare")
+    else:
+        rare = rare.select("word", "n", own.alias("label"))
     after = classes.sum(0)
     share = (after + 1) / (after.sum() + TOTAL)
     model.transition = np.log10((classes + SMOOTHING * share) / (classes.sum(1, keepdims=True) + SMOOTHING))
     # Tokens and distinct words of each class.
-    size, kinds = np.zeros(TOTAL), np.zeros(TOTAL)
-    for r in counts.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+    size, kinds = np.bincount(model.label, model.n, TOTAL), np.bincount(model.label, minlength=TOTAL).astype(float)
+    for r in rare.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         size[r.label] += r.n
         kinds[r.label] += r.k
     model.spread = np.log10(size + kinds + 1)
     model.spread[CLASSES] = 0.0
-    return model, counts
+    return model, rare
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     text_batches(spark)
-    model, counts = train(docs)
+    model, rare = train(docs)
     shared = spark.sparkContext.broadcast(model)
     kind = [("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("path", pa.float64()), ("rest", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("labels", pa.list_(pa.int16()))]
 
@@ -426,8 +536,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     first = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), scan(F.col("text").cast("binary")).alias("s")).select("rid", "doc_id", "held_out", "s.*")
     first = materialize(first, "scored")
     # Words that are not broadcast meet their counts and classes; sums of logarithms and classes by place come back.
-    rare = counts.filter(F.col("n") < model.least) if model.least is not None else counts
-    found = first.select("rid", F.explode(F.arrays_zip("rest", "at")).alias("w")).select("rid", F.col("w.rest").alias("word"), F.col("w.at").alias("at")).join(rare.select("word", "n", "label"), "word")
+    found = first.select("rid", F.explode(F.arrays_zip("rest", "at")).alias("w")).select("rid", F.col("w.rest").alias("word"), F.col("w.at").alias("at")).join(rare, "word")
     sums = [F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.count("*").alias("more_known")]
     found = found.groupBy("rid").agg(*sums, *([F.collect_list(F.struct("at", "label")).alias("named")] if model.deep else []))
     joined = first.drop("rest", "at").join(found, "rid", "left")
