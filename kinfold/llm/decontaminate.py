@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import text_batches
-from kinfold.llm.tokens import Tokens, U, Words, mix, pieces
+from kinfold.llm.tokens import Tokens, U, Words, pieces, windows_of
 from kinfold.session import materialize
 
 WIDTH = 13
@@ -32,23 +32,6 @@ BITMAP_BITS = 1 << 26
 RULE = Words(space=False)
 
 
-def _factors(width: int) -> np.ndarray:
-    return mix(np.arange(1, width + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
-
-
-def _windows(tokens: Tokens, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of every window of ``length`` words inside one row."""
-    n = len(tokens.hash) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    factor = _factors(length)
-    total = np.full(n, length, U)
-    for k in range(length):
-        total += tokens.hash[k : n + k] * factor[k]
-    at = np.flatnonzero(tokens.row[:n] == tokens.row[length - 1 :])
-    return at, mix(total[at])
-
-
 def _words(tokens: Tokens, first: int, length: int) -> bytes:
     return b" ".join(tokens.data[tokens.begin[i] : tokens.end[i]].tobytes().lower() for i in range(first, first + length))
 
@@ -62,7 +45,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
             rows = []
             for length in np.unique(np.minimum(tokens.count, width)):
                 if length:
-                    for at, h in zip(*_windows(tokens, int(length)), strict=True):
+                    for at, h in zip(*windows_of(tokens, int(length)), strict=True):
                         if min(tokens.count[tokens.row[at]], width) == length:
                             rows.append((ids[tokens.row[at]], int(length), int(h.view(np.int64)), _words(tokens, int(at), int(length))))
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -111,7 +94,7 @@ def _by_set(docs: DataFrame, windows: DataFrame) -> DataFrame:
             tokens = Tokens(RULE, batch.column("text"))
             found, lengths, items = [], [], [set() for _ in range(tokens.rows)]
             for length, known in keys.items():
-                at, h = _windows(tokens, length)
+                at, h = windows_of(tokens, length)
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 for k in np.flatnonzero(known[place] == h):
                     first = int(at[k])
@@ -148,7 +131,7 @@ def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
             start = np.cumsum(tokens.count) - tokens.count
             rows: list[list[dict]] = [[] for _ in range(tokens.rows)]
             for length in lengths:
-                at, h = _windows(tokens, length)
+                at, h = windows_of(tokens, length)
                 bit = (h >> U(64 - 26)).astype(np.int64)
                 for k in np.flatnonzero((packed[bit >> 3] >> (7 - (bit & 7))) & 1):
                     row = tokens.row[at[k]]

@@ -1,86 +1,67 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share a run of lines of ``MIN_WORDS`` words or more. From every line on, the shortest such
-run has a hash; these hashes are rare by nature, and each leads a later document to the first one that holds the run, so
-that a run of many documents makes one pair for each of them and none between them. The lines of a pair are aligned by
-patience diff: lines that stand once in either document, in their longest common order, grown to their neighbours.
-Aligned common blocks of MIN_WORDS words or more leave the later document. Alignment repeats on the lines that are left,
-taking first occurrences, so that moved and repeated blocks go too.
+Written line ends cut passages in different places, so a text is flowed anew into lines that begin where the words say so:
+of every ``MIN_WORDS - KEY_WORDS + 1`` places in a row the one whose next ``KEY_WORDS`` words have the least hash begins a
+line, and these words are its key. Whatever stands around it, a passage of MIN_WORDS words begins a line at the same word
+in all its documents. Keys that two documents or more share are rare and lead the later documents to the first that holds
+them, so that a passage of many documents makes one pair for each of them and none between them.
 
-Documents come in the order of their ids. Lines are equal with equal words; blanks around and between words and blank
-lines do not count. Lines and runs are known by 64 bits.
+The lines of a pair are aligned by patience diff: those whose key stands once in either document, in their longest common
+order (where none does, those with the place that holds most around them), each grown word by word to both sides. Aligned blocks of MIN_WORDS words or
+more leave the later document. Alignment repeats on the lines that are left, until none is, so that moved and repeated
+blocks go too. Where a block stays below MIN_WORDS words, the documents of its key meet once more by all windows of
+MIN_WORDS words around it. Then no later document keeps MIN_WORDS words in a row that an earlier one holds, and every word
+that goes stands in such a row.
+
+Documents come in the order of their ids. Words are runs of anything but blanks, known by 64 bits; case counts.
 
 Defined cases: null and empty texts share nothing and stay as they are; rows with equal id and text are one document and
-keep or lose the same lines; equal ids with different texts are documents in the order of a hash of the text; null ids
-come last; further columns are kept as they are; an empty table gives an empty result.
+lose the same words; equal ids with different texts are documents in the order of a hash of the text; null ids come last;
+repeats inside one document stay; further columns, of any name, are kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import sized_join, text_batches
-from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces
-from kinfold.session import materialize
+from kinfold.llm.tokens import Tokens, U, Words, lists, pieces, windows_of
+from kinfold.session import materialize, scratch
 
-MIN_WORDS = 50
+MIN_WORDS, KEY_WORDS = 50, 12
+#: Later documents that are aligned with one document in one task; parts of the join of keys.
+PARTNERS, SALTS = 512, 16
 RULE = Words(fold=False)
 LAST_ID = 2**63 - 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base % 2**64, U)
-    out[0] = 1
-    return np.cumprod(out, dtype=U)
-
-
-_R = 0xD6E8FEB86659FD93
-_INVERSE = pow(_R, -1, 2**64)
-
+def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
+    """``f`` (minimum or maximum) over every ``width`` values in a row."""
+    k = 1
+    while 2 * k <= width:
+        x = f(x[:-k], x[k:])
+        k *= 2
+    return f(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
-def _runs(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of hashes[first..last] for each pair of bounds, wherever the run stands."""
-    total = np.zeros(len(hashes) + 1, U)
-    np.cumsum(hashes * _powers(_INVERSE, len(hashes))[: len(hashes)], out=total[1:])
-    return mix((total[last + 1] - total[first]) * _powers(_R, len(hashes))[first])
 
-
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, line numbers, hashes and words of the lines that are not blank, and the run hashes."""
-
-    def cut(batches):
-        for batch in pieces(batches, "text"):
-            tokens = Tokens(RULE, batch.column("text"))
-            newlines = np.concatenate([[0], np.cumsum(tokens.data == 10)])
-            line = newlines[tokens.begin]
-            change = np.ones(len(line), bool)
-            change[1:] = (line[1:] != line[:-1]) | (tokens.row[1:] != tokens.row[:-1])
-            start = np.flatnonzero(change)
-            row, words = tokens.row[start], np.diff(np.append(start, len(line)))
-            hashes = _runs(tokens.hash, start, start + words - 1) if len(start) else np.zeros(0, U)
-            base = np.zeros(tokens.rows, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(v) if v is not None else 0 for v in (x.as_buffer() if x.is_valid else None for x in batch.column("text"))])])
-            base[:] = newlines[offsets[:-1]]
-            number = line[start] - base[row]
-            sums = np.concatenate([[0], np.cumsum(words)])
-            last = np.searchsorted(sums[1:], sums[:-1] + min_words)
-            whole = last < len(row)
-            whole[whole] = row[last[whole]] == row[whole]
-            keys = _runs(hashes, np.flatnonzero(whole), last[whole]) if whole.any() else np.zeros(0, U)
-            count = lambda r: np.concatenate([[0], np.cumsum(np.bincount(r, minlength=tokens.rows))])
-            per_line = count(row)
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("text_hash"), lists(number.astype(np.int32), per_line), lists(hashes, per_line), lists(words.astype(np.int32), per_line), lists(keys, count(row[whole]))],
-                ["id", "text_hash", "number", "line", "words", "run"],
-            )
-
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(cut, "id long, text_hash long, number array<int>, line array<long>, words array<int>, run array<long>")
+def line_starts(tokens: Tokens, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Word and key of the beginning of every line of a batch."""
+    at, key = windows_of(tokens, KEY_WORDS)
+    width = max(1, min_words - KEY_WORDS + 1)
+    if len(key) < width:
+        return at[:0], key[:0]
+    least = _sliding(key, width, np.minimum)
+    row = tokens.row[at]
+    least[row[: len(least)] != row[width - 1 :]] = 0
+    none = np.zeros(width - 1, U)
+    chosen = key == _sliding(np.concatenate([none, least, none]), width, np.maximum)
+    return at[chosen], key[chosen]
 
 
 def _longest_order(values: list[int]) -> list[int]:
@@ -103,122 +84,255 @@ def _longest_order(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_blocks(mine: list[int], theirs: list[int], words: list[int], least: int = MIN_WORDS) -> list[int]:
-    """Positions in ``mine`` of the lines in common blocks of ``least`` words or more."""
-    where: dict[int, list[int]] = {}
-    for j, h in enumerate(theirs):
-        where.setdefault(h, []).append(j)
-    free = {i for i, h in enumerate(mine) if h in where}
-    gone: set[int] = set()
-    for unique in (True, False):
-        if sum(words[i] for i in free) < least:
-            return sorted(gone)
-        gone |= _blocks(_aligned(mine, theirs, where, free, unique), words, least)
-        free -= gone
-    return sorted(gone | _moved(mine, theirs, words, where, free, least))
-
-
-def _aligned(mine: list[int], theirs: list[int], where: dict[int, list[int]], free: set[int], unique: bool) -> dict[int, int]:
-    """Pairs of equal lines in one order: anchors (lines that stand once, or first occurrences), grown to both sides."""
-    own: dict[int, list[int]] = {}
-    for i in sorted(free):
-        own.setdefault(mine[i], []).append(i)
-    anchors = sorted((p[0], where[h][0]) for h, p in own.items() if not unique or (len(p) == 1 and len(where[h]) == 1))
-    pair: dict[int, int] = {}
-    for k in _longest_order([j for _, j in anchors]):
-        i, j = anchors[k]
-        pair[i] = j
-        for step in (1, -1):
-            a, b = i + step, j + step
-            while a in free and a not in pair and 0 <= b < len(theirs) and mine[a] == theirs[b]:
-                pair[a] = b
-                a, b = a + step, b + step
-    return pair
-
-
-def _blocks(pair: dict[int, int], words: list[int], least: int) -> set[int]:
-    gone: set[int] = set()
-    run: list[int] = []
-    for i in [*sorted(pair), None]:
-        if run and (i is None or i != run[-1] + 1 or pair[i] != pair[run[-1]] + 1):
-            if sum(words[x] for x in run) >= least:
-                gone.update(run)
-            run = []
-        if i is not None:
-            run.append(i)
-    return gone
-
-
-def _moved(mine, theirs, words, where, free, least) -> set[int]:
-    """Common runs that no alignment in one order holds: moved blocks, and blocks that stand more than once."""
-    size = {mine[i]: words[i] for i in free}
-
-    def shortest(lines: list[int], i: int) -> tuple[int, ...] | None:
-        n, k = 0, i
-        while n < least:
-            if k == len(lines) or lines[k] not in size:
-                return None
-            n += size[lines[k]]
-            k += 1
-        return tuple(lines[i:k])
-
-    runs: dict[tuple[int, ...], int] = {}
-    for j in range(len(theirs)):
-        key = shortest(theirs, j)
-        if key:
-            runs.setdefault(key, j)
-    gone: set[int] = set()
-    done = -1
-    for i in sorted(free):
-        key = shortest(mine, i) if i > done else None
-        j = runs.get(key) if key else None
-        if j is None or not all(i + x in free for x in range(len(key))):
+def _reach(x: np.ndarray, y: np.ndarray) -> int:
+    """How many leading values are equal."""
+    n, step, done = min(len(x), len(y)), 64, 0
+    while done < n:
+        differ = np.flatnonzero(x[done : min(n, done + step)] != y[done : min(n, done + step)])
+        if len(differ):
+            return done + int(differ[0])
+        done, step = min(n, done + step), step * 2
+    return n
+
+
+class Lines:
+    """The words of a document and where its lines begin."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, key: np.ndarray, least: int = MIN_WORDS):
+        self.words, self.at, self.key, self.least = words, at.tolist(), key.tolist(), least
+
+    def around(self, p: int) -> tuple[int, bytes]:
+        """What decides whether a block of ``least`` words that holds word p can be aligned."""
+        low = max(0, p - self.least)
+        return p - low, self.words[low : p + self.least].tobytes()
+
+    def places(self) -> dict[int, list[int]]:
+        """Where lines of each key begin; of those that stand among the same words, the first."""
+        where: dict[int, list[int]] = {}
+        for p, h in zip(self.at, self.key, strict=True):
+            where.setdefault(h, []).append(p)
+        return {h: list({self.around(p): p for p in reversed(v)}.values())[::-1] if len(v) > 1 else v for h, v in where.items()}
+
+
+def _best_place(mine: Lines, p: int, theirs: Lines, places: list[int]) -> int | None:
+    """The place that the longest block around word p is aligned with; none if all are too short."""
+    n, at = mine.least, np.array(places)
+    total = np.zeros(len(at), np.int64)
+    for step, first in ((1, 0), (-1, -1)):
+        own, their = p + first + step * np.arange(n), at[:, None] + first + step * np.arange(n)
+        fine = (own >= 0) & (own < len(mine.words)) & (their >= 0) & (their < len(theirs.words))
+        same = fine & (mine.words[own % len(mine.words)] == theirs.words[their % len(theirs.words)])
+        total += np.where(same.all(1), n, same.argmin(1))
+    k = int(np.argmax(total))
+    return places[k] if total[k] >= n else None
+
+
+def aligned_blocks(mine: Lines, theirs: Lines) -> tuple[list[tuple[int, int]], list[int]]:
+    """First word and end of the blocks of ``mine`` that alignment with ``theirs`` takes out, and the keys of too short ones."""
+    where, times = theirs.places(), Counter(mine.key)
+    live, short, known = {}, set(), {}
+    for i, h in enumerate(mine.key):
+        if h not in where:
             continue
-        n = len(key)
-        while i + n in free and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
-            n += 1
-        gone.update(range(i, i + n))
-        done = i + n - 1
-    return gone
-
-
-def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, drop (line numbers), dropped_words of the documents that lose lines."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    table = materialize(line_table(docs, min_words).filter(F.size("run") > 0), "lines")
-    held = table.select(F.struct("id", "text_hash").alias("doc"), F.explode("run").alias("run"))
-    first = held.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("run", "first")
-    pairs = held.join(first, "run").filter("doc <> first").select(F.col("doc.id").alias("id"), F.col("doc.text_hash").alias("text_hash"), F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).distinct()
-    documents = table.dropDuplicates(["id", "text_hash"])
-    firsts = documents.select(F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("line").alias("theirs"))
-    sides = pairs.join(documents.drop("run"), ["id", "text_hash"]).join(firsts, ["first_id", "first_hash"])
+        place = where[h][0]
+        if times[h] > 1 or len(where[h]) > 1:
+            seen = (h, mine.around(mine.at[i]))
+            if seen not in known:
+                known[seen] = _best_place(mine, mine.at[i], theirs, where[h])
+            place = known[seen]
+        if place is None:
+            short.add(h)
+        else:
+            live[i] = place
+    gone = np.zeros(len(mine.words), bool)
+    blocks = []
+    while live:
+        times = Counter(mine.key[i] for i in live)
+        pairs = [(i, j) for i, j in live.items() if times[mine.key[i]] == 1 and len(where[mine.key[i]]) == 1] or list(live.items())
+        for k in _longest_order([j for _, j in pairs]):
+            i, q = pairs[k]
+            p = mine.at[i]
+            if gone[p]:
+                continue
+            a = p - _reach(mine.words[:p][::-1], theirs.words[:q][::-1])
+            b = p + _reach(mine.words[p:], theirs.words[q:])
+            if b - a >= mine.least:
+                gone[a:b] = True
+                blocks.append((a, b))
+            else:
+                short.add(mine.key[i])
+                del live[i]
+        live = {i: j for i, j in live.items() if not gone[mine.at[i]]}
+    return blocks, sorted(short)
+
+
+def _key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+
+
+def key_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """id, text_hash and the distinct line keys of each document."""
 
-    @F.arrow_udf("array<int>")
-    def align(mine: pa.Array, words: pa.Array, theirs: pa.Array) -> pa.Array:
-        return pa.array([aligned_blocks(m.as_py(), t.as_py(), w.as_py(), min_words) for m, w, t in zip(mine, words, theirs, strict=True)], pa.list_(pa.int32()))
+    def cut(batches):
+        for batch in pieces(batches, "text"):
+            tokens = Tokens(RULE, batch.column("text"))
+            at, key = line_starts(tokens, min_words)
+            order = np.lexsort((key, tokens.row[at]))
+            row, key = tokens.row[at][order], key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=tokens.rows))])
+            yield pa.record_batch([batch.column("id"), batch.column("text_hash"), lists(key[new], offsets)], ["id", "text_hash", "keys"])
+
+    return _key(docs).mapInArrow(cut, "id long, text_hash long, keys array<long>").filter(F.size("keys") > 0)
+
+
+def _pairs(table: DataFrame) -> DataFrame:
+    """id, text_hash of a later document and first_id, first_hash of the first one that holds one of its keys."""
+    held = table.select(F.struct("id", "text_hash").alias("doc"), F.explode("keys").alias("key"))
+    first = held.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("key", "first")
+    # A key of very many documents is met in several parts.
+    first = materialize(first, "first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    return salted.join(first, ["key", "salt"]).filter("doc <> first").select("doc.*", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).distinct()
+
+
+def _aligned(met: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """id, text_hash, blocks and short (keys of too short blocks) for the pairs ``met``."""
+    met = materialize(met, "pairs")
+    parts = met.groupBy("first_id", "first_hash").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    later = met.join(parts, ["first_id", "first_hash"]).select("id", "text_hash", "first_id", "first_hash", F.pmod(F.xxhash64("id", "text_hash"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    firsts = parts.select(F.col("first_id").alias("id"), F.col("first_hash").alias("text_hash"), "first_id", "first_hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    roles = materialize(later.unionByName(firsts), "roles")
+    texts = sized_join(_key(docs), roles, ["id", "text_hash"])
+    by = ["first_id", "first_hash", "part"]
+    ordered = texts.repartition(*by).sortWithinPartitions(*by, "role", "id", "text_hash")
+
+    def align(batches):
+        at, theirs, last = None, None, None
+        for batch in pieces(batches, "text"):
+            tokens = Tokens(RULE, batch.column("text"))
+            begin, key = line_starts(tokens, min_words)
+            cut = np.concatenate([[0], np.cumsum(tokens.count)])
+            of = np.searchsorted(begin, cut)
+            group, role, doc = (list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)) for columns in (by, ["role"], ["id", "text_hash"]))
+            out = []
+            for i in range(tokens.rows):
+                # A repeated row is aligned once.
+                if (group[i], doc[i]) == last:
+                    continue
+                last = group[i], doc[i]
+                lines = Lines(tokens.hash[cut[i] : cut[i + 1]].copy(), begin[of[i] : of[i + 1]] - cut[i], key[of[i] : of[i + 1]], min_words)
+                if role[i][0] == 0:
+                    at, theirs = group[i], lines
+                elif at == group[i]:
+                    blocks, short = aligned_blocks(lines, theirs)
+                    out.append((*doc[i], [{"a": a, "b": b} for a, b in blocks], np.array(short, U).view(np.int64).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["id", "text_hash", "blocks", "short"])
+
+    return materialize(ordered.mapInArrow(align, "id long, text_hash long, blocks array<struct<a:int,b:int>>, short array<long>"), "aligned")
+
+
+def _windows(asked: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """id, text_hash, keys: hashes of the windows of ``min_words`` words around the keys that ``asked`` names for each document."""
 
-    cut = sides.select("id", "text_hash", "number", "words", F.explode(align("line", "words", "theirs")).alias("at"))
-    cut = cut.select("id", "text_hash", F.col("number")[F.col("at")].alias("number"), F.col("words")[F.col("at")].alias("words")).distinct()
-    return cut.groupBy("id", "text_hash").agg(F.collect_set("number").alias("drop"), F.sum("words").alias("dropped_words"))
+    def cut(batches):
+        for batch in pieces(batches, "text"):
+            tokens = Tokens(RULE, batch.column("text"))
+            begin, key = line_starts(tokens, min_words)
+            at, window = windows_of(tokens, min_words)
+            keys = batch.column("keys")
+            row, asked = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy()), keys.flatten().to_numpy().view(U)
+            # Beginnings of asked keys, by row and key.
+            pair = lambda r, k: np.rec.fromarrays([r.astype(np.int64), k])
+            wanted = np.isin(pair(tokens.row[begin], key), pair(row, asked)) if len(begin) and len(asked) else np.zeros(len(begin), bool)
+            around = np.zeros(len(tokens.hash) + 1, np.int64)
+            low = np.maximum(begin[wanted] - (min_words - KEY_WORDS), 0)
+            np.add.at(around, low, 1)
+            np.add.at(around, begin[wanted] + 1, -1)
+            near = np.cumsum(around)[at] > 0
+            at, window = at[near], window[near]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(tokens.row[at], minlength=tokens.rows))])
+            yield pa.record_batch([batch.column("id"), batch.column("text_hash"), lists(window, offsets)], ["id", "text_hash", "keys"])
+
+    texts = sized_join(_key(docs), asked, ["id", "text_hash"])
+    return texts.mapInArrow(cut, "id long, text_hash long, keys array<long>").select("id", "text_hash", F.array_distinct("keys").alias("keys"))
+
+
+def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """id, text_hash, blocks (first word, end) of the documents that lose words."""
+    table = materialize(key_table(docs, min_words), "keys")
+    found = _aligned(_pairs(table), docs, min_words)
+    # The first document that holds a key may hold too little around it where another holds enough. Such keys are asked
+    # for once more, by all whole windows around them.
+    short = found.select(F.explode("short").alias("key")).distinct()
+    asked = table.select("id", "text_hash", F.explode("keys").alias("key")).join(short, "key").groupBy("id", "text_hash").agg(F.collect_list("key").alias("keys"))
+    windows = materialize(_windows(materialize(asked, "asked"), docs, min_words), "windows")
+    found = found.select("id", "text_hash", "blocks").unionByName(_aligned(_pairs(windows), docs, min_words).select("id", "text_hash", "blocks"))
+    return found.filter(F.size("blocks") > 0).groupBy("id", "text_hash").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+
+
+def without_blocks(text: pa.Array, blocks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts without the words of ``blocks``, and how many words and blocks went. Blanks beside a block go with it, but one line end stays."""
+    out, words, count = [], [], []
+    for row in range(len(text)):
+        tokens = Tokens(RULE, text[row : row + 1])
+        flat = blocks[row].values
+        edge = np.zeros(len(tokens.hash) + 1, np.int64)
+        np.add.at(edge, flat.field(0).to_numpy(), 1)
+        np.add.at(edge, flat.field(1).to_numpy(), -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        step = np.diff(np.concatenate([[0], gone, [0]]))
+        a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        data, n = tokens.data, len(tokens.hash)
+        newline = np.concatenate([[0], np.cumsum(data == 10)])
+        begin, end = np.append(tokens.begin, len(data)), np.concatenate([[0], tokens.end])
+        # Whether the block begins a line; end[k] is the end of the word before k.
+        opens = (a == 0) | (newline[begin[a]] > newline[end[a]])
+        closes = (b < n) & (newline[begin[b]] > newline[end[b]])
+        inner = ~opens & (closes | (b == n))
+        low, high = np.where(inner, end[a], begin[a]), np.where(inner & (b < n), end[b], begin[b])
+        mark = np.zeros(len(data) + 1, np.int64)
+        np.add.at(mark, low, 1)
+        np.add.at(mark, high, -1)
+        out.append(data[np.cumsum(mark[:-1]) == 0].tobytes())
+        words.append(int(gone.sum()))
+        count.append(len(a))
+    return pa.array(out, pa.binary()), np.array(words, np.int64), np.array(count, np.int64)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` in struct ``row``, and new_text, dropped_lines, dropped_words."""
-    drops = materialize(duplicate_lines(docs.select("doc_id", "text"), min_words), "drops")
+    """All columns of ``docs`` in struct ``row``, and new_text, dropped_words, dropped_blocks."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    with scratch(spark):
+        drops = materialize(repeated_blocks(docs.select("doc_id", "text"), min_words), "drops", outlive=True)
+
+    @F.arrow_udf("text binary, words long, blocks long")
+    def cut(text: pa.Array, blocks: pa.Array) -> pa.Array:
+        some = np.flatnonzero(blocks.is_valid().to_numpy(zero_copy_only=False))
+        new, words, count = without_blocks(text.take(pa.array(some)), blocks.take(pa.array(some)))
+        at = np.full(len(text), -1)
+        at[some] = np.arange(len(some))
+        at = pa.array(at, mask=at < 0)
+        return pa.StructArray.from_arrays([new.take(at), pa.array(words).take(at), pa.array(count).take(at)], ["text", "words", "blocks"])
+
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("text_hash"))
     joined = sized_join(keyed, drops, ["id", "text_hash"], "left")
-    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    return joined.select("row", F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("row.text")).alias("new_text"), F.when(F.col("drop").isNotNull(), F.size("drop")).otherwise(0).cast("long").alias("dropped_lines"), F.coalesce("dropped_words", F.lit(0)).cast("long").alias("dropped_words"))
+    # Only texts that lose words go to Python.
+    done = joined.select("row", cut(F.when(F.col("blocks").isNotNull(), F.col("row.text")).cast("binary"), "blocks").alias("new"))
+    return done.select("row", F.coalesce(F.col("new.text").cast("string"), "row.text").alias("new_text"), F.coalesce("new.words", F.lit(0)).cast("long").alias("dropped_words"), F.coalesce("new.blocks", F.lit(0)).cast("long").alias("dropped_blocks"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return line_dedup(docs.select("doc_id", "text")).select("row.doc_id", F.col("new_text").alias("text"), "dropped_lines", "dropped_words")
+    return line_dedup(docs.select("doc_id", "text")).select("row.doc_id", F.col("new_text").alias("text"), "dropped_words", "dropped_blocks")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left of each text, without the rows of which nothing is left; n_chars follows the text."""
-    done = line_dedup(docs).filter((F.col("dropped_lines") == 0) | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("dropped_lines") > 0
-    columns = [F.col("new_text").alias(c) if c == "text" else F.when(changed, F.length("new_text").cast(t)).otherwise(F.col("row")[c]).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c, t in docs.dtypes]
+    changed = F.col("dropped_words") > 0
+    done = line_dedup(docs).filter(~changed | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
+    kept: dict[str, Column] = {"text": F.col("new_text")}
+    columns = [kept.get(c, F.when(changed, F.length("new_text").cast(t)).otherwise(F.col("row")[c]) if c == "n_chars" else F.col("row")[c]).alias(c) for c, t in docs.dtypes]
     return done.select(*columns)

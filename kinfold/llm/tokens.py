@@ -148,6 +148,19 @@ def shingle_sets(tokens: Tokens, width: int = 5) -> tuple[np.ndarray, np.ndarray
     return value, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=tokens.rows))]).astype(np.int64)
 
 
+def windows_of(tokens: Tokens, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every window of ``length`` words inside one row."""
+    n = len(tokens.hash) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    factor = mix(np.arange(1, length + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
+    total = np.full(n, length, U)
+    for k in range(length):
+        total += tokens.hash[k : n + k] * factor[k]
+    at = np.flatnonzero(tokens.row[:n] == tokens.row[length - 1 :])
+    return at, mix(total[at])
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     """An Arrow list column from flat values; unsigned 64-bit values keep their bits as signed ones."""
     values = values.view(np.int64) if values.dtype == U else values

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from test_ops import brute_components, brute_hits, brute_repeats, brute_targets, words
+from test_ops import brute_components, brute_hits, brute_repeats, brute_targets, check_repeats, words
 
 from kinfold.llm import quality
 from kinfold.session import materialize, table
@@ -27,9 +27,10 @@ def test_stages(spark, data):
             assert set(kept) == good and all(kept[r.doc_id] == r for r in before if r.doc_id in kept)
         elif name == "line_dedup":
             for r, gone in zip(before, brute_repeats([r.text for r in before]), strict=True):
-                left = "\n".join(x for n, x in enumerate(r.text.split("\n")) if n not in gone)
-                assert (r.doc_id in kept) == (not gone or bool(words(left)))
-                assert r.doc_id not in kept or kept[r.doc_id].text == left and kept[r.doc_id].n_chars == len(left)
+                new = kept.get(r.doc_id)
+                check_repeats(r.text, new.text if new else "", gone)
+                assert new or any(gone)
+                assert not new or new.n_chars == len(new.text) and (any(gone) or new == r)
         elif name == "ngram_join":
             assert set(kept) == {i for i, _, c in brute_components([(r.doc_id, r.text) for r in before]) if i == c}
         elif name == "decontaminate":
