@@ -1,17 +1,21 @@
 """Nearest neighbours by cross-polytope hashing.
 
-Vectors are turned by fast Hadamard pseudo-rotations (random signs and a Walsh-Hadamard transform, three times); every
-block of ``AXES`` coordinates is a table, and a vector's bucket there is the nearest signed axis. A query probes the
-buckets of each table in the order of its own coordinates until they hold ``PROBE_ROWS`` rows or ``PROBE_SHARE`` of all.
-Candidates of a bucket are reranked exactly where they lie: a chunk of at most about ``CHUNK`` vectors is loaded, the
-queries that probe it stream past, and each keeps its nearest. Every row is indexed; no bucket is capped.
+Vectors are turned by fast Hadamard pseudo-rotations (random signs and a Walsh-Hadamard transform, three times); the nearest
+signed axis is a hash. A bucket of a table is named by ``hashes`` such axes, so many that there are about as many buckets as
+rows: the buckets grow in number with the table. A query probes in each of ``TABLES`` tables the buckets for which its own
+coordinates are largest in sum, so many that they hold about ``PROBE`` times the square root of all rows. Distinct candidates
+are reranked exactly. Every row is indexed; no bucket is capped.
+
+The rows are dealt to shards of about ``SHARD`` vectors; a task holds the tables of one shard, and the queries stream past
+it. A shard is no part of the hashing: the buckets that a query probes are the same in all.
 
 Inner products of vectors of different length become angles with one more coordinate that fills each vector up to the
-longest.
+longest; vectors of one length need none.
 
 Defined cases: null, empty and zero vectors, those with null, infinite or NaN components, and those of another dimension
-than most take no part; null ids take no part; rows with one id are rows of their own as candidates, the first by id is
-listed once; ties go to the smaller id; fewer candidates than k are all returned; an empty table gives an empty result.
+than most take no part; null ids take no part; rows with one id are rows of their own as candidates, the nearest is listed
+once; ties go to the smaller id; fewer candidates than k are all returned; further columns, of any name, are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ from kinfold.llm.common import text_batches
 from kinfold.session import materialize
 
 K = 20
-AXES, ROTATIONS, SEED = 16, 2, 20
-PROBE_ROWS, PROBE_SHARE = 4096, 0.08
-CHUNK = 4096
-#: Queries that are compared with a chunk at once.
-QUERY_ROWS = 256
+TABLES, SEED = 36, 20
+PROBE = 0.45
+SHARD = 1 << 14
+#: Axes of each hash from which buckets are put together, by the number of hashes of a bucket.
+AXES = (0, 1 << 20, 32, 12, 8)
+#: Queries that probe at once.
+QUERY_ROWS = 64
 
 
 def usable(vector: Column) -> Column:
@@ -49,22 +55,89 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def rotated(vectors: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Coordinates of each vector by table and axis; data vectors are filled up to the longest first."""
-    size = 1 << int(np.ceil(np.log2(max(AXES, vectors.shape[1] + 1))))
-    norm = np.sqrt((vectors**2).sum(1))
-    wide = np.zeros((len(vectors), size))
-    wide[:, : vectors.shape[1]] = vectors / (norm[:, None] if query else longest)
-    if not query:
-        wide[:, vectors.shape[1]] = np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
-    rng = np.random.default_rng(SEED)
-    out = []
-    for _ in range(ROTATIONS):
-        x = wide
-        for _ in range(3):
-            x = hadamard(x * rng.choice([-1.0, 1.0], size))
-        out.append(x)
-    return np.concatenate(out, 1).reshape(len(vectors), -1, AXES)
+class Polytope:
+    """The tables: rotations, how many hashes name a bucket, how many buckets of a table a query probes."""
+
+    def __init__(self, rows: int, dimension: int, longest: float, shortest: float, tables: int = TABLES, probe: float = PROBE):
+        self.longest, self.tables = longest, tables
+        self.fill = shortest < 0.999 * longest
+        self.size = 1 << int(np.ceil(np.log2(max(2, dimension + self.fill))))
+        self.hashes = int(np.clip(np.log(max(rows, 1)) / np.log(2 * self.size), 1, len(AXES) - 1))
+        self.buckets = (2 * self.size) ** self.hashes
+        self.axes = min(2 * self.size, AXES[self.hashes])
+        budget = max(K, probe * np.sqrt(rows))
+        self.probes = int(min(self.axes**self.hashes, np.ceil(budget * self.buckets / max(rows, 1))))
+
+    def turned(self, vectors: np.ndarray, query: bool):
+        """The coordinates of the vectors, a table and a hash after the other."""
+        norm = np.sqrt((vectors**2).sum(1))
+        wide = np.zeros((len(vectors), self.size))
+        wide[:, : vectors.shape[1]] = vectors / (norm[:, None] if query else self.longest)
+        if self.fill and not query:
+            wide[:, vectors.shape[1]] = np.sqrt(np.maximum(0, 1 - (norm / self.longest) ** 2))
+        rng = np.random.default_rng(SEED)
+        for _ in range(self.tables):
+            out = []
+            for _ in range(self.hashes):
+                x = wide
+                for _ in range(3):
+                    x = hadamard(x * rng.choice([-1.0, 1.0], self.size))
+                out.append(x)
+            yield out
+
+    def places(self, vectors: np.ndarray) -> np.ndarray:
+        """The bucket of each vector in each table, numbered through all tables."""
+        out = []
+        for t, coordinates in enumerate(self.turned(vectors, False)):
+            cell = np.full(len(vectors), t, np.int64)
+            for x in coordinates:
+                axis = np.abs(x).argmax(1)
+                cell = cell * 2 * self.size + axis * 2 + (x[np.arange(len(x)), axis] < 0)
+            out.append(cell)
+        return np.stack(out, 1)
+
+    def probed(self, queries: np.ndarray) -> np.ndarray:
+        """The buckets that each query probes."""
+        out = []
+        for t, coordinates in enumerate(self.turned(queries, True)):
+            cell, score = np.full((len(queries), 1), t, np.int64), np.zeros((len(queries), 1))
+            for x in coordinates:
+                signed = np.stack([x, -x], 2).reshape(len(x), -1)
+                top = np.argsort(-signed, 1, kind="stable")[:, : self.axes]
+                cell = (cell[:, :, None] * 2 * self.size + top[:, None]).reshape(len(x), -1)
+                score = (score[:, :, None] + np.take_along_axis(signed, top, 1)[:, None]).reshape(len(x), -1)
+            if self.probes < score.shape[1]:
+                cell = np.take_along_axis(cell, np.argpartition(-score, self.probes - 1, 1)[:, : self.probes], 1)
+            out.append(cell)
+        return np.concatenate(out, 1)
+
+
+class Shard:
+    """The tables over some of the rows."""
+
+    def __init__(self, polytope: Polytope, ids: np.ndarray, vectors: np.ndarray):
+        self.polytope, self.ids, self.vectors, self.read = polytope, ids, vectors, 0
+        cells = polytope.places(vectors)
+        order = np.argsort(cells, axis=None, kind="stable")
+        self.cell, self.row = cells.ravel()[order], order // cells.shape[1]
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """query ids, ids and scores of the k nearest candidates of each query."""
+        out = []
+        for i in range(0, len(queries), QUERY_ROWS):
+            probed = self.polytope.probed(queries[i : i + QUERY_ROWS])
+            low, high = np.searchsorted(self.cell, probed), np.searchsorted(self.cell, probed, "right")
+            for q, x, a, b in zip(query_ids[i:], queries[i:], low, high, strict=False):
+                n = b - a
+                new = np.cumsum(n) - n
+                rows = np.unique(self.row[np.repeat(a - new, n) + np.arange(n.sum())])
+                rows = rows[self.ids[rows] != q]
+                self.read += len(rows)
+                # Sums in one order, whatever the other candidates are.
+                score = (self.vectors[rows] * x).sum(1)
+                top = np.lexsort((self.ids[rows], -score))[:k]
+                out.append((np.full(len(top), q), self.ids[rows][top], score[top]))
+        return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -72,97 +145,48 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, probe_share: float = PROBE_SHARE, probe_rows: int = PROBE_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probe: float = PROBE) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows of ``vectors`` found for each row of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
     text_batches(spark)
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     data, asked = clean(vectors), clean(queries)
-    most = data.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square")).orderBy(F.desc("n"), "d").first()
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    most = data.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("longest"), F.min(square).alias("shortest")).orderBy(F.desc("n"), "d").first()
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, longest = most.d, float(np.sqrt(most.square)) * (1 + 1e-12)
-    data, asked = data.filter(F.size("embedding") == dimension), asked.filter(F.size("embedding") == dimension)
-    kind = dict(vectors.dtypes)["embedding"]
-
-    def place(batches):
-        for batch in (b for b in batches if b.num_rows):
-            x = rotated(_matrix(batch.column("embedding")), longest, False)
-            axis = np.abs(x).argmax(2)
-            bucket = axis * 2 + (np.take_along_axis(x, axis[:, :, None], 2)[:, :, 0] < 0)
-            cells = (np.arange(x.shape[1]) * 2 * AXES + bucket).astype(np.int32)
-            cut = np.arange(len(cells) + 1) * x.shape[1]
-            yield pa.record_batch([batch.column("vec_id"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(cells.ravel()))], ["vec_id", "embedding", "cells"])
-
-    placed = materialize(data.mapInArrow(place, f"vec_id long, embedding {kind}, cells array<int>"), "placed")
-    # A count for each bucket of each table: a few hundred whatever the input.
-    counts = {r.cell: r.n for r in placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    tables = max(counts) // (2 * AXES) + 1
-    held = np.array([counts.get(c, 0) for c in range(tables * 2 * AXES)]).reshape(tables, 2 * AXES)
-    budget = max(probe_rows, int(probe_share * held[0].sum()))
-    chunks = np.maximum(1, -(-held.ravel() // CHUNK))
-
-    def probe(batches):
-        for batch in (b for b in batches if b.num_rows):
-            x = rotated(_matrix(batch.column("embedding")), longest, True)
-            score = np.stack([x, -x], 3).reshape(len(x), tables, 2 * AXES)
-            order = np.argsort(-score, axis=2, kind="stable")
-            n = np.take_along_axis(np.broadcast_to(held, score.shape), order, 2)
-            take = np.cumsum(n, 2) - n < budget
-            cells = order + np.arange(tables)[None, :, None] * 2 * AXES
-            chosen = take & (n > 0)
-            cut = np.concatenate([[0], np.cumsum(chosen.sum((1, 2)))])
-            yield pa.record_batch([batch.column("vec_id"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(cells[chosen].astype(np.int32)))], ["vec_id", "embedding", "cells"])
-
-    asked = asked.mapInArrow(probe, f"vec_id long, embedding {kind}, cells array<int>")
-    parts = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("cell") + 1)
-    rows = placed.select(F.explode("cells").alias("cell"), "vec_id", "embedding").select("cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), F.lit(0).alias("role"), "vec_id", "embedding")
-    looks = asked.select(F.explode("cells").alias("cell"), "vec_id", "embedding").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("role"), "vec_id", "embedding")
-    stream = rows.unionByName(looks).repartition("cell", "part").sortWithinPartitions("cell", "part", "role", "vec_id")
+    polytope = Polytope(most.n, most.d, float(np.sqrt(most.longest)) * (1 + 1e-12), float(np.sqrt(most.shortest)), tables, probe)
+    shards = -(-most.n // SHARD)
+    rows = data.filter(F.size("embedding") == most.d).select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "vec_id", "embedding")
+    looks = asked.filter(F.size("embedding") == most.d).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "vec_id", "embedding")
+    stream = rows.unionByName(looks).repartition("shard").sortWithinPartitions("shard", "role", "vec_id")
 
     def rerank(batches):
-        at, gathered, ids, matrix = None, [], None, None
+        at, gathered, index = None, [], None
         for batch in (b for b in batches if b.num_rows):
-            cell, part, role, vec = (batch.column(c).to_numpy() for c in ("cell", "part", "role", "vec_id"))
+            shard, role, vec = (batch.column(c).to_numpy() for c in ("shard", "role", "vec_id"))
             x = _matrix(batch.column("embedding"))
-            edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1]), True])
+            edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (role[1:] != role[:-1]), True])
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if (cell[a], part[a]) != at:
-                    at, gathered, matrix = (cell[a], part[a]), [], None
+                if shard[a] != at:
+                    at, gathered, index = shard[a], [], None
                 if role[a] == 0:
                     gathered.append((vec[a:b], x[a:b]))
                     continue
-                if matrix is None:
-                    ids = np.concatenate([g[0] for g in gathered]) if gathered else np.zeros(0, np.int64)
-                    matrix = np.concatenate([g[1] for g in gathered]) if gathered else np.zeros((0, x.shape[1]))
-                for i in range(a, b, QUERY_ROWS):
-                    found += _nearest(vec[i : min(b, i + QUERY_ROWS)], x[i : min(b, i + QUERY_ROWS)], ids, matrix, k)
+                if index is None and gathered:
+                    index = Shard(polytope, *(np.concatenate([g[i] for g in gathered]) for i in range(2)))
+                if index is not None:
+                    found += index.nearest(vec[a:b], x[a:b], k)
             columns = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64 if j < 2 else float) for j in range(3)]
             yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    near = stream.mapInArrow(rerank, "query_id long, vec_id long, score double")
+    near = materialize(stream.mapInArrow(rerank, "query_id long, vec_id long, score double"), "near")
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k nearest of a chunk for each query. A fast product picks, with slack; sums in one order decide."""
-    out = []
-    if not len(ids):
-        return out
-    rough = queries @ matrix.T
-    for q, x, s in zip(query_ids, queries, rough, strict=True):
-        s = np.where(ids == q, -np.inf, s)
-        least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-        at = np.flatnonzero(s >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else s > -np.inf)
-        exact = (matrix[at] * x).sum(1)
-        top = np.lexsort((ids[at], -exact))[:k]
-        out.append((np.full(len(top), q), ids[at][top], exact[top]))
-    return out
-
-
 def digest(embeddings: DataFrame) -> DataFrame:
     rows = embeddings.select("vec_id", "embedding")
     return neighbours(rows, rows.filter(F.pmod(F.col("vec_id"), F.lit(20)) == 0))
