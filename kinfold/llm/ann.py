@@ -3,7 +3,8 @@
 Vectors are turned by fast Hadamard pseudo-rotations (random signs and a Walsh-Hadamard transform, three times); the nearest
 signed axis is a hash. A bucket of a table is named by ``hashes`` such axes, so many that there are about as many buckets as
 rows: the buckets grow in number with the table. A query probes in each of ``TABLES`` tables the buckets for which its own
-coordinates are largest in sum, so many that they hold about ``PROBE`` times the square root of all rows. Distinct candidates
+coordinates are largest in sum, so many that they hold about ``PROBE`` times the
+square root of all rows, and no fewer than thrice k. Distinct candidates
 are reranked exactly. Every row is indexed; no bucket is capped.
 
 The rows are dealt to shards of about ``SHARD`` vectors; a task holds the tables of one shard, and the queries stream past
@@ -65,7 +66,7 @@ class Polytope:
         self.hashes = int(np.clip(np.log(max(rows, 1)) / np.log(2 * self.size), 1, len(AXES) - 1))
         self.buckets = (2 * self.size) ** self.hashes
         self.axes = min(2 * self.size, AXES[self.hashes])
-        budget = max(K, probe * np.sqrt(rows))
+        budget = max(3 * K, probe * np.sqrt(rows))
         self.probes = int(min(self.axes**self.hashes, np.ceil(budget * self.buckets / max(rows, 1))))
 
     def turned(self, vectors: np.ndarray, query: bool):

@@ -133,7 +133,7 @@ s as (select source, sum(size)::bigint source_size, (row_number() over (order by
 l as (select *, (sum(source_size) over () - coalesce(sum(source_size * 3) over (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double / (sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following))::double lev from s),
 t as (select source s, source_size, least((source_size * 3)::double, weight * max(lev) over ()) target from l),
 iv as (select s, target, sum(target) over (order by s nulls last rows unbounded preceding) up from t),
-sl as (select j slot, list_sum(list_transform(range(44), b -> ((j >> b) & 1)::double / (1::bigint << (b + 1)))) * (select max(up) from iv) p from (select unnest(range((select (sum(size) + 127) // 128 from d)::bigint)) j)),
+sl as (select j slot, list_sum(list_transform(range(44), lambda b: ((j >> b) & 1)::double / (1::bigint << (b + 1)))) * (select max(up) from iv) p from (select unnest(range((select (sum(size) + 127) // 128 from d)::bigint)) j)),
 pl as (select s, slot, row_number() over (partition by s order by slot) - 1 rk from sl join iv on p >= up - target and p < up),
 g as (select s, count(*) * 128 given from pl group by s),
 p as (select d.*, source_size, target, least(coalesce(given, 0), 3 * source_size) q, coalesce(sum(size) over (partition by source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint f from d join t on d.source is not distinct from t.s left join g on g.s is not distinct from t.s),

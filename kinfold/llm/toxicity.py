@@ -8,7 +8,7 @@ unlabelled ones, or less often, take part. A few classifiers see different sampl
 scores every whole text.
 
 Labels come from training rows only (crc32 of the id modulo 5 is not 0). The samples are bounded: MOST_TOXIC toxic and
-MOST_UNLABELLED unlabelled training rows for each classifier.
+MOST_UNLABELLED unlabelled training rows for each classifier. Their features are counted and chosen before any row travels.
 
 Defined cases: null and empty texts have the score of the bias; labels of one id count once, toxic if any row says so;
 null labels and ids without a document do not count; without toxic training rows every score is PRIOR; repeated rows
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import crc_mod, text_batches
 from kinfold.llm.linear import fit, margins, sigmoid
-from kinfold.llm.tokens import Tokens, U, Words, mix, pieces
-from kinfold.session import materialize
+from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces
+from kinfold.session import materialize, scratch
 
 FOLDS, HELD_OUT = 5, 0
 DIMENSIONS = 1 << 18
@@ -36,10 +36,13 @@ CLASSIFIERS = 3
 MOST_TOXIC, MOST_UNLABELLED = 4096, 12288
 #: The share of toxic documents where no label tells it, and the bounds of the one that labels tell.
 PRIOR, PRIOR_BOUNDS = 0.1, (0.005, 0.5)
-#: Features that take part: the most, and the least standard score of the difference in frequency.
-MOST_FEATURES, LEAST_Z = 4096, 5.0
+#: Features that take part: the most, and the least standard score of the difference in frequency, which rises from 0 with
+#: the number of toxic samples to LEAST_Z; at HALF_Z samples it is half of it.
+MOST_FEATURES, LEAST_Z, HALF_Z = 4096, 5.0, 50
 STEPS, BATCH_TOXIC, BATCH_UNLABELLED = 400, 1024, 4096
-RATE, DECAY = 0.05, 2e-5
+RATE = 0.05
+#: Weight decay times the number of toxic samples.
+PENALTY = 0.03
 RULE = Words()
 
 
@@ -57,20 +60,24 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key % DIMENSIONS).astype(np.int32), np.searchsorted(key, np.arange(tokens.rows + 1) * DIMENSIONS)
 
 
-def _select(index: np.ndarray, cut: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows with the features that tell most, numbered anew, and those features."""
-    owner = np.repeat(np.arange(len(toxic)), np.diff(cut))
-    n_p, n_u = max(1, toxic.sum()), max(1, (~toxic).sum())
-    p = np.bincount(index[toxic[owner]], minlength=DIMENSIONS)
-    u = np.bincount(index[~toxic[owner]], minlength=DIMENSIONS)
+def _counts(batches):
+    """feature, p, u: how many toxic and how many unlabelled rows have each feature."""
+    p, u = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
+    for batch in pieces(batches, "text"):
+        index, cut = features(batch.column("text"))
+        toxic = np.repeat(batch.column("toxic").to_numpy(), np.diff(cut)) == 1
+        p += np.bincount(index[toxic], minlength=DIMENSIONS)
+        u += np.bincount(index[~toxic], minlength=DIMENSIONS)
+    seen = np.flatnonzero(p + u)
+    yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(p[seen]), pa.array(u[seen])], ["feature", "p", "u"])
+
+
+def _select(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The features that tell most."""
     rate = (p + u + 1) / (n_p + n_u + 2)
     z = np.abs(p / n_p - u / n_u) / np.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u))
     chosen = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    chosen = np.sort(chosen[z[chosen] >= LEAST_Z])
-    number = np.full(DIMENSIONS, -1)
-    number[chosen] = np.arange(len(chosen))
-    keep = number[index] >= 0
-    return number[index[keep]], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(toxic)))]), chosen
+    return np.sort(chosen[z[chosen] >= LEAST_Z * n_p / (n_p + HALF_Z)])
 
 
 def _slope(prior: float, toxic: np.ndarray):
@@ -91,21 +98,17 @@ def _slope(prior: float, toxic: np.ndarray):
 
 
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One classifier from one sample."""
+    """One classifier from one sample of rows with their chosen features by number."""
     pdf = pdf.sort_values(["toxic", "order", "doc_id"], kind="stable")
-    seed, prior = int(pdf.bag.iloc[0]), float(pdf.prior.iloc[0])
-    parts = [features(pa.array(list(pdf.text[i : i + 256]), pa.binary())) for i in range(0, len(pdf), 256)]
-    index = np.concatenate([p[0] for p in parts])
-    cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+    seed, prior, size = int(pdf.bag.iloc[0]), float(pdf.prior.iloc[0]), int(pdf["size"].iloc[0])
+    index = np.concatenate([np.asarray(x, np.int64) for x in pdf["index"]])
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in pdf["index"]])]).astype(np.int64)
     toxic = pdf.toxic.to_numpy(bool)
-    index, cut, chosen = _select(index, cut, toxic)
     rng = np.random.default_rng(seed)
     p, u = np.flatnonzero(toxic), np.flatnonzero(~toxic)
-    draw = lambda rows, n: rng.choice(rows, min(n, len(rows)), replace=False)
+    draw = lambda rows, n: rng.choice(rows, min(n, len(rows)), replace=False) if len(rows) else rows
     batches = [np.concatenate([draw(p, BATCH_TOXIC), draw(u, BATCH_UNLABELLED)]) for _ in range(STEPS)]
-    kept, bias = fit(max(1, len(chosen)), index, None, cut, _slope(prior, toxic), batches, RATE, DECAY)
-    weights = np.zeros(DIMENSIONS)
-    weights[chosen] = kept[: len(chosen)]
+    weights, bias = fit(size, index, None, cut, _slope(prior, toxic), batches, RATE, PENALTY / max(1, len(p)))
     return pd.DataFrame({"weights": [weights.astype(np.float32)], "bias": [bias]})
 
 
@@ -124,16 +127,41 @@ def train(docs: DataFrame, labels: DataFrame, toxic_label: str = "toxic") -> tup
     share = lambda n, most: min(1.0, most / n)
     drawn = lambda salt, p: (F.pmod(F.xxhash64("order", F.lit(salt)), F.lit(1 << 30)) < int(p * (1 << 30)))
     toxic_ids = marked.filter("toxic = 1").filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share(n_toxic, MOST_TOXIC) * (1 << 30)))
-    positive = rows.join(F.broadcast(toxic_ids), rows.doc_id == F.col("label_id")).select("doc_id", "text", "order", F.lit(1).alias("toxic"))
-    positive = materialize(positive.withColumn("bag", F.explode(F.sequence(F.lit(1), F.lit(CLASSIFIERS)))), "toxic")
+    every = F.sequence(F.lit(1), F.lit(CLASSIFIERS))
+    positive = rows.join(F.broadcast(toxic_ids), rows.doc_id == F.col("label_id")).select("doc_id", "text", "order", F.lit(1).alias("toxic"), every.alias("bags"))
     p = share(n_rows, MOST_UNLABELLED)
-    unlabelled = rows.withColumn("bag", F.explode(F.array(*[F.when(drawn(i, p), F.lit(i)) for i in range(1, CLASSIFIERS + 1)]))).filter("bag is not null")
-    unlabelled = unlabelled.select("doc_id", "text", "order", F.lit(0).alias("toxic"), "bag")
-    sample = positive.unionByName(unlabelled).withColumn("prior", F.lit(prior))
-    fitted = sample.groupBy("bag").applyInPandas(_train, "weights array<float>, bias double").collect()
-    if not positive.limit(1).count():
-        return None
-    return np.mean([np.array(r.weights, np.float32) for r in fitted], axis=0), float(np.mean([r.bias for r in fitted]))
+    bags = F.filter(F.array(*[F.when(drawn(i, p), F.lit(i)) for i in range(1, CLASSIFIERS + 1)]), lambda x: x.isNotNull())
+    unlabelled = rows.select("doc_id", "text", "order", F.lit(0).alias("toxic"), bags.alias("bags")).filter(F.size("bags") > 0)
+    with scratch(docs.sparkSession):
+        sample = materialize(positive.unionByName(unlabelled), "sample")
+        n_p, n_u = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+        if not n_p or not n_u:
+            return None
+        counts = sample.select("text", "toxic").mapInArrow(_counts, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+        seen = counts["feature"].to_numpy()
+        of = lambda c: np.bincount(seen, counts[c].to_numpy(), DIMENSIONS)
+        chosen = _select(of("p"), of("u"), n_p, n_u)
+        number = np.full(DIMENSIONS, -1, np.int32)
+        number[chosen] = np.arange(len(chosen))
+        shared = docs.sparkSession.sparkContext.broadcast(number)
+
+        @F.arrow_udf("array<int>")
+        def known(text: pa.Array) -> pa.Array:
+            out = []
+            for batch in pieces([pa.record_batch([text], ["text"])], "text"):
+                index, cut = features(batch.column("text"))
+                index = shared.value[index]
+                kept = np.concatenate([[0], np.cumsum(index >= 0)])
+                out.append(lists(index[index >= 0], kept[cut]))
+            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+        # Only the numbers of chosen features travel to the classifiers.
+        bagged = sample.select("doc_id", "order", "toxic", F.explode("bags").alias("bag"), known("text").alias("index"))
+        bagged = bagged.withColumn("prior", F.lit(prior)).withColumn("size", F.lit(len(chosen)))
+        fitted = bagged.groupBy("bag").applyInPandas(_train, "weights array<float>, bias double").collect()
+    weights = np.zeros(DIMENSIONS, np.float32)
+    weights[chosen] = np.mean([np.array(r.weights, np.float32) for r in fitted], axis=0)
+    return weights, float(np.mean([r.bias for r in fitted]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

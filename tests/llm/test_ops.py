@@ -43,10 +43,37 @@ def test_toxicity_finds_held_out_words(spark, data):
     rows = queries()["op1_toxicity"](spark, data).collect()
     assert len(rows) == docs.count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    score = {r.doc_id: r.score for r in rows}
-    marked = [(score[r.doc_id], r.toxic) for r in labels.collect()]
-    pos, neg = [s for s, y in marked if y], [s for s, y in marked if not y]
-    assert np.mean([[p > n for n in neg] for p in pos]) > 0.8
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    marked = [(r.score, marks[r.doc_id]) for r in rows if r.held_out and r.doc_id in marks]
+    pos, neg = (np.array([s for s, y in marked if y == k]) for k in (1, 0))
+    assert np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)) > 0.8
+
+
+def test_toxicity_learns_from_planted_words(spark):
+    """A fit on a small table against the risk worked out plainly: its slope is that of the loss, and held-out rows are told apart."""
+    rng = np.random.default_rng(6)
+    bad, plain = [f"bad{i}" for i in range(8)], [f"word{i}" for i in range(300)]
+    texts, toxic = [], []
+    for i in range(900):
+        toxic.append(i % 6 == 0)
+        w = list(rng.choice(plain, 30)) + (list(rng.choice(bad, 3)) if toxic[-1] else [])
+        texts.append(" ".join(rng.permutation(w)))
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic) if i % 7 < 3], "doc_id long, toxic int")
+    rows = [r for r in toxicity.digest(docs, labels).collect() if r.held_out]
+    assert len(rows) > 100 and np.mean([r.predicted == toxic[r.doc_id] for r in rows]) > 0.95
+
+
+def test_toxicity_slope_is_that_of_the_risk():
+    rng = np.random.default_rng(1)
+    toxic, z, prior = rng.random(40) < 0.3, rng.normal(size=40), 0.2
+
+    def risk(z):
+        loss = np.logaddexp(0, -z[toxic]).mean() * prior
+        return loss + np.logaddexp(0, z[~toxic]).mean() - prior * np.logaddexp(0, z[toxic]).mean()
+
+    numeric = np.array([(risk(z + 1e-6 * e) - risk(z - 1e-6 * e)) / 2e-6 for e in np.eye(40)])
+    assert np.allclose(toxicity._slope(prior, toxic)(z, np.arange(40)), numeric, atol=1e-6)
 
 
 def test_toxicity_odd_rows(spark):
@@ -368,20 +395,36 @@ def test_nearest_recall(spark, data):
     assert np.mean([len(set(got[q].values()) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
 
 
-def test_nearest_prunes_and_keeps_recall(spark):
+def test_nearest_prunes_and_keeps_recall():
+    """On 51282 vectors without any structure, a recall of 0.9 from less than a tenth of the rows."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(51282, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    index = ann.Shard(ann.Polytope(len(x), 64, 1.0, 1.0), np.arange(len(x)), x)
+    asked = np.arange(0, 60 * 20, 20)
+    got = index.nearest(asked, x[asked], 20)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-score, 1)[:, :20]
+    assert np.mean([len(set(g[1]) & set(w)) / 20 for g, w in zip(got, want, strict=True)]) >= 0.9
+    assert index.read / len(asked) < 0.1 * len(x)
+
+
+def test_nearest_of_different_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 1000)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 24)) * rng.uniform(0.5, 2, (3000, 1))
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, [float(v) for v in r], "q", 1) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cells string, score int")
     got = defaultdict(set)
-    for r in ann.neighbours(frame, frame.filter("vec_id % 20 = 0"), probe_rows=100, probe_share=0.1).collect():
+    for r in ann.neighbours(frame, frame.filter("vec_id % 20 = 0")).collect():
         got[r.query_id].add(r.vec_id)
-    want = brute_nearest(rows)
+    want = brute_nearest([r[:2] for r in rows])
     assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
 
 
 def test_nearest_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (20, [1.0, 0.0]), (21, [1.0, 0.0]), (None, [1.0, 1.0]), (40, [-1.0, 0.5])]
+    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (20, [1.0, 0.0]), (21, [1.0, 0.0]), (None, [1.0, 1.0]), (40, [-1.0, 0.5]), (21, [1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.digest(frame).orderBy("query_id", "rank").collect()]
     assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 20), (0, 2, 21), (0, 3, 40), (20, 1, 0), (20, 2, 21), (20, 3, 40), (40, 1, 0), (40, 2, 20), (40, 3, 21)]
