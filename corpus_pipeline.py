@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), where docs is all that the stage before it kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases of every stage: further columns, of any name, are kept as they are by all but the last; an empty table gives an
+empty one. Null and empty texts are kept by the quality scorer, the line dedup and the decontamination; of those the n-gram
+join keeps one for each id and all without id; the mix takes nothing of them. Null ids come last in every order, a null
+source is a source of its own. Repeated rows share a verdict; the n-gram join keeps one of them, and the line dedup takes equal rows for one
+document. Ties go to the smaller id, then to the smaller hash of the text. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from kinfold.session import materialize, table
+from kinfold.session import materialize, scratch, table
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        # What a stage wrote for itself goes with it; its result stays.
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, outlive=True)
