@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import crc_mod, text_batches
-from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces
+from kinfold.llm.tokens import Tokens, U, Words, buffers, lists, mix, pieces
 from kinfold.session import materialize, scratch
 
 FOLDS, HELD_OUT = 7, 2
@@ -181,15 +181,18 @@ def settle(pairs: np.ndarray, of: np.ndarray, least: float) -> tuple[np.ndarray,
     return label[: len(of)], classes
 
 
-def context_counts(flat: np.ndarray, cut: np.ndarray, label: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """word, near, n of the drawn words of a batch of codes: classes behind (near), before (TOTAL + near), and itself behind (2 TOTAL)."""
+def context_keys(flat: np.ndarray, cut: np.ndarray, label: np.ndarray, drawn: np.ndarray, buckets: int) -> np.ndarray:
+    """A key of bucket, word in the bucket and near for each context of the drawn words of a batch of codes.
+
+    near: the class behind the word, TOTAL + the class before it, or 2 TOTAL for the word itself behind it.
+    """
     before = np.roll(flat, 1)
     before[cut[:-1]] = len(label) - 1
-    wide = drawn[before], drawn[flat]
-    twice = flat[wide[1] & (before == flat)]
-    key = np.concatenate([before[wide[0]].astype(np.int64) * CONTEXT + label[flat[wide[0]]], flat[wide[1]].astype(np.int64) * CONTEXT + TOTAL + label[before[wide[1]]], twice.astype(np.int64) * CONTEXT + 2 * TOTAL])
-    key, n = np.unique(key, return_counts=True)
-    return key // CONTEXT, key % CONTEXT, n
+    ahead, behind = drawn[before], drawn[flat]
+    twice = flat[behind & (before == flat)]
+    word = np.concatenate([before[ahead], flat[behind], twice]).astype(np.int64)
+    near = np.concatenate([label[flat[ahead]], TOTAL + label[before[behind]], np.full(len(twice), 2 * TOTAL, label.dtype)])
+    return (word % buckets) << 50 | (word // buckets) << 16 | near
 
 
 CONTEXT = 2 * TOTAL + 1
@@ -258,7 +261,7 @@ def chosen(word: np.ndarray, cells: np.ndarray, own: np.ndarray, classes: np.nda
 class Codes:
     """The training texts as numbers of words, and passes over them.
 
-    codes: one array for each text, ending with the end of the text. The words known by number are ``word``; behind them
+    codes: 32-bit numbers for each text, ending with the end of the text. The words known by number are ``word``; behind them
     come the forms of the other words, then the end.
     """
 
@@ -277,9 +280,10 @@ class Codes:
                 code[own] = np.searchsorted(m.word, tokens.hash[own])
                 cut = np.cumsum(tokens.count)
                 code = np.insert(code, cut, len(m.word) + FORMS)
-                yield pa.record_batch([lists(code.astype(np.int32), np.concatenate([[0], cut + np.arange(1, len(cut) + 1)]))], ["codes"])
+                ends = np.concatenate([[0], cut + np.arange(1, len(cut) + 1)]) * 4
+                yield pa.record_batch([pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(code.astype(np.int32))])], ["codes"])
 
-        self.table = materialize(texts.mapInArrow(encode, "codes array<int>"), "codes")
+        self.table = materialize(texts.mapInArrow(encode, "codes binary"), "codes")
         # Words below MIN_COUNT are never met by number.
         self.start = np.where(model.n >= MIN_COUNT, CLASSES + 1 + form.astype(np.int64), -1)
 
@@ -319,12 +323,10 @@ class Codes:
 
         def count(batches):
             label, drawn, _ = shared.value
-            held, cells = [], 0
+            held, size = [], 0
 
             def out():
-                word, near, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-                key, back = np.unique((word % buckets) << 50 | (word // buckets) << 16 | near, return_inverse=True)
-                n = np.bincount(back, n, len(key)).astype(np.int64)
+                key, n = np.unique(np.concatenate(held), return_counts=True)
                 bucket = key >> 50
                 start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
                 cut = np.append(start, len(key))
@@ -332,12 +334,11 @@ class Codes:
                 return pa.record_batch([pa.array(bucket[start].astype(np.int32)), lists(((key >> 16) & ((1 << 34) - 1)).astype(np.int32), cut), lists((key & 0xFFFF).astype(np.int16), cut), lists(n.astype(np.int32), cut)], ["bucket", "word", "near", "n"])
 
             for batch in batches:
-                flat, cut = _flat(batch.column("codes"))
-                held.append(context_counts(flat, cut, label, drawn))
-                cells += len(held[-1][0])
-                if cells > FLUSH:
+                held.append(context_keys(*_flat(batch.column("codes")), label, drawn, buckets))
+                size += len(held[-1])
+                if size > FLUSH:
                     yield out()
-                    cells = 0
+                    size = 0
             if held:
                 yield out()
 
@@ -371,7 +372,9 @@ class Codes:
 
 
 def _flat(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return codes.flatten().to_numpy(), np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy())])
+    """Codes of all texts of a batch, and where each begins."""
+    data, offsets = buffers(codes)
+    return data.view(np.int32), offsets // 4
 
 
 def exchange(codes: Codes, n: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
