@@ -3,7 +3,7 @@
 Heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation over the counts of all vote
 patterns of all documents estimates each labeller's accuracy and the share of good texts; a pattern's posterior labels
 the documents that have it. A linear scorer over hashed word shapes learns the posterior labels of a bounded sample
-(MOST_TRAINING documents, by a hash) and scores every whole text; documents below KEEP are rejected. No gold label is
+(MOST_TRAINING distinct texts at most, by a hash, weighed by their copies) and scores every whole text; documents below KEEP are rejected. No gold label is
 used.
 
 Defined cases: null and empty texts get no votes and the score of a text without shapes, which is kept; repeated rows
@@ -31,7 +31,7 @@ RULE = Words(fold=False)
 #: Each labeller: its measure, bad from here on, good within these bounds (None: never). In between it says nothing.
 LABELLERS = (
     ("symbols", 0.08, None),
-    ("bars", 0.15, None),
+    ("wordless", 0.2, None),
     ("marks", 0.4, None),
     ("stutter", 0.25, None),
     ("sameness", 0.8, (0.0, 0.6)),
@@ -56,7 +56,7 @@ class Shapes:
         self.letters, self.digits, self.odd = within(letter), within(digit), within(odd)
         self.upper, self.lower = within((d >= 65) & (d <= 90)), within((d >= 97) & (d <= 122))
         self.last = d[tokens.end - 1] if len(tokens.end) else np.zeros(0, np.uint8)
-        self.bar = (self.length == 1) & (self.last == ord("|"))
+        self.wordless = self.letters + self.digits == 0
         same = tokens.hash[1:] == tokens.hash[:-1]
         self.again = np.concatenate([[False], same & (tokens.row[1:] == tokens.row[:-1])]) if len(tokens.hash) else np.zeros(0, bool)
 
@@ -68,11 +68,13 @@ class Shapes:
         n = np.maximum(t.count, 1)
         part = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), np.nan)
         distinct = np.bincount(np.unique(t.row.astype(np.int64) << 44 | (t.hash >> U(20)).astype(np.int64)) >> 44, minlength=t.rows)
-        ends = self.per_row(np.isin(self.last, np.frombuffer(b"#$%&*!|", np.uint8)))
+        # Words that end in a sign which is neither a letter or digit nor ends a clause, a quotation or a bracket.
+        plain = np.isin(self.last, np.frombuffer(b".,;:?\"')]}", np.uint8)) | (self.last >= 128)
+        ends = self.per_row(~plain & ~((self.last >= 48) & (self.last <= 57)) & ~((self.last >= 65) & (self.last <= 90)) & ~((self.last >= 97) & (self.last <= 122)))
         return {
             "symbols": part(self.per_row(self.odd), self.per_row(self.length)),
             "upper": np.where(t.count >= 5, part(self.per_row(self.upper), self.per_row(self.upper + self.lower)), np.nan),
-            "bars": part(self.per_row(self.bar), t.count),
+            "wordless": part(self.per_row(self.wordless), t.count),
             "stutter": np.where(t.count >= 5, self.per_row(self.again) / n, np.nan),
             # A longer text repeats more of its words; a tenth for every tenfold length is no defect.
             "sameness": np.where(t.count >= LEAST_WORDS, 1 - distinct / n - 0.1 * np.log10(n / LEAST_WORDS + 1e-9), np.nan),
@@ -145,7 +147,8 @@ def quality(docs: DataFrame) -> DataFrame:
     counts = {r.votes: r["count"] for r in votes(docs.select("text")).groupBy("votes").count().collect()}
     posterior, _ = label_model(counts) if counts else ({}, None)
     share = min(1.0, MOST_TRAINING / max(1, sum(counts.values())))
-    drawn = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Copies of a text are drawn as one row with their number as its weight, so that no text can fill the sample.
+    drawn = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("text").agg(F.count("*").alias("copies"))
     known = spark.sparkContext.broadcast(posterior)
 
     def sample(batches):
@@ -153,9 +156,9 @@ def quality(docs: DataFrame) -> DataFrame:
             s = Shapes(batch.column("text"))
             index, value, cut = s.features()
             of = lambda v, t: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(v, t))
-            yield pa.record_batch([of(index.astype(np.int32), pa.int32()), of(value.astype(np.float32), pa.float32()), pa.array([known.value[v] for v in s.votes()], pa.float64())], ["index", "value", "good"])
+            yield pa.record_batch([of(index.astype(np.int32), pa.int32()), of(value.astype(np.float32), pa.float32()), pa.array([known.value[v] for v in s.votes()], pa.float64()), batch.column("copies")], ["index", "value", "good", "copies"])
 
-    rows = drawn.select(F.col("text").cast("binary").alias("text")).mapInArrow(sample, "index array<int>, value array<float>, good double")
+    rows = drawn.select(F.col("text").cast("binary").alias("text"), "copies").mapInArrow(sample, "index array<int>, value array<float>, good double, copies long")
     model = spark.sparkContext.broadcast(_train(materialize(rows, "shapes").toArrow()))
 
     @F.arrow_udf("posterior double, score double")
@@ -186,9 +189,11 @@ def _train(sample: pa.Table) -> tuple[np.ndarray, float]:
     index = rows["index"].combine_chunks().flatten().to_numpy().astype(np.int32)
     value = rows["value"].combine_chunks().flatten().to_numpy()
     good = rows["good"].to_numpy()
+    # A row is drawn into batches as often as its text stands in the corpus.
+    share = rows["copies"].to_numpy() / rows["copies"].to_numpy().sum()
     rng = np.random.default_rng(7)
     cut = np.concatenate([[0], np.cumsum(lengths)])
-    batches = [rng.choice(len(good), min(BATCH, len(good)), replace=False) for _ in range(STEPS)]
+    batches = [rng.choice(len(good), min(BATCH, len(good)), p=share) for _ in range(STEPS)]
     return fit(DIMENSIONS, index, value, cut, lambda z, pick: (sigmoid(z) - good[pick]) / len(pick), batches, RATE, DECAY)
 
 
