@@ -25,10 +25,12 @@ from kinfold.session import materialize
 WIDTH = 13
 #: A share of hit words from which a document is contaminated.
 SHARE = 0.05
-#: Windows that are broadcast, some 120 bytes each.
-MOST_WINDOWS = 500_000
+#: Windows that are broadcast; with their words and the table some 500 bytes each in a process.
+MOST_WINDOWS = 200_000
 #: Bits of the bitmap that stands for a larger set.
 BITMAP_BITS = 1 << 26
+#: Bytes of the parts in which it is put together.
+BITMAP_PART = 1 << 16
 RULE = Words(space=False)
 
 
@@ -112,14 +114,43 @@ def _by_set(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return scanned.select("row", "_hits.*")
 
 
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """One bit for each value of the leading bits of a hash, set in tasks and put together in parts of fixed size."""
+
+    def mark(batches):
+        bits = np.zeros(BITMAP_BITS, bool)
+        for batch in batches:
+            bits[(batch.column("hash").to_numpy().view(U) >> U(64 - 26)).astype(np.int64)] = True
+        packed = np.packbits(bits).reshape(-1, BITMAP_PART)
+        some = np.flatnonzero(packed.any(1))
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
+
+    def merge(batches):
+        at, bits = None, None
+        for batch in batches:
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("bits"), strict=True):
+                own = np.frombuffer(own.as_buffer(), np.uint8)
+                if part == at:
+                    bits = bits | own
+                    continue
+                if at is not None:
+                    yield pa.record_batch([pa.array([at], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+                at, bits = part, own
+        if at is not None:
+            yield pa.record_batch([pa.array([at], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+    parts = windows.select("hash").mapInArrow(mark, "part int, bits binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros((BITMAP_BITS // 8 // BITMAP_PART, BITMAP_PART), np.uint8)
+    for r in parts.mapInArrow(merge, "part int, bits binary").toLocalIterator():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The way for more windows than are broadcast: candidates by a bitmap, checked by a join on hash and words."""
     spark = docs.sparkSession
-    bits = np.zeros(BITMAP_BITS, bool)
-    for r in windows.select(F.shiftrightunsigned("hash", 64 - 26).alias("b")).distinct().toLocalIterator():
-        bits[r.b] = True
     lengths = [r.length for r in windows.select("length").distinct().collect()]
-    shared = spark.sparkContext.broadcast((np.packbits(bits), lengths))
+    shared = spark.sparkContext.broadcast((_bitmap(windows), lengths))
     kind = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("hash", pa.int64()), ("words", pa.binary())])
 
     @F.arrow_udf("n_words long, found array<struct<at:int,length:int,hash:long,words:binary>>")
