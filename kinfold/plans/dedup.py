@@ -199,6 +199,6 @@ def segmented_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(joined.cast("binary"), 256).alias("digest"), F.size(parts).cast("long").alias("parts"))
 
 
-@query("select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then printf('%.2f', n_chars / 1024.0::double) || ' KB' else printf('%.2f', n_chars / 1048576.0::double) || ' MB' end shown, case when n_chars // 60 = 0 then n_chars || 's' else (n_chars // 60) || 'm ' || (n_chars % 60) || 's' end lasting from documents")
+@query("select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then printf('%.2f', floor(n_chars / 1024.0::double * 100 + 0.5) / 100) || ' KB' else printf('%.2f', floor(n_chars / 1048576.0::double * 100 + 0.5) / 100) || ' MB' end shown, case when n_chars // 60 = 0 then n_chars || 's' else (n_chars // 60) || 'm ' || (n_chars % 60) || 's' end lasting from documents")
 def format_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", rules.format_bytes(F.col("n_chars")).alias("shown"), rules.format_seconds(F.col("n_chars")).alias("lasting"))

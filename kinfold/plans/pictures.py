@@ -225,14 +225,16 @@ def coarse_to_fine(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).select("id", distances.coarse_to_fine(levels, 90.0).alias("passes"))
 
 
-@query(f"""with {GRID}, px as (select id, unnest(range(0, 64)) i, unnest(g) v from gr), c as (select id, ((i // 8) // 2) * 4 + (i % 8) // 2 cell, avg(v) a from px group by 1, 2), m as (select id, avg(a) t from c group by id)
+@query(f"""with {GRID}, so as (select id, {SOBEL} s from gr), px as (select id, unnest(range(0, 36)) k, unnest(s) v from so), c as (select id, (k // 6 + 1) // 2 * 4 + (k % 6 + 1) // 2 cell, sum(v) / 4.0::double a from px group by 1, 2), m as (select id, sum(v) / 64.0::double t from px group by id)
 select c.id, cell::int cell, round(least(1, a / (t * 1.5 * 2)), 6) weight from c join m using (id) where a > t * 1.5""")
 def salient_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of 2 x 2 pixels whose mean is half again that of the picture."""
-    px = _grids(spark, d).select("id", "mean", F.posexplode("grid").alias("i", "v"))
-    cell = (F.floor(F.floor(F.col("i") / 8) / 2) * 4 + F.floor((F.col("i") % 8) / 2)).cast("int")
-    cells = px.groupBy("id", "mean", cell.alias("cell")).agg(F.avg("v").alias("a"))
-    return cells.filter(F.col("a") > F.col("mean") * 1.5).select("id", "cell", F.round(F.least(F.lit(1.0), F.col("a") / (F.col("mean") * 3)), 6).alias("weight"))
+    """Cells of 2 x 2 pixels whose mean gradient is above one and a half times that of the picture; the rim has none."""
+    px = _grids(spark, d).select("id", F.posexplode(grids.sobel(F.col("grid"))).alias("k", "v"))
+    cell = (F.floor((F.floor(F.col("k") / 6) + 1) / 2) * 4 + F.floor((F.col("k") % 6 + 1) / 2)).cast("int")
+    cells = px.groupBy("id", cell.alias("cell")).agg((F.sum("v") / 4.0).alias("a"))
+    means = px.groupBy("id").agg((F.sum("v") / 64.0).alias("mean"))
+    above = cells.join(means, "id").filter(F.col("a") > F.col("mean") * 1.5)
+    return above.select("id", "cell", F.round(F.least(F.lit(1.0), F.col("a") / (F.col("mean") * 1.5 * 2)), 6).alias("weight"))
 
 
 @query(f"""with {RAW}, hx as (select id, label, lower(lpad(hex(a::uhugeint), 16, '0')) h from raw join gr using (id)), ch as (select label, h[i:i] c, i, id from hx, range(1, 17) t(i)), w as (select label, i, c, sum(case when id % 4 = 0 then 2 else 1 end) s from ch group by 1, 2, 3),
