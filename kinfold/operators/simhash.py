@@ -28,9 +28,10 @@ def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @F.arrow_udf("hi long, lo long")
     def fold(column: pa.Array) -> pa.Array:
-        flat, sizes = column.flatten().to_pylist(), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw = b"".join(md5(w.encode()).digest()[:8] for w in flat)
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).astype(np.int32)
+        # Each distinct word of a batch is hashed once.
+        flat, sizes = column.flatten().dictionary_encode(), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = b"".join(md5(w.encode()).digest()[:8] for w in flat.dictionary.to_pylist())
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64)[flat.indices.to_numpy()]
         total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
         end = np.cumsum(sizes)
         votes = (total[end] - total[end - sizes]) * 2 > sizes[:, None]
