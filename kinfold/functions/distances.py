@@ -65,6 +65,12 @@ def hash_vote(a: Column, d: Column, p: Column) -> Column:
     return F.coalesce(F.floor(weighted([(part(p), 0.5), (part(d), 0.3), (part(a), 0.2)]) + 0.5), F.lit(0)).cast("int")
 
 
+def weighted_similarity(a: Column, d: Column, p: Column, bits: tuple[int, int, int] = (64, 56, 64)) -> Column:
+    """Mean of the similarities of the hashes that are there, block and difference hash .4 each, average hash .2; 0 without any."""
+    parts = [(100 * (1 - c / n), w) for c, n, w in zip((a, d, p), bits, (0.2, 0.4, 0.4), strict=True)]
+    return F.coalesce(weighted(parts), F.lit(0.0))
+
+
 def adjusted_similarity(similarity: Column, brightness: tuple[Column, Column], contrast: tuple[Column, Column]) -> Column:
     return similarity * 0.7 + (100 - F.abs(brightness[0] - brightness[1])) * 0.15 + (100 - F.abs(contrast[0] - contrast[1])) * 0.15
 

@@ -76,6 +76,23 @@ def hash_similarity(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", F.round(distances.hash_distance(da, dd, dp), 6).alias("distance"), F.round(distances.hash_similarity(da, dd, dp), 6).alias("similarity"), distances.hash_vote(da, dd, dp).alias("vote"))
 
 
+WS = "((coalesce(100 * (1 - da / 64.0::double) * 0.2, 0) + coalesce(100 * (1 - dd / 56.0::double) * 0.4, 0) + 100 * (1 - dp / 64.0::double) * 0.4) / (case when da is null then 0 else 0.2 end + case when dd is null then 0 else 0.4 end + 0.4)::double)"
+
+
+@query(f"""with {PAIR}, lk as (select id, m * 100 / 255 br, (list_max(g) - list_min(g)) * 100 / 255.0::double co from gm), lf as (select br br0, co co0 from lk order by id limit 1)
+select q.id, round({WS}, 6) similarity, round({WS} * 0.7 + (100 - abs(br - br0)) * 0.15 + (100 - abs(co - co0)) * 0.15, 6) adjusted from q join lk using (id), lf""")
+def adjusted_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted similarity of hashes to the first picture's, and the same with brightness and contrast; some hashes are made missing."""
+    looks = _grids(spark, d).select("id", (F.col("mean") * 100 / 255).alias("br"), ((F.array_max("grid") - F.array_min("grid")) * 100 / F.lit(255.0)).alias("co"))
+    both = _against_first(_hashed(spark, d).join(looks, "id"))
+    da = F.when(F.col("id") % 5 != 1, distances.bit_distance(F.col("a"), F.col("a0")))
+    dd = F.when(F.col("id") % 7 != 1, distances.bit_distance(F.col("d"), F.col("d0")))
+    dp = distances.bit_distance(F.col("p"), F.col("p0"))
+    similarity = distances.weighted_similarity(da, dd, dp)
+    adjusted = distances.adjusted_similarity(similarity, (F.col("br"), F.col("br0")), (F.col("co"), F.col("co0")))
+    return both.select("id", F.round(similarity, 6).alias("similarity"), F.round(adjusted, 6).alias("adjusted"))
+
+
 @query(f"with {HASHED} select {HAM.format('x', 'y', 'a')}::int distance, count(*) pairs from h x join h y on x.id < y.id group by 1")
 def hash_distance_histogram(spark: SparkSession, d: str) -> DataFrame:
     from kinfold.operators.blocks import compared
