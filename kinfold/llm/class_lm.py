@@ -96,19 +96,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Model:
     """What scoring needs: sorted frequent words with counts and classes, transitions, emission sizes."""
 
-    def counted(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """For each word: its count (0 if not broadcast), whether it is broadcast."""
+    def index(self) -> None:
+        """Notes where the words with each beginning start: hashes spread evenly, so a lookup reads about one word from there."""
+        bits = max(1, len(self.word).bit_length())
+        self.shift = U(64 - bits)
+        self.first = np.minimum(np.searchsorted(self.word, np.arange(1 << bits, dtype=U) << self.shift), max(0, len(self.word) - 1)).astype(np.int32)
+
+    def places(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """For each word: its place among the broadcast ones, whether it is one of them."""
         if not len(self.word):
             return np.zeros(len(tokens.hash), np.int64), np.zeros(len(tokens.hash), bool)
-        at = np.minimum(np.searchsorted(self.word, tokens.hash), len(self.word) - 1)
-        found = self.word[at] == tokens.hash
-        return np.where(found, self.n[at], 0), found
+        at = self.first[tokens.hash >> self.shift].astype(np.int64)
+        last, left = len(self.word) - 1, np.arange(len(at))
+        while len(left := left[(self.word[at[left]] < tokens.hash[left]) & (at[left] < last)]):
+            at[left] += 1
+        return at, self.word[at] == tokens.hash
 
     def labels(self, tokens: Tokens, form: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word: its class (by form if not broadcast), its count (0 if not broadcast), whether it is broadcast."""
-        n, found = self.counted(tokens)
-        label = CLASSES + 1 + form.astype(np.int64)
-        label[found] = self.label[np.searchsorted(self.word, tokens.hash[found])]
+        at, found = self.places(tokens)
+        label, n = CLASSES + 1 + form.astype(np.int64), np.zeros(len(at), np.int64)
+        label[found], n[found] = self.label[at[found]], self.n[at[found]]
         return label, n, found
 
     def path(self, label: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -274,10 +282,11 @@ class Codes:
             m = shared.value
             for batch in pieces(batches, "text"):
                 tokens = Tokens(RULE, batch.column("text"))
-                n, found = m.counted(tokens)
+                at, found = m.places(tokens)
                 code = len(m.word) + forms(tokens).astype(np.int64)
-                own = found & (n >= MIN_COUNT)
-                code[own] = np.searchsorted(m.word, tokens.hash[own])
+                own = np.flatnonzero(found)
+                own = own[m.n[at[own]] >= MIN_COUNT]
+                code[own] = at[own]
                 cut = np.cumsum(tokens.count)
                 code = np.insert(code, cut, len(m.word) + FORMS)
                 ends = np.concatenate([[0], cut + np.arange(1, len(cut) + 1)]) * 4
@@ -295,16 +304,15 @@ class Codes:
         shared = self.spark.sparkContext.broadcast(label.astype(np.int16))
 
         def count(batches):
-            key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            total = np.zeros(kinds * kinds, np.int64)
             for batch in batches:
                 flat, cut = _flat(batch.column("codes"))
                 now = shared.value[flat].astype(np.int64)
                 before = np.roll(now, 1)
                 before[cut[:-1]] = shared.value[-1]
-                new, k = np.unique(before * kinds + now, return_counts=True)
-                key, back = np.unique(np.concatenate([key, new]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([n, k]), len(key)).astype(np.int64)
-            yield pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
+                total += np.bincount(before * kinds + now, minlength=kinds * kinds)
+            key = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(key), pa.array(total[key])], ["key", "n"])
 
         got = self.table.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(kinds * kinds)
@@ -473,6 +481,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     del got
     order = np.argsort(model.word.view(U))
     model.word, form, model.n = model.word[order].view(U), form[order], model.n[order]
+    model.index()
     model.least = least
     # Whether words that are not broadcast can have a class of the exchange.
     model.deep = least is None or least > MIN_COUNT
