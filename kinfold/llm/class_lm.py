@@ -270,7 +270,7 @@ class Codes:
     """The training texts as numbers of words, and passes over them.
 
     codes: 32-bit numbers for each text, ending with the end of the text. The words known by number are ``word``; behind them
-    come the forms of the other words, then the end.
+    come the forms of the other words, then the end. rest: hashes of the words that are not broadcast, where the model is deep.
     """
 
     def __init__(self, texts: DataFrame, model: Model, form: np.ndarray):
@@ -290,9 +290,12 @@ class Codes:
                 cut = np.cumsum(tokens.count)
                 code = np.insert(code, cut, len(m.word) + FORMS)
                 ends = np.concatenate([[0], cut + np.arange(1, len(cut) + 1)]) * 4
-                yield pa.record_batch([pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(code.astype(np.int32))])], ["codes"])
+                rare = ~found if m.deep else np.zeros(len(found), bool)
+                rest = np.concatenate([[0], np.cumsum(np.bincount(tokens.row[rare], minlength=tokens.rows))]) * 8
+                yield pa.record_batch([_binary(code.astype(np.int32), ends), _binary(tokens.hash[rare], rest)], ["codes", "rest"])
 
-        self.table = materialize(texts.mapInArrow(encode, "codes binary"), "codes")
+        self.both = materialize(texts.mapInArrow(encode, "codes binary, rest binary"), "codes")
+        self.table = self.both.select("codes")
         # Words below MIN_COUNT are never met by number.
         self.start = np.where(model.n >= MIN_COUNT, CLASSES + 1 + form.astype(np.int64), -1)
 
@@ -379,6 +382,11 @@ class Codes:
         return after
 
 
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the values' bytes, cut at ``ends``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _flat(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts of a batch, and where each begins."""
     data, offsets = buffers(codes)
@@ -414,25 +422,25 @@ def exchange(codes: Codes, n: np.ndarray, tokens: int) -> tuple[np.ndarray, np.n
     return own, classes
 
 
-def deep_labels(texts: DataFrame, counts: DataFrame, model: Model, classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+def deep_labels(codes: Codes, counts: DataFrame, model: Model, own: np.ndarray, classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """word, label of the words that are not broadcast and seen MIN_COUNT times or more: the best class beside the others.
 
-    Also the class bigram counts with these classes.
+    Also the class bigram counts with these classes. All broadcast words of a deep model are known by number, so the forms
+    among the codes stand for the others.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((model, classes))
+    size = codes.size
+    shared = codes.spark.sparkContext.broadcast((codes.labels(own), classes))
 
     def count(batches):
-        m, _ = shared.value
-        for batch in pieces(batches, "text"):
-            tokens = Tokens(RULE, batch.column("text"))
-            label, _, found = m.labels(tokens, forms(tokens))
-            cut = np.cumsum(tokens.count)
-            near, word = np.insert(label, cut, CLASSES), np.insert(np.where(found, U(0), tokens.hash), cut, U(0))
-            begin = np.concatenate([[0], cut + np.arange(1, len(cut) + 1)])[:-1]
+        label, _ = shared.value
+        for batch in pieces(batches, "codes"):
+            flat, cut = _flat(batch.column("codes"))
+            near, word = label[flat], np.zeros(len(flat), U)
+            word[(flat >= size) & (flat < size + FORMS)] = buffers(batch.column("rest"))[0].view(U)
             before, last = np.roll(near, 1), np.roll(word, 1)
-            before[begin], last[begin] = CLASSES, 0
+            before[cut[:-1]], last[cut[:-1]] = CLASSES, 0
             keep = (word != 0) | (last != 0)
-            yield pa.record_batch([pa.array(x[keep]) for x in (last.view(np.int64), word.view(np.int64), before.astype(np.int16), near.astype(np.int16))], ["before", "after", "before_near", "after_near"])
+            yield pa.record_batch([pa.array(x[keep]) for x in (last.view(np.int64), word.view(np.int64), before, near)], ["before", "after", "before_near", "after_near"])
 
     def move(batches):
         for batch in batches:
@@ -444,12 +452,12 @@ def deep_labels(texts: DataFrame, counts: DataFrame, model: Model, classes: np.n
             yield pa.record_batch([pa.array(word), pa.array(best.astype(np.int32))], ["word", "label"])
 
     # Pairs of neighbours with such a word among them; 0 stands for the others.
-    pairs = texts.mapInArrow(count, "before long, after long, before_near short, after_near short")
+    pairs = codes.both.mapInArrow(count, "before long, after long, before_near short, after_near short")
     pairs = materialize(pairs.groupBy("before", "after", "before_near", "after_near").agg(F.count("*").alias("n")), "pairs")
     beside = lambda side, near: pairs.filter(F.col(side) != 0).select(F.col(side).alias("word"), near.cast("int").alias("near"), "n")
     contexts = beside("before", F.col("after_near")).unionByName(beside("after", F.col("before_near") + TOTAL)).unionByName(pairs.filter("before = after").select(F.col("before").alias("word"), F.lit(2 * TOTAL).alias("near"), "n"))
-    own = counts.filter((F.col("n") < (model.least or 2**62)) & (F.col("n") >= MIN_COUNT)).select("word", (F.lit(CLASSES + 1) + F.col("form")).cast("int").alias("own"))
-    cells = contexts.groupBy("word", "near").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("near", "n")).alias("cells")).join(own, "word")
+    start = counts.filter((F.col("n") < (model.least or 2**62)) & (F.col("n") >= MIN_COUNT)).select("word", (F.lit(CLASSES + 1) + F.col("form")).cast("int").alias("own"))
+    cells = contexts.groupBy("word", "near").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("near", "n")).alias("cells")).join(start, "word")
     labels = materialize(cells.mapInArrow(move, "word long, label int"), "deep")
     named = pairs
     for side in ("before", "after"):
@@ -485,17 +493,18 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     model.least = least
     # Whether words that are not broadcast can have a class of the exchange.
     model.deep = least is None or least > MIN_COUNT
-    with scratch(docs.sparkSession):
-        label, classes = exchange(Codes(texts, model, form), model.n, max(1, model.tokens))
-    model.label = np.where(label < 0, CLASSES + 1 + form.astype(np.int64), label).astype(np.int16)
     rare = counts.filter(F.col("n") < least) if least is not None else counts
     own = (F.lit(CLASSES + 1) + F.col("form")).cast("int")
-    if model.deep:
-        labels, classes = deep_labels(texts, counts, model, classes)
-        rare = rare.join(labels, "word", "left").select("word", "n", F.coalesce("label", own).alias("label"))
-        rare = materialize(rare, "rare")
-    else:
-        rare = rare.select("word", "n", own.alias("label"))
+    with scratch(docs.sparkSession):
+        codes = Codes(texts, model, form)
+        label, classes = exchange(codes, model.n, max(1, model.tokens))
+        if model.deep:
+            labels, classes = deep_labels(codes, counts, model, label, classes)
+            rare = rare.join(labels, "word", "left").select("word", "n", F.coalesce("label", own).alias("label"))
+            rare = materialize(rare, "rare", outlive=True)
+        else:
+            rare = rare.select("word", "n", own.alias("label"))
+    model.label = np.where(label < 0, CLASSES + 1 + form.astype(np.int64), label).astype(np.int16)
     after = classes.sum(0)
     share = (after + 1) / (after.sum() + TOTAL)
     model.transition = np.log10((classes + SMOOTHING * share) / (classes.sum(1, keepdims=True) + SMOOTHING))
