@@ -283,11 +283,11 @@ def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(nation, "c_nationkey").groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n"))
 
 
-@query("with old as (select doc_id id, n_chars v from documents where doc_id % 3 <> 0), nw as (select doc_id id, n_chars + doc_id % 2 v from documents where doc_id % 5 <> 0) select case when old.id is null then 'added' when nw.id is null then 'kept' when old.v = nw.v then 'same' else 'updated' end as change, count(*) n from old full join nw on old.id = nw.id group by 1")
+@query("with old as (select doc_id id, max(quality) v from labels group by 1), nw as (select doc_id id, max((n_chars > 1000)::int) v from documents group by 1) select case when old.id is null then 'added' when nw.id is null then 'kept' when old.v = nw.v then 'same' else 'updated' end as change, count(*) n from old full join nw on old.id = nw.id group by 1")
 def upsert_changes(spark: SparkSession, d: str) -> DataFrame:
-    """What an upsert of one version of the documents' sizes into another changes."""
+    """What an upsert of marks read off the documents' sizes changes in the marks of the labels."""
     from kinfold.streaming.upsert import changes
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("v"))
-    new = docs.filter(F.col("id") % 5 != 0).withColumn("v", F.col("v") + F.col("id") % 2)
-    return changes(docs.filter(F.col("id") % 3 != 0), new, ["id"]).groupBy("change").agg(F.count("*").alias("n"))
+    old = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("v"))
+    new = table(spark, d, "documents").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("n_chars") > 1000).cast("int")).alias("v"))
+    return changes(old, new, ["id"]).groupBy("change").agg(F.count("*").alias("n"))
