@@ -6,8 +6,8 @@
    leader that it shares most parts with, ``ALIKE`` at least, and is compared with it; verified links make the first roots.
 3. The matrix. All sets stand in one order of tokens, and two sets that reach the threshold share ``SHARED`` tokens of
    their prefixes. The cells of the matrix are the prefix tokens that a group holds; tokens that no other root holds bound
-   what a class can share, and most classes end here. A query and a group meet where they share enough cells under
-   different roots and their bounds allow 3/7 of both sizes. There the group's members lie in a task as the union of all
+   what a class can share with sets that are not larger, and most classes end here. A query and a group meet where they
+   share enough cells under different roots and the larger one's bound allows 3/7 of both sizes. There the group's members lie in a task as the union of all
    their tokens, a chunk at a time: a query of n tokens opens the chunk if the union holds ceil(0.75 n) of them, the least
    that any partner must share, and only then members are counted, all shingles of both. Of two groups the larger one is
    stored and the smaller one asks; within a group those ask that the leader's root does not hold. A chunk tells a link
@@ -223,8 +223,9 @@ def star_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, width: in
 def cells(rows: DataFrame) -> DataFrame:
     """cid, grp, root, n, bound, tokens: the prefix tokens that other roots hold too; ``rows``: cid, grp, root, n, prefix.
 
-    bound: n less the prefix tokens that no other root holds, the most that a partner can share. Classes whose bound is
-    below what any partner needs are left out.
+    bound: n less the prefix tokens that no other root's prefix holds, the most that a partner of n tokens or fewer can share:
+    what such a partner holds behind its own prefix is no more than what stands behind this one. Of any partner at least
+    SHARED tokens are in both prefixes; classes that hold fewer are left out.
     """
     posted = rows.select("root", F.explode("prefix").alias("token"))
     several = materialize(posted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token"), "several")
@@ -253,14 +254,19 @@ def matrix_links(rows: DataFrame, mains: DataFrame, classes: DataFrame, docs: Da
     sizes = held.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("bound").alias("most"))
     sizes = materialize(sizes.join(mains, "grp"), "sizes")
     posted = held.select("cid", "grp", "root", "n", "bound", F.explode("tokens").alias("token"))
-    # Two sets of n and m tokens link if they share 3/7 (n + m); the smallest holder of a token tells who may at all.
+    # Two sets of n and m tokens link if they share 3/7 (n + m). A bound holds against partners that are not larger; against
+    # larger ones theirs holds. The smallest and the largest holder of a token tell who may link at all.
     enough = lambda bound, n: (100 + THRESHOLD) * bound >= THRESHOLD * n
-    holders = posted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min("n").alias("smallest")).filter("first <> last").select("token", "smallest")
-    posted = materialize(posted.join(holders, "token").filter(enough(F.col("bound"), F.col("n") + F.col("smallest"))).select("token", "cid", "grp", "root", "n", "bound"), "matrix")
+    holders = posted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min("n").alias("smallest"), F.max("n").alias("largest")).filter("first <> last").select("token", "smallest", "largest")
+    may = enough(F.col("bound"), F.col("n") + F.col("smallest")) | (F.col("largest") > F.col("n"))
+    posted = materialize(posted.join(holders, "token").filter(may).select("token", "cid", "grp", "root", "n", "bound"), "matrix")
     asked = posted.join(sizes.select("grp", "members", "main"), "grp")
     union = posted.groupBy("token", "grp").agg(F.min("root").alias("first"), F.max("root").alias("last")).join(sizes, "grp").select("token", F.col("grp").alias("other"), F.col("members").alias("others"), "first", "last", "low", "high", "most")
     asks = F.when(F.col("grp") == F.col("other"), F.col("root") != F.col("main")).otherwise((F.col("members") < F.col("others")) | ((F.col("members") == F.col("others")) & (F.col("grp") < F.col("other"))))
-    near = enough(F.least("bound", "most"), F.col("n") + F.col("low")) & (THRESHOLD * F.col("n") <= 100 * F.col("high"))
+    n, low, high = F.col("n"), F.col("low"), F.col("high")
+    smaller = (low <= n) & (THRESHOLD * n <= 100 * high) & enough(F.least("bound", "high"), n + low)
+    larger = (high > n) & (THRESHOLD * low <= 100 * n) & enough(F.least("most", "n"), n + F.greatest(low, n))
+    near = smaller | larger
     meet = asked.join(union, "token").filter(asks & near & ((F.col("first") != F.col("root")) | (F.col("last") != F.col("root"))))
     needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * THRESHOLD / 100))
     queries = meet.groupBy("cid", "root", "n", "other").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= needed)

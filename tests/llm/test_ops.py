@@ -154,6 +154,34 @@ def test_ngram_join_matrix_alone_is_exact(spark, monkeypatch):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def unequal_texts(seed):
+    """Links between sets of unequal sizes whose common part is frequent: the larger set holds behind its prefix what is in
+    the smaller one's, and a third text (c, p) leads both without linking to either."""
+    rng = np.random.default_rng(seed)
+    new = iter(f"w{i}" for i in range(10**6))
+    take = lambda k: [next(new) for _ in range(k)]
+    texts = []
+    for _ in range(6):
+        c, p = take(int(rng.integers(94, 114))), take(64)
+        texts += [c, c + take((len(c) - 4) // 3), c[:-10] + p]
+        texts += [c + take(900) for _ in range(14)] + [p + take(5) for _ in range(9)]
+        k = int(rng.integers(20, 60))
+        texts += [c[:k], c[:k] + take(k // 3), c[:k] + take(k // 3 + 2)]
+    order = rng.permutation(len(texts))
+    return [" ".join(texts[i]) for i in order]
+
+
+@pytest.mark.parametrize(("seed", "stars"), [(1, True), (2, True), (3, False)])
+def test_ngram_join_of_unequal_sizes(spark, monkeypatch, seed, stars):
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 12)
+    if not stars:
+        monkeypatch.setattr(ngram_join, "star_links", lambda placed, *_: placed.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0))
+    docs = docs_of(spark, unequal_texts(seed))
+    got = sorted([tuple(r) for r in ngram_join.digest(docs).collect()], key=repr)
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.digest(docs_of(spark, ODD).limit(0)).count() == 0
     assert ngram_join.keep_one(docs_of(spark, ["a b", "a b", "c"], ids=[5, 4, 9])).select("doc_id").orderBy("doc_id").collect() == [(4,), (9,)]

@@ -51,4 +51,4 @@ def test_stages(spark, data):
 
 def test_run_gives_the_last_stage(spark, data):
     out = corpus_pipeline.run(spark, data)
-    assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and out.count() > 0
+    assert out.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"] and out.count() > 0
