@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import ann, class_lm, decontaminate, line_dedup, mixing, ngram_join, pii, quality, toxicity, warc
+from kinfold.llm import ann, class_lm, decontaminate, filters, line_dedup, mixing, ngram_join, pii, quality, toxicity, warc
 from kinfold.session import table
 
 
@@ -50,10 +50,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_ngram_join, op3_pii, op4_source_mix, op5_warc_chunks, op6_nearest, op7_quality, op8_class_lm, op9_decontaminate, op10_line_dedup)
+    every = (op1_toxicity, op2_ngram_join, op3_pii, op4_source_mix, op5_warc_chunks, op6_nearest, op7_quality, op8_class_lm, op9_decontaminate, op10_line_dedup, op11_filter_audit)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op4_source_mix": mixing.ORACLE_SQL, "op5_warc_chunks": warc.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
+    return {
+        "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op4_source_mix": mixing.ORACLE_SQL,
+        "op5_warc_chunks": warc.ORACLE_SQL,
+        "op9_decontaminate": decontaminate.ORACLE_SQL,
+        "op11_filter_audit": filters.ORACLE_SQL,
+    }
