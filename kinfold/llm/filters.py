@@ -90,7 +90,7 @@ def masks(docs: DataFrame) -> DataFrame:
     return sized_join(judged, firsts, "digest", "left").select("doc_id", "part", (F.col("mask") + F.when(again, 1 << FILTERS.index("E")).otherwise(0)).alias("mask"))
 
 
-def removals(marked: DataFrame) -> DataFrame:
+def removals(marked: DataFrame, parts_held: int = PARTS_HELD) -> DataFrame:
     """part and cells: removals by kind, order and step of ``marked`` (part, mask, good, toxic), summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def removals(marked: DataFrame) -> DataFrame:
                 found = [np.bincount(cell[mine].ravel(), np.repeat(w, len(ORDERS)), len(ORDERS) * STEPS) for w in weighed]
                 name = coded.dictionary[int(p)].as_py()
                 held[name] = held.get(name, 0) + np.concatenate(found).astype(np.int64)
-            if len(held) > PARTS_HELD:
+            if len(held) > parts_held:
                 yield _arrays(held, salt)
                 held = {}
         yield _arrays(held, salt)
@@ -160,7 +160,7 @@ def _report(batches):
             )
 
 
-def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, parts_held: int = PARTS_HELD) -> DataFrame:
     """A row for each part, order and step; ``docs``: doc_id, text, source; ``labels``: doc_id, quality, toxic."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -168,7 +168,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
         marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         marks = materialize(marks.agg(F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")).alias("good"), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("toxic")).filter("good + toxic > 0"), "marks")
         marked = sized_join(masks(docs), marks, "doc_id", "left").select("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-        return materialize(removals(marked).mapInArrow(_report, OUT), "audit", outlive=True)
+        return materialize(removals(marked, parts_held).mapInArrow(_report, OUT), "audit", outlive=True)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import itertools
+import os
 import re
+import shutil
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, class_lm, components, decontaminate, line_dedup, mixing, ngram_join, pii, quality, toxicity, warc
+from kinfold.llm import ann, class_lm, components, decontaminate, filters, line_dedup, mixing, ngram_join, pii, quality, token_files, toxicity, warc
 from kinfold.llm.queries import queries
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -709,3 +712,121 @@ def test_patience_takes_one_order_first():
     assert sorted(blocks(lines(a + b, [0, 60]), lines(b + a, [0, 60]))) == [(0, 60), (60, 120)]
     assert sorted(blocks(lines(a + [9] + a, [0, 61]), lines(a, [0]))) == [(0, 60), (61, 121)]
     assert line_dedup.aligned_blocks(lines(a[:40] + b[:40], [0, 40]), lines(a[:40] + [7] + b[:40], [0, 41])) == ([], [0, 100])
+
+
+# --- 11 filter audit
+
+
+def brute_audit(docs, labels):
+    """Rows of (part, order, step, ...) of documents (id, text, source) and labels {id: (quality, toxic)}, filter by filter."""
+    first = {}
+    for i, t, _ in docs:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    fails = []
+    for i, t, s in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        bad = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(set(t) & set("#$%&*|")), "E": i is not None and first[t] < i}
+        fails.append((s or "", {f for f, b in bad.items() if b}, labels.get(i, (0, 0))))
+    out = {}
+    for part in {p for p, _, _ in fails}:
+        for order in itertools.permutations("ABCDE"):
+            left = [(f, lab) for p, f, lab in fails if p == part]
+            everyone = list(left)
+            for step, letter in enumerate(order, 1):
+                gone = [x for x in left if letter in x[0]]
+                left = [x for x in left if letter not in x[0]]
+                out[part, "".join(order), step] = [len(left), len(gone), sum(letter in f for f, _ in everyone) - len(gone), sum(f == {letter} for f, _ in everyone), sum(q for _, (q, _) in gone), sum(t for _, (_, t) in gone)]
+    shapley = Counter()
+    for (part, order, step), row in out.items():
+        shapley[part, order[step - 1]] += row[1]
+    return {k: (*row, shapley[k[0], k[1][k[2] - 1]]) for k, row in out.items()}
+
+
+def test_filter_audit(spark):
+    rng = np.random.default_rng(4)
+    pool = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(pool[: int(rng.integers(40, 400))], int(rng.integers(150, 320)))) for _ in range(60)]
+    texts = [t.upper()[: int(k)] + t[int(k) :] + m for t, k, m in zip(texts, rng.integers(0, 60, 60), rng.choice(["", "", " #", " a|b"], 60), strict=True)]
+    texts += texts[:9] + ODD + [texts[0]] * 30
+    sources = [None if i % 11 == 0 else ("", "a", "b", "c")[i % 4] for i in range(len(texts))]
+    ids = [None if i in (5, 63) else 7 if i % 13 == 0 else (i * 37) % 211 for i in range(len(texts))]
+    docs = docs_of(spark, texts, ids, sources)
+    rows = [(i, i % 2, int(i % 3 == 0)) for i in range(0, 211, 2)] + [(4, None, 1), (4, 0, 0), (None, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    known = {}
+    for i, q, t in rows[:-1]:
+        known[i] = (max(known.get(i, (0, 0))[0], q or 0), max(known.get(i, (0, 0))[1], t))
+    got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in filters.audit(docs, labels, parts_held=2).collect()}
+    assert got == brute_audit(list(zip(ids, texts, sources, strict=True)), known)
+    assert filters.digest(docs.limit(0), labels).count() == 0 and filters.digest(docs, labels.limit(0)).count() == len(got)
+
+
+# --- 13 token files
+
+
+def test_token_blocks():
+    rng = np.random.default_rng(2)
+    cases = [rng.integers(0, 49408, 5000), np.zeros(7, np.int64), np.array([-5]), rng.integers(-(2**63), 2**63 - 1, 300), np.array([2**63 - 1, -(2**63)]), np.r_[rng.integers(0, 9, 900), 2**40, -3], np.arange(10**6, 10**6 + 64)]
+    for values in cases:
+        for share in (0.5, 0.9, 1.0):
+            data = token_files.encode_block(np.asarray(values, np.int64), share)
+            assert token_files.block_bytes(data) == len(data)
+            assert np.array_equal(token_files.decode_block(data), values)
+    # An outlier costs its own place and bits, not the width of the others.
+    assert len(token_files.encode_block(cases[5])) < 900 * 4 / 8 + 60
+    assert all(np.array_equal(token_files.unpack(token_files.pack(v, w), len(v), w), v) for w in range(1, 65) for v in [rng.integers(0, 2**w, 77, dtype=np.uint64, endpoint=False) if w < 64 else rng.integers(0, 2**64 - 1, 77, dtype=np.uint64)])
+
+
+def whole_text_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+HARD = ["<|endoftext|> a<|startoftext|>b", "é Ȩ́ ́x", "don't DON'T 'll x's y'S", "a b c　d \x1c e", "ΑΣ ΣΑΣ\nΣ", 'say "so" " !', "1234567 ①½", "İstanbul ß ﬁ", "👩‍👩‍👧 🇩🇪", "\x01 \x00 \x7f", "ab" * 9000]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_token_files(spark, data, apart):
+    table = spark.read.parquet(f"{data}/documents.parquet").select("text").limit(60).collect()
+    texts = ODD + HARD + [r.text for r in table] + ["same text"] * 40
+    ids = [None if i in (3, 70) else 9 if i >= len(texts) - 40 else (i * 53) % 499 - 100 for i in range(len(texts))]
+    docs = docs_of(spark, texts, ids).repartition(3, "doc_id")
+    path = token_files.shared_path(spark, "tokens")
+    token_files.write_tokens(docs, path, apart=apart, block=64, words_held=400)
+    got = sorted(token_files.digests(token_files.read_chunks(spark, path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda i: (i is not None, i))
+    expected = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in zip(ids, whole_text_ids(texts), strict=True))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == expected
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    chunks = sorted(token_files.read_chunks(spark, path).collect(), key=lambda r: (r.start, r.chunk_no))
+    every = [i for r in chunks for i in r.ids]
+    assert len(every) == sum(r.n_tokens for r in got) and max(len(r.ids) for r in chunks) <= 64
+    for a, b in ((0, 10), (60, 70), (1000, 1900), (len(every) - 5, len(every) + 9), (5, 5)):
+        part = sorted(token_files.read_range(spark, path, a, b).collect())
+        assert [i for r in part for i in r.ids] == every[a:b] and (not part or part[0].first == a)
+
+
+def test_token_files_keep_what_is_committed(spark):
+    """A file that is in no manifest is not read; an empty table has no files."""
+    docs = docs_of(spark, ["a b", "c"])
+    path = token_files.shared_path(spark, "tokens")
+    token_files.write_tokens(docs, path)
+    folder = path.removeprefix("file://")
+    stray = os.path.join(folder, "part-00000-stray.tokens")
+    shutil.copy(next(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".tokens")), stray)
+    assert sorted(token_files.digests(token_files.read_chunks(spark, path)).select("doc_id", "start").collect()) == [(0, 0), (1, 3)]
+    assert token_files.digest(docs.limit(0)).count() == 0
+
+
+def test_token_words_are_encoded_as_whole_texts(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    got = sorted(queries()["op13_token_files"](spark, data).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    ids = whole_text_ids([r.text for r in rows])
+    start = np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    assert [tuple(r) for r in got] == [(r.doc_id, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, s, x in zip(rows, start, ids, strict=True)]
