@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import ann, class_lm, decontaminate, filters, line_dedup, mixing, ngram_join, pii, quality, token_files, toxicity, warc
+from kinfold.llm import ann, class_lm, decontaminate, filters, line_dedup, mixing, ngram_join, pii, prefix_trie, quality, token_files, toxicity, warc
 from kinfold.session import table
 
 
@@ -54,12 +54,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_ngram_join, op3_pii, op4_source_mix, op5_warc_chunks, op6_nearest, op7_quality, op8_class_lm, op9_decontaminate, op10_line_dedup, op11_filter_audit, op13_token_files)
+    every = (op1_toxicity, op2_ngram_join, op3_pii, op4_source_mix, op5_warc_chunks, op6_nearest, op7_quality, op8_class_lm, op9_decontaminate, op10_line_dedup, op11_filter_audit, op12_prefix_trie, op13_token_files)
     return {f.__name__: f for f in every}
 
 
@@ -70,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_chunks": warc.ORACLE_SQL,
         "op9_decontaminate": decontaminate.ORACLE_SQL,
         "op11_filter_audit": filters.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     }

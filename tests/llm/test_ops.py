@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, class_lm, components, decontaminate, filters, line_dedup, mixing, ngram_join, pii, quality, token_files, toxicity, warc
+from kinfold.llm import ann, class_lm, components, decontaminate, filters, line_dedup, mixing, ngram_join, pii, prefix_trie, quality, token_files, toxicity, warc
 from kinfold.llm.queries import queries
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -830,3 +830,76 @@ def test_token_words_are_encoded_as_whole_texts(spark, data):
     ids = whole_text_ids([r.text for r in rows])
     start = np.cumsum([0, *map(len, ids)])[:-1].tolist()
     assert [tuple(r) for r in got] == [(r.doc_id, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, s, x in zip(rows, start, ids, strict=True)]
+
+
+# --- 12 prefix trie
+
+
+def brute_trie(rows):
+    """Nodes of (conv_id, turn, role, text) rows, by dictionary."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, role, hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest(), text))
+    own = {c: [(r, t) for _, _, r, _, t in sorted(v)] for c, v in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (abs(c) % 100 if c >= 0 else -(abs(c) % 100))
+        s = (*own.get(base, [])[:h], *own[c][h:])
+        for d in range(len(s) + 1):
+            members[s[:d]].append(c)
+        ends[s].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1]) if p else 0
+    sha = lambda p: hashlib.sha256(",".join(map(str, sorted(ends[p]))).encode()).hexdigest()
+    return sorted(((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], sha(p)) for p, m in members.items()), key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_prefix_trie(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(None, 0, "user", "lost"), (300, None, "user", "é🎉"), (300, 5, None, None), (300, 5, "user", "tie b"), (300, 5, "user", "tie a"), (300, 5, "user", "tie a"), (-7, 0, "a", "b"), (-107, 1, "a", "b"), (0, 9, "", "")]
+    for c in range(1, 260):
+        n = int(rng.integers(1, 9))
+        if c % 3 == 0:  # a third are one conversation, or the beginnings of it
+            rows += [(c, t, "user", f"same {t}") for t in range(min(n + 3, 8))]
+        else:
+            rows += [(c, t, ("user", "bot")[t % 2], f"{rng.integers(0, 3)} x") for t in range(n)]
+    rows += [(900, t, "user", f"long {t}") for t in range(300)] + [(901, t, "user", f"long {t}") for t in range(280)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, node string, kind int").repartition(3, "turn")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sorted((tuple(r) for r in prefix_trie.digest(table).collect()), key=repr)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_trie(rows)
+    assert prefix_trie.digest(table.limit(0)).count() == 0
+
+
+def test_prefix_trie_stitches_long_runs():
+    """Runs of equal conversations over many tasks, with pieces of their ids and paths that end at a border, swept by hand."""
+    a, b, c = (hashlib.md5(x).digest() + (5).to_bytes(8) for x in (b"a", b"b", b"c"))
+    rows = sorted([([a], i) for i in range(9000)] + [([a, b], 9000 + i) for i in range(5)] + [([a, b, c], 9100), ([b], 9200), ([c, a], 9201), ([c, a], 9202)])
+    kinds = {"conv_id": pa.int64(), "turns": pa.list_(pa.binary())}
+    results = []
+    for cuts in ([], [1], [4000, 8000, 9001], [9000, 9005, 9006, 9007, 9008], list(range(8990, 9009))):
+        out, edges = [], [0, *cuts, len(rows)]
+        for part, (i, j) in enumerate(itertools.pairwise(edges)):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(prefix_trie.TaskContext, "get", lambda part=part: type("T", (), {"partitionId": lambda self: part})())
+                batch = pa.record_batch([pa.array([r[1] for r in rows[i:j]], kinds["conv_id"]), pa.array([r[0] for r in rows[i:j]], kinds["turns"])], list(kinds))
+                out += [r for x in prefix_trie._sweep([batch]) for r in x.to_pylist()]
+        nodes = [r for r in out if r["kind"] == prefix_trie.DONE]
+        edge = sorted((r for r in out if r["kind"] != prefix_trie.DONE), key=lambda r: (r["part"], r["kind"], r["depth"], r["piece"]))
+        nodes += [r for x in prefix_trie._stitch([pa.RecordBatch.from_pylist(edge[k : k + 3], prefix_trie.ARROW) for k in range(0, len(edge), 3)]) for r in x.to_pylist()]
+        results.append(sorted((r["depth"], r["node"], r["parent"], r["n"], r["least"], r["children"], r["leaves"], r["saved"], r["ends"]) for r in nodes if r["depth"]))
+    assert len(results[0]) == 6 and all(r == results[0] for r in results)
