@@ -32,9 +32,10 @@ def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         flat, sizes = column.flatten().dictionary_encode(), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         raw = b"".join(md5(w.encode()).digest()[:8] for w in flat.dictionary.to_pylist())
         bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64)[flat.indices.to_numpy()]
-        total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-        end = np.cumsum(sizes)
-        votes = (total[end] - total[end - sizes]) * 2 > sizes[:, None]
+        some, count = sizes > 0, np.zeros((len(sizes), 64), np.int32)
+        if some.any():
+            count[some] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.int32)
+        votes = count * 2 > sizes[:, None]
         halves = np.packbits(votes, axis=1).view(">u4").astype(np.int64).reshape(-1, 2)
         mask = sizes == 0
         return pa.StructArray.from_arrays([pa.array(halves[:, 0], mask=mask), pa.array(halves[:, 1], mask=mask)], ["hi", "lo"])
@@ -54,15 +55,29 @@ def bit_at(i: int) -> Column:
     return F.call_function("shiftright", F.col(c), F.lit(at)).bitwiseAND(1)
 
 
+def band_cuts(n: int) -> list[tuple[int, int]]:
+    """First bit and end of ``n`` bands of nearly equal length."""
+    return [(i * 64 // n, (i + 1) * 64 // n) for i in range(n)]
+
+
+def whole(prefix: str = "") -> Column:
+    """The 64 bits of a signature as one long."""
+    return F.call_function("shiftleft", F.col(f"{prefix}hi"), F.lit(32)).bitwiseOR(F.col(f"{prefix}lo"))
+
+
+def low_bits(width: int) -> int:
+    """A long whose lower ``width`` bits are set."""
+    return (1 << width) - 1 if width < 64 else -1
+
+
+def band_keys(n: int) -> list[Column]:
+    """The 64 bits cut into ``n`` runs of nearly equal length."""
+    return [F.call_function("shiftrightunsigned", whole(), F.lit(64 - hi)).bitwiseAND(F.lit(low_bits(hi - lo))).cast("long") for lo, hi in band_cuts(n)]
+
+
 def bands(n: int) -> Column:
-    """An array of (band, key): the 64 bits cut into ``n`` runs of nearly equal length."""
-    cuts = [i * 64 // n for i in range(n + 1)]
-    whole = F.call_function("shiftleft", F.col("hi"), F.lit(32)).bitwiseOR(F.col("lo"))
-    parts = []
-    for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        key = F.call_function("shiftrightunsigned", whole, F.lit(64 - hi)).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        parts.append(F.struct(F.lit(b).alias("band"), key.cast("long").alias("key")))
-    return F.array(*parts)
+    """An array of (band, key)."""
+    return F.array(*[F.struct(F.lit(b).alias("band"), key.alias("key")) for b, key in enumerate(band_keys(n))])
 
 
 def band_pairs(classes: DataFrame, n: int) -> DataFrame:
@@ -75,8 +90,10 @@ def band_pairs(classes: DataFrame, n: int) -> DataFrame:
 
 
 def near_pairs(classes: DataFrame, most: int) -> DataFrame:
-    """All pairs at a Hamming distance of ``most`` or less: of most + 1 bands, one is equal."""
-    return band_pairs(classes, most + 1).filter(F.col("distance") <= most)
+    """a, b, distance of all pairs of classes at a Hamming distance of ``most`` or less, a < b."""
+    from kinfold.operators.radius import pairs
+
+    return pairs(classes.select("id", "hi", "lo"), most)
 
 
 def band_stats(classes: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import rules
-from kinfold.operators import clustering, organize, simhash
+from kinfold.operators import clustering, organize, radius, simhash
 from kinfold.plans.registry import query
 from kinfold.session import materialize, table
 
@@ -88,6 +88,22 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_pairs(_classes(spark, d), MOST).withColumn("similarity", F.round(100 * (1 - F.col("distance") / 64.0), 6))
 
 
+#: Bands of 16 bits, and how far two signatures within MOST bits may be apart in one of them.
+RADII = radius.radii(MOST, 4)
+BAND_DISTANCES = ", ".join(f"bit_count({half}) d{b}" for b, half in enumerate(f"xor(x.{c}::bigint, y.{c}::bigint) {cut}" for c in ("hi", "lo") for cut in (">> 16", "& 65535")))
+
+
+@query(f"""with {SIGNED}, apart as (select dist, {BAND_DISTANCES} from allp join cls x on x.id = a join cls y on y.id = b)
+{' union all '.join(f"select {b}::int band, {r}::int radius, {len(radius.masks(16, r))}::int as keys, count(*) filter (d{b} <= {r}) candidates, count(*) filter (d{b} <= {r} and dist <= {MOST}{''.join(f' and d{e} > {RADII[e]}' for e in range(b))}) pairs from apart" for b, r in enumerate(RADII))}""")
+def radius_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Of each band of 16 bits: its radius, the keys that a signature asks for, pairs that meet, near pairs first met there."""
+    classes = _classes(spark, d).select("id", "hi", "lo")
+    met = radius.candidates(classes, classes, MOST, 4).filter("a < b")
+    count = met.withColumn("first", radius.first_band(MOST, 4)).groupBy("band").agg(F.count("*").alias("candidates"), F.count_if((F.col("distance") <= MOST) & (F.col("band") == F.col("first"))).alias("pairs"))
+    every = spark.createDataFrame([(b, r, len(radius.masks(16, r))) for b, r in enumerate(RADII)], "band int, radius int, keys int")
+    return every.join(count, "band", "left").select("band", "radius", "keys", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
 @query(f"with {SIGNED} select dist::int distance, count(*) pairs from allp group by dist")
 def hamming_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Distances of all pairs of signatures, in blocks."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold import plans
 from kinfold.functions import distances, grids, rules
-from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, simhash
+from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, simhash, radius
 from kinfold.sources import files
 from kinfold.streaming import upsert
 
@@ -89,6 +89,51 @@ def test_near_pairs_are_exhaustive(spark):
     assert {tuple(r)[:2] for r in simhash.band_pairs(classes, 4).filter("distance <= 3").collect()} == {(a, b) for a, b, d in want if d <= 3}
 
 
+def signatures_near(seed, n=160):
+    """Signatures around six centres, within eight flipped bits of them, and some anywhere."""
+    rng = np.random.default_rng(seed)
+    base = [int(x) for x in rng.integers(0, 2**63, 6)]
+    rows = []
+    for i in range(n):
+        v = base[i % 6] if i % 5 else int(rng.integers(0, 2**63)) * 2 + 1
+        for b in rng.integers(0, 64, rng.integers(0, 9)):
+            v ^= 1 << int(b)
+        rows.append((i, v >> 32, v & 0xFFFFFFFF))
+    return rows
+
+
+@pytest.mark.parametrize(("most", "n"), [(0, None), (2, 7), (3, 2), (6, 2), (6, 3), (6, 4), (6, 7), (6, None), (11, 3)])
+def test_radius_search_is_exact(spark, most, n):
+    rows = signatures_near(most)
+    apart = lambda x, y: (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count()
+    frame = spark.createDataFrame(rows, "id long, hi long, lo long")
+    got = sorted(tuple(r) for r in radius.pairs(frame, most, n, hot=5).collect())
+    assert got == sorted((x[0], y[0], apart(x, y)) for x in rows for y in rows if x[0] < y[0] and apart(x, y) <= most)
+    # Each pair once, of two tables too, where ids may be the same.
+    other = signatures_near(most)[:70] + signatures_near(99, 30)
+    got = sorted(tuple(r) for r in radius.within(spark.createDataFrame(other[:70], "id long, hi long, lo long"), frame, most, n).collect())
+    assert got == sorted((x[0], y[0], apart(x, y)) for x in other[:70] for y in rows if apart(x, y) <= most)
+    assert radius.pairs(frame.limit(0), most, n).count() == 0
+
+
+def test_radius_is_spread_over_bands():
+    for most in range(20):
+        for n in range(1, most + 2):
+            r = radius.radii(most, n)
+            assert sum(x + 1 for x in r) == most + 1 and max(r) - min(r) <= 1
+    assert radius.probes(6, 4) == 3 * 17 + 1 and len(set(radius.masks(21, 2))) == 1 + 21 + 210
+
+
+def test_radius_search_meets_few(spark, data):
+    """Candidates of bands of 16 bits, against seven bands with one key each."""
+    data = data.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    classes = simhash.classes(simhash.simhash(docs, "doc_id", "text")).cache()
+    met = {n: radius.candidates(classes, classes, 6, n).filter("a < b").count() for n in (3, 4, 7)}
+    classes.unpersist()
+    assert met[3] < met[4] < met[7] / 8
+
+
 def test_distances(spark):
     row = spark.range(1).select(
         distances.hex_distance(F.lit("ff00"), F.lit("0f")).alias("hex"),
