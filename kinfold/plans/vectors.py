@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import distances, rules
-from kinfold.operators import blocks, linalg, lsh
+from kinfold.operators import blocks, linalg, lsh, pivots
 from kinfold.plans.registry import query
 from kinfold.session import table
 
@@ -26,8 +26,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     v = _vectors(spark, d)
-    near = blocks.compared(v, v, "cosine", LIMIT + 1).filter("query_id <> id")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    near = pivots.nearest(v, v, LIMIT + 1, "cosine").filter("query_id <> id")
+    order = W.partitionBy("query_id").orderBy("rank")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LIMIT).select("query_id", "id", F.round("score", 6).alias("similarity"), "rank")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold import plans
 from kinfold.functions import distances, grids, rules
-from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, simhash, radius
+from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, pivots, radius, simhash
 from kinfold.sources import files
 from kinfold.streaming import upsert
 
@@ -134,6 +134,56 @@ def test_radius_search_meets_few(spark, data):
     assert met[3] < met[4] < met[7] / 8
 
 
+def brute_nearest(queries, rows, k, measure):
+    out = []
+    for q, x in queries:
+        def score(y, x=x):
+            if measure == "distance":
+                return round(float(np.sqrt(((x - y) ** 2).sum())), 9)
+            n = np.sqrt((x**2).sum()) * np.sqrt((y**2).sum())
+            return round(float(x @ y / n), 9) if n else 0.0
+        best = sorted(((score(y) * (-1 if measure == "cosine" else 1), i) for i, y in rows))[:k]
+        out += [(q, r, i, abs(s) if measure == "distance" else -s) for r, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("measure", ["distance", "cosine"])
+def test_nearest_by_pivots_is_exact(spark, measure):
+    """Clusters, a third of all rows copies of one vector, ties, zero vectors, rows that take no part."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 4
+    x = [centres[i % 12] + rng.normal(size=6) * 0.2 for i in range(260)] + [centres[0]] * 140 + [np.zeros(6)] * 3 + list(rng.integers(0, 2, (30, 6)).astype(float))
+    ids = [int(i) for i in rng.permutation(len(x))]
+    odd = [(9001, None), (9002, [float("nan")] * 6), (9003, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6), (9004, [float("inf")] * 6)]
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)] + odd, "id long, vector array<double>").repartition(5)
+    rows = list(zip(ids, x, strict=True))
+
+    def check(found, expected):
+        got = sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect())
+        assert [g[:3] for g in got] == [e[:3] for e in expected]
+        assert np.allclose([g[3] for g in got], [e[3] for e in expected], atol=1e-8)
+
+    check(pivots.nearest(frame, frame, 6, measure, cell_rows=20, block_rows=16), brute_nearest(rows, rows, 6, measure))
+    asked = [(10_000 + i, v) for i, v in enumerate([*x[250:255], np.zeros(6), np.ones(6) * 9, np.ones(6) * 9])]
+    queries = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in asked], "id long, vector array<double>")
+    check(pivots.nearest(queries, frame, 9, measure, cell_rows=20, block_rows=64), brute_nearest(asked, rows, 9, measure))
+    assert pivots.nearest(queries, frame.limit(0), 3, measure).count() == 0 and pivots.nearest(frame.limit(0), frame, 3, measure).count() == 0
+    # Fewer vectors than are asked for.
+    assert pivots.nearest(queries.limit(1), frame.filter("id < 3"), 9, measure).count() == 3
+
+
+def test_pivots_rule_out_cells(spark):
+    """Of clustered vectors a query meets few; of random directions all."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 3
+    frame = lambda x: spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    near = frame(centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16)) * 0.1)
+    _, visits, cells = pivots.search(near, near, 10, "distance", cell_rows=40)
+    few = pivots.share(visits, cells)
+    _, visits, cells = pivots.search(far := frame(rng.normal(size=(500, 64))), far, 10, "distance", cell_rows=40)
+    assert few < 0.1 and pivots.share(visits, cells) <= 1
+
+
 def test_distances(spark):
     row = spark.range(1).select(
         distances.hex_distance(F.lit("ff00"), F.lit("0f")).alias("hex"),
