@@ -3,9 +3,9 @@
 Vectors are turned by fast Hadamard pseudo-rotations (random signs and a Walsh-Hadamard transform, three times); the nearest
 signed axis is a hash. A bucket of a table is named by ``hashes`` such axes, so many that there are about as many buckets as
 rows: the buckets grow in number with the table. A query probes in each of ``TABLES`` tables the buckets for which its own
-coordinates are largest in sum, so many that they hold about ``PROBE`` times the
-square root of all rows, and no fewer than thrice k. Distinct candidates
-are reranked exactly. Every row is indexed; no bucket is capped.
+coordinates are largest in sum. How many follows from a recall target: the exact neighbours of ``SAMPLE`` queries are found in
+one pass over all rows, and probes double, from those that hold thrice k rows or ``PROBE`` times the square root of
+all, until the buckets hold ``RECALL`` of these neighbours. Distinct candidates are reranked exactly. Every row is indexed; no bucket is capped.
 
 The rows are dealt to shards of about ``SHARD`` vectors; a task holds the tables of one shard, and the queries stream past
 it. A shard is no part of the hashing: the buckets that a query probes are the same in all.
@@ -34,6 +34,8 @@ K = 20
 TABLES, SEED = 36, 20
 PROBE = 0.45
 SHARD = 1 << 14
+#: Queries whose exact neighbours tell how many buckets to probe, and the share of these neighbours to be found.
+SAMPLE, RECALL = 96, 0.95
 #: Axes of each hash from which buckets are put together, by the number of hashes of a bucket.
 AXES = (0, 1 << 20, 32, 12, 8)
 #: Queries that probe at once.
@@ -141,12 +143,58 @@ class Shard:
         return out
 
 
+def tune(polytope: Polytope, queries: np.ndarray, near: list[np.ndarray], recall: float = RECALL) -> float:
+    """Double the probes of ``polytope`` until the buckets of ``queries`` hold a share of ``recall`` of their neighbours ``near``; the share."""
+    total = sum(map(len, near))
+    if not total:
+        return 1.0
+    places = [polytope.places(x) if len(x) else np.zeros((0, polytope.tables), np.int64) for x in near]
+    while True:
+        probed = np.concatenate([polytope.probed(queries[i : i + QUERY_ROWS]) for i in range(0, len(queries), QUERY_ROWS)])
+        found = sum(int(np.isin(p, q).any(1).sum()) for p, q in zip(places, probed, strict=True)) / total
+        if found >= recall or polytope.probes >= polytope.axes**polytope.hashes:
+            return found
+        polytope.probes = min(2 * polytope.probes, polytope.axes**polytope.hashes)
+
+
+def exact(data: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> list[np.ndarray]:
+    """The vectors of the ``k`` nearest rows of ``data`` for each of some queries, by comparison with all rows.
+
+    A task keeps k rows for each query, whatever it reads.
+    """
+    shared = data.sparkSession.sparkContext.broadcast((np.array([i for i, _ in queries], np.int64), np.stack([x for _, x in queries])))
+
+    def best(batches):
+        ids, asked = shared.value
+        held = [(np.zeros(0), np.zeros((0, asked.shape[1]))) for _ in ids]
+        for batch in (b for b in batches if b.num_rows):
+            vec, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
+            score = asked @ x.T
+            for q, (own, vectors) in enumerate(held):
+                mine = np.where(vec == ids[q], -np.inf, score[q])
+                top = np.argsort(-mine, kind="stable")[:k]
+                top = top[mine[top] > -np.inf]
+                own, vectors = np.r_[own, mine[top]], np.concatenate([vectors, x[top]])
+                order = np.argsort(-own, kind="stable")[:k]
+                held[q] = own[order], vectors[order]
+        number = np.repeat(np.arange(len(ids)), [len(own) for own, _ in held]).astype(np.int32)
+        flat = np.concatenate([v for _, v in held])
+        yield pa.record_batch([pa.array(number), pa.array(np.concatenate([own for own, _ in held])), pa.array(list(flat), pa.list_(pa.float64()))], ["query", "score", "embedding"])
+
+    found = data.mapInArrow(best, "query int, score double, embedding array<double>")
+    order = W.partitionBy("query").orderBy(F.desc("score"))
+    near = [[] for _ in queries]
+    for r in found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).toLocalIterator():
+        near[r.query].append(r.embedding)
+    return [np.array(x, float).reshape(len(x), -1) for x in near]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probe: float = PROBE) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probe: float = PROBE, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows of ``vectors`` found for each row of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
     text_batches(spark)
@@ -157,6 +205,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int =
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     polytope = Polytope(most.n, most.d, float(np.sqrt(most.longest)) * (1 + 1e-12), float(np.sqrt(most.shortest)), tables, probe)
+    same = data.filter(F.size("embedding") == most.d)
+    order = F.xxhash64("vec_id", "embedding")
+    sample = [(r.vec_id, np.array(r.embedding, float)) for r in asked.filter(F.size("embedding") == most.d).orderBy(order, "vec_id").limit(SAMPLE).collect()]
+    if sample:
+        tune(polytope, np.stack([x for _, x in sample]), exact(same, sample, k), recall)
     shards = -(-most.n // SHARD)
     rows = data.filter(F.size("embedding") == most.d).select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "vec_id", "embedding")
     looks = asked.filter(F.size("embedding") == most.d).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "vec_id", "embedding")

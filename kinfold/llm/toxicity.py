@@ -7,6 +7,11 @@ Features are presence of words and of word beginnings, hashed; those that toxic
 unlabelled ones, or less often, take part. A few classifiers see different samples, each in a task of its own; their mean
 scores every whole text.
 
+The share pi is estimated from toxic and unlabelled rows alone, so that labels may hold nothing but toxic documents: a
+classifier of one half of a sample scores the other half, and of all score thresholds the one where unlabelled rows are
+least frequent against toxic ones, by a bound of their ratio, gives pi: there, nearly all that unlabelled text has is
+toxic. It may be given as a parameter instead.
+
 Labels come from training rows only (crc32 of the id modulo 5 is not 0). The samples are bounded: MOST_TOXIC toxic and
 MOST_UNLABELLED unlabelled training rows for each classifier. Their features are counted and chosen before any row travels.
 
@@ -34,12 +39,14 @@ DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)
 CLASSIFIERS = 3
 MOST_TOXIC, MOST_UNLABELLED = 4096, 12288
-#: The share of toxic documents where no label tells it, and the bounds of the one that labels tell.
+#: The share of toxic documents where there are no toxic rows to estimate it from, and the bounds of the estimate.
 PRIOR, PRIOR_BOUNDS = 0.1, (0.005, 0.5)
 #: Features that take part: the most, and the least standard score of the difference in frequency, which rises from 0 with
 #: the number of toxic samples to LEAST_Z; at HALF_Z samples it is half of it.
 MOST_FEATURES, LEAST_Z, HALF_Z = 4096, 5.0, 50
 STEPS, BATCH_TOXIC, BATCH_UNLABELLED = 400, 1024, 4096
+#: Steps of the classifiers that estimate the share.
+PRIOR_STEPS = 100
 RATE = 0.05
 #: Weight decay times the number of toxic samples.
 PENALTY = 0.03
@@ -97,6 +104,18 @@ def _slope(prior: float, toxic: np.ndarray):
     return slope
 
 
+def toxic_share(toxic: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of toxic rows in ``unlabelled``, from scores of either kind: the least ratio of both tails, bounded from above."""
+    at = np.unique(toxic)
+    n_p, n_u = len(toxic), len(unlabelled)
+    # Rows that score as high or higher.
+    p = (n_p - np.searchsorted(np.sort(toxic), at)) / n_p
+    u = (n_u - np.searchsorted(np.sort(unlabelled), at)) / n_u
+    # The most that the standard deviations of both shares can be: thin tails have the widest bounds.
+    best = np.argmin((u + (n_p**-0.5 + n_u**-0.5) / 2) / p)
+    return float(u[best] / p[best])
+
+
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     """One classifier from one sample of rows with their chosen features by number."""
     pdf = pdf.sort_values(["toxic", "order", "doc_id"], kind="stable")
@@ -105,24 +124,35 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     cut = np.concatenate([[0], np.cumsum([len(x) for x in pdf["index"]])]).astype(np.int64)
     toxic = pdf.toxic.to_numpy(bool)
     rng = np.random.default_rng(seed)
-    p, u = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     draw = lambda rows, n: rng.choice(rows, min(n, len(rows)), replace=False) if len(rows) else rows
-    batches = [np.concatenate([draw(p, BATCH_TOXIC), draw(u, BATCH_UNLABELLED)]) for _ in range(STEPS)]
-    weights, bias = fit(size, index, None, cut, _slope(prior, toxic), batches, RATE, PENALTY / max(1, len(p)))
-    return pd.DataFrame({"weights": [weights.astype(np.float32)], "bias": [bias]})
-
 
-def train(docs: DataFrame, labels: DataFrame, toxic_label: str = "toxic") -> tuple[np.ndarray, float] | None:
-    """Mean weights and bias of the classifiers, from the training rows of ``docs`` (doc_id, text)."""
+    def fitted(rows: np.ndarray, share: float, steps: int) -> tuple[np.ndarray, float]:
+        p, u = rows[toxic[rows]], rows[~toxic[rows]]
+        batches = [np.concatenate([draw(p, BATCH_TOXIC), draw(u, BATCH_UNLABELLED)]) for _ in range(steps)]
+        return fit(size, index, None, cut, _slope(share, toxic), batches, RATE, PENALTY / max(1, len(p)))
+
+    if prior <= 0:
+        # Equal rows have one order and stay in one half.
+        half, found = pdf["order"].to_numpy() % 2 == 0, []
+        for one in (half, ~half):
+            if (toxic & one).any() and (~toxic & one).any() and (toxic & ~one).any() and (~toxic & ~one).any():
+                z = margins(*fitted(np.flatnonzero(one), PRIOR, PRIOR_STEPS), index, None, cut)
+                found.append(toxic_share(z[toxic & ~one], z[~toxic & ~one]))
+        prior = float(np.clip(np.mean(found), *PRIOR_BOUNDS)) if found else PRIOR
+    weights, bias = fitted(np.arange(len(toxic)), prior, STEPS)
+    return pd.DataFrame({"weights": [weights.astype(np.float32)], "bias": [bias], "prior": [prior]})
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_label: str = "toxic", prior: float | None = None) -> tuple[np.ndarray, float] | None:
+    """Mean weights and bias of the classifiers, from the training rows of ``docs`` (doc_id, text); prior: the share of toxic documents."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col(toxic_label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col(toxic_label).cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id", "text")
     rows = docs.filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", F.col("text").cast("binary").alias("text"), order.alias("order"))
     marked = marked.filter(crc_mod(F.col("label_id"), FOLDS) != HELD_OUT)
-    n_marked, n_toxic = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n_toxic = marked.filter("toxic = 1").count()
     n_rows = rows.count()
     if not n_toxic or not n_rows:
         return None
-    prior = float(np.clip(n_toxic / n_marked, *PRIOR_BOUNDS))
     # Rows are sampled by ranges of a hash, so that a classifier gets about its bound of them whatever the table's size.
     share = lambda n, most: min(1.0, most / n)
     drawn = lambda salt, p: (F.pmod(F.xxhash64("order", F.lit(salt)), F.lit(1 << 30)) < int(p * (1 << 30)))
@@ -157,17 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, toxic_label: str = "toxic") -> tup
 
         # Only the numbers of chosen features travel to the classifiers.
         bagged = sample.select("doc_id", "order", "toxic", F.explode("bags").alias("bag"), known("text").alias("index"))
-        bagged = bagged.withColumn("prior", F.lit(prior)).withColumn("size", F.lit(len(chosen)))
-        fitted = bagged.groupBy("bag").applyInPandas(_train, "weights array<float>, bias double").collect()
+        bagged = bagged.withColumn("prior", F.lit(float(prior or 0))).withColumn("size", F.lit(len(chosen)))
+        fitted = bagged.groupBy("bag").applyInPandas(_train, "weights array<float>, bias double, prior double").collect()
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[chosen] = np.mean([np.array(r.weights, np.float32) for r in fitted], axis=0)
     return weights, float(np.mean([r.bias for r in fitted]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text)."""
+def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text); prior: the share of toxic documents, estimated if not given."""
     text_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, prior=prior))
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:

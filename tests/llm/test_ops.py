@@ -67,6 +67,28 @@ def test_toxicity_learns_from_planted_words(spark):
     assert len(rows) > 100 and np.mean([r.predicted == toxic[r.doc_id] for r in rows]) > 0.95
 
 
+def test_toxicity_needs_no_clean_labels(spark, data):
+    """Labels that hold only toxic documents give the same model, and a share near the true one is called toxic."""
+    data = data.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    for marked in (labels, labels.filter("toxic = 1")):
+        rows = toxicity.digest(docs, marked).collect()
+        pos, neg = (np.array([r.score for r in rows if r.held_out and marks.get(r.doc_id) == k]) for k in (1, 0))
+        assert np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)) > 0.85
+        assert abs(np.mean([r.predicted for r in rows]) - np.mean(list(marks.values()))) < 0.08
+    given = toxicity.toxicity(docs.select("doc_id", "text"), labels, prior=0.12).collect()
+    assert abs(np.mean([r.predicted for r in given]) - 0.12) < 0.08
+
+
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.4])
+def test_toxic_share_of_scores(share):
+    rng = np.random.default_rng(8)
+    n = 8000
+    mixed = np.where(rng.random(n) < share, rng.normal(2.5, 1, n), rng.normal(-1, 1, n))
+    assert abs(toxicity.toxic_share(rng.normal(2.5, 1, 600), mixed) - share) < 0.25 * share + 0.01
+
+
 def test_toxicity_slope_is_that_of_the_risk():
     rng = np.random.default_rng(1)
     toxic, z, prior = rng.random(40) < 0.3, rng.normal(size=40), 0.2
@@ -441,6 +463,31 @@ def test_nearest_prunes_and_keeps_recall():
     assert index.read / len(asked) < 0.1 * len(x)
 
 
+@pytest.mark.parametrize("n", [2_000, 16_000, 17_000, 60_000])
+def test_nearest_probes_follow_the_recall(n):
+    """Where one more hash names a bucket, probes make up for it: neighbours of other queries than the sampled ones are found."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    asked = rng.choice(n, 100, replace=False)
+    score = x[asked] @ x.T
+    score[np.arange(100), asked] = -9
+    near = np.argpartition(-score, 20, axis=1)[:, :20]
+    index = ann.Polytope(n, 64, 1.0, 1.0)
+    assert ann.tune(index, x[asked[:60]], [x[j] for j in near[:60]]) >= 0.95
+    probed = index.probed(x[asked[60:]])
+    assert np.mean([np.isin(index.places(x[j]), p).any(1).mean() for j, p in zip(near[60:], probed, strict=True)]) >= 0.92
+
+
+def test_nearest_sample_is_exact(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-4, 5, (300, 7)).astype(float)
+    data = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    for (i, q), found in zip([(5, x[5]), (290, x[290])], ann.exact(data, [(5, x[5]), (290, x[290])], 20), strict=True):
+        best = sorted((float(v @ q) for j, v in enumerate(x) if j != i), reverse=True)[:20]
+        assert [float(v @ q) for v in found] == best
+
+
 def test_nearest_of_different_lengths(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD", 1000)
     rng = np.random.default_rng(0)
