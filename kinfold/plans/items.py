@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import rules
 from kinfold.operators import batches, eviction, ordering
 from kinfold.plans.registry import query
-from kinfold.session import table
+from kinfold.session import materialize, table
 
 NOW = "2030-01-01 00:00:00"
 
@@ -291,3 +291,29 @@ def upsert_changes(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("v"))
     new = table(spark, d, "documents").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("n_chars") > 1000).cast("int")).alias("v"))
     return changes(old, new, ["id"]).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("""with odd as (select source from documents group by source having min(doc_id) % 2 = 1),
+l as (select doc_id, max(quality) quality, max(toxic) toxic from labels group by doc_id),
+d as (select doc_id, source, lang, n_chars, quality, coalesce(toxic, 0) toxic from documents left join l using (doc_id))
+select doc_id id, source parent, case when lang = 'de' then -1 when lang = 'fr' then n_chars else quality end v from d
+where lang = 'de' or ((lang = 'fr' or quality is not null) and toxic = 0 and source not in (select source from odd))""")
+def keyed_table_state(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed table after upserts, tombstones by key and by parent, merging of deltas and a rebuild of the base."""
+    from kinfold.session import scratch, shared_path
+    from kinfold.streaming.deltas import DeltaTable
+
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = lambda df, v: df.select(F.col("doc_id").alias("id"), F.col("source").alias("parent"), v.cast("long").alias("v"), F.col("n_chars").alias("at"))
+    with scratch(spark):
+        state = DeltaTable(spark, shared_path(spark, "keyed"), ["id"], "id long, parent string, v long, at long", buckets=16)
+        state.upsert(rows(docs.join(labels, "doc_id"), F.col("quality")), ["at"])
+        state.rebuild()
+        state.upsert(rows(docs.filter("lang = 'fr'"), F.col("n_chars")), ["at"])
+        state.delete(labels.filter("toxic = 1").select(F.col("doc_id").alias("id")))
+        state.update()
+        state.delete_children(docs.groupBy(F.col("source").alias("parent")).agg(F.min("doc_id").alias("first")).filter(F.col("first") % 2 == 1).select("parent"), "parent")
+        state.upsert(rows(docs.filter("lang = 'de'"), F.lit(-1)), ["at"])
+        state.compact()
+        state.vacuum()
+        return materialize(state.read().select("id", "parent", "v"), "state", outlive=True)

@@ -13,7 +13,7 @@ from kinfold import plans
 from kinfold.functions import distances, grids, rules
 from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, pivots, radius, simhash
 from kinfold.sources import files
-from kinfold.streaming import upsert
+from kinfold.streaming import deltas, upsert
 
 #: Queries that the quick run compares with SQL; KINFOLD_ALL=1 compares all.
 QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats"]
@@ -368,3 +368,68 @@ def test_cosine_hash_and_boxes(spark):
     boxes = [(0, 0, 2, 2, 0.5), (1, 1, 3, 3, 0.9), (4, 0, 1, 1, 0.1), (3, 3, 4, 4, 0.2)]
     frame = spark.createDataFrame([([dict(zip(("x", "y", "width", "height", "weight"), b, strict=True)) for b in boxes],)], "b array<struct<x:int,y:int,width:int,height:int,weight:double>>")
     assert [tuple(b) for b in frame.select(grids.merged_boxes(F.col("b")).alias("m")).first().m] == [(0, 0, 7, 7, 0.9)]
+
+
+def test_delta_table(spark, tmp_path):
+    """Against a dictionary: upserts, tombstones, parents, merging, rebuilding, and what is written for few rows."""
+    schema = "id long, parent string, v string, at long"
+    table = deltas.DeltaTable(spark, f"file://{tmp_path}/t", ["id"], schema, buckets=8)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    state = lambda: {r.id: tuple(r) for r in table.read().collect()}
+    assert state() == {} and table.compact() == "none" and table.rebuild() is None
+    rng, want = np.random.default_rng(1), {}
+
+    def upsert(ids, batch=None):
+        rows = [(None if i == 17 else int(i), f"p{i % 4}", f"v{rng.integers(99)}", k) for k, i in enumerate(ids)]
+        want.update({r[0]: r for r in rows})
+        table.upsert(frame(rows), ["at"], batch)
+
+    upsert(range(100))
+    table.rebuild()
+    assert [v.kind for v in table.versions()] == ["base"] and state() == want
+    upsert([3, 3, 200, 17])
+    written = {f.split("_bucket=")[1].split("/")[0] for f in glob.glob(f"{tmp_path}/t/{table.versions()[-1].name}/*/*.parquet")}
+    places = {str(r[0]) for r in frame([(i, "", "", 0) for i in (3, 200, None)]).select(F.pmod(F.xxhash64("id"), F.lit(8))).collect()}
+    assert written == places and state() == want
+    table.delete(spark.createDataFrame([(5,), (None,), (999,)], "id long"))
+    for i in (5, None):
+        want.pop(i)
+    assert state() == want and table.compact(every=6, times=50) == "none" and table.compact(every=3, times=50) == "update"
+    assert [v.kind for v in table.versions()] == ["base", "delta"] and state() == want
+    table.delete_children(spark.createDataFrame([("p2",)], "parent string"), "parent")
+    want = {k: r for k, r in want.items() if r[1] != "p2"}
+    upsert([5, 2])
+    assert state() == want
+    assert {tuple(r) for r in table.get([(2,), (3,), (6,), (7,)]).collect()} == {want[i] for i in (2, 3, 7)}
+    assert table.compact(every=5, times=5) == "rebuild" and [v.kind for v in table.versions()] == ["base"] and state() == want
+    assert table.vacuum() > 3 and state() == want and len(os.listdir(f"{tmp_path}/t")) == 1
+    # A version without Spark's mark is not there; a batch is applied once, after a rebuild too.
+    os.makedirs(f"{tmp_path}/t/v=900.base.0.0")
+    assert state() == want
+    upsert([1], batch=4)
+    table.rebuild()
+    assert table.upsert(frame([(1, "x", "again", 9)]), ["at"], batch=4) is None and state() == want
+
+
+def test_delta_table_cleans_up(spark, tmp_path):
+    table = deltas.DeltaTable(spark, f"file://{tmp_path}/t", ["id"], "id long, size long")
+    table.upsert(spark.createDataFrame([(i, 10 if i < 50 else 1) for i in range(90)], "id long, size long"), ["size"])
+    size, order = F.col("size"), [F.col("id")]
+    assert table.clean_up(order, 3, size, 100, 10**6) == 0 and table.clean_up(order, 30, size, 200, 10**6) == 0
+    assert table.clean_up(order, 30, size, 100, 10**6) == 20 and table.read().count() == 70
+    # 30 rows of 10 bytes and 40 of one: 340 bytes; 0.7 of 400 leaves 280.
+    assert table.clean_up(order, 30, size, 1000, 400) == 6
+    assert sorted(r.id for r in table.read().collect()) == list(range(26, 90))
+
+
+def test_delta_table_takes_a_stream(spark, tmp_path):
+    schema = "id long, v long"
+    table = deltas.DeltaTable(spark, f"file://{tmp_path}/t", ["id"], schema, buckets=4)
+    for start in (0, 5, 3):
+        spark.createDataFrame([(i, start) for i in range(start, start + 6)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        table.stream(source, ["v"], f"{tmp_path}/checkpoint", every=4, times=2).awaitTermination(1)
+        for q in spark.streams.active:
+            q.processAllAvailable()
+            q.stop()
+    assert {r.id: r.v for r in table.read().collect()} == {**{i: 0 for i in range(3)}, **{i: 3 for i in range(3, 9)}, 9: 5, 10: 5}
