@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes whose temporaries are held at once.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _STEP = 1 << 20
 
