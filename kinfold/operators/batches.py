@@ -1,41 +1,11 @@
-"""Batches of items: by number, by size, and evened out."""
+"""Batches of items, evened out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.session import ship
-
-
-def packed(items: DataFrame, most_items: int, most_bytes: int) -> DataFrame:
-    """id, size, lane, batch: by size, as many items as fit both bounds, batch after batch.
-
-    Where a batch ends depends on all before it, which is a running state. ``items`` has a ``lane``; lanes are packed
-    side by side, and a lane's rows stream through its task.
-    """
-    ship(items.sparkSession)
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, batch, count, total = None, 0, 0, 0
-        for frame in frames:
-            out = []
-            for lane, size in zip(frame.lane, frame["size"], strict=True):
-                if lane != at:
-                    at, batch, count, total = lane, 0, 0, 0
-                if count and (count >= most_items or total + size > most_bytes):
-                    batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + size
-                out.append(batch)
-            yield frame.assign(batch=out)
-
-    rows = items.select("id", "size", "lane").repartition("lane").sortWithinPartitions("lane", "size", "id")
-    return rows.mapInPandas(pack, "id long, size long, lane string, batch int")
-
 
 def evened(tasks: DataFrame, moves: int = 3, ratio: float = 1.3) -> DataFrame:
     """id, batch, cost after moving the costliest item of the heaviest batch to the lightest, a few times.

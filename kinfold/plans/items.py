@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions import rules
-from kinfold.operators import batches, eviction, ordering
+from kinfold.operators import batches, eviction, ordering, packing
 from kinfold.plans.registry import query
 from kinfold.session import materialize, table
 
@@ -86,7 +86,7 @@ LANES = "ln as (select doc_id id, n_chars size, source lane, row_number() over (
 select id, lane, batch::int batch from w""")
 def bin_pack(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), F.col("source").alias("lane"))
-    return batches.packed(items, 8, 20000).select("id", "lane", "batch")
+    return packing.packed(items, 8, 20000).select("id", "lane", "batch")
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold import plans
 from kinfold.functions import distances, grids, rules
-from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, pivots, radius, simhash
+from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, packing, pivots, radius, simhash
 from kinfold.sources import files
 from kinfold.streaming import deltas, upsert
 
@@ -270,17 +270,32 @@ def test_evictions(spark):
     assert {r.id for r in eviction.oldest_until(frame.withColumnRenamed("priority", "updated"), 100, 10**9).collect()} == set(old)
 
 
-def test_packing(spark):
-    rng = np.random.default_rng(4)
-    items = [(i, int(rng.integers(1, 60)), "ab"[i % 2]) for i in range(100)]
-    got = {r.id: r.batch for r in batches.packed(spark.createDataFrame(items, "id long, size long, lane string"), 5, 120).collect()}
-    for lane in "ab":
+def greedy_batches(items, most_items, most_bytes):
+    out = {}
+    for lane in {r[2] for r in items}:
         batch, n, total = 0, 0, 0
-        for i, s, _ in sorted((r for r in items if r[2] == lane), key=lambda r: (r[1], r[0])):
-            if n and (n >= 5 or total + s > 120):
+        for i, s, _ in sorted((r for r in items if r[2] == lane), key=lambda r: (r[1] or 0, r[0])):
+            s = s or 0
+            if n and (n >= most_items or total + s > most_bytes):
                 batch, n, total = batch + 1, 0, 0
             n, total = n + 1, total + s
-            assert got[i] == batch
+            out[i] = batch
+    return out
+
+
+@pytest.mark.parametrize(("lanes", "block_rows", "fan"), [(["a"], 7, 2), (["a", "b"], 8, 3), (["a", "a", "a", "b", "c", None, ""], 6, 2), ([f"l{i}" for i in range(60)], 10, 2), (["a", "b"], 1000, 256)])
+def test_packing_in_blocks(spark, lanes, block_rows, fan):
+    rng = np.random.default_rng(len(lanes))
+    items = [(i, None if i % 41 == 7 else int(rng.integers(0, 60)) if i % 23 else 500, lanes[i % len(lanes)]) for i in range(150)]
+    frame = spark.createDataFrame(items, "id long, size long, lane string")
+    for most_items, most_bytes in ((5, 120), (1, 10), (6, 10**6)):
+        got = packing.packed(frame, most_items, most_bytes, block_rows, fan).collect()
+        assert {r.id: r.batch for r in got} == greedy_batches(items, most_items, most_bytes)
+        assert sorted((r.id, r.size, r.lane) for r in got) == sorted(items)
+    assert packing.packed(frame.limit(0), 5, 120).count() == 0
+
+
+def test_batches_are_evened(spark):
     moved = {r.id: r.batch for r in batches.evened(spark.createDataFrame([(1, 0, 90), (2, 0, 50), (3, 1, 10), (4, 2, 60)], "id long, batch int, cost long")).collect()}
     assert moved == {1: 1, 2: 0, 3: 1, 4: 2} or moved[1] != 0
 
