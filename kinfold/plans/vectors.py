@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import distances, rules
 from kinfold.operators import blocks, linalg, lsh, pivots
 from kinfold.plans.registry import query
-from kinfold.session import table
+from kinfold.session import materialize, table
 
 LIMIT = 10
 
@@ -73,14 +73,54 @@ def covariance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {CELLS} select x.j::int i, y.j::int j, round(sum(x.v * y.v), 6) v from c x join c y on x.i = y.i group by 1, 2")
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The vectors' matrix, transposed, times itself."""
-    c = linalg.cells(table(spark, d, "embeddings"), "vec_id", "embedding")
-    product = linalg.multiply(c.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), c)
-    return product.select("i", "j", F.round("v", 6).alias("v"))
+    return linalg.gram(table(spark, d, "embeddings"), "embedding").select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query()
+# Components one after the other: the matrix is squared 16 times, so that what is left is the first component; then it is taken away.
+COMPONENTS = f"""{CELLS}, co as (select x.j i, y.j j, covar_samp(x.v, y.v) v from c x join c y on x.i = y.i group by 1, 2),
+cr as (select i, list(v order by j) r from co group by i), cm as (select list(r order by i) m from cr),
+ev(comp, step, m, p, v, lam) as (select 0, 0, m, m, null::double[], null::double from cm union all
+ select comp + (step = 16)::int, case when step = 16 then 0 else step + 1 end, m2, case when step = 16 then m2 else list_transform(q, lambda a: list_transform(a, lambda x: x / t)) end, u, l
+ from (select *, case when step = 16 then list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: m[i][j] - l * u[i] * u[j])) else m end m2, list_sum(list_transform(range(1, 65), lambda i: q[i][i])) t
+  from (select *, list_dot_product(u, list_transform(m, lambda a: list_dot_product(a, u))) l, case when step < 16 then list_transform(p, lambda a: list_transform(p, lambda b: list_dot_product(a, b))) end q
+   from (select *, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)) * case when abs(list_max(w)) >= abs(list_min(w)) then 1 else -1 end) u
+    from (select *, case when step = 16 then p[list_position(list_transform(range(1, 65), lambda i: p[i][i]), list_max(list_transform(range(1, 65), lambda i: p[i][i])))] end w
+     from ev where comp < {{k}})))))
+, pc as (select comp - 1 component, lam, v from ev where step = 0 and comp > 0)"""
+
+#: Coordinates along the first four components.
+REDUCED = COMPONENTS.format(k=4) + """, mu as (select list(mv order by j) mv from (select j, avg(v) mv from c group by j)),
+rd as (select vec_id, list_transform(vs, lambda u: list_dot_product(u, list_transform(range(1, 65), lambda i: embedding[i]::double - mv[i]))) r from embeddings, mu, (select list(v order by component) vs from pc))"""
+
+
+@query(f"with recursive {COMPONENTS.format(k=16)} select component::int component, round(lam / (select sum(v) from co where i = j), 6) share from pc")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
-    return linalg.explained_variance(table(spark, d, "embeddings"), "embedding", 16)
+    shares = linalg.principal_components(table(spark, d, "embeddings"), "embedding", 16).shares(spark)
+    return shares.withColumn("share", F.round("share", 6))
+
+
+def _reduced(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    found = linalg.principal_components(vectors, "embedding", 4)
+    return vectors.select("vec_id", found.project(F.col("embedding")).alias("reduced"))
+
+
+@query(f"with recursive {REDUCED} select vec_id, list_transform(r, lambda x: round(x, 5)) reduced from rd")
+def pca_projection(spark: SparkSession, d: str) -> DataFrame:
+    return _reduced(spark, d).select("vec_id", F.transform("reduced", lambda x: F.round(x, 5)).alias("reduced"))
+
+
+@query(f"""with recursive {REDUCED}, z as materialized (select vec_id, r, sqrt(list_dot_product(r, r)) n from rd),
+p as (select x.vec_id query_id, y.vec_id, list_dot_product(x.r, y.r) / (x.n * y.n) s from z x, z y),
+o as (select query_id, vec_id, s, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) k from p)
+select query_id, vec_id, k::int place, round(s, 5) similarity from o where k <= 3""")
+def pca_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's three most alike along the first components, itself among them."""
+    from kinfold.operators.pivots import nearest
+
+    rows = materialize(_reduced(spark, d).filter("reduced is not null").select(F.col("vec_id").alias("id"), F.col("reduced").alias("vector")), "reduced")
+    near = nearest(rows, rows, 3, "cosine")
+    return near.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("int").alias("place"), F.round("score", 5).alias("similarity"))
 
 
 @query("select vec_id, list_transform(range(0, 64, 5), lambda i: embedding[i + 1]) vector from embeddings")

@@ -1,4 +1,4 @@
-"""Files in and out: binary and JSON sources, archives of a plan, reports and models."""
+"""Files in and out: binary and JSON sources, archives of a plan, reports."""
 
 from __future__ import annotations
 
@@ -52,17 +52,6 @@ def write_organized(acted: DataFrame, items: DataFrame, reports: DataFrame, path
 
 
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
-    """name and a map of figures, one column for each figure."""
-    names = sorted(r.k for r in metrics.select(F.explode(F.map_keys("figures")).alias("k")).distinct().limit(1000).collect())
+    """name and a map of figures, one column for each name of a figure; those names become the schema."""
+    names = sorted(r.k for r in metrics.select(F.explode(F.map_keys("figures")).alias("k")).distinct().collect())
     metrics.select("name", *[F.col("figures")[n].alias(n) for n in names]).write.mode("overwrite").option("header", "true").csv(path)
-
-
-def save_model(model, path: str) -> None:
-    """A fitted model of principal components, as Spark keeps it."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str):
-    from pyspark.ml.feature import PCAModel
-
-    return PCAModel.load(path)
