@@ -221,6 +221,27 @@ def recent_means(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w.rowsBetween(-9, 0)), 6).alias("mean_value"), F.count("*").over(w.rowsBetween(-99, 0)).alias("n"))
 
 
+@query("""with o as (select user_id, ts, value, row_number() over (partition by user_id order by ts desc, event_id desc) k from events where user_id is not null and ts is not null),
+s as (select user_id, count(*) uses, max(ts) last_used, round(avg(value) filter (k <= 10), 5) mean_value, least(count(*), 100) kept, min(ts) filter (k <= 100) oldest from o group by user_id)
+select * from s where last_used > (select max(ts) from events) - interval 24 hours""")
+def access_state(spark: SparkSession, d: str) -> DataFrame:
+    """Users by a stateful stream over the events: uses, last use and the last accesses, kept in a keyed table; who is 12 hours behind a watermark of 12 hours is forgotten."""
+    from datetime import timedelta
+
+    from kinfold.session import scratch, shared_path
+    from kinfold.streaming import accesses
+
+    # A stream reads folders, and a pattern where a table is one file.
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    events = events.select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), "value")
+    with scratch(spark):
+        state = accesses.table_of(spark, shared_path(spark, "state"))
+        accesses.start(accesses.tracked(events, timedelta(hours=12), "12 hours"), state, shared_path(spark, "progress"), once=True).awaitTermination()
+        moment = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+        rows = state.read().select(F.col("key").alias("user_id"), "uses", moment("last_used"), F.round("mean_value", 5).alias("mean_value"), "kept", moment("oldest"))
+        return materialize(rows, "accesses", outlive=True)
+
+
 @query("with h as (select e.event_id, o.o_orderkey is not null hit from events e left join (select distinct o_orderkey from orders) o on o.o_orderkey = e.event_id) select hit, count(*) n from h group by hit")
 def cache_probe(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.lit(True).alias("k")).distinct()

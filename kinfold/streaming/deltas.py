@@ -136,14 +136,18 @@ class DeltaTable:
     def _last_batch(self) -> int:
         return max((v.batch for v in self._all()), default=-1)
 
-    def upsert(self, rows: DataFrame, order: list[str], batch: int | None = None) -> Version | None:
-        """Apply ``rows``, the last of each key in ``order``; nothing if the stream's batch has been applied."""
+    def upsert(self, rows: DataFrame, order: list[str], batch: int | None = None, gone: str | None = None) -> Version | None:
+        """Apply ``rows``, the last of each key in ``order``; nothing if the stream's batch has been applied.
+
+        Rows whose column ``gone`` is true are tombstones of their keys.
+        """
         last = self._last_batch()
         if batch is not None and batch <= last:
             return None
         latest = W.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in order], F.xxhash64(*self.columns))
-        once = rows.select(*self.columns).withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
-        return self._write(once.withColumn(GONE, F.lit(False)), "delta", last if batch is None else batch)
+        marked = rows.withColumn(GONE, F.coalesce(F.col(gone), F.lit(False)) if gone else F.lit(False))
+        once = marked.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").select(*self.columns, GONE)
+        return self._write(once, "delta", last if batch is None else batch)
 
     def delete(self, keys: DataFrame) -> Version:
         """Tombstones for ``keys``, whether they are there or not."""

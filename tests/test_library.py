@@ -1,5 +1,6 @@
 """Operators against plain Python, and the queries against SQL."""
 
+import datetime
 import glob
 import math
 import os
@@ -13,7 +14,7 @@ from kinfold import plans
 from kinfold.functions import distances, grids, rules
 from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, packing, pivots, radius, simhash
 from kinfold.sources import files
-from kinfold.streaming import deltas, upsert
+from kinfold.streaming import accesses, deltas, upsert
 
 #: Queries that the quick run compares with SQL; KINFOLD_ALL=1 compares all.
 QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats"]
@@ -43,7 +44,6 @@ def test_query_equals_sql(spark, data, name):
 
 
 def test_queries_without_sql_run(spark, data):
-    assert plans.QUERIES["pca_variance"](spark, data).count() == 16
     rows = plans.QUERIES["even_batches"](spark, data).collect()
     assert len({r.id for r in rows}) == len(rows)
 
@@ -320,12 +320,40 @@ def test_linalg(spark):
     for r in linalg.covariance(frame, "v").collect():
         c[r.i, r.j] = r.v
     assert np.allclose(c, np.cov(x.T))
-    share = [r.share for r in linalg.explained_variance(frame, "v", 5).orderBy("component").collect()]
     values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
-    assert np.allclose(share, values / values.sum())
+    found = linalg.principal_components(frame, "v", 3)
+    assert np.allclose([r.share for r in found.shares(spark).orderBy("component").collect()], (values / values.sum())[:3])
+    assert np.allclose(found.vectors @ found.vectors.T, np.eye(3)) and np.allclose(np.cov(x.T) @ found.vectors.T, found.vectors.T * found.variance)
+    odd = frame.union(spark.createDataFrame([(98, None), (99, [1.0, None, 1.0, 1.0, 1.0])], frame.schema))
+    got = {r.id: r.p for r in odd.select("id", found.project(F.col("v")).alias("p")).collect()}
+    assert got[98] is None and got[99] is None and np.allclose([got[i] for i in range(50)], (x - x.mean(0)) @ found.vectors.T)
+    assert np.allclose(linalg.principal_components(odd, "v", 3).vectors, found.vectors)
+    with pytest.raises(ValueError, match="vectors"):
+        linalg.principal_components(frame.limit(0), "v", 3)
+    gram = np.zeros((5, 5))
+    for r in linalg.gram(frame, "v").collect():
+        gram[r.i, r.j] = r.v
+    assert np.allclose(gram, x.T @ x)
     assert len(lsh.probes(8, 2)) == 3
 
 
+def test_leading_vectors_of_odd_matrices():
+    rng = np.random.default_rng(3)
+    for values in ([5, 4, 3, 2, 1, 0.5], [2, 2, 2, 1, 1, 0], [1, 0, 0, 0, 0, 0], [0] * 6, [1 + 1e-6, 1, 0.5, 0.4, 0.3, 0.2]):
+        u = np.linalg.qr(rng.normal(size=(6, 6)))[0]
+        c = u * values @ u.T
+        for k in (1, 3, 6):
+            got, v = linalg.leading(c, k)
+            assert np.allclose(got, values[:k], atol=1e-9) and np.allclose(c @ v, v * got, atol=1e-9) and np.allclose(v.T @ v, np.eye(k))
+
+
+def test_components_are_saved(spark, tmp_path):
+    found = linalg.principal_components(spark.createDataFrame([([float(i % 7), float(i * i % 5), 1.0],) for i in range(20)], "v array<double>"), "v", 2)
+    found.save(spark, f"file://{tmp_path}/pca")
+    again = linalg.Components.load(spark, f"file://{tmp_path}/pca")
+    assert again.total == found.total and all(np.array_equal(getattr(again, a), getattr(found, a)) for a in ("mean", "variance", "vectors"))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n in ("a.jpg", "b.png", "c.txt"):
@@ -448,3 +476,39 @@ def test_delta_table_takes_a_stream(spark, tmp_path):
             q.processAllAvailable()
             q.stop()
     assert {r.id: r.v for r in table.read().collect()} == {**{i: 0 for i in range(3)}, **{i: 3 for i in range(3, 9)}, 9: 5, 10: 5}
+
+
+def test_access_stream(spark, tmp_path):
+    """Batches with a hot key, late and incomplete rows, one run for each from the checkpoint; idle keys go and come back."""
+    rng = np.random.default_rng(8)
+    zero = datetime.datetime(2024, 1, 1)
+    at = lambda s: zero + datetime.timedelta(seconds=int(s))
+    files = []
+    for day in range(2):
+        rows = [(int(k) if (k := rng.integers(0, 6)) < 4 else 0, at(day * 86400 + rng.integers(0, 4000)), day * 1000 + i, None if i % 9 == 4 else float(rng.integers(0, 50))) for i in range(400)]
+        files.append(rows + [(None, at(5), 7, 1.0), (1, None, 8, 1.0)])
+    files[0] += [(9, at(10), 5001, None), (8, at(20), 5002, 2.0), (2, at(30), 5003, 3.0), (2, at(30), 5003, 3.0)]
+    files.append([(9, at(86400 + 4100), 6001, 4.0), (0, at(86400 + 10), 6002, 40.0), (3, at(15), 6003, 1.0)])
+    schema = "key long, at timestamp, id long, value double"
+    want, found = {}, []
+    state = accesses.table_of(spark, f"file://{tmp_path}/state", buckets=4)
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+        changes = accesses.tracked(source, datetime.timedelta(hours=4), "2 hours")
+        accesses.start(changes, state, f"file://{tmp_path}/progress", once=True).awaitTermination()
+        for r in rows:
+            # The row of 3 in the last file is behind the watermark.
+            if r[0] is not None and r[1] is not None and r[2] != 6003:
+                want.setdefault(r[0], []).append((r[1], r[2], r[3]))
+        newest = max(x[0] for v in want.values() for x in v)
+        want = {k: v for k, v in want.items() if max(v)[0] > newest - datetime.timedelta(hours=6)}
+        out = {}
+        for k, v in want.items():
+            ring = sorted(v, key=lambda x: x[:2])[-100:]
+            recent = [x[2] for x in ring[-10:] if x[2] is not None]
+            out[k] = (len(v), ring[-1][0], sum(recent) / len(recent) if recent else None, len(ring), ring[0][0])
+        got = {r.key: tuple(r)[1:] for r in state.read().select("key", "uses", "last_used", "mean_value", "kept", "oldest").collect()}
+        assert got == out
+        found.append(set(got))
+    assert 9 in found[0] and 9 not in found[1] and 9 in found[2] and 8 not in found[2]
