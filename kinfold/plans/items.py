@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions import rules
-from kinfold.operators import batches, eviction, ordering, packing
+from kinfold.operators import batches, eviction, ordering, packing, pairing
 from kinfold.plans.registry import query
 from kinfold.session import materialize, table
 
@@ -242,6 +242,18 @@ def access_state(spark: SparkSession, d: str) -> DataFrame:
         return materialize(rows, "accesses", outlive=True)
 
 
+@query("""with e as (select user_id, event_id, ts, case event_type when 'view' then 1 else -1 end step from events where event_type in ('view', 'purchase') and user_id is not null and ts is not null),
+c as (select *, sum(step) over (partition by user_id order by ts, event_id) tot, row_number() over (partition by user_id order by ts, event_id) k from e),
+m as (select x.user_id, x.k, min(y.k) m from c x join c y on x.user_id = y.user_id and y.k > x.k and y.step < 0 and y.tot = x.tot - 1 where x.step > 0 group by 1, 2),
+p as (select x.user_id, x.event_id start_event, y.event_id end_event, epoch_us(y.ts) - epoch_us(x.ts) micros from c x left join m on m.user_id = x.user_id and m.k = x.k left join c y on y.user_id = x.user_id and y.k = m.m where x.step > 0)
+select * from p union all select user_id, null, event_id, null from c where step < 0 and event_id not in (select end_event from p where end_event is not null)""")
+def event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What a user views, closed by the purchases after it as brackets are, and how long each took."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), "event_type")
+    pairs = pairing.paired(events, F.col("event_type") == "view", F.col("event_type") == "purchase")
+    return pairs.select(F.col("key").alias("user_id"), F.col("start_id").alias("start_event"), F.col("end_id").alias("end_event"), (F.unix_micros("end_at") - F.unix_micros("start_at")).alias("micros"))
+
+
 @query("with h as (select e.event_id, o.o_orderkey is not null hit from events e left join (select distinct o_orderkey from orders) o on o.o_orderkey = e.event_id) select hit, count(*) n from h group by hit")
 def cache_probe(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.lit(True).alias("k")).distinct()

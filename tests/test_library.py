@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinfold import plans
 from kinfold.functions import distances, grids, rules
-from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, packing, pivots, radius, simhash
+from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, packing, pairing, pivots, radius, simhash
 from kinfold.sources import files
 from kinfold.streaming import accesses, deltas, upsert
 
@@ -512,3 +512,24 @@ def test_access_stream(spark, tmp_path):
         assert got == out
         found.append(set(got))
     assert 9 in found[0] and 9 not in found[1] and 9 in found[2] and 8 not in found[2]
+
+
+@pytest.mark.parametrize(("keys", "up"), [(1, 0.5), (1, 0.8), (3, 0.3), (40, 0.5)])
+def test_starts_and_ends_pair_as_brackets(spark, keys, up):
+    rng = np.random.default_rng(keys)
+    rows = [(f"k{k}" if (k := rng.integers(0, keys)) else "k0", int(rng.integers(0, 150)), i, "start" if rng.random() < up else "end") for i in range(300)]
+    other = [(None, 3, 900, "start"), ("k0", None, 901, "end"), ("k0", 5, 902, "else")]
+    frame = spark.createDataFrame(rows + other, "key string, at long, id long, what string")
+    want = []
+    for key in {r[0] for r in rows}:
+        stack = []
+        for _, at, i, what in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
+            if what == "start":
+                stack.append((i, at))
+            else:
+                s, t = stack.pop() if stack else (None, None)
+                want.append((key, s, i, t, at))
+        want += [(key, s, None, t, None) for s, t in stack]
+    got = [tuple(r) for r in pairing.paired(frame, F.col("what") == "start", F.col("what") == "end").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert pairing.paired(frame.limit(0), F.col("what") == "start", F.col("what") == "end").count() == 0
