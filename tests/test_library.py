@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from kinfold import plans
 from kinfold.functions import distances, grids, rules
 from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, packing, pairing, pivots, radius, simhash
-from kinfold.sources import files
+from kinfold.sources import archives, files
 from kinfold.streaming import accesses, deltas, upsert
 
 #: Queries that the quick run compares with SQL; KINFOLD_ALL=1 compares all.
-QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats"]
+QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats", "pca_variance", "pca_neighbours", "access_state", "event_pairs"]
 
 
 def same(v):
@@ -533,3 +533,53 @@ def test_starts_and_ends_pair_as_brackets(spark, keys, up):
     got = [tuple(r) for r in pairing.paired(frame, F.col("what") == "start", F.col("what") == "end").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert pairing.paired(frame.limit(0), F.col("what") == "start", F.col("what") == "end").count() == 0
+
+
+def test_archives_are_published_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/zips"
+    rows = [(i, None if i == 6 else "keep" if i % 3 else "delete", "same.jpg" if i % 2 else f"{i}", None if i == 5 else bytes([i]) * i) for i in range(23)]
+    items = spark.createDataFrame(rows, "id long, folder string, name string, content binary")
+
+    def fail(frames):
+        for frame in frames:
+            if (frame.id == 22).any():
+                raise RuntimeError("lost")
+            yield frame
+
+    with pytest.raises(Exception, match="lost"):
+        archives.write_archives(items.repartition(8).mapInPandas(fail, items.schema), path, part_rows=5)
+    with pytest.raises(FileNotFoundError):
+        archives.read_archives(spark, path)
+    archives.write_archives(items, path, report="{}", part_rows=5)
+    got = [tuple(r) for r in archives.read_archives(spark, path).collect()]
+    want = sorted(rows, key=lambda r: (r[1] or "other", r[0]))
+    assert sorted((part, folder, content) for part, folder, _, content in got) == sorted((k // 5, r[1] or "other", r[3] or b"") for k, r in enumerate(want))
+    assert len({r[:3] for r in got}) == 23 and {r[2] for r in got if r[2].startswith("same")} >= {"same.jpg", "same (2).jpg"}
+    report = archives.read_report(path)
+    assert report["report"] == "{}" and [p["items"] for p in report["parts"]] == [5, 5, 5, 5, 3]
+    # A later report takes the place of the first; a writer that is given up leaves nothing.
+    archives.write_archives(items.limit(3), path)
+    assert archives.read_archives(spark, path).count() == 3
+    writer = archives.ZipWriter(f"{path}2", "")
+    done = writer.write(iter(spark.createDataFrame([(0, "a", "b", b"c")], archives.ITEM).collect()))
+    assert done.parts[0]["items"] == 1 and len(os.listdir(f"{tmp_path}/zips2")) == 1
+    writer.abort([done])
+    assert not os.listdir(f"{tmp_path}/zips2")
+    with pytest.raises(ValueError, match="unique"):
+        archives.write_archives(items.union(items), path)
+
+
+def test_files_that_fail_are_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, c in (("a.jpg", b"ok"), ("b b.png", b"bad"), ("c.gif", b""), ("d.jpg", b"gone")):
+        (tmp_path / "in" / n).write_bytes(c)
+
+    def decode(content):
+        if content == b"bad":
+            raise ValueError("damaged")
+        return content.upper()
+
+    found = archives.read_or_error(spark, f"file://{tmp_path}/in", decode=decode)
+    (tmp_path / "in" / "d.jpg").unlink()
+    got = {r.name: (r.content, r.error and r.error.error, r.mime) for r in found.collect()}
+    assert got == {"a.jpg": (b"OK", None, "image/jpeg"), "b b.png": (None, "ValueError", "image/png"), "c.gif": (b"", None, "image/gif"), "d.jpg": (None, "FileNotFoundError", "image/jpeg")}
