@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import distances, grids, rules
+from kinfold.operators.boxes import merge_boxes
 from kinfold.plans.registry import query
 from kinfold.session import materialize, table
 
@@ -254,6 +255,19 @@ def salient_cells(spark: SparkSession, d: str) -> DataFrame:
     return above.select("id", "cell", F.round(F.least(F.lit(1.0), F.col("a") / (F.col("mean") * 1.5 * 2)), 6).alias("weight"))
 
 
+@query(f"""with recursive {GRID}, px as (select id, m, unnest(range(0, 64)) k, unnest(g) v from gm),
+it as (select id, 0 r, (k % 8)::double l, (k // 8)::double u, (k % 8 + 2)::double rt, (k // 8 + 2)::double dn, least(1, v / (m * 1.5 * 2)) w from px where v > m * 1.5
+ union all select id, r, l, u, rt, dn, w from (select *, bool_or(moved) over (partition by id) again from (select id, r, l, u, rt, dn, max(w) w, bool_or(moved) moved from (
+ select a.id, a.r + 1 r, min(b.l) l, min(b.u) u, max(b.rt) rt, max(b.dn) dn, max(b.w) w, bool_or(b.l <> a.l or b.u <> a.u or b.rt <> a.rt or b.dn <> a.dn) moved
+ from it a join it b on a.id = b.id and a.l < b.rt and b.l < a.rt and a.u < b.dn and b.u < a.dn group by a.id, a.r, a.l, a.u, a.rt, a.dn) group by id, r, l, u, rt, dn)) where again)
+select id, l x, u y, rt - l width, dn - u height, round(max(w), 6) weight from it where r = (select max(r) from it o where o.id = it.id) group by id, l, u, rt, dn""")
+def merged_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Squares of 2 x 2 at the pixels brighter than one and a half times the mean, merged until none overlap."""
+    bright = _grids(spark, d).select("id", "mean", F.posexplode("grid").alias("k", "v")).filter(F.col("v") > F.col("mean") * 1.5)
+    places = bright.select("id", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).alias("y"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.least(F.lit(1.0), F.col("v") / (F.col("mean") * 1.5 * 2)).alias("weight"))
+    return merge_boxes(places).withColumn("weight", F.round("weight", 6))
+
+
 @query(f"""with {RAW}, hx as (select id, label, lower(lpad(hex(a::uhugeint), 16, '0')) h from raw join gr using (id)), ch as (select label, h[i:i] c, i, id from hx, range(1, 17) t(i)), w as (select label, i, c, sum(case when id % 4 = 0 then 2 else 1 end) s from ch group by 1, 2, 3),
 b as (select label, i, arg_max(c, (s, c)) c from w group by 1, 2) select label, string_agg(c, '' order by i) hash from b group by label""")
 def voted_hash(spark: SparkSession, d: str) -> DataFrame:

@@ -208,3 +208,22 @@ def grid_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
 def combined_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
     grid = _signed(spark, d).select("id", lsh.grid_buckets(F.col("v"), GRID, SHIFTS, WIDTH).alias("buckets"))
     return lsh.bucket_pairs(_index(spark, d)).union(lsh.bucket_pairs(grid)).distinct()
+
+
+FOREST, LEVELS, WANT = lsh.signs(4, 12, 64, seed=13), 9, 10
+
+
+def _forest_sql() -> str:
+    one = "s as (select min(vec_id) id, count(*) n, v from (select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else -1 end) v from embeddings) group by v)"
+    rows = [f"select id, n, {t} tab, {' + '.join(f'case when {_dot_sql(w)} > 0 then {1 << i} else 0 end' for i, w in enumerate(p))} bucket from s" for t, p in enumerate(FOREST)]
+    return f"{one}, k as ({' union all '.join(rows)})"
+
+
+@query(f"""with {_forest_sql()}, e as (select id, n, tab, lv, bucket % (1 << (12 - lv)::int) p from k, range(0, {LEVELS}) t(lv)), z as (select tab, lv, p, sum(n) s from e group by all),
+c as (select id, lv, sum(s - n) c from e join z using (tab, lv, p) group by 1, 2), q as (select id, coalesce(min(case when c >= {WANT} then lv end), {LEVELS - 1}) lv from c group by id)
+select distinct a.id query_id, b.id vec_id, a.lv::int as level from q join e a on a.id = q.id and a.lv = q.lv join e b on a.tab = b.tab and a.lv = b.lv and a.p = b.p and a.id <> b.id""")
+def level_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each distinct sign vector from the longest prefixes that hold ten rows; copies follow the first id."""
+    rows = _signed(spark, d).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    index = rows.select("id", "copies", lsh.hyperplane_buckets(F.col("v"), FOREST).alias("buckets"))
+    return lsh.level_candidates(index, 12, LEVELS, WANT).select("query_id", F.col("id").alias("vec_id"), "level")

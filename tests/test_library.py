@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from kinfold import plans
 from kinfold.functions import distances, grids, rules
-from kinfold.operators import batches, blocks, clustering, eviction, linalg, lsh, ordering, packing, pairing, pivots, radius, simhash
+from kinfold.operators import batches, blocks, boxes, clustering, eviction, linalg, lsh, ordering, packing, pairing, pivots, radius, simhash
 from kinfold.sources import archives, files
 from kinfold.streaming import accesses, deltas, upsert
 
 #: Queries that the quick run compares with SQL; KINFOLD_ALL=1 compares all.
-QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats", "pca_variance", "pca_neighbours", "access_state", "event_pairs"]
+QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats", "pca_variance", "pca_neighbours", "access_state", "event_pairs", "merged_regions", "level_candidates"]
 
 
 def same(v):
@@ -583,3 +583,73 @@ def test_files_that_fail_are_rows(spark, tmp_path):
     (tmp_path / "in" / "d.jpg").unlink()
     got = {r.name: (r.content, r.error and r.error.error, r.mime) for r in found.collect()}
     assert got == {"a.jpg": (b"OK", None, "image/jpeg"), "b b.png": (None, "ValueError", "image/png"), "c.gif": (b"", None, "image/gif"), "d.jpg": (None, "FileNotFoundError", "image/jpeg")}
+
+
+def closed(rows):
+    """Boxes (x, y, width, height, weight) merged one pair at a time."""
+    rows = [(x, y, x + w, y + h, v) for x, y, w, h, v in rows]
+    again = True
+    while again:
+        again = False
+        for i in range(len(rows)):
+            for j in range(i):
+                a, b = rows[i], rows[j]
+                if a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]:
+                    weight = max((v for v in (a[4], b[4]) if v is not None), default=None)
+                    rows = [r for k, r in enumerate(rows) if k not in (i, j)] + [(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), weight)]
+                    again = True
+                    break
+            if again:
+                break
+    return sorted(((x, y, r - x, low - y, v) for x, y, r, low, v in rows), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merged_boxes_are_the_fixpoint(spark, seed):
+    """Against merging pair by pair: many small items, one that holds most boxes, sides of all sizes, chains over batches."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for item in range(30):
+        for _ in range(int(r.integers(0, 12))):
+            rows.append((item, *(float(v) for v in r.integers(-20, 20, 2)), *(float(v) for v in r.integers(1, 8, 2)), float(r.random())))
+    for _ in range(350):
+        side = float(2.0 ** r.integers(-2, 6))
+        rows.append((99, *(float(v) for v in r.uniform(-1500, 1500, 2)), side, side * float(r.uniform(0.2, 1)), float(r.random())))
+    # A staircase: each box meets the next only.
+    rows += [(77, 2.0 * i, 2.0 * i, 3.0, 3.0, i / 100) for i in range(60)]
+    rows += [(None, 0.0, 0.0, 2.0, 2.0, None), (None, 1.0, 1.0, 2.0, 2.0, 0.5), (None, 3.0, 3.0, 1.0, 1.0, None)]
+    rows += rows[:20]
+    bad = [(1, None, 0.0, 1.0, 1.0, 0.1), (1, 0.0, 0.0, 0.0, 5.0, 0.1), (1, 0.0, 0.0, 1.0, -1.0, 0.1), (1, float("nan"), 0.0, 1.0, 1.0, 0.1), (1, 0.0, float("inf"), 1.0, 1.0, 0.1)]
+    schema = "id long, x double, y double, width double, height double, weight double"
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = boxes.merge_boxes(spark.createDataFrame(rows + bad, schema).withColumn("left", F.lit("further"))).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    have, want = {}, {}
+    for g in got:
+        have.setdefault(g.id, []).append(same((g.x, g.y, g.width, g.height, g.weight)))
+    for g in rows:
+        want.setdefault(g[0], []).append(g[1:])
+    assert {k: sorted(v, key=repr) for k, v in have.items()} == {k: sorted((same(b) for b in closed(v)), key=repr) for k, v in want.items()}
+    assert boxes.merge_boxes(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_level_candidates(spark):
+    """Against plain sets: prefixes shorten only for items with too few others; copies count; empty buckets have no candidates."""
+    r = np.random.default_rng(5)
+    bits, levels, want = 6, 5, 4
+    rows = [(i, int(r.integers(1, 3)), [(t, int(r.integers(0, 1 << bits) if i % 3 else 5)) for t in range(2)]) for i in range(60)] + [(90, 1, []), (91, 1, None)]
+    got = lsh.level_candidates(spark.createDataFrame(rows, "id long, copies int, buckets array<struct<table:int,bucket:long>>"), bits, levels, want).collect()
+    plain = set()
+    live = [x for x in rows if x[2]]
+    for i, _, mine in live:
+        for level in range(levels):
+            mask = (1 << (bits - level)) - 1
+            met = [(j, n) for j, n, other in live if j != i for (_, a), (_, b) in zip(mine, other, strict=True) if a & mask == b & mask]
+            if sum(n for _, n in met) >= want or level == levels - 1:
+                plain |= {(i, j, level) for j, _ in met}
+                break
+    assert {tuple(g) for g in got} == plain and len(got) == len(plain)
+    assert len({g.level for g in got}) > 1
