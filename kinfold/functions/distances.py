@@ -143,3 +143,26 @@ def coarse_to_fine(levels: list[Column], threshold: float, margin: float = 5.0)
 
 def level_mask(low: Column, mid: Column, high: Column) -> Column:
     return F.when(low.isNotNull(), 1).otherwise(0).bitwiseOR(F.when(mid.isNotNull(), 2).otherwise(0)).bitwiseOR(F.when(high.isNotNull(), 4).otherwise(0))
+
+
+def at_level(level: str, a: Column, d: Column, p: Column, feature: Column, raw: Column, threshold: float, bits: tuple[int, int, int] = (64, 56, 64)) -> Column:
+    """Similarity and method at a level of care, from distances of hashes (null: missing), the similarity of reduced vectors and of whole ones.
+
+    basic: the block hash; standard and advanced: all hashes by weight; professional: the reduced vectors, with the hashes where
+    they are similar enough, else as advanced. What a level lacks is made up by the first hash there is (block, difference,
+    average), then by whole vectors; without any, 0.
+    """
+    if level not in ("basic", "standard", "advanced", "professional"):
+        raise ValueError(f"no such level: {level}")
+    share = lambda c, n: F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - c / n)))
+    result = lambda value, name: F.struct(value.cast("double").alias("similarity"), F.lit(name).alias("method"))
+    fallback = F.coalesce(*[F.when(c.isNotNull(), result(share(c, n), "fallback_hash")) for c, n in ((p, bits[2]), (d, bits[1]), (a, bits[0]))], F.when(raw.isNotNull(), result(raw, "fallback_feature")), result(F.lit(0.0), "no_data"))
+    if level == "basic":
+        return F.coalesce(F.when(p.isNotNull(), result(share(p, bits[2]), "basic_hash")), fallback)
+    some = a.isNotNull() | d.isNotNull() | p.isNotNull()
+    hashes = hash_similarity(a, d, p, bits)
+    by_hash = F.coalesce(F.when(some, result(hashes, "weighted_hash" if level == "standard" else "advanced_hash")), fallback)
+    if level != "professional":
+        return by_hash
+    near = feature >= 0.7 * threshold
+    return F.when(near & some, result(feature * 0.6 + hashes * 0.4, "feature_and_hash")).when(near, result(feature, "feature_only")).when(feature.isNotNull(), result(feature, "feature_only_low")).otherwise(by_hash)

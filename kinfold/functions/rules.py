@@ -148,3 +148,45 @@ def gradient_sample(vector: Column, length: int) -> Column:
     keys = F.transform(F.slice(F.array_sort(steps), 1, length - 2), lambda s: s["i"])
     places = F.array_sort(F.array_distinct(F.concat(keys, F.array(F.lit(0), last))))
     return F.transform(places, lambda i: F.get(vector, i))
+
+
+def region_weight(weight: Column, confidence: Column, box: tuple[Column, Column, Column, Column], picture: tuple[Column, Column]) -> Column:
+    """A region's weight by its share of the picture, its distance to the centre and its confidence, from 0.5 to 2.
+
+    ``box``: x, y, width, height; ``picture``: width, height. Null where a part is null.
+    """
+    x, y, wide, high = (c.cast("double") for c in box)
+    width, height = (c.cast("double") for c in picture)
+    share = wide * high / (width * height)
+    far = F.sqrt(F.pow(x + wide / 2 - width / 2, 2) + F.pow(y + high / 2 - height / 2, 2)) / F.sqrt(F.pow(width / 2, 2) + F.pow(height / 2, 2))
+    # Fixed values.
+    by_area = F.when(share > 0.1, 1.5).when(share > 0.05, 1.3).otherwise(1.0)
+    by_place = F.when(far < 0.2, 1.4).when(far < 0.4, 1.2).otherwise(1.0)
+    value = weight * by_area * by_place * (0.8 + 0.4 * confidence)
+    return F.when(value.isNotNull(), F.least(F.lit(2.0), F.greatest(F.lit(0.5), value)))
+
+
+def large_enough(width: Column, height: Column, least: int = 500) -> Column:
+    """Whether regions of a picture are looked for; pictures of unknown size are."""
+    return ~(F.coalesce(width < least, F.lit(False)) | F.coalesce(height < least, F.lit(False)))
+
+
+def batch_parameters(mean_bytes: Column, cores: Column, memory_gb: Column) -> Column:
+    """Struct of batch_size and delay (ms) for items of a mean size on a machine; null sizes give null."""
+    mb = mean_bytes / 1048576
+    size = F.greatest(F.lit(1), F.least(F.lit(20), F.floor(cores * 1.5)))
+    size = F.when(mb > 5, F.greatest(F.lit(1), F.floor(size * 0.5))).when(mb > 2, F.greatest(F.lit(1), F.floor(size * 0.7))).otherwise(size)
+    size = F.when(memory_gb < 4, F.greatest(F.lit(1), F.floor(size * 0.6))).when(memory_gb > 8, F.floor(size * 1.3)).otherwise(size)
+    return F.when(mean_bytes.isNotNull(), F.struct(size.cast("int").alias("batch_size"), F.floor(50 + mb * 10 + 0.5).cast("int").alias("delay")))
+
+
+def released(vector: Column, idle_seconds: Column, most: int = 600) -> Column:
+    """The vector, emptied where nothing has asked for it for longer; one that was never asked for stays."""
+    return F.when(idle_seconds > most, F.slice(vector, 1, 0)).otherwise(vector)
+
+
+def with_tag(tags: Column, name: Column) -> Column:
+    """Tags and one more, its name trimmed; blank names add none. A tag that is there is added again, as in the original."""
+    trimmed = F.trim(name)
+    old = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.when(F.length(trimmed) > 0, F.concat(old, F.array(trimmed))).otherwise(old)

@@ -59,3 +59,13 @@ def chunks_of_groups(best: DataFrame, size: int) -> DataFrame:
 
 def numbered_in_group(groups: DataFrame) -> DataFrame:
     return groups.withColumn("place", F.row_number().over(W.partitionBy("leader").orderBy("member")))
+
+
+def features_of(wanted: DataFrame, mapping: DataFrame, features: DataFrame) -> DataFrame:
+    """id, feature_id and the other columns of ``features`` for each wanted item: one row for each of its features that exist.
+
+    ``wanted``: id; ``mapping``: id, feature_id; ``features``: feature_id and more. Wanted items and links count once however often
+    they are listed, items without links and null ids have no rows. The mapping is cut to wanted items before features are met.
+    """
+    links = mapping.select("id", "feature_id").join(wanted.select("id").distinct(), "id", "left_semi").distinct()
+    return links.join(features, "feature_id")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions import rules
-from kinfold.operators import batches, eviction, ordering, packing, pairing
+from kinfold.operators import batches, eviction, ordering, organize, packing, pairing
 from kinfold.plans.registry import query
 from kinfold.session import materialize, table
 
@@ -350,3 +350,44 @@ def keyed_table_state(spark: SparkSession, d: str) -> DataFrame:
         state.compact()
         state.vacuum()
         return materialize(state.read().select("id", "parent", "v"), "state", outlive=True)
+
+
+# --- features of chosen items, parameters by size, released vectors, tags
+
+
+@query("""select o_custkey id, o_orderkey feature_id, l_linenumber::int line, round(l_extendedprice, 2) price from orders join lineitem on l_orderkey = o_orderkey join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING'""")
+def item_features(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the orders of the customers of one segment."""
+    wanted = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    mapping = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("feature_id"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("feature_id"), F.col("l_linenumber").cast("int").alias("line"), F.round("l_extendedprice", 2).alias("price"))
+    return organize.features_of(wanted, mapping, lines).select("id", "feature_id", "line", "price")
+
+
+@query("""with m as (select source, count(*) items, avg(length(text)::double * 1000) b from documents group by source)
+select source, items, (case when b / 1048576 > 5 then 6 when b / 1048576 > 2 then 8 else 12 end)::int batch_size, floor(50 + b / 1048576 * 10 + 0.5)::int delay from m""")
+def batch_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Size of batches and delay for each source, a character taken for a thousand bytes, on eight cores with 8 GB."""
+    sizes = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("items"), F.avg(F.length("text").cast("double") * 1000).alias("b"))
+    return sizes.select("source", "items", rules.batch_parameters(F.col("b"), F.lit(8), F.lit(8)).alias("p")).select("source", "items", "p.*")
+
+
+@query("""with n as (select max(ts) t from events), u as (select user_id, max(ts) last from events group by 1)
+select vec_id, case when epoch_us(t) - epoch_us(last) > 600000000 then 0 else len(embedding) end::int held from embeddings left join u on user_id = vec_id, n""")
+def released_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each vector is held ten minutes after its user's last event, counted from the last of all."""
+    events = table(spark, d, "events")
+    last = events.groupBy("user_id").agg(F.max("ts").alias("last"))
+    # One row.
+    now = last.agg(F.max("last").alias("now"))
+    idle = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 1e6
+    rows = table(spark, d, "embeddings").join(last, F.col("user_id") == F.col("vec_id"), "left").crossJoin(F.broadcast(now))
+    return rows.select("vec_id", F.size(rules.released(F.col("embedding"), idle)).alias("held"))
+
+
+@query("""select page_id id, list_concat(case when page_id % 3 = 0 then ['old'] else [] end, case when length(html) > 2000 then ['long'] else [] end) tags, case when url like 'https%' then 'secure' end category from pages""")
+def tagged_items(spark: SparkSession, d: str) -> DataFrame:
+    """A tag for the long pages, a category for those with a secure address."""
+    pages = table(spark, d, "pages").withColumn("tags", F.when(F.col("page_id") % 3 == 0, F.array(F.lit("old"))))
+    tagged = rules.with_tag(F.col("tags"), F.when(F.length("html") > 2000, F.lit(" long ")).otherwise(F.lit("  ")))
+    return pages.select(F.col("page_id").alias("id"), tagged.alias("tags"), F.when(F.col("url").startswith("https"), "secure").alias("category"))

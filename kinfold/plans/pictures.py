@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import distances, grids, rules
+from kinfold.operators import pyramids
 from kinfold.operators.boxes import merge_boxes
-from kinfold.plans.registry import query
+from kinfold.plans.registry import SQL, query
 from kinfold.session import materialize, table
 
 TURNS = {"r": 0, "g": 21, "b": 42}
@@ -331,3 +332,115 @@ def cosine_hashes(spark: SparkSession, d: str) -> DataFrame:
     """The frequency hash of the pictures at 32 x 32."""
     big = _grids(spark, d).select("id", grids.enlarged(F.col("grid"), 8, 4).alias("big"))
     return big.select("id", grids.hex_of(grids.cosine_hash(F.col("big")), 16).alias("hash"))
+
+
+# --- pyramids and tiles of the pixels themselves
+
+def _half_sql(of: str, side: int) -> str:
+    """The grid of 2 * side pixels a side, halved."""
+    at = lambda u, v: f"{of}[(i // {side} * 2 + {v}) * {2 * side} + i % {side} * 2 + {u} + 1]"
+    return f"list_transform(range(0, {side * side}), lambda i: (({at(0, 0)} + {at(1, 0)} + {at(0, 1)} + {at(1, 1)} + 2) // 4)::int)"
+
+
+LEVELED = f"""h4 as (select id, g, {_half_sql('g', 4)} g4 from gr), h2 as (select id, g, g4, {_half_sql('g4', 2)} g2 from h4),
+le as (select id, 2 as level, 8 side, g px from h2 union all select id, 1, 4, g4 from h2 union all select id, 0, 2, g2 from h2),
+lh as (select id, level, side, px, {_signed('coalesce(list_sum(list_transform(range(0, len(px)), lambda i: case when px[i + 1] * len(px) >= list_sum(px) then (1::hugeint << i::int) else 0 end)), 0)')} hash from le)"""
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    return _grids(spark, d).select("id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("grid").alias("pixels"))
+
+
+def _leveled(spark: SparkSession, d: str) -> DataFrame:
+    """id, level, width, pixels, bits, hash of three levels."""
+    rows = pyramids.levels(_pictures(spark, d), most=3, least_side=1).withColumn("mean", grids.mean(F.col("pixels")))
+    value = F.coalesce(*[F.when(F.col("width") == side, grids.average_hash(F.col("pixels"), F.col("mean"), side)) for side in (8, 4, 2)])
+    return rows.select("id", "level", "width", "pixels", F.size("pixels").alias("bits"), value.alias("hash"))
+
+
+@query(f"with {GRID}, {LEVELED} select id, level, side width, sha256(array_to_string(px, ',')) digest, hash from lh")
+def pyramid_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Each level's pixels as a digest, and its average hash."""
+    return _leveled(spark, d).select("id", "level", "width", pyramids.digest(F.col("pixels")).alias("digest"), "hash")
+
+
+TILED = """tp as (select id, g, unnest(range(0, 8, 3)) x from gr), ty as (select id, g, x, unnest(range(0, 8, 3)) y from tp),
+td as (select id, x::int x, y::int y, least(4, 8 - x)::int width, least(4, 8 - y)::int height, sha256(array_to_string(flatten(list_transform(range(y, least(y + 4, 8)), lambda r: g[r * 8 + x + 1:r * 8 + least(x + 4, 8)])), ',')) digest from ty)"""
+
+
+@query(f"with {GRID}, {TILED} select * from td")
+def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of 4 x 4 that overlap by one pixel."""
+    return pyramids.tiles(_pictures(spark, d), 4, 1).select("id", "x", "y", "width", "height", pyramids.digest(F.col("pixels")).alias("digest"))
+
+
+@query(f"with {GRID}, {TILED} select id, count(*)::int tiles, sha256(string_agg(digest, '' order by y, x)) digest from td group by id")
+def tiled_digest(spark: SparkSession, d: str) -> DataFrame:
+    return pyramids.segmented(pyramids.tiles(_pictures(spark, d), 4, 1))
+
+
+def _candidate_sql() -> str:
+    from kinfold.plans.vectors import _plane_sql
+
+    return f"{_plane_sql()}, ca as (select distinct x.id a, y.id b from k x join k y on x.tab = y.tab and x.bucket = y.bucket and x.id < y.id)"
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    from kinfold.plans.vectors import hyperplane_pairs
+
+    return hyperplane_pairs(spark, d)
+
+
+@query(f"""with {_candidate_sql()}, {GRID}, {LEVELED}, pr as (select a, b, x.level, 100 * (1 - bit_count(xor(x.hash, y.hash)) / len(x.px)::double) v from ca join lh x on x.id = a join lh y on y.id = b and y.level = x.level),
+ve as (select a, b, level, v, case when v < 90 * (0.7::double + 0.3::double * level / 2) then false when v > 95 or level = 2 then true end ok from pr)
+select a, b, min(level)::int as level, round(arg_min(v, level), 6) similarity, arg_min(ok, level) passes from ve where ok is not null group by a, b""")
+def pyramid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of the vectors' hash tables, decided by their pictures from the coarsest level on."""
+    found = pyramids.search(_candidates(spark, d), _leveled(spark, d), 90.0)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+CASC = f"""pq as (select ca.a id1, ca.b id2, {HAM.format('x', 'y', 'a')} da, {HAM.format('x', 'y', 'd')} dd, {HAM.format('x', 'y', 'p')} dp, ca.b % 3 <> 1 hashed, ca.b % 5 <> 2 reduced,
+ 100 * {COS.format('e.embedding::double[]', 'f.embedding::double[]')} co from ca join h x on x.id = ca.a join h y on y.id = ca.b join embeddings e on e.vec_id = ca.a join embeddings f on f.vec_id = ca.b),
+pv as (select *, case when hashed then greatest(0, least(100, 100 * (1 - (da * 0.25 + dd * 0.35 + dp * 0.4)::double / 184))) end hs, case when hashed then greatest(0, least(100, 100 * (1 - dp / 64.0::double))) end bs, case when reduced then greatest(0, least(100, co)) end fe, co raw from pq)"""
+
+
+@query(f"""with {_candidate_sql()}, {HASHED}, {CASC} select id1 a, id2 b, round(coalesce(bs, raw), 6) basic, round(coalesce(hs, raw), 6) standard,
+round(case when fe >= 63 and hs is not null then fe * 0.6 + hs * 0.4 when fe is not null then fe else coalesce(hs, raw) end, 6) professional,
+case when fe >= 63 and hs is not null then 'feature_and_hash' when fe >= 63 then 'feature_only' when fe is not null then 'feature_only_low' when hs is not null then 'advanced_hash' else 'fallback_feature' end as method from pv""")
+def level_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs compared at three levels; some pictures have no hashes or no reduced vector."""
+    both = _candidates(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = materialize(_hashed(spark, d).join(vectors, "id"), "features")
+    for key, end in (("a", "0"), ("b", "1")):
+        both = both.join(rows.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}{end}_") for c in ("a", "d", "p", "v")]), key)
+    hashed, reduced = F.col("b") % 3 != 1, F.col("b") % 5 != 2
+    far = {c: F.when(hashed, distances.bit_distance(F.col(f"{c}0_"), F.col(f"{c}1_"))) for c in ("a", "d", "p")}
+    near = distances.cosine(F.col("v0_"), F.col("v1_")) * 100
+    both = both.select("a", "b", far["a"].alias("da"), far["d"].alias("dd"), far["p"].alias("dp"), near.alias("raw"), F.when(reduced, F.greatest(F.lit(0.0), F.least(F.lit(100.0), near))).alias("feature"))
+    at = lambda level: distances.at_level(level, F.col("da"), F.col("dd"), F.col("dp"), F.col("feature"), F.col("raw"), 90.0)
+    out = both.select("a", "b", *[at(level).alias(level) for level in ("basic", "standard", "professional")])
+    return out.select("a", "b", *[F.round(f"{c}.similarity", 6).alias(c) for c in ("basic", "standard", "professional")], "professional.method")
+
+
+# --- regions weighed, small pictures skipped
+
+MERGED = SQL["merged_regions"].removeprefix("with recursive ")
+AREA = "width * height / 64"
+FAR = "(sqrt(power(x + width / 2 - 4, 2) + power(y + height / 2 - 4, 2)) / sqrt(32.0::double))"
+
+
+@query(f"""with recursive mr as (with recursive {MERGED})
+select id, x, y, width, height, round(least(2.0, greatest(0.5, 1.0::double * case when {AREA} > 0.1 then 1.5::double when {AREA} > 0.05 then 1.3::double else 1 end
+ * case when {FAR} < 0.2 then 1.4::double when {FAR} < 0.4 then 1.2::double else 1 end * (0.8::double + 0.4::double * weight))), 6) weight from mr""")
+def weighed_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The merged regions weighed by area, distance to the centre and confidence."""
+    weight = rules.region_weight(F.lit(1.0), F.col("weight"), (F.col("x"), F.col("y"), F.col("width"), F.col("height")), (F.lit(8), F.lit(8)))
+    return merged_regions(spark, d).withColumn("weight", F.round(weight, 6))
+
+
+@query(f"with {DIMS} select id, w >= 500 and h >= 500 examined from dm")
+def examined_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures with a side below 500 are not searched for regions."""
+    return _dims(spark, d).select("id", rules.large_enough(F.col("w"), F.col("h")).alias("examined"))

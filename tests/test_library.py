@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from kinfold import plans
 from kinfold.functions import distances, grids, rules
-from kinfold.operators import batches, blocks, boxes, clustering, eviction, linalg, lsh, ordering, packing, pairing, pivots, radius, simhash
+from kinfold.operators import batches, blocks, boxes, clustering, eviction, linalg, lsh, ordering, organize, packing, pairing, pivots, pyramids, radius, simhash
 from kinfold.sources import archives, files
 from kinfold.streaming import accesses, deltas, upsert
 
 #: Queries that the quick run compares with SQL; KINFOLD_ALL=1 compares all.
-QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats", "pca_variance", "pca_neighbours", "access_state", "event_pairs", "merged_regions", "level_candidates"]
+QUICK = ["simhash_documents", "dedup_groups", "organize_actions", "rename_plan", "similar_items", "picture_hashes", "fusion_similarity", "validate_items", "bin_pack", "size_budget_evict", "cache_priority_cleanup", "error_stats", "pca_variance", "pca_neighbours", "access_state", "event_pairs", "merged_regions", "level_candidates", "pyramid_search", "level_comparison", "tiled_digest"]
 
 
 def same(v):
@@ -653,3 +653,112 @@ def test_level_candidates(spark):
                 break
     assert {tuple(g) for g in got} == plain and len(got) == len(plain)
     assert len({g.level for g in got}) > 1
+
+
+def halved(g, least):
+    h, w = (max(min(n, least), (n + 1) // 2) for n in g.shape)
+    out = np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            ys, xs = [min(2 * y + k, g.shape[0] - 1) for k in (0, 1)], [min(2 * x + k, g.shape[1] - 1) for k in (0, 1)]
+            if h == g.shape[0] or w == g.shape[1]:
+                raise AssertionError("no level keeps a side")
+            out[y, x] = (sum(g[a, b] for a in ys for b in xs) + 2) // 4
+    return out
+
+
+def test_pyramids_and_tiles(spark):
+    """Against numpy: odd sides, one pixel, wrong and null pixels, tiles at the rim."""
+    import hashlib
+
+    r = np.random.default_rng(3)
+    pictures = {1: r.integers(0, 256, (13, 9)), 2: r.integers(0, 256, (16, 16)), 3: r.integers(0, 256, (1, 1)), 4: r.integers(0, 256, (11, 12))}
+    rows = [(i, g.shape[1], g.shape[0], g.ravel().tolist()) for i, g in pictures.items()] + [(7, 2, 2, [1]), (8, 2, 2, None), (9, None, 2, [1, 2]), (10, 0, 0, [])]
+    frame = spark.createDataFrame(rows, "id long, width int, height int, pixels array<int>")
+    got = {(g.id, g.level): (g.width, g.height, g.pixels) for g in pyramids.levels(frame, most=3, least_side=3).collect()}
+    want = {}
+    for i, g in pictures.items():
+        want[i, 2] = g
+        for level in (1, 0):
+            if max(max(min(n, 3), (n + 1) // 2) for n in g.shape) <= 3:
+                break
+            g = want[i, level] = halved(g, 3)
+    assert got == {k: (g.shape[1], g.shape[0], g.ravel().tolist()) for k, g in want.items()} and (1, 0) in got and (3, 1) not in got
+    cut = pyramids.tiles(frame, 5, 2)
+    have = {(t.id, t.x, t.y): (t.width, t.height, t.pixels) for t in cut.collect()}
+    plain = {}
+    for i, g in pictures.items():
+        for y in range(0, g.shape[0], 3):
+            for x in range(0, g.shape[1], 3):
+                part = g[y : y + 5, x : x + 5]
+                plain[i, x, y] = (part.shape[1], part.shape[0], part.ravel().tolist())
+    assert have == plain
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for row in pyramids.segmented(cut).collect():
+        places = sorted((y, x) for i, x, y in plain if i == row.id)
+        assert row.tiles == len(places) and row.digest == sha("".join(sha(",".join(map(str, plain[row.id, x, y][2]))) for y, x in places))
+
+
+def test_search_from_coarse_to_fine(spark):
+    """Against a loop: early verdicts, levels that are missing, repeated pairs, one level, none."""
+    r = np.random.default_rng(8)
+    hashes = {(i, level): int(r.integers(0, 2 ** (4 << level))) & (3 if i % 2 else -1) for i in range(12) for level in range(3) if not (i == 3 and level == 2) and i != 5}
+    hashed = spark.createDataFrame([(i, level, 4 << level, h) for (i, level), h in hashes.items()], "id long, level int, bits int, hash long")
+    pairs = [(i, j) for i in range(12) for j in range(i)]
+    frame = spark.createDataFrame(pairs + pairs[:5], "a long, b long")
+
+    def plain(levels):
+        out = {}
+        for i, j in pairs:
+            passes, at, last = None, None, None
+            for level in levels:
+                x, y = hashes.get((i, level)), hashes.get((j, level))
+                if x is None or y is None:
+                    continue
+                at, last = level, 100 * (1 - (x ^ y).bit_count() / (4 << level))
+                if last < (70 * (0.7 + 0.3 * level / levels[-1]) if len(levels) > 1 else 70):
+                    passes = False
+                elif last > 75 or level == levels[-1]:
+                    passes = True
+                if passes is not None:
+                    break
+            out[i, j] = (at, last, at is not None if passes is None else passes)
+        return out
+
+    for levels in ([0, 1, 2], [2]):
+        got = pyramids.search(frame, hashed.filter(F.col("level").isin(levels)), 70.0).collect()
+        assert len(got) == len(pairs) and {(g.a, g.b): same((g.level, g.similarity, g.passes)) for g in got} == {k: same(v) for k, v in plain(levels).items()}
+    assert {g.passes for g in pyramids.search(frame, hashed.limit(0), 70.0).collect()} == {False}
+
+
+def test_comparison_by_level(spark):
+    schema = "a int, d int, p int, feature double, raw double"
+    rows = [(8, 7, 16, 90.0, 50.0), (8, 7, 16, 10.0, 50.0), (None, None, None, 90.0, 50.0), (None, None, None, None, 50.0), (None, 7, None, None, 50.0), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    at = lambda level: [tuple(r.v) for r in frame.select(distances.at_level(level, *[F.col(c) for c in ("a", "d", "p", "feature", "raw")], 90.0).alias("v")).collect()]
+    assert [m for _, m in at("basic")] == ["basic_hash", "basic_hash", "fallback_feature", "fallback_feature", "fallback_hash", "no_data"]
+    assert [v for v, _ in at("basic")] == [75.0, 75.0, 50.0, 50.0, 87.5, 0.0]
+    assert [m for _, m in at("standard")] == ["weighted_hash", "weighted_hash", "fallback_feature", "fallback_feature", "weighted_hash", "no_data"]
+    assert [m for _, m in at("advanced")] == ["advanced_hash", "advanced_hash", "fallback_feature", "fallback_feature", "advanced_hash", "no_data"]
+    assert [m for _, m in at("professional")] == ["feature_and_hash", "feature_only_low", "feature_only", "fallback_feature", "advanced_hash", "no_data"]
+    mean = 8 * 0.25 + 7 * 0.35 + 16 * 0.4
+    assert at("professional")[0][0] == pytest.approx(90 * 0.6 + 100 * (1 - mean / 184) * 0.4)
+    with pytest.raises(ValueError):
+        distances.at_level("utmost", *[F.lit(None)] * 5, 90.0)
+
+
+def test_small_rules(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    box = lambda x, y, w, h: tuple(F.lit(v) for v in (x, y, w, h))
+    assert one(rules.region_weight(F.lit(1.0), F.lit(0.5), box(30, 30, 40, 40), (F.lit(100), F.lit(100)))) == 2.0
+    assert one(rules.region_weight(F.lit(1.0), F.lit(0.5), box(0, 0, 10, 10), (F.lit(100), F.lit(100)))) == pytest.approx(1.0)
+    assert one(rules.region_weight(F.lit(0.1), F.lit(0.0), box(0, 0, 10, 10), (F.lit(100), F.lit(100)))) == 0.5
+    assert one(rules.region_weight(F.lit(None).cast("double"), F.lit(0.5), box(0, 0, 1, 1), (F.lit(9), F.lit(9)))) is None
+    assert [one(rules.large_enough(F.lit(a), F.lit(b))) for a, b in ((500, 500), (499, 900), (900, 499), (None, 900))] == [True, False, False, True]
+    assert [tuple(one(rules.batch_parameters(F.lit(mb * 1048576.0), F.lit(c), F.lit(g)))) for mb, c, g in ((1, 8, 8), (3, 8, 8), (6, 8, 8), (1, 8, 2), (1, 8, 16), (6, 1, 2))] == [(12, 60), (8, 80), (6, 110), (7, 60), (15, 60), (1, 110)]
+    assert [one(rules.released(F.array(F.lit(1.0)), F.lit(s).cast("double"))) for s in (600, 601, None)] == [[1.0], [], [1.0]]
+    assert [one(rules.with_tag(t, F.lit(n))) for t, n in ((F.array(F.lit("a")), " a "), (F.lit(None).cast("array<string>"), "b"), (F.array(F.lit("a")), "  "))] == [["a", "a"], ["b"], ["a"]]
+    links = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 10), (None, 10), (3, 99)], "id long, feature_id long")
+    features = spark.createDataFrame([(10, "x"), (11, "y"), (12, "z")], "feature_id long, v string")
+    got = organize.features_of(spark.createDataFrame([(1,), (1,), (3,), (None,)], "id long"), links, features).select("id", "feature_id", "v").collect()
+    assert sorted(map(tuple, got)) == [(1, 10, "x"), (1, 11, "y")]
