@@ -1,8 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against the token windows of every text.
 
 Windows are ``width`` consecutive words of an item, or all its words where it has fewer. A hit by hash is verified
-against the window's words. The window set is broadcast only up to ``MOST_WINDOWS``; a larger one becomes a bitmap of
-fixed size that picks candidate windows, which a shuffled join then checks.
+against the window's words. The window set is broadcast only up to ``MOST_WINDOWS``; a larger one becomes a bitmap that
+grows with it, two bits of ``BITS_EACH`` a window, up to ``MOST_BITS``; some one in seventy other windows passes it. What passes
+travels as hashes (64 bits and an MD5 of the words) to a shuffled join. Beyond MOST_BITS the bitmap lets more through, the
+join stays right. Both ways give the same rows.
 
 Defined cases: null or empty texts and items have no words and no windows; a text without words is never contaminated
 and its items_sha256 is that of the empty string; items with equal ids count once; an item with a null id marks words
@@ -27,8 +29,8 @@ WIDTH = 13
 SHARE = 0.05
 #: Windows that are broadcast; with their words and the table some 500 bytes each in a process.
 MOST_WINDOWS = 200_000
-#: Bits of the bitmap that stands for a larger set.
-BITMAP_BITS = 1 << 26
+#: Bits of the bitmap for each window of a larger set, and the most it has (128 MB in a process).
+BITS_EACH, MOST_BITS = 16, 1 << 30
 #: Bytes of the parts in which it is put together.
 BITMAP_PART = 1 << 16
 RULE = Words(space=False)
@@ -74,10 +76,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mos
     spark = docs.sparkSession
     text_batches(spark)
     windows = materialize(benchmark_windows(benchmark, width), "windows")
-    if windows.count() <= most_windows:
-        hits = _by_set(docs, windows)
-    else:
-        hits = _by_join(docs, windows)
+    known = windows.count()
+    hits = _by_set(docs, windows) if known <= most_windows else _by_join(docs, windows, known)
     return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(round(1 / SHARE)) * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -114,16 +114,28 @@ def _by_set(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return scanned.select("row", "_hits.*")
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """One bit for each value of the leading bits of a hash, set in tasks and put together in parts of fixed size."""
+def _bitmap_bits(windows: int) -> int:
+    """The power of two that holds BITS_EACH bits a window, of 64 KB at least and MOST_BITS at most."""
+    return min(MOST_BITS, max(BITMAP_PART * 8, 1 << max(0, BITS_EACH * windows - 1).bit_length()))
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash: by its leading and by its last places."""
+    n = bits.bit_length() - 1
+    return (hashes >> U(64 - n)).astype(np.int64), (hashes & U(bits - 1)).astype(np.int64)
+
+
+def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
+    """Two bits for each hash, set in tasks and put together in parts of fixed size; a task holds one bitmap."""
 
     def mark(batches):
-        bits = np.zeros(BITMAP_BITS, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            bits[(batch.column("hash").to_numpy().view(U) >> U(64 - 26)).astype(np.int64)] = True
-        packed = np.packbits(bits).reshape(-1, BITMAP_PART)
-        some = np.flatnonzero(packed.any(1))
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
+            for at in _places(batch.column("hash").to_numpy().view(U), bits):
+                np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        for i, own in enumerate(packed.reshape(-1, BITMAP_PART)):
+            if own.any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "bits"])
 
     def merge(batches):
         at, bits = None, None
@@ -140,20 +152,21 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array([at], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
 
     parts = windows.select("hash").mapInArrow(mark, "part int, bits binary").repartition("part").sortWithinPartitions("part")
-    out = np.zeros((BITMAP_BITS // 8 // BITMAP_PART, BITMAP_PART), np.uint8)
+    out = np.zeros((bits // 8 // BITMAP_PART, BITMAP_PART), np.uint8)
     for r in parts.mapInArrow(merge, "part int, bits binary").toLocalIterator():
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
-def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The way for more windows than are broadcast: candidates by a bitmap, checked by a join on hash and words."""
+def _by_join(docs: DataFrame, windows: DataFrame, known: int) -> DataFrame:
+    """The way for ``known`` windows, more than are broadcast: candidates by a bitmap, checked by a join on the hash and the MD5 of the words."""
     spark = docs.sparkSession
     lengths = [r.length for r in windows.select("length").distinct().collect()]
-    shared = spark.sparkContext.broadcast((_bitmap(windows), lengths))
-    kind = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("hash", pa.int64()), ("words", pa.binary())])
+    bits = _bitmap_bits(known)
+    shared = spark.sparkContext.broadcast((_bitmap(windows, bits), lengths))
+    kind = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("hash", pa.int64()), ("sum", pa.binary())])
 
-    @F.arrow_udf("n_words long, found array<struct<at:int,length:int,hash:long,words:binary>>")
+    @F.arrow_udf("n_words long, found array<struct<at:int,length:int,hash:long,sum:binary>>")
     def scan(text: pa.Array) -> pa.Array:
         packed, lengths = shared.value
         out = []
@@ -163,15 +176,15 @@ def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
             rows: list[list[dict]] = [[] for _ in range(tokens.rows)]
             for length in lengths:
                 at, h = windows_of(tokens, length)
-                bit = (h >> U(64 - 26)).astype(np.int64)
-                for k in np.flatnonzero((packed[bit >> 3] >> (7 - (bit & 7))) & 1):
+                first, second = ((packed[bit >> 3] >> (7 - (bit & 7))) & 1 for bit in _places(h, bits))
+                for k in np.flatnonzero(first & second):
                     row = tokens.row[at[k]]
-                    rows[row].append({"at": int(at[k] - start[row]), "length": length, "hash": int(h[k].view(np.int64)), "words": _words(tokens, int(at[k]), length)})
+                    rows[row].append({"at": int(at[k] - start[row]), "length": length, "hash": int(h[k].view(np.int64)), "sum": hashlib.md5(_words(tokens, int(at[k]), length)).digest()})
             out += [{"n_words": int(n), "found": r} for n, r in zip(tokens.count, rows, strict=True)]
         return pa.array(out, pa.struct([("n_words", pa.int64()), ("found", pa.list_(kind))]))
 
     scanned = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"), scan(F.col("text").cast("binary")).alias("s")).select("rid", "row", "s.*"), "candidates")
-    found = scanned.select("rid", F.explode("found").alias("f")).select("rid", "f.*").join(windows, ["length", "hash", "words"])
+    found = scanned.select("rid", F.explode("found").alias("f")).select("rid", "f.*").join(windows.select("item_id", "length", "hash", F.unhex(F.md5("words")).alias("sum")), ["length", "hash", "sum"])
     hits = found.groupBy("rid").agg(F.collect_set("item_id").alias("items"), F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + length - 1)"))))).cast("long").alias("n_hit"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return (

@@ -655,6 +655,17 @@ def test_decontamination(spark, most):
     assert decontaminate.digest(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_bitmap(spark):
+    """The bitmap grows with the windows, holds each of them and few others."""
+    assert [decontaminate._bitmap_bits(n) for n in (0, 1 << 15, (1 << 15) + 1, 10**6, 10**9)] == [1 << 19, 1 << 19, 1 << 20, 1 << 24, 1 << 30]
+    r = np.random.default_rng(4)
+    known, others = (r.integers(-(2**63), 2**63, 1 << 16, dtype=np.int64) for _ in range(2))
+    bits = decontaminate._bitmap_bits(len(known))
+    packed = decontaminate._bitmap(spark.createDataFrame([(int(h),) for h in known], "hash long").repartition(5), bits)
+    passes = lambda h: np.logical_and(*(packed[at >> 3] >> (7 - (at & 7)) & 1 for at in decontaminate._places(h.view(np.uint64), bits)))
+    assert len(packed) == bits // 8 and passes(known).all() and passes(others).mean() < 0.02
+
+
 # --- 10 line dedup
 
 
