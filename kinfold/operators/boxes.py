@@ -1,8 +1,8 @@
 """Overlapping boxes merged to a fixpoint, as rounds of a spatial join over grids of all sizes.
 
 Merging is confluent: boxes that overlap still do when either has grown, so any order of merges ends at the same boxes. A
-round merges what stands together in a batch of the order by item and place, then lets each box grow around all that
-overlap it. Boxes meet in the cells of a grid as wide as the larger of two, where neither covers more than four.
+round merges what stands together in a batch of the order by item and place; an item that lies within one batch is done.
+Boxes of the others, two items a batch at most, grow around all that overlap them. Boxes meet in the cells of a grid as wide as the larger of two, where neither covers more than four.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from kinfold.session import materialize, scratch, ship
 
@@ -47,20 +48,25 @@ def _close_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         # Rows are sorted by id, so an item's rows are a run.
         codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        parts, takes = [], []
+        parts, takes, opens = [], [], []
         for start, end in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
             parts.append(_closed(sides[start:end], weights[start:end]))
             takes.append(np.full(len(parts[-1][0]), start))
+            # The first and the last item may have rows elsewhere.
+            opens.append(np.full(len(parts[-1][0]), start == 0 or end == len(codes)))
         out = np.concatenate([p[0] for p in parts])
         weight = pa.array(np.concatenate([p[1] for p in parts]), from_pandas=True)
-        columns = [ids.take(pa.array(np.concatenate(takes))), *[pa.array(out[:, i]) for i in range(4)], weight]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", *SIDES, "weight"])
+        columns = [ids.take(pa.array(np.concatenate(takes))), *[pa.array(out[:, i]) for i in range(4)], weight, pa.array(np.concatenate(opens))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", *SIDES, "weight", "open"])
 
 
 def _near_ones_closed(boxes: DataFrame) -> DataFrame:
-    """Equal boxes as one; then batches of the order by item and place merged, an item of many boxes over many tasks."""
+    """Equal boxes as one; then batches of the order by item and place merged, an item of many boxes over many tasks.
+
+    A column ``open`` tells whether the item may have boxes in other batches.
+    """
     single = boxes.groupBy("id", *SIDES).agg(F.max("weight").alias("weight"))
-    return single.repartitionByRange("id", "top", "left").sortWithinPartitions("id", "top", "left", "right", "bottom").mapInArrow(_close_batches, single.schema)
+    return single.repartitionByRange("id", "top", "left").sortWithinPartitions("id", "top", "left", "right", "bottom").mapInArrow(_close_batches, StructType([*single.schema.fields, StructField("open", BooleanType())]))
 
 
 def _cells(level: Column) -> Column:
@@ -106,9 +112,10 @@ def merge_boxes(boxes: DataFrame, rounds: int = 200) -> DataFrame:
         sides = sides.filter(F.abs(F.col(side)) < float("inf"))
     ship(boxes.sparkSession)
     with scratch(boxes.sparkSession):
-        now = materialize(_near_ones_closed(sides), "boxes")
+        closed = materialize(_near_ones_closed(sides), "boxes")
+        done = closed.filter("not open").drop("open")
         for _ in range(rounds):
-            single = now.groupBy("id", *SIDES).agg(F.max("weight").alias("weight"))
+            single = closed.filter("open").groupBy("id", *SIDES).agg(F.max("weight").alias("weight"))
             own = F.struct(*[F.col(c) for c in ["id", *SIDES, "weight"]])
             pairs = overlapping(single)
             both = pairs.select("a", "b").union(pairs.select("b", "a")).union(single.select(own.alias("a"), own.alias("b")))
@@ -120,7 +127,9 @@ def merge_boxes(boxes: DataFrame, rounds: int = 200) -> DataFrame:
             for side in SIDES:
                 moved = moved | (F.col(side) != F.col(f"old_{side}"))
             if not grown.filter(moved).limit(1).count():
-                out = single.select("id", F.col("left").alias("x"), F.col("top").alias("y"), (F.col("right") - F.col("left")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"), "weight")
+                out = done.unionByName(single)
+                out = out.select("id", F.col("left").alias("x"), F.col("top").alias("y"), (F.col("right") - F.col("left")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"), "weight")
                 return materialize(out, "merged", outlive=True)
-            now = materialize(_near_ones_closed(grown.select("id", *SIDES, "weight")), "boxes")
+            closed = materialize(_near_ones_closed(grown.select("id", *SIDES, "weight")), "boxes")
+            done = done.unionByName(closed.filter("not open").drop("open"))
     raise RuntimeError(f"boxes did not settle in {rounds} rounds")
