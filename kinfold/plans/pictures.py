@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import distances, grids, rules
 from kinfold.operators import pyramids
 from kinfold.operators.boxes import merge_boxes
+from kinfold.plans import vectors
 from kinfold.plans.registry import SQL, query
 from kinfold.session import materialize, table
 
@@ -380,22 +381,20 @@ def tiled_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidate_sql() -> str:
-    from kinfold.plans.vectors import _plane_sql
-
-    return f"{_plane_sql()}, ca as (select distinct x.id a, y.id b from k x join k y on x.tab = y.tab and x.bucket = y.bucket and x.id < y.id)"
+    return f"{vectors._asked_sql()}, ca as (select distinct least(a.id, b.id) a, greatest(a.id, b.id) b from {vectors.MET})"
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    from kinfold.plans.vectors import hyperplane_pairs
-
-    return hyperplane_pairs(spark, d)
+    """Pairs of distinct sign vectors; those that few others resemble have few."""
+    asked = vectors.level_candidates(spark, d)
+    return asked.select(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).distinct()
 
 
 @query(f"""with {_candidate_sql()}, {GRID}, {LEVELED}, pr as (select a, b, x.level, 100 * (1 - bit_count(xor(x.hash, y.hash)) / len(x.px)::double) v from ca join lh x on x.id = a join lh y on y.id = b and y.level = x.level),
 ve as (select a, b, level, v, case when v < 90 * (0.7::double + 0.3::double * level / 2) then false when v > 95 or level = 2 then true end ok from pr)
 select a, b, min(level)::int as level, round(arg_min(v, level), 6) similarity, arg_min(ok, level) passes from ve where ok is not null group by a, b""")
 def pyramid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs of the vectors' hash tables, decided by their pictures from the coarsest level on."""
+    """Candidate pairs of the vectors' longest shared prefixes, decided by their pictures from the coarsest level on."""
     found = pyramids.search(_candidates(spark, d), _leveled(spark, d), 90.0)
     return found.withColumn("similarity", F.round("similarity", 6))
 

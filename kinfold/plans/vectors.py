@@ -219,9 +219,16 @@ def _forest_sql() -> str:
     return f"{one}, k as ({' union all '.join(rows)})"
 
 
-@query(f"""with {_forest_sql()}, e as (select id, n, tab, lv, bucket % (1 << (12 - lv)::int) p from k, range(0, {LEVELS}) t(lv)), z as (select tab, lv, p, sum(n) s from e group by all),
-c as (select id, lv, sum(s - n) c from e join z using (tab, lv, p) group by 1, 2), q as (select id, coalesce(min(case when c >= {WANT} then lv end), {LEVELS - 1}) lv from c group by id)
-select distinct a.id query_id, b.id vec_id, a.lv::int as level from q join e a on a.id = q.id and a.lv = q.lv join e b on a.tab = b.tab and a.lv = b.lv and a.p = b.p and a.id <> b.id""")
+def _asked_sql() -> str:
+    """The tables up to q, each id's level, and e, the buckets of all levels."""
+    return f"""{_forest_sql()}, e as (select id, n, tab, lv, bucket % (1 << (12 - lv)::int) p from k, range(0, {LEVELS}) t(lv)), z as (select tab, lv, p, sum(n) s from e group by all),
+c as (select id, lv, sum(s - n) c from e join z using (tab, lv, p) group by 1, 2), q as (select id, coalesce(min(case when c >= {WANT} then lv end), {LEVELS - 1}) lv from c group by id)"""
+
+
+MET = "q join e a on a.id = q.id and a.lv = q.lv join e b on a.tab = b.tab and a.lv = b.lv and a.p = b.p and a.id <> b.id"
+
+
+@query(f"with {_asked_sql()} select distinct a.id query_id, b.id vec_id, a.lv::int as level from {MET}")
 def level_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each distinct sign vector from the longest prefixes that hold ten rows; copies follow the first id."""
     rows = _signed(spark, d).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
