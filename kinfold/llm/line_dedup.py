@@ -7,7 +7,7 @@ in all its documents. Keys that two documents or more share are rare and lead th
 them, so that a passage of many documents makes one pair for each of them and none between them.
 
 The lines of a pair are aligned by patience diff: those whose key stands once in either document, in their longest common
-order (where none does, those with the place that holds most around them), each grown word by word to both sides. Aligned blocks of MIN_WORDS words or
+order (where none does, one after the other with the place that holds most around it), each grown word by word to both sides. Aligned blocks of MIN_WORDS words or
 more leave the later document. Alignment repeats on the lines that are left, until none is, so that moved and repeated
 blocks go too. Where a block stays below MIN_WORDS words, the documents of its key meet once more by all windows of
 MIN_WORDS words around it. Then no later document keeps MIN_WORDS words in a row that an earlier one holds, and every word
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import sized_join, text_batches
-from kinfold.llm.tokens import Tokens, U, Words, lists, pieces, windows_of
+from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces, windows_of
 from kinfold.session import materialize, scratch
 
 MIN_WORDS, KEY_WORDS = 50, 12
@@ -99,19 +100,54 @@ class Lines:
     """The words of a document and where its lines begin."""
 
     def __init__(self, words: np.ndarray, at: np.ndarray, key: np.ndarray, least: int = MIN_WORDS):
-        self.words, self.at, self.key, self.least = words, at.tolist(), key.tolist(), least
+        self.words, self.at, self.key, self.least = words, at, key, least
+        self.known: dict[int, list[int]] = {}
 
     def around(self, p: int) -> tuple[int, bytes]:
         """What decides whether a block of ``least`` words that holds word p can be aligned."""
         low = max(0, p - self.least)
         return p - low, self.words[low : p + self.least].tobytes()
 
-    def places(self) -> dict[int, list[int]]:
-        """Where lines of each key begin; of those that stand among the same words, the first."""
-        where: dict[int, list[int]] = {}
-        for p, h in zip(self.at, self.key, strict=True):
-            where.setdefault(h, []).append(p)
-        return {h: list({self.around(p): p for p in reversed(v)}.values())[::-1] if len(v) > 1 else v for h, v in where.items()}
+    @cached_property
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys in order, and where their lines begin."""
+        order = np.argsort(self.key, kind="stable")
+        return self.key[order], self.at[order]
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Which of ``keys`` begin a line."""
+        own, _ = self.order
+        if not len(own):
+            return np.zeros(len(keys), bool)
+        return own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
+
+    def places(self, h: int) -> list[int]:
+        """Where lines of key h begin; of those that stand among the same words, the first."""
+        if h not in self.known:
+            own, at = self.order
+            low, high = (np.searchsorted(own, own.dtype.type(h), side) for side in ("left", "right"))
+            v = at[low:high].tolist()
+            self.known[h] = list({self.around(p): p for p in reversed(v)}.values())[::-1] if len(v) > 1 else v
+        return self.known[h]
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """A hash of every ``least`` words in a row."""
+        return _sliding(self.words.view(U), self.least, lambda x, y: mix(x) + y) if len(self.words) >= self.least else np.zeros(0, U)
+
+    @cached_property
+    def ordered_windows(self) -> np.ndarray:
+        return np.unique(self.windows)
+
+    def shared(self, theirs: Lines) -> np.ndarray:
+        """Which words stand in a row of ``least`` words that ``theirs`` holds; equal hashes may add some."""
+        edge = np.zeros(len(self.words) + 1, np.int64)
+        if len(theirs.windows):
+            own, held = self.windows, theirs.ordered_windows
+            at = np.flatnonzero(held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own)
+            edge[at] += 1
+            edge[at + self.least] -= 1
+        return np.cumsum(edge[:-1]) > 0
 
 
 def _best_place(mine: Lines, p: int, theirs: Lines, places: list[int]) -> int | None:
@@ -129,40 +165,40 @@ def _best_place(mine: Lines, p: int, theirs: Lines, places: list[int]) -> int |
 
 def aligned_blocks(mine: Lines, theirs: Lines) -> tuple[list[tuple[int, int]], list[int]]:
     """First word and end of the blocks of ``mine`` that alignment with ``theirs`` takes out, and the keys of too short ones."""
-    where, times = theirs.places(), Counter(mine.key)
-    live, short, known = {}, set(), {}
-    for i, h in enumerate(mine.key):
-        if h not in where:
-            continue
-        place = where[h][0]
-        if times[h] > 1 or len(where[h]) > 1:
-            seen = (h, mine.around(mine.at[i]))
-            if seen not in known:
-                known[seen] = _best_place(mine, mine.at[i], theirs, where[h])
-            place = known[seen]
-        if place is None:
-            short.add(h)
-        else:
-            live[i] = place
     gone = np.zeros(len(mine.words), bool)
-    blocks = []
+    blocks, short = [], set()
+
+    def grown(p: int, q: int) -> bool:
+        """Takes out the block around a pair of equal words, if it is long enough."""
+        a = p - _reach(mine.words[:p][::-1], theirs.words[:q][::-1])
+        b = p + _reach(mine.words[p:], theirs.words[q:])
+        if b - a >= mine.least:
+            gone[a:b] = True
+            blocks.append((a, b))
+        return b - a >= mine.least
+
+    left = np.flatnonzero(theirs.holds(mine.key))
+    live = dict(zip(mine.at[left].tolist(), mine.key[left].tolist(), strict=True))
     while live:
-        times = Counter(mine.key[i] for i in live)
-        pairs = [(i, j) for i, j in live.items() if times[mine.key[i]] == 1 and len(where[mine.key[i]]) == 1] or list(live.items())
-        for k in _longest_order([j for _, j in pairs]):
-            i, q = pairs[k]
-            p = mine.at[i]
-            if gone[p]:
-                continue
-            a = p - _reach(mine.words[:p][::-1], theirs.words[:q][::-1])
-            b = p + _reach(mine.words[p:], theirs.words[q:])
-            if b - a >= mine.least:
-                gone[a:b] = True
-                blocks.append((a, b))
-            else:
-                short.add(mine.key[i])
-                del live[i]
-        live = {i: j for i, j in live.items() if not gone[mine.at[i]]}
+        times = Counter(live.values())
+        once = [(p, theirs.places(h)[0]) for p, h in live.items() if times[h] == 1 and len(theirs.places(h)) == 1]
+        for k in _longest_order([q for _, q in once]):
+            p, q = once[k]
+            if not gone[p] and not grown(p, q):
+                short.add(live.pop(p))
+        if not once:
+            # What is grown covers most of the lines behind it, and what shares no window has no place: few places are compared.
+            shared = mine.shared(theirs)
+            for p, h in live.items():
+                if gone[p]:
+                    continue
+                place = _best_place(mine, p, theirs, theirs.places(h)) if shared[p] else None
+                if place is None:
+                    short.add(h)
+                else:
+                    grown(p, place)
+            break
+        live = {p: h for p, h in live.items() if not gone[p]}
     return blocks, sorted(short)
 
 
@@ -198,8 +234,7 @@ def _pairs(table: DataFrame) -> DataFrame:
 
 
 def _aligned(met: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """id, text_hash, blocks and short (keys of too short blocks) for the pairs ``met``."""
-    met = materialize(met, "pairs")
+    """id, text_hash, blocks and short (keys of too short blocks) for the pairs ``met``, a materialised table."""
     parts = met.groupBy("first_id", "first_hash").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     later = met.join(parts, ["first_id", "first_hash"]).select("id", "text_hash", "first_id", "first_hash", F.pmod(F.xxhash64("id", "text_hash"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     firsts = parts.select(F.col("first_id").alias("id"), F.col("first_hash").alias("text_hash"), "first_id", "first_hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
@@ -263,13 +298,16 @@ def _windows(asked: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
 def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """id, text_hash, blocks (first word, end) of the documents that lose words."""
     table = materialize(key_table(docs, min_words), "keys")
-    found = _aligned(_pairs(table), docs, min_words)
+    met = materialize(_pairs(table), "pairs")
+    found = _aligned(met, docs, min_words)
     # The first document that holds a key may hold too little around it where another holds enough. Such keys are asked
     # for once more, by all whole windows around them.
     short = found.select(F.explode("short").alias("key")).distinct()
     asked = table.select("id", "text_hash", F.explode("keys").alias("key")).join(short, "key").groupBy("id", "text_hash").agg(F.collect_list("key").alias("keys"))
     windows = materialize(_windows(materialize(asked, "asked"), docs, min_words), "windows")
-    found = found.select("id", "text_hash", "blocks").unionByName(_aligned(_pairs(windows), docs, min_words).select("id", "text_hash", "blocks"))
+    # Pairs that have been aligned share no window any more.
+    more = materialize(_pairs(windows).join(met, met.columns, "left_anti"), "pairs")
+    found = found.select("id", "text_hash", "blocks").unionByName(_aligned(more, docs, min_words).select("id", "text_hash", "blocks"))
     return found.filter(F.size("blocks") > 0).groupBy("id", "text_hash").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
 
 

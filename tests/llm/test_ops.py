@@ -772,6 +772,22 @@ def test_patience_takes_one_order_first():
     assert line_dedup.aligned_blocks(lines(a[:40] + b[:40], [0, 40]), lines(a[:40] + [7] + b[:40], [0, 41])) == ([], [0, 100])
 
 
+def test_line_dedup_compares_few_places(monkeypatch):
+    """Texts of a few sentences in any order hold each key many times; only what can begin a block is compared with its places."""
+    rng = np.random.default_rng(3)
+    sentences = [rng.integers(0, 2**62, 20).astype(np.uint64) for _ in range(6)]
+    words = np.concatenate([sentences[i] for i in rng.integers(0, 6, 200)])
+    lines = lambda w: line_dedup.Lines(w, np.arange(0, len(w), 20), w[::20])
+    calls, best = [], line_dedup._best_place
+    monkeypatch.setattr(line_dedup, "_best_place", lambda *x: calls.append(1) or best(*x))
+    other = np.concatenate([np.concatenate([s, rng.integers(0, 2**62, 20).astype(np.uint64)]) for s in sentences])
+    blocks, short = line_dedup.aligned_blocks(lines(words), lines(words))
+    assert {w for a, b in blocks for w in range(a, b)} == set(range(len(words))) and not short and len(calls) <= len(blocks)
+    calls.clear()
+    # Every key is shared, no row of 50 words is.
+    assert line_dedup.aligned_blocks(lines(words), lines(np.concatenate([other, other]))) == ([], sorted(int(s[0]) for s in sentences)) and not calls
+
+
 # --- 11 filter audit
 
 
