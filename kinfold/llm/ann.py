@@ -21,6 +21,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,8 @@ SHARD = 1 << 14
 SAMPLE, RECALL = 96, 0.95
 #: Axes of each hash from which buckets are put together, by the number of hashes of a bucket.
 AXES = (0, 1 << 20, 32, 12, 8)
+#: Coordinates up to which a rotation is a matrix that is kept; beyond it butterflies take less.
+MATRIX = 256
 #: Queries that probe at once.
 QUERY_ROWS = 64
 
@@ -58,6 +62,25 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def _signs(tables: int, hashes: int, size: int):
+    """The random signs of each table: three times ``size`` for each hash."""
+    rng = np.random.default_rng(SEED)
+    for _ in range(tables):
+        yield [[rng.choice([-1.0, 1.0], size) for _ in range(3)] for _ in range(hashes)]
+
+
+def _turn(x: np.ndarray, signs: list[np.ndarray]) -> np.ndarray:
+    for s in signs:
+        x = hadamard(x * s)
+    return x
+
+
+@cache
+def _rotations(tables: int, hashes: int, size: int) -> list[list[np.ndarray]]:
+    """The rotations of each table as matrices, made once in each process."""
+    return [[_turn(np.eye(size), signs) for signs in table] for table in _signs(tables, hashes, size)]
+
+
 class Polytope:
     """The tables: rotations, how many hashes name a bucket, how many buckets of a table a query probes."""
 
@@ -78,15 +101,8 @@ class Polytope:
         wide[:, : vectors.shape[1]] = vectors / (norm[:, None] if query else self.longest)
         if self.fill and not query:
             wide[:, vectors.shape[1]] = np.sqrt(np.maximum(0, 1 - (norm / self.longest) ** 2))
-        rng = np.random.default_rng(SEED)
-        for _ in range(self.tables):
-            out = []
-            for _ in range(self.hashes):
-                x = wide
-                for _ in range(3):
-                    x = hadamard(x * rng.choice([-1.0, 1.0], self.size))
-                out.append(x)
-            yield out
+        for turns in _rotations(self.tables, self.hashes, self.size) if self.size <= MATRIX else _signs(self.tables, self.hashes, self.size):
+            yield [wide @ turn if self.size <= MATRIX else _turn(wide, turn) for turn in turns]
 
     def places(self, vectors: np.ndarray) -> np.ndarray:
         """The bucket of each vector in each table, numbered through all tables."""
@@ -99,16 +115,30 @@ class Polytope:
             out.append(cell)
         return np.stack(out, 1)
 
+    def _sums(self) -> list[np.ndarray]:
+        """Ranks of the axes of each hash whose sums can be among the best: of ranks i, j ... there are (i + 1)(j + 1) ... sums no smaller."""
+        ranks: list[np.ndarray] = []
+        ahead = np.ones(1, np.int64)
+        for _ in range(self.hashes):
+            product = ahead[:, None] * (1 + np.arange(self.axes))
+            old, new = np.nonzero(product <= max(self.probes, 1))
+            ranks, ahead = [r[old] for r in ranks] + [new], product[old, new]
+        return ranks
+
     def probed(self, queries: np.ndarray) -> np.ndarray:
         """The buckets that each query probes."""
-        out = []
+        out, ranks = [], self._sums()
         for t, coordinates in enumerate(self.turned(queries, True)):
-            cell, score = np.full((len(queries), 1), t, np.int64), np.zeros((len(queries), 1))
-            for x in coordinates:
-                signed = np.stack([x, -x], 2).reshape(len(x), -1)
-                top = np.argsort(-signed, 1, kind="stable")[:, : self.axes]
-                cell = (cell[:, :, None] * 2 * self.size + top[:, None]).reshape(len(x), -1)
-                score = (score[:, :, None] + np.take_along_axis(signed, top, 1)[:, None]).reshape(len(x), -1)
+            cell, score = np.full((len(queries), len(ranks[0])), t, np.int64), np.zeros((len(queries), len(ranks[0])))
+            for x, rank in zip(coordinates, ranks, strict=True):
+                size = np.abs(x)
+                order = np.argsort(-size, 1, kind="stable")
+                # Signed axes, the largest first: all with the sign of their coordinate, then the others from behind.
+                top = 2 * order + (np.take_along_axis(x, order, 1) < 0)
+                large = np.take_along_axis(size, order, 1)
+                top, large = np.concatenate([top, top[:, ::-1] ^ 1], 1), np.concatenate([large, -large[:, ::-1]], 1)
+                cell = cell * 2 * self.size + top[:, rank]
+                score += large[:, rank]
             if self.probes < score.shape[1]:
                 cell = np.take_along_axis(cell, np.argpartition(-score, self.probes - 1, 1)[:, : self.probes], 1)
             out.append(cell)
@@ -122,22 +152,39 @@ class Shard:
         self.polytope, self.ids, self.vectors, self.read = polytope, ids, vectors, 0
         cells = polytope.places(vectors)
         order = np.argsort(cells, axis=None, kind="stable")
-        self.cell, self.row = cells.ravel()[order], order // cells.shape[1]
+        self.row = (order // cells.shape[1]).astype(np.int32)
+        # The cells that hold rows, and where each begins, and how many.
+        cell = cells.ravel()[order]
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        self.cell, self.begin = cell[begin], begin
+        self.count = np.diff(np.r_[begin, len(cell)])
+        self.longest = np.sqrt((vectors**2).sum(1)).max(initial=0)
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """query ids, ids and scores of the k nearest candidates of each query."""
         out = []
+        mark = np.zeros(len(self.ids), bool)
         for i in range(0, len(queries), QUERY_ROWS):
-            probed = self.polytope.probed(queries[i : i + QUERY_ROWS])
-            low, high = np.searchsorted(self.cell, probed), np.searchsorted(self.cell, probed, "right")
-            for q, x, a, b in zip(query_ids[i:], queries[i:], low, high, strict=False):
-                n = b - a
+            probed = np.sort(self.polytope.probed(queries[i : i + QUERY_ROWS]), 1)
+            at = np.minimum(np.searchsorted(self.cell, probed), len(self.cell) - 1)
+            held = self.cell[at] == probed
+            for q, x, c, h in zip(query_ids[i:], queries[i:], at, held, strict=False):
+                a, n = self.begin[c[h]], self.count[c[h]]
                 new = np.cumsum(n) - n
-                rows = np.unique(self.row[np.repeat(a - new, n) + np.arange(n.sum())])
+                mark[self.row[np.repeat(a - new, n) + np.arange(n.sum())]] = True
+                rows = np.flatnonzero(mark)
+                mark[rows] = False
                 rows = rows[self.ids[rows] != q]
                 self.read += len(rows)
+                near = self.vectors[rows]
+                if len(rows) > k:
+                    # What cannot be among the k by more than rounding needs no exact sum.
+                    rough = near @ x
+                    least = np.partition(rough, len(rows) - k)[len(rows) - k]
+                    keep = rough >= least - 1e-9 * self.longest * np.sqrt(x @ x)
+                    rows, near = rows[keep], near[keep]
                 # Sums in one order, whatever the other candidates are.
-                score = (self.vectors[rows] * x).sum(1)
+                score = (near * x).sum(1)
                 top = np.lexsort((self.ids[rows], -score))[:k]
                 out.append((np.full(len(top), q), self.ids[rows][top], score[top]))
         return out
@@ -148,7 +195,8 @@ def tune(polytope: Polytope, queries: np.ndarray, near: list[np.ndarray], recall
     total = sum(map(len, near))
     if not total:
         return 1.0
-    places = [polytope.places(x) if len(x) else np.zeros((0, polytope.tables), np.int64) for x in near]
+    every = polytope.places(np.concatenate([x for x in near if len(x)]))
+    places = np.split(every, np.cumsum([len(x) for x in near])[:-1])
     while True:
         probed = np.concatenate([polytope.probed(queries[i : i + QUERY_ROWS]) for i in range(0, len(queries), QUERY_ROWS)])
         found = sum(int(np.isin(p, q).any(1).sum()) for p, q in zip(places, probed, strict=True)) / total
@@ -186,7 +234,7 @@ def exact(data: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> lis
     near = [[] for _ in queries]
     for r in found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).toLocalIterator():
         near[r.query].append(r.embedding)
-    return [np.array(x, float).reshape(len(x), -1) for x in near]
+    return [np.array(x, float).reshape(len(x), -1) if x else np.zeros((0, 1)) for x in near]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

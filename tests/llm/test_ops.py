@@ -479,6 +479,34 @@ def test_nearest_probes_follow_the_recall(n):
     assert np.mean([np.isin(index.places(x[j]), p).any(1).mean() for j, p in zip(near[60:], probed, strict=True)]) >= 0.92
 
 
+def test_nearest_of_one_row(spark):
+    one = spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert ann.digest(one).collect() == []
+
+
+def test_nearest_turns_and_sums_little(monkeypatch):
+    """Butterflies make each rotation once, whatever the rows; only sums that can be among the best are made, and these are the best."""
+    turned, sums, hadamard = [], [], ann.hadamard
+    monkeypatch.setattr(ann, "hadamard", lambda x: turned.append(len(x)) or hadamard(x))
+    x = np.random.default_rng(5).normal(size=(6000, 32))
+    index = ann.Polytope(len(x), 32, 10.0, 10.0)
+    assert index.hashes == 2
+    index.places(x)
+    assert sum(turned) <= 3 * index.tables * index.hashes * index.size
+    index.probes = 40
+    split = np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda s, *a: sums.append(s.shape[1]) or split(s, *a))
+    probed = index.probed(x[:50])
+    assert max(sums) <= 200 < index.axes**2
+    for t, (a, b) in enumerate(index.turned(x[:50], True)):
+        signed = [np.stack([c, -c], 2).reshape(50, -1) for c in (a, b)]
+        signed = [np.where(c >= np.sort(c, 1)[:, -index.axes][:, None], c, -np.inf) for c in signed]
+        every = (signed[0][:, :, None] + signed[1][:, None]).reshape(50, -1)
+        best = t * (2 * index.size) ** 2 + np.argsort(-every, 1)[:, : index.probes]
+        assert (np.sort(best, 1) == np.sort(probed[:, t * index.probes : (t + 1) * index.probes], 1)).all()
+
+
+
 def test_nearest_sample_is_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(-4, 5, (300, 7)).astype(float)
