@@ -45,6 +45,8 @@ LENGTHS, FORMS = 9, 36
 SMOOTHING = 1.0
 #: Distinct words that a task gathers before it passes its counts on.
 FLUSH = 1 << 21
+#: Contexts that a task gathers before it passes their counts on: equal ones travel as one.
+CONTEXTS = 1 << 22
 RULE = Words()
 
 
@@ -57,6 +59,18 @@ def forms(tokens: Tokens) -> np.ndarray:
     return (np.minimum((tokens.end - tokens.begin) // 2, LENGTHS - 1) * 4 + wide * 2 + signs).astype(np.int16)
 
 
+def forms_of(word: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The forms of the sorted distinct words of ``held`` (words, forms). A word has one form, wherever it stands."""
+    high = word >> U(6)
+    if len(word) and not (high[1:] == high[:-1]).any():
+        # Forms take the place of six bits that no two words need: sorting values is much faster than sorting places.
+        return (np.unique(np.concatenate([h & ~U(63) | f.astype(U) for h, f in held])) & U(63)).astype(np.int16)
+    out = np.zeros(len(word), np.int16)
+    for h, f in held:
+        out[np.searchsorted(word, h)] = f
+    return out
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, form, n over all of ``texts`` (text binary)."""
 
@@ -67,12 +81,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def fold():
             nonlocal word, form, n
-            every = np.concatenate([word, *(h for h, _ in held)])
-            forms_ = np.concatenate([form, *(f for _, f in held)])
-            weight = np.concatenate([n, np.ones(len(every) - len(n), np.int64)])
-            word, first, back = np.unique(every, return_index=True, return_inverse=True)
-            form, n = forms_[first], np.bincount(back, weight, len(word)).astype(np.int64)
+            every = np.concatenate([np.zeros(0, U), *(h for h, _ in held)])
+            new, count = np.unique(every, return_counts=True)
+            form_ = forms_of(new, held)
             held.clear()
+            merged = np.union1d(word, new)
+            old, at = np.searchsorted(merged, word), np.searchsorted(merged, new)
+            forms_, total = np.zeros(len(merged), np.int16), np.zeros(len(merged), np.int64)
+            forms_[old], forms_[at] = form, form_
+            total[old] += n
+            total[at] += count
+            word, form, n = merged, forms_, total
 
         def out():
             return pa.record_batch([pa.array(word.view(np.int64)), pa.array(form), pa.array(n)], ["word", "form", "n"])
@@ -347,7 +366,7 @@ class Codes:
             for batch in batches:
                 held.append(context_keys(*_flat(batch.column("codes")), label, drawn, buckets))
                 size += len(held[-1])
-                if size > FLUSH:
+                if size > CONTEXTS:
                     yield out()
                     size = 0
             if held:
@@ -376,7 +395,8 @@ class Codes:
                 yield out()
 
         dealt = self.table.mapInArrow(count, "bucket int, word array<int>, near array<short>, n array<int>").repartition("bucket").sortWithinPartitions("bucket")
-        got = dealt.mapInArrow(move, "word int, best short").toArrow()
+        # Written, so that the shuffle of this turn goes before the next one.
+        got = materialize(dealt.mapInArrow(move, "word int, best short"), "moved").toArrow()
         after = own.copy()
         after[got["word"].to_numpy()] = got["best"].to_numpy()
         return after

@@ -647,6 +647,26 @@ def test_lm_odd_rows(spark):
     assert (lone.train_tokens, lone.n_known, lone.base_score) == (0, 0, 0.0)
 
 
+def test_class_lm_forms_of_words():
+    """Forms of words with equal upper bits too."""
+    rng = np.random.default_rng(2)
+    known = rng.integers(0, 2**63, 500).astype(np.uint64)
+    form = rng.integers(0, class_lm.FORMS, 502).astype(np.int16)
+    for every in (known, np.concatenate([known, known[:2] ^ np.uint64(5)])):
+        at = rng.integers(0, len(every), 4000)
+        word, first = np.unique(every[at], return_index=True)
+        held = [(every[at[:1000]], form[at[:1000]]), (every[at[1000:]], form[at[1000:]])]
+        assert (class_lm.forms_of(word, held) == form[at[first]]).all()
+
+
+def test_class_lm_gives_shuffles_back(spark, data, monkeypatch):
+    """The classes of each turn are written, so that its shuffle files go before the next turn."""
+    tags, write = [], class_lm.materialize
+    monkeypatch.setattr(class_lm, "materialize", lambda df, tag, **k: tags.append(tag) or write(df, tag, **k))
+    class_lm.train(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"))
+    assert tags.count("moved") >= 2
+
+
 # --- 9 decontamination
 
 ITEM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
