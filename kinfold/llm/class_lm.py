@@ -138,13 +138,28 @@ class Model:
         label[found], n[found] = self.label[at[found]], self.n[at[found]]
         return label, n, found
 
-    def path(self, label: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Of each row, the logarithms of its class transitions without those of the words' class sizes."""
-        cut = np.cumsum(count)
-        after = np.insert(label, cut, CLASSES)
-        before = np.concatenate([[CLASSES], after[:-1]])
-        row, own = np.repeat(np.arange(len(count)), count + 1), np.repeat(np.arange(len(count)), count)
-        return np.bincount(row, self.transition[before, after], len(count)) - np.bincount(own, self.spread[label], len(count))
+    def path(self, label: np.ndarray, count: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row, the logarithms of its class transitions without those of the words' class sizes, but for ``open_`` words.
+
+        Also what is needed to add these once their classes are known: each run of open words between its neighbours, as
+        labels (those of open words as ``~label``), where each row's labels end, and the places of the open words among them.
+        """
+        rows = len(count)
+        after, free = np.insert(label, cut := np.cumsum(count), CLASSES), np.insert(open_, cut, False)
+        before, last = np.concatenate([[CLASSES], after[:-1]]), np.concatenate([[False], free[:-1]])
+        row, own = np.repeat(np.arange(rows), count + 1), np.repeat(np.arange(rows), count)
+        path = np.bincount(row, np.where(free | last, 0.0, self.transition[before, after]), rows) - np.bincount(own, np.where(open_, 0.0, self.spread[label]), rows)
+        # A text ends with its end: something stands behind each word.
+        at = np.flatnonzero(free)
+        first, final = ~last[at], ~free[at + 1]
+        size = 1 + first + final
+        start = np.cumsum(size) - size
+        runs = np.zeros(size.sum(), np.int16)
+        runs[start[first]] = before[at[first]]
+        runs[start + first] = ~after[at].astype(np.int16)
+        runs[(start + size - 1)[final]] = after[at[final] + 1]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[at], size, rows).astype(np.int64))])
+        return path, runs, ends, start + first - ends[row[at]]
 
 
 TOTAL = CLASSES + 1 + FORMS
@@ -314,6 +329,7 @@ class Codes:
                 yield pa.record_batch([_binary(code.astype(np.int32), ends), _binary(tokens.hash[rare], rest)], ["codes", "rest"])
 
         self.both = materialize(texts.mapInArrow(encode, "codes binary, rest binary"), "codes")
+        shared.destroy()
         self.table = self.both.select("codes")
         # Words below MIN_COUNT are never met by number.
         self.start = np.where(model.n >= MIN_COUNT, CLASSES + 1 + form.astype(np.int64), -1)
@@ -337,6 +353,7 @@ class Codes:
             yield pa.record_batch([pa.array(key), pa.array(total[key])], ["key", "n"])
 
         got = self.table.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        shared.destroy()
         out = np.zeros(kinds * kinds)
         out[got["key"].to_numpy()] = got["n"].to_numpy()
         return out.reshape(kinds, kinds)
@@ -397,6 +414,8 @@ class Codes:
         dealt = self.table.mapInArrow(count, "bucket int, word array<int>, near array<short>, n array<int>").repartition("bucket").sortWithinPartitions("bucket")
         # Written, so that the shuffle of this turn goes before the next one.
         got = materialize(dealt.mapInArrow(move, "word int, best short"), "moved").toArrow()
+        # Nothing reads it again: its copies on the disks of driver and executors go.
+        shared.destroy()
         after = own.copy()
         after[got["word"].to_numpy()] = got["best"].to_numpy()
         return after
@@ -451,41 +470,83 @@ def deep_labels(codes: Codes, counts: DataFrame, model: Model, own: np.ndarray,
     size = codes.size
     shared = codes.spark.sparkContext.broadcast((codes.labels(own), classes))
 
-    def count(batches):
-        label, _ = shared.value
+    def placed(batches):
+        """Of each batch: classes, which words are not broadcast, and their hashes."""
         for batch in pieces(batches, "codes"):
             flat, cut = _flat(batch.column("codes"))
-            near, word = label[flat], np.zeros(len(flat), U)
-            word[(flat >= size) & (flat < size + FORMS)] = buffers(batch.column("rest"))[0].view(U)
-            before, last = np.roll(near, 1), np.roll(word, 1)
-            before[cut[:-1]], last[cut[:-1]] = CLASSES, 0
-            keep = (word != 0) | (last != 0)
-            yield pa.record_batch([pa.array(x[keep]) for x in (last.view(np.int64), word.view(np.int64), before, near)], ["before", "after", "before_near", "after_near"])
+            rare = (flat >= size) & (flat < size + FORMS)
+            word = np.zeros(len(flat), U)
+            word[rare] = buffers(batch.column("rest"))[0].view(U)
+            yield shared.value[0][flat].astype(np.int32), rare, word, cut
+
+    def count(batches):
+        """A row for each occurrence: its class by form, whether the word follows itself, the classes before and behind it (TOTAL more for words that are not broadcast)."""
+        for near, rare, word, cut in placed(batches):
+            at, beside = np.flatnonzero(rare), near + TOTAL * rare
+            before = np.roll(beside, 1)
+            before[cut[:-1]] = CLASSES
+            # A text ends with its end: something stands behind each word.
+            twice = rare[at + 1] & (word[at + 1] == word[at])
+            yield pa.record_batch([pa.array(word[at].view(np.int64)), pa.array((near[at] * 2 + twice) << 16 | before[at] << 8 | beside[at + 1], pa.int32())], ["word", "cell"])
 
     def move(batches):
+        """The best class of each word, and what it changes in the class counts beside words that are broadcast."""
+        change, held, rows = np.zeros(TOTAL * TOTAL, np.int64), [], 0
+
+        def out(word, cell):
+            nonlocal change
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            n = np.diff(np.append(start, len(word)))
+            keep = n >= MIN_COUNT
+            start, cell, row = start[keep], cell[np.repeat(keep, n)], np.repeat(np.arange(keep.sum()), n[keep])
+            word, own = word[start], (cell >> 17)[np.cumsum(n[keep]) - n[keep]].astype(np.int64)
+            after, before, twice = cell & 255, cell >> 8 & 255, (cell >> 16 & 1).astype(bool)
+            key = np.concatenate([row * CONTEXT + after % TOTAL, row * CONTEXT + TOTAL + before % TOTAL, row[twice] * CONTEXT + 2 * TOTAL])
+            at, best = chosen(np.arange(len(word)), np.bincount(key, minlength=len(word) * CONTEXT).reshape(-1, CONTEXT), own, shared.value[1])
+            new = own.copy()
+            new[at] = best
+            for label, sign in ((own, -1), (new, 1)):
+                a, b = after < TOTAL, before < TOTAL
+                key = np.concatenate([label[row[a]] * TOTAL + after[a], before[b] * TOTAL + label[row[b]]])
+                change += sign * np.bincount(key, minlength=TOTAL * TOTAL)
+            return pa.record_batch([pa.array(word[at]), pa.array(best.astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], ["word", "label", "cell", "n"])
+
         for batch in batches:
-            cells = batch.column("cells")
-            row, flat = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), cells.flatten()
-            table = np.zeros((len(cells), CONTEXT), np.int64)
-            table[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
-            word, best = chosen(batch.column("word").to_numpy(), table, batch.column("own").to_numpy().astype(np.int64), shared.value[1])
-            yield pa.record_batch([pa.array(word), pa.array(best.astype(np.int32))], ["word", "label"])
-
-    # Pairs of neighbours with such a word among them; 0 stands for the others.
-    pairs = codes.both.mapInArrow(count, "before long, after long, before_near short, after_near short")
-    pairs = materialize(pairs.groupBy("before", "after", "before_near", "after_near").agg(F.count("*").alias("n")), "pairs")
-    beside = lambda side, near: pairs.filter(F.col(side) != 0).select(F.col(side).alias("word"), near.cast("int").alias("near"), "n")
-    contexts = beside("before", F.col("after_near")).unionByName(beside("after", F.col("before_near") + TOTAL)).unionByName(pairs.filter("before = after").select(F.col("before").alias("word"), F.lit(2 * TOTAL).alias("near"), "n"))
-    start = counts.filter((F.col("n") < (model.least or 2**62)) & (F.col("n") >= MIN_COUNT)).select("word", (F.lit(CLASSES + 1) + F.col("form")).cast("int").alias("own"))
-    cells = contexts.groupBy("word", "near").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("near", "n")).alias("cells")).join(start, "word")
-    labels = materialize(cells.mapInArrow(move, "word long, label int"), "deep")
-    named = pairs
+            held.append((batch.column("word").to_numpy(), batch.column("cell").to_numpy()))
+            rows += batch.num_rows
+            if rows >= 2 * BUCKET:
+                word, cell = (np.concatenate(x) for x in zip(*held, strict=True))
+                # The last word may go on.
+                whole = int(np.searchsorted(word, word[-1]))
+                if whole:
+                    yield out(word[:whole], cell[:whole])
+                held, rows = [(word[whole:], cell[whole:])], len(word) - whole
+        if rows:
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        at = np.flatnonzero(change)
+        yield pa.record_batch([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(change[at])], ["word", "label", "cell", "n"])
+
+    def both(batches):
+        """The neighbours that are both not broadcast, and their classes by form."""
+        for near, rare, word, _ in placed(batches):
+            at = np.flatnonzero(rare[:-1] & rare[1:])
+            yield pa.record_batch([pa.array(x) for x in (word[at].view(np.int64), word[at + 1].view(np.int64), near[at], near[at + 1])], ["before", "after", "before_near", "after_near"])
+
+    # An occurrence travels once; words seen too rarely are told by their few rows.
+    dealt = codes.both.mapInArrow(count, "word long, cell int").repartition("word").sortWithinPartitions("word")
+    moves = materialize(dealt.mapInArrow(move, "word long, label int, cell int, n long"), "deep")
+    labels = moves.filter("word is not null").select("word", "label")
+    got = moves.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = classes.copy()
+    out.reshape(-1)[got["cell"].to_numpy()] += got["n"].to_numpy()
+    named = codes.both.mapInArrow(both, "before long, after long, before_near int, after_near int")
     for side in ("before", "after"):
         named = named.join(labels.select(F.col("word").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
-    out = classes.copy()
-    for b, a, sign in ((F.col("before_near"), F.col("after_near"), -1), (F.coalesce("before_label", "before_near"), F.coalesce("after_label", "after_near"), 1)):
-        for r in named.groupBy(b.cast("int").alias("b"), a.cast("int").alias("a")).agg(F.sum("n").alias("n")).collect():
-            out[r.b, r.a] += sign * r.n
+    ends = [c for side in ("before", "after") for c in (F.col(f"{side}_near").alias(f"{side}_old"), F.coalesce(f"{side}_label", f"{side}_near").alias(f"{side}_new"))]
+    named = materialize(named.select(*ends).groupBy("before_old", "before_new", "after_old", "after_new").agg(F.count("*").alias("n")), "beside").toArrow()
+    shared.destroy()
+    for state, sign in (("old", -1), ("new", 1)):
+        np.add.at(out, (named[f"before_{state}"].to_numpy(), named[f"after_{state}"].to_numpy()), sign * named["n"].to_numpy())
     return labels, out
 
 
@@ -556,33 +617,38 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             total = lambda x: np.bincount(tokens.row, x, tokens.rows)
             logs = total(np.log10(n + 1.0)) + np.log10(m.ends + 1.0)
             known = total(found.astype(float)) + (1 if m.ends else 0)
-            cut = np.concatenate([[0], np.cumsum(tokens.count)])
             rest = np.concatenate([[0], np.cumsum(np.bincount(tokens.row[~found], minlength=tokens.rows))])
             # Places and classes matter only where words that are not broadcast can have a class of the exchange.
-            at = (np.arange(len(label)) - cut[tokens.row])[~found] if m.deep else np.zeros(0, np.int64)
-            held = (label.astype(np.int16), cut) if m.deep else (np.zeros(0, np.int16), cut * 0)
-            out.append(pa.StructArray.from_arrays([pa.array(tokens.count + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(m.path(label, tokens.count)), lists(tokens.hash[~found], rest), lists(at.astype(np.int32), rest if m.deep else rest * 0), lists(*held)], [k for k, _ in kind]))
+            path, runs, ends, at = m.path(label, tokens.count, ~found & m.deep)
+            out.append(pa.StructArray.from_arrays([pa.array(tokens.count + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(path), lists(tokens.hash[~found], rest), lists(at.astype(np.int32), rest if m.deep else rest * 0), lists(runs, ends)], [k for k, _ in kind]))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct(kind))
 
+    transition, spread = model.transition, model.spread
+
     @F.arrow_udf("double")
-    def path(labels: pa.Array, places: pa.Array, named: pa.Array) -> pa.Array:
-        """The path with the classes ``named`` at ``places`` of ``labels``."""
-        count = np.diff(labels.offsets.to_numpy())
-        cut = np.concatenate([[0], np.cumsum(count)])
-        label = labels.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    def path(runs: pa.Array, places: pa.Array, named: pa.Array) -> pa.Array:
+        """What the runs of open words add, with the classes ``named`` at ``places``."""
+        count = np.diff(runs.offsets.to_numpy())
+        cut, own = np.concatenate([[0], np.cumsum(count)]), np.repeat(np.arange(len(count)), count)
+        label = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        free = label < 0
+        label[free] = ~label[free]
         row = np.repeat(np.arange(len(places)), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         label[cut[row] + places.flatten().to_numpy(zero_copy_only=False)] = named.flatten().to_numpy(zero_copy_only=False)
-        return pa.array(shared.value.path(label, count))
+        # Runs begin and end with known words: no transition leads from one to the next.
+        pair = np.flatnonzero(free[:-1] | free[1:])
+        return pa.array(np.bincount(own[pair], transition[label[pair], label[pair + 1]], len(count)) - np.bincount(own[free], spread[label[free]], len(count)))
 
     first = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), scan(F.col("text").cast("binary")).alias("s")).select("rid", "doc_id", "held_out", "s.*")
     first = materialize(first, "scored")
+    shared.destroy()
     # Words that are not broadcast meet their counts and classes; sums of logarithms and classes by place come back.
     found = first.select("rid", F.explode(F.arrays_zip("rest", "at")).alias("w")).select("rid", F.col("w.rest").alias("word"), F.col("w.at").alias("at")).join(rare, "word")
     sums = [F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.count("*").alias("more_known")]
     found = found.groupBy("rid").agg(*sums, *([F.collect_list(F.struct("at", "label")).alias("named")] if model.deep else []))
     joined = first.drop("rest", "at").join(found, "rid", "left")
     if model.deep:
-        joined = joined.withColumn("path", path("labels", "named.at", "named.label"))
+        joined = joined.withColumn("path", F.col("path") + path("labels", "named.at", "named.label"))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     base = logs - F.col("n_tokens") * float(np.log10(model.tokens + model.types + 1))
     # P(word | class) takes the same logarithms, without that of the end.

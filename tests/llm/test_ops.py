@@ -667,6 +667,44 @@ def test_class_lm_gives_shuffles_back(spark, data, monkeypatch):
     assert tags.count("moved") >= 2
 
 
+def test_class_lm_keeps_little_of_texts(spark, monkeypatch):
+    """Only labels beside words that are not broadcast are written, and what was broadcast to learn goes from the disks."""
+    docs = docs_of(spark, [f"{'a b c d ' * 20}w{i % 50} w{i % 40} {'d a b ' * 20}v{i}" for i in range(300)])
+    monkeypatch.setattr(class_lm, "BROADCAST", 4)
+    held, write = {}, class_lm.materialize
+    monkeypatch.setattr(class_lm, "materialize", lambda df, tag, **k: held.setdefault(tag, write(df, tag, **k)))
+    before = len(os.listdir(spark.sparkContext._temp_dir))
+    class_lm.text_batches(spark)
+    class_lm.train(docs)
+    assert len(os.listdir(spark.sparkContext._temp_dir)) == before
+    held.clear()
+    assert class_lm.digest(docs).count() == 300
+    rows = held["scored"].collect()
+    # Three places in two runs: 4 and 3 labels of 144.
+    assert {(len(r.rest), tuple(r.at), len(r.labels)) for r in rows} == {(3, (1, 2, 5), 7)}
+
+
+def test_class_lm_paths_of_open_words():
+    """What open words add to a path, by their runs, is what the whole path holds."""
+    rng = np.random.default_rng(7)
+    model = class_lm.Model()
+    model.transition, model.spread = rng.normal(size=(class_lm.TOTAL, class_lm.TOTAL)), rng.normal(size=class_lm.TOTAL)
+    count = np.array([0, 1, 5, 0, 40, 3])
+    label, open_ = rng.integers(0, class_lm.TOTAL, count.sum()), rng.random(count.sum()) < 0.5
+    open_[-3:] = True
+    whole = model.path(label, count, open_ & False)
+    assert not len(whole[1])
+    path, runs, ends, at = model.path(label, count, open_)
+    cut = np.concatenate([[0], np.cumsum(count)])
+    for i in range(len(count)):
+        row, own = runs[ends[i] : ends[i + 1]], label[cut[i] : cut[i + 1]][open_[cut[i] : cut[i + 1]]]
+        places = at[open_[: cut[i]].sum() :][: len(own)]
+        assert (np.flatnonzero(row < 0) == places).all() and (~row[places] == own).all()
+        known = np.where(row < 0, ~row, row)
+        more = sum(model.transition[known[k], known[k + 1]] for k in range(len(row) - 1) if row[k] < 0 or row[k + 1] < 0) - model.spread[own].sum()
+        assert abs(path[i] + more - whole[0][i]) < 1e-9
+
+
 # --- 9 decontamination
 
 ITEM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
