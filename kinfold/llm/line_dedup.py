@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import sized_join, text_batches
+from kinfold.llm.common import sized_join, small, text_batches
 from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces, windows_of
 from kinfold.session import materialize, scratch
 
 MIN_WORDS, KEY_WORDS = 50, 12
 #: Later documents that are aligned with one document in one task; parts of the join of keys.
 PARTNERS, SALTS = 512, 16
+#: Most keys of several rows that are broadcast, 8 bytes each.
+BROADCAST_KEYS = 1 << 20
 RULE = Words(fold=False)
 LAST_ID = 2**63 - 1
 
@@ -225,11 +227,18 @@ def key_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _pairs(table: DataFrame) -> DataFrame:
     """id, text_hash of a later document and first_id, first_hash of the first one that holds one of its keys."""
-    held = table.select(F.struct("id", "text_hash").alias("doc"), F.explode("keys").alias("key"))
-    first = held.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("key", "first")
+    held = table.select("id", "text_hash", F.explode("keys").alias("key"))
+    # Most keys stand in one document. Plain counts tell them, so that documents are compared for the others only.
+    often = materialize(held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
     # A key of very many documents is met in several parts.
-    first = materialize(first, "first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int")
+    few = small(often, BROADCAST_KEYS)
+    shared = held.join(F.broadcast(often), "key") if few else held.withColumn("salt", salt).join(often.withColumn("salt", salts), ["key", "salt"])
+    shared = materialize(shared.select("key", F.struct("id", "text_hash").alias("doc")), "shared")
+    first = shared.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("key", "first")
+    first = materialize(first, "first").withColumn("salt", salts)
+    salted = shared.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     return salted.join(first, ["key", "salt"]).filter("doc <> first").select("doc.*", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).distinct()
 
 

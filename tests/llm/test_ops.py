@@ -838,6 +838,19 @@ def test_line_dedup_copies(spark):
     assert line_dedup.without_repeats(same).count() == 2
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_line_dedup_compares_documents_of_shared_keys(spark, monkeypatch, most):
+    """Keys of one row go by plain counts; documents, equal rows and equal ids are told apart for the others only."""
+    rows = [(1, 10, [1, 2, 3]), (2, 20, [2, 4]), (2, 21, [2, 5]), (3, 30, [6, 7]), (3, 30, [6, 7]), (4, 40, [5, 8])]
+    held, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", most)
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, tag, **k: held.setdefault(tag, write(df, tag, **k)))
+    pairs = line_dedup._pairs(spark.createDataFrame(rows, "id long, text_hash long, keys array<long>"))
+    assert {tuple(r) for r in pairs.collect()} == {(2, 20, 1, 10), (2, 21, 1, 10), (4, 40, 2, 21)}
+    assert {r.key for r in held["shared"].collect()} == {2, 5, 6, 7}
+    assert {(r["key"], *r["first"]) for r in held["first"].collect()} == {(2, 1, 10), (5, 2, 21)}
+
+
 def test_line_dedup_long_text(spark):
     """200000 lines and many blocks in linear time."""
     rng = np.random.default_rng(1)
