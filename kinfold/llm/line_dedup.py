@@ -235,7 +235,7 @@ def _pairs(table: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int")
     few = small(often, BROADCAST_KEYS)
     shared = held.join(F.broadcast(often), "key") if few else held.withColumn("salt", salt).join(often.withColumn("salt", salts), ["key", "salt"])
-    shared = materialize(shared.select("key", F.struct("id", "text_hash").alias("doc")), "shared")
+    shared = materialize(shared.select("key", "id", "text_hash"), "shared", files=not few).select("key", F.struct("id", "text_hash").alias("doc"))
     first = shared.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("key", "first")
     first = materialize(first, "first").withColumn("salt", salts)
     salted = shared.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
@@ -275,7 +275,9 @@ def _aligned(met: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.int64()))
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["id", "text_hash", "blocks", "short"])
 
-    return materialize(ordered.mapInArrow(align, "id long, text_hash long, blocks array<struct<a:int,b:int>>, short array<long>"), "aligned")
+    aligned = ordered.mapInArrow(align, "id long, text_hash long, blocks array<struct<a:int,b:int>>, short array<long>")
+    # Little is left of the texts: a few files instead of one for each task that read them.
+    return materialize(aligned.repartition("id", "text_hash"), "aligned")
 
 
 def _windows(asked: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
@@ -300,20 +302,22 @@ def _windows(asked: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.bincount(tokens.row[at], minlength=tokens.rows))])
             yield pa.record_batch([batch.column("id"), batch.column("text_hash"), lists(window, offsets)], ["id", "text_hash", "keys"])
 
-    texts = sized_join(_key(docs), asked, ["id", "text_hash"])
-    return texts.mapInArrow(cut, "id long, text_hash long, keys array<long>").select("id", "text_hash", F.array_distinct("keys").alias("keys"))
+    few = small(asked)
+    texts = _key(docs).join(F.broadcast(asked) if few else asked, ["id", "text_hash"])
+    windows = texts.mapInArrow(cut, "id long, text_hash long, keys array<long>").select("id", "text_hash", F.array_distinct("keys").alias("keys"))
+    return materialize(windows, "windows", files=not few)
 
 
 def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """id, text_hash, blocks (first word, end) of the documents that lose words."""
-    table = materialize(key_table(docs, min_words), "keys")
+    table = materialize(key_table(docs, min_words), "keys", files=False)
     met = materialize(_pairs(table), "pairs")
     found = _aligned(met, docs, min_words)
     # The first document that holds a key may hold too little around it where another holds enough. Such keys are asked
     # for once more, by all whole windows around them.
     short = found.select(F.explode("short").alias("key")).distinct()
     asked = table.select("id", "text_hash", F.explode("keys").alias("key")).join(short, "key").groupBy("id", "text_hash").agg(F.collect_list("key").alias("keys"))
-    windows = materialize(_windows(materialize(asked, "asked"), docs, min_words), "windows")
+    windows = _windows(materialize(asked, "asked"), docs, min_words)
     # Pairs that have been aligned share no window any more.
     more = materialize(_pairs(windows).join(met, met.columns, "left_anti"), "pairs")
     found = found.select("id", "text_hash", "blocks").unionByName(_aligned(more, docs, min_words).select("id", "text_hash", "blocks"))

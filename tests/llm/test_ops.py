@@ -851,6 +851,24 @@ def test_line_dedup_compares_documents_of_shared_keys(spark, monkeypatch, most):
     assert {(r["key"], *r["first"]) for r in held["first"].collect()} == {(2, 1, 10), (5, 2, 21)}
 
 
+def test_line_dedup_writes_few_files(spark, monkeypatch):
+    """Tables made without a shuffle are no file for each part of the input, and nothing stays with the executors."""
+    texts, count, write = passages_in_texts(6), Counter(), line_dedup.materialize
+
+    def counted(df, tag, **k):
+        out = write(df, tag, **k)
+        count.update({tag: len(out.inputFiles()) if k.get("files", True) else 0})
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows = {r.row.doc_id: r for r in line_dedup.line_dedup(docs_of(spark, texts).repartition(20)).collect()}
+    for i, gone in enumerate(brute_repeats(texts)):
+        check_repeats(texts[i], rows[i].new_text, gone)
+    assert {"keys", "shared", "windows", "aligned"} <= set(count) and sum(count[t] for t in ("keys", "shared", "windows")) == 0
+    assert sum(count.values()) <= 20 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_line_dedup_long_text(spark):
     """200000 lines and many blocks in linear time."""
     rng = np.random.default_rng(1)
