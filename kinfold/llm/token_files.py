@@ -10,7 +10,10 @@ A reader task streams a file block by block; ``read_range`` opens only the block
 global sequence. Files are opened through ``pyarrow.fs``, so the folder may be in any store that it knows (file, hdfs, s3, gs, abfs).
 
 The tokenizer is a parameter. One that drops blanks and cuts at them (``apart``) encodes each different word once for a
-process, which keeps up to ``WORDS_HELD`` words; others get whole texts. Words are known by 64-bit hashes.
+process, which keeps up to ``WORDS_HELD`` words; others get whole texts. Words are known by 64-bit hashes. Where its file says
+that it folds cases and cuts between letters, digits and the rest (``FOLDS``, ``CUTS``), words of ASCII and Latin-1 letters are
+folded and cut so first, and their parts are what is encoded once; words with other characters, apostrophes or characters of
+special tokens stay whole.
 
 Defined cases: a null text is empty and has the end id alone; documents without id come first; those of one id keep the order
 in which they are read; repeated rows are documents of their own; strings of special tokens become these tokens, as the
@@ -20,11 +23,13 @@ any length are encoded whole and written block by block, and read as chunks that
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import text_batches
-from kinfold.llm.tokens import Tokens, U, Words, buffers, lists, pieces
+from kinfold.llm.tokens import U, Words, buffers, lists, pieces
 from kinfold.session import materialize, scratch, shared_path
 
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -44,6 +49,19 @@ BLOCK, SHARE = 1 << 14, 0.9
 #: Bytes of text that are encoded at once, and words whose ids a process keeps.
 TEXT_BYTES, WORDS_HELD = 8 << 20, 1 << 20
 RULE = Words(fold=False)
+#: The normalizer and the cuts of a tokenizer whose words may be cut before it sees them.
+FOLDS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: What a byte is to these cuts.
+BLANK, LETTER, DIGIT, REST, WHOLE = range(5)
+#: Parts that are encoded as one text, and strings that are encoded at once.
+JOINED, AT_ONCE = 256, 1 << 16
 MAGIC = b"KFTOKENS"
 #: Values, minimum, packed width, exceptions, width of their upper bits.
 HEAD = struct.Struct("<IqBIB")
@@ -51,39 +69,51 @@ HEAD = struct.Struct("<IqBIB")
 FOOT = struct.Struct("<IQQIIIQ8s")
 MANIFEST = "part int, file string, documents long, ids long, bytes long"
 CHUNKS = "doc_id long, start long, n_tokens long, chunk_no int, ids array<int>"
-_POWERS = U(1) << np.arange(64, dtype=U)
 
 
-def bits(values: np.ndarray) -> np.ndarray:
-    """Binary digits of unsigned values."""
-    return np.searchsorted(_POWERS, values, "right")
+def _spread(values: np.ndarray, kind: type) -> np.ndarray:
+    """Values in eight rows, those of a group of eight in a column; zeros fill the last group."""
+    out = np.zeros((-(-len(values) // 8), 8), kind)
+    out.ravel()[: len(values)] = values
+    return np.ascontiguousarray(out.T)
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
     """The lower ``width`` bits of unsigned values, most significant first, without gaps."""
-    size = next(s for s in (1, 2, 4, 8) if width <= 8 * s)
-    raw = values.astype(f">u{size}").view(np.uint8).reshape(len(values), size)
-    return np.packbits(np.unpackbits(raw, axis=1)[:, 8 * size - width :]).tobytes() if width else b""
+    # Eight values fill ``width`` bytes; a byte takes bits of the values that meet in it.
+    rows = _spread(values, np.uint32 if width <= 32 else U)
+    out = np.zeros((width, rows.shape[1]), np.uint8)
+    for k in range(width):
+        for j in range(8 * k // width, (8 * k + 7) // width + 1):
+            shift = (j + 1) * width - 8 * k - 8
+            out[k] |= (rows[j] >> shift if shift > 0 else rows[j] << -shift).astype(np.uint8)
+    return out.T.tobytes()[: -(-len(values) * width // 8)]
 
 
 def unpack(data: memoryview, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, U)
-    size = next(s for s in (1, 2, 4, 8) if width <= 8 * s)
-    full = np.zeros((n, 8 * size), np.uint8)
-    full[:, 8 * size - width :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
-    return np.packbits(full, axis=1).view(f">u{size}").ravel().astype(U)
+    kind = np.uint32 if width <= 32 else U
+    raw = np.zeros(-(-n // 8) * width, np.uint8)
+    raw[: -(-n * width // 8)] = np.frombuffer(data, np.uint8, -(-n * width // 8))
+    raw = np.ascontiguousarray(raw.reshape(-1, width).T).astype(kind)
+    out = np.zeros((8, raw.shape[1]), kind)
+    for j in range(8):
+        for k in range(j * width // 8, ((j + 1) * width - 1) // 8 + 1):
+            shift = (j + 1) * width - 8 * k - 8
+            out[j] |= raw[k] << shift if shift > 0 else raw[k] >> -shift
+    return (out & kind(2**width - 1)).T.ravel()[:n].astype(U)
 
 
 def encode_block(values: np.ndarray, share: float = SHARE) -> bytes:
     """A block of signed 64-bit values."""
     low = int(values.min())
     above = values.astype(np.int64).view(U) - U(low % 2**64)
-    size = bits(above)
-    width = int(np.partition(size, k := max(0, int(np.ceil(share * len(size))) - 1))[k])
-    odd = np.flatnonzero(size > width)
-    upper = above[odd] >> U(width) if width < 64 else above[odd]
-    more = int(bits(upper).max(initial=0))
+    width = int(np.partition(above, k := max(0, int(np.ceil(share * len(above))) - 1))[k]).bit_length()
+    upper = above >> U(width) if width < 64 else np.zeros(len(above), U)
+    odd = np.flatnonzero(upper)
+    upper = upper[odd]
+    more = int(upper.max(initial=0)).bit_length()
     kept = above & U(2**width - 1)
     return HEAD.pack(len(values), low, width, len(odd), more) + pack(kept, width) + odd.astype("<u4").tobytes() + pack(upper, more)
 
@@ -105,8 +135,27 @@ def decode_block(data: bytes) -> np.ndarray:
     return (above + U(low % 2**64)).view(np.int64)
 
 
+def byte_kinds(vocabulary: str) -> np.ndarray | None:
+    """What each byte is, for a tokenizers file with FOLDS and CUTS; None for others."""
+    spec = json.loads(vocabulary)
+    if spec["normalizer"] != FOLDS or spec["pre_tokenizer"] != CUTS:
+        return None
+    out = np.full(256, WHOLE, np.uint8)
+    out[33:127] = REST
+    out[48:58], out[65:91], out[97:123] = DIGIT, LETTER, LETTER
+    out[~RULE.inside] = BLANK
+    out[ord("'")] = WHOLE
+    for token in spec["added_tokens"]:
+        found = np.frombuffer(token["content"].encode(), np.uint8)
+        found = found[out[found] >= REST]
+        if not (found < 128).any():
+            return None
+        out[found] = WHOLE
+    return out
+
+
 class Encoder:
-    """Ids of texts, the words of which are encoded once."""
+    """Ids of texts, the words of which, or the parts that these are cut into, are encoded once."""
 
     held: tuple[tuple, Encoder] | None = None
 
@@ -116,6 +165,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.apart, self.most = apart, words_held
+        self.kinds = byte_kinds(vocabulary) if apart else None
+        found = self.tokenizer.get_vocab()
+        suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        #: Ids that end a part, if the tokenizer marks them.
+        self.ends = np.zeros(max(found.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in found.items() if suffix and w.endswith(suffix)]] = True
         self.clear()
 
     @classmethod
@@ -127,49 +182,143 @@ class Encoder:
         return cls.held[1]
 
     def clear(self) -> None:
-        self.hash, self.begin, self.count, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.size, self.ids = 0, np.zeros(0, np.int32)
+        self._slots(1024)
+
+    def _slots(self, n: int) -> None:
+        """An empty table; a slot has the hash of a word or 0, where its ids begin and how many they are, and whether it was met again."""
+        self.hash, self.begin, self.count, self.again = np.zeros(n, U), np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
+
+    def _find(self, words: np.ndarray) -> np.ndarray:
+        """The slot of each word, or the free one where it belongs."""
+        last = len(self.hash) - 1
+        at = (words & U(last)).view(np.int64)
+        found = self.hash[at]
+        open_ = np.flatnonzero((found != words) & (found != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & last
+            found = self.hash[at[open_]]
+            open_ = open_[(found != words[open_]) & (found != 0)]
+        return at
+
+    def _put(self, words: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        """Distinct words that the table does not have, into at most half of its slots."""
+        if 2 * (self.size + len(words)) > len(self.hash):
+            old = np.flatnonzero(self.hash)
+            kept = self.hash[old], self.begin[old], self.count[old]
+            again = self.again[old]
+            self._slots(1 << (2 * (self.size + len(words)) - 1).bit_length())
+            self.size = 0
+            self._put(*kept)
+            self.again[self._find(kept[0])] = again
+        self.size += len(words)
+        left = np.arange(len(words))
+        while len(left):
+            # Of words that meet in a free slot the last one takes it.
+            at = self._find(words[left])
+            self.hash[at] = words[left]
+            won = self.hash[at] == words[left]
+            self.begin[at[won]], self.count[at[won]] = begin[left[won]], count[left[won]]
+            left = left[~won]
+
+    def _shrink(self) -> None:
+        """Keep the words that were met again since the last call, or none if these are more than half of what may be held."""
+        old = np.flatnonzero(self.again)
+        if len(old) > self.most // 2:
+            old = old[:0]
+        words, begin, count = self.hash[old], self.begin[old], self.count[old].astype(np.int64)
+        ids = self.ids
+        self.clear()
+        self.ids = _gather(ids, begin, count)
+        self._put(words, np.cumsum(count) - count, count)
 
     def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(count.sum())), count
+        """Ids of texts, one after the other, and the number of each."""
+        found = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), AT_ONCE):
+            lists_of = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+            found[1].append(np.fromiter(map(len, lists_of), np.int64, len(lists_of)))
+            found[0].append(np.fromiter(chain.from_iterable(lists_of), np.int32, int(found[1][-1].sum())))
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are one part each: many go as one, and their last ids tell them apart."""
+        if not self.ends.any():
+            return self._raw(texts)
+        ids, count = self._raw([" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])
+        end = np.flatnonzero(self.ends[ids])
+        # A part has one such id at most, its last one, so none lacks it if they are as many.
+        if len(end) != len(texts) or (len(ids) and end[-1] != len(ids) - 1):
+            return self._raw(texts)
+        return ids, np.diff(end, prepend=-1)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a binary column, row after row, each ended by END, and the number of ids of every row."""
+        data, offsets = buffers(column)
         if self.apart:
-            tokens = Tokens(RULE, column)
-            ids, per_word = self._words(tokens)
-            count = np.bincount(tokens.row, per_word, tokens.rows).astype(np.int64)
+            begin, end, whole, data = self._cut(data, offsets)
+            ids, n = self._words(data, begin, end, whole)
+            count = np.diff(np.append(0, np.cumsum(n))[np.searchsorted(begin, offsets)])
         else:
-            data, offsets = buffers(column)
             ids, count = self._raw([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         return np.insert(ids, np.cumsum(count), END), count + 1
 
-    def _words(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in turn, and how many each has."""
-        words, first, of = np.unique(tokens.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hash, words)
-        new = np.ones(len(words), bool)
-        inside = at < len(self.hash)
-        new[inside] = self.hash[at[inside]] != words[inside]
-        if len(self.hash) + new.sum() > self.most:
-            self.clear()
-            new[:] = True
-        fresh = first[new]
-        ids, count = self._raw([tokens.data[a:b].tobytes().decode() for a, b in zip(tokens.begin[fresh], tokens.end[fresh], strict=True)])
-        place = np.searchsorted(self.hash, words[new])
-        self.begin = np.insert(self.begin, place, len(self.ids) + np.cumsum(count) - count)
-        self.count, self.hash = np.insert(self.count, place, count), np.insert(self.hash, place, words[new])
-        self.ids = np.concatenate([self.ids, ids])
-        at = np.searchsorted(self.hash, words)[of]
-        n = self.count[at]
-        before = np.cumsum(n) - n
-        out = self.ids[np.repeat(self.begin[at] - before, n) + np.arange(n.sum())]
-        if len(self.hash) > self.most:
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end byte of every word or part, where words begin that are not cut, and the bytes, folded in words that are."""
+        begin, end, _ = RULE.spans(data, offsets)
+        if self.kinds is None or not len(begin):
+            return begin, end, begin, data
+        kind = self.kinds[data]
+        # U+00C0 to U+00FF are letters but for two signs.
+        lead = np.flatnonzero(data == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        whole = np.zeros(len(begin), bool)
+        whole[np.searchsorted(begin, np.flatnonzero(kind == WHOLE), "right") - 1] = True
+        folded = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        folded[lead + 1] += (data[lead + 1] < 0x9F).astype(np.uint8) * np.uint8(32)
+        if whole.any():
+            turned = np.flatnonzero(folded != data)
+            turned = turned[whole[np.searchsorted(begin, turned, "right") - 1]]
+            folded[turned] = data[turned]
+        cut = np.flatnonzero(((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) & (kind[1:] != BLANK) & (kind[:-1] != BLANK)) + 1
+        word = np.searchsorted(begin, cut, "right") - 1
+        cut = cut[~whole[word] & (begin[word] != cut)]
+        return np.sort(np.concatenate([begin, cut]), kind="stable"), np.sort(np.concatenate([end, cut]), kind="stable"), begin[whole], folded
+
+    def _words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and parts in turn, and how many each has. whole: where words begin that are not cut."""
+        words = RULE.hashes(data, begin, end)
+        words[words == 0] = 1
+        at = self._find(words)
+        new = np.flatnonzero(self.hash[at] == 0)
+        self.again[at] = True
+        self.again[at[new]] = False
+        fresh, first = np.unique(words[new], return_index=True)
+        if self.size + len(fresh) > self.most:
+            self._shrink()
+            new = np.flatnonzero(self.hash[self._find(words)] == 0)
+            fresh, first = np.unique(words[new], return_index=True)
+        if len(fresh):
+            place = new[first]
+            alone = np.isin(begin[place], whole)
+            for ways, encode in ((place[alone], self._raw), (place[~alone], self._parts)):
+                ids, count = encode([data[a:b].tobytes().decode() for a, b in zip(begin[ways], end[ways], strict=True)])
+                self._put(words[ways], len(self.ids) + np.cumsum(count) - count, count)
+                self.ids = np.concatenate([self.ids, ids])
+            at = self._find(words)
+        n = self.count[at].astype(np.int64)
+        out = _gather(self.ids, self.begin[at], n)
+        if self.size > self.most:
             self.clear()
         return out, n
 
 
+def _gather(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, one after the other."""
+    return values[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+
 class _File:
     """A token file that is being written."""
 

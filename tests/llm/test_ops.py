@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import json
 import os
 import re
 import shutil
@@ -1023,6 +1024,64 @@ def test_token_words_are_encoded_as_whole_texts(spark, data):
     assert [tuple(r) for r in got] == [(r.doc_id, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, s, x in zip(rows, start, ids, strict=True)]
 
 
+class Counted:
+    """A tokenizer that lists the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += [w for t in texts for w in t.split()]
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def encoded(encoder, texts):
+    """Lists of ids of the texts."""
+    ids, count = encoder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+
+
+def encoder_of(words_held):
+    import public_tokenizers
+
+    out = token_files.Encoder(open(public_tokenizers.path("word_bpe_49k.json")).read(), True, words_held)
+    out.tokenizer = Counted(out.tokenizer)
+    return out
+
+
+def test_token_parts_are_encoded_once():
+    """Cases of a word and the signs about it cost the tokenizer nothing, and words met again outlive a full table."""
+    encoder = encoder_of(10_000)
+    stems = [f"{a}{b}stem\xe9" for a in "bcdfg" for b in "aeiou"]
+    texts = [form.format(w) for w in stems for form in ("{}", "({}),", "{}.", "{}...42", "{0}-{0}", '"{}"')]
+    texts += [t.upper() for t in texts] + [t.capitalize() for t in texts]
+    assert encoded(encoder, texts) == whole_text_ids(texts)
+    assert len(encoder.tokenizer.words) == len(set(encoder.tokenizer.words)) < 40
+    encoder = encoder_of(100)
+    often, rare = " ".join(w[:-1] for w in stems), [[" ".join(f"{w[:-1]}{chr(97 + i)}x" for w in stems)] for i in range(12)]
+    for texts in rare:
+        assert encoded(encoder, [often, *texts]) == whole_text_ids([often, *texts])
+    assert len(encoder.tokenizer.words) == 13 * len(stems) and encoder.size <= 100
+
+
+def test_token_parts_are_those_of_the_tokenizer():
+    rng = np.random.default_rng(8)
+    signs = [*"abzAZ09'.,!|<>&#-_\"`~ \t\n\v\f\r\0\x1c\x7f", *"\xe9\xc0\xdf\xff\xd7\xf7\xde\xfe\xaa\xb5\xba\xbd\xa0\x85\xc5\xb4", *"\u0301\u0338\u0153\u0152\u4e2d\u0661\u212a\u0130\u017f\ufb01\u3000\u200b", "\u0391\u03a3", "'s", "'LL", "</w>", "<|endoftext|>", "<|startoftext|>", "\U0001f1e9"]
+    encoders = [encoder_of(n) for n in (3, 200, 100_000)]
+    for k in (3, 6, 12, len(signs)):
+        some = [rng.choice(signs, k, replace=False) for _ in range(9)]
+        texts = ["".join(rng.choice(some[i % 9], n)) for i, n in enumerate(rng.integers(0, 50, 900))]
+        expected = whole_text_ids(texts)
+        for encoder in encoders:
+            assert [i for j in range(0, 900, 100) for i in encoded(encoder, texts[j : j + 100])] == expected
+    # Other tokenizers keep their words whole.
+    spec = json.loads(encoders[0].tokenizer.tokenizer.to_str())
+    assert token_files.byte_kinds(json.dumps(spec)) is not None
+    assert token_files.byte_kinds(json.dumps(spec | {"normalizer": None})) is None
+    assert token_files.byte_kinds(json.dumps(spec | {"pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1]})) is None
+    assert token_files.byte_kinds(json.dumps(spec | {"added_tokens": [spec["added_tokens"][0] | {"content": "abc"}]})) is None
+
+
 # --- 12 prefix trie
 
 
