@@ -43,6 +43,20 @@ def test_query_equals_sql(spark, data, name):
     assert left == right
 
 
+def test_pooled_zeros_keep_their_sign(spark, tmp_path):
+    """What is negative and rounds to zero is -0.0, as in SQL; equality of numbers does not tell."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [[-1e-7] * 64, [1e-7] * 64, [0.0] * 64, [-0.25] * 64, [-4e-7 * (-1) ** i for i in range(64)]]
+    pq.write_table(pa.table({"vec_id": list(range(5)), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    want = {i: repr(v) for i, v in con.sql(plans.SQL["average_pool"]).fetchall()}
+    assert "-0.0" in want[0] and "-0.0" in want[4]
+    assert {r.vec_id: repr(r.vector) for r in plans.QUERIES["average_pool"](spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_queries_without_sql_run(spark, data):
     rows = plans.QUERIES["even_batches"](spark, data).collect()
     assert len({r.id for r in rows}) == len(rows)
