@@ -57,6 +57,24 @@ def test_pooled_zeros_keep_their_sign(spark, tmp_path):
     assert {r.vec_id: repr(r.vector) for r in plans.QUERIES["average_pool"](spark, f"file://{tmp_path}").collect()} == want
 
 
+def test_projected_zeros_keep_their_sign(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    # Every vector and its opposite, and one that is a millionth below the mean along each component.
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 64)) * np.where(np.arange(64) < 4, [5, 4, 3, 2] * 16, 0.1)
+    v = np.linalg.eigh(np.cov(np.vstack([x, -x]).T))[1][:, -4:]
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(4)])
+    rows = [*x.tolist(), *(-x).tolist(), (-1e-6 * v.sum(1)).tolist()]
+    pq.write_table(pa.table({"vec_id": list(range(len(rows))), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    want = {i: repr(v) for i, v in con.sql(plans.SQL["pca_projection"]).fetchall()}
+    assert "-0.0" in want[80]
+    assert {r.vec_id: repr(r.reduced) for r in plans.QUERIES["pca_projection"](spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_queries_without_sql_run(spark, data):
     rows = plans.QUERIES["even_batches"](spark, data).collect()
     assert len({r.id for r in rows}) == len(rows)
