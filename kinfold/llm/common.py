@@ -39,6 +39,11 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is not to be broadcast: what Spark takes for its size, that of compressed files, may be far too low."""
+    return df.hint("merge")
+
+
 def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join that broadcasts ``right``, a materialised table, only where it has been counted to have ``most`` rows or fewer."""
-    return left.join(F.broadcast(right) if small(right, most) else right, on, how)
+    return left.join(F.broadcast(right) if small(right, most) else shuffled(right), on, how)

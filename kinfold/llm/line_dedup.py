@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import sized_join, small, text_batches
+from kinfold.llm.common import BROADCAST_ROWS, shuffled, sized_join, small, text_batches
 from kinfold.llm.tokens import Tokens, U, Words, lists, mix, pieces, windows_of
 from kinfold.session import materialize, scratch
 
@@ -234,12 +234,17 @@ def _pairs(table: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salt = F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int")
     few = small(often, BROADCAST_KEYS)
-    shared = held.join(F.broadcast(often), "key") if few else held.withColumn("salt", salt).join(often.withColumn("salt", salts), ["key", "salt"])
+    shared = held.join(F.broadcast(often), "key") if few else held.withColumn("salt", salt).join(shuffled(often.withColumn("salt", salts)), ["key", "salt"])
     shared = materialize(shared.select("key", "id", "text_hash"), "shared", files=not few).select("key", F.struct("id", "text_hash").alias("doc"))
     first = shared.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("key", "first")
-    first = materialize(first, "first").withColumn("salt", salts)
-    salted = shared.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    return salted.join(first, ["key", "salt"]).filter("doc <> first").select("doc.*", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).distinct()
+    first = materialize(first, "first")
+    if small(first, min(BROADCAST_KEYS, BROADCAST_ROWS)):
+        held = shared.join(F.broadcast(first), "key")
+    else:
+        # Spark takes the table for as large as its files; exploded, it is SALTS times that.
+        salted = shared.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        held = salted.join(shuffled(first.withColumn("salt", salts)), ["key", "salt"])
+    return held.filter("doc <> first").select("doc.*", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).distinct()
 
 
 def _aligned(met: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, class_lm, components, decontaminate, filters, line_dedup, mixing, ngram_join, pii, prefix_trie, quality, token_files, toxicity, warc
+from kinfold.llm import ann, class_lm, common, components, decontaminate, filters, line_dedup, mixing, ngram_join, pii, prefix_trie, quality, token_files, toxicity, warc
 from kinfold.llm.queries import queries
+from kinfold.session import materialize
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -1153,3 +1154,40 @@ def test_prefix_trie_stitches_long_runs():
         nodes += [r for x in prefix_trie._stitch([pa.RecordBatch.from_pylist(edge[k : k + 3], prefix_trie.ARROW) for k in range(0, len(edge), 3)]) for r in x.to_pylist()]
         results.append(sorted((r["depth"], r["node"], r["parent"], r["n"], r["least"], r["children"], r["leaves"], r["saved"], r["ends"]) for r in nodes if r["depth"]))
     assert len(results[0]) == 6 and all(r == results[0] for r in results)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_dedup_broadcasts_no_exploded_table(spark, monkeypatch):
+    """A table that is small on disk is not broadcast by Spark's own estimate, which leaves out what it is exploded to."""
+    rows = [(i, i, [i // 2, 1000 + i]) for i in range(200)]
+    table = spark.createDataFrame(rows, "id long, text_hash long, keys array<long>")
+    want = {(i, i, i - 1, i - 1) for i in range(1, 200, 2)}
+    for most, plan in ((0, "SortMergeJoin"), (1000, "BroadcastHashJoin")):
+        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", most)
+        pairs = line_dedup._pairs(table)
+        assert plan in plan_of(pairs) and ("Broadcast" in plan_of(pairs)) == bool(most)
+        assert {tuple(r) for r in pairs.collect()} == want
+    some = materialize(spark.range(50).withColumnRenamed("id", "key"), "some")
+    for most, plan in ((49, "SortMergeJoin"), (50, "BroadcastHashJoin")):
+        joined = common.sized_join(spark.range(90).withColumnRenamed("id", "key"), some, "key", most=most)
+        assert plan in plan_of(joined) and joined.count() == 50
+
+
+def test_written_tables_broadcast_little_by_themselves(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from kinfold import session
+
+    seen, write, key = [], DataFrameWriter.parquet, session.AUTO_BROADCAST
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(int(spark.conf.get(key))), write(self, *a, **k))[1])
+    before = spark.conf.get(key)
+    try:
+        for value, want in (("10m", session.MOST_AUTO), ("-1", -1), ("64KB", 65536), ("1000b", 1000)):
+            spark.conf.set(key, value)
+            assert materialize(spark.range(3), "few").count() == 3
+            assert seen.pop() == want and spark.conf.get(key) == value
+    finally:
+        spark.conf.set(key, before)
