@@ -668,6 +668,29 @@ def test_merged_boxes_are_the_fixpoint(spark, seed):
     assert boxes.merge_boxes(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_code_pairs_come_once_without_a_shuffle_of_pairs(spark, hot):
+    """A pair that meets in several tables is kept in the first; no exchange stands above the join."""
+    rng = np.random.default_rng(hot)
+    tables = [lsh.Meeting(), lsh.Meeting((0, 1, 2)), lsh.grid_steps(2, 1)]
+    cells = rng.integers(-2, 3, (70, 2))
+    codes = [[int(rng.integers(0, 9)), int(rng.integers(0, 40)), int(((c + 5) << np.array([0, 30])).sum())] for c in cells]
+    meets = [lambda p, q: p == q, lambda p, q: p ^ q in (0, 1, 2), lambda p, q: abs(q - p) <= 1]
+    want = {(i, j) for i in range(70) for j in range(i + 1, 70) if any(m(p, q) for m, p, q in zip(meets, codes[i], codes[j], strict=True))}
+    frame = spark.createDataFrame(list(enumerate(codes)), "id long, codes array<long>")
+    got = lsh.code_pairs(frame, tables, hot)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Exchange" not in plan.partition("Join")[0] and "Aggregate" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # Repeated rows, an id of two vectors, none.
+    odd = frame.union(frame.limit(9)).union(spark.createDataFrame([(3, codes[60]), (None, codes[1])], frame.schema))
+    more = want | {(min(3, j), max(3, j)) for i, j in [(60, k) for k in range(70)] if j != 3 and any(m(p, q) for m, p, q in zip(meets, codes[i], codes[j], strict=True))}
+    assert sorted(map(tuple, lsh.code_pairs(odd, tables, hot).collect())) == sorted(more)
+    assert lsh.code_pairs(frame.limit(0), tables, hot).count() == 0
+    with pytest.raises(ValueError, match="opposite"):
+        lsh.Meeting((0, 1), flips=False)
+
+
 def test_level_candidates(spark):
     """Against plain sets: prefixes shorten only for items with too few others; copies count; empty buckets have no candidates."""
     r = np.random.default_rng(5)
