@@ -107,12 +107,9 @@ def radius_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {SIGNED} select dist::int distance, count(*) pairs from allp group by dist")
 def hamming_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Distances of all pairs of signatures, in blocks."""
-    from kinfold.operators.blocks import compared
+    from kinfold.operators.blocks import distance_counts
 
-    classes = _classes(spark, d)
-    spread = classes.select("id", F.array(*[simhash.bit_at(i).cast("double") * 2 - 1 for i in range(64)]).alias("vector"))
-    pairs = compared(spread, spread, "dot").filter("query_id < id")
-    return pairs.groupBy(((64 - F.round("score").cast("int")) / 2).cast("int").alias("distance")).agg(F.count("*").alias("pairs"))
+    return distance_counts(_classes(spark, d).select("id", simhash.whole().alias("bits")))
 
 
 BANDS4_KEYS = "(select id, 0 band, hi::bigint >> 16 k from cls union all select id, 1, hi::bigint & 65535 from cls union all select id, 2, lo::bigint >> 16 from cls union all select id, 3, lo::bigint & 65535 from cls)"

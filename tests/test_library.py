@@ -344,6 +344,34 @@ def test_blocks_match_whole(spark):
     assert all(r.id == np.argsort(d[r.query_id], kind="stable")[r["rank"] - 1] or r["rank"] == 1 for r in top)
 
 
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_distances_are_counted_in_blocks(spark, monkeypatch, block_rows):
+    """Pairs of rows stay in the tasks: what they return is some numbers for each pair of blocks."""
+    rng = np.random.default_rng(block_rows)
+    bits = [int(v) for v in rng.integers(-(2**63), 2**63 - 1, 60)] + [-1, 0, 0, 2**63 - 1]
+    rows = [(i % 61, b) for i, b in enumerate(bits)]
+    want = {}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if a != b:
+                k = ((x ^ y) & (2**64 - 1)).bit_count()
+                want[k] = want.get(k, 0) + 1
+    monkeypatch.setattr(blocks, "compared", None)
+    frame = spark.createDataFrame([*rows, (None, 5), (99, None)], "id long, bits long")
+    got = blocks.distance_counts(frame, block_rows)
+    assert {r.distance: r.pairs for r in got.collect()} == want and got.dtypes == [("distance", "int"), ("pairs", "bigint")]
+    assert blocks.distance_counts(frame.limit(0)).count() == 0
+    for n, m in ((1, 1), (9, 3), (8, 4)):
+        x, y = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, m))
+        assert blocks.bit_counts(x, y).tolist() == np.bincount(np.bitwise_count(x[:, None] ^ y[None]).ravel(), minlength=65).tolist()
+
+
+@pytest.mark.parametrize("name", ["hamming_histogram", "hash_distance_histogram"])
+def test_histograms_make_no_rows_of_pairs(spark, data, monkeypatch, name):
+    monkeypatch.setattr(blocks, "compared", None)
+    assert sum(r.pairs for r in plans.QUERIES[name](spark, data).collect()) > 1000
+
+
 def test_linalg(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(50, 5))
