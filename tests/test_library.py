@@ -204,6 +204,25 @@ def test_nearest_by_pivots_is_exact(spark, measure):
     assert pivots.nearest(queries.limit(1), frame.filter("id < 3"), 9, measure).count() == 3
 
 
+@pytest.mark.parametrize("measure", ["distance", "cosine"])
+def test_what_cells_do_not_rule_out_is_swept_in_blocks(spark, monkeypatch, measure):
+    """Random directions: no query travels to every cell, and a block returns k rows for each query at most."""
+    rng = np.random.default_rng(11)
+    x = [*rng.normal(size=(300, 8)), *[np.ones(8)] * 40, np.zeros(8), *(rng.normal(size=(30, 8)) * 1e6), *rng.integers(0, 2, (60, 8)).astype(float)]
+    rows = list(enumerate(x))
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "id long, vector array<double>").repartition(4)
+    seen, swept = [], pivots._swept
+    monkeypatch.setattr(pivots, "_swept", lambda *a: (seen.append((*a[2:4], swept(*a))), seen[-1][-1])[1])
+    for name, value in (("SWEPT_ROWS", 90), ("SWEEP_ROWS", 70), ("LEAST_SWEEP", 20)):
+        monkeypatch.setattr(pivots, name, value)
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in pivots.nearest(frame, frame, 7, measure, cell_rows=12, block_rows=16).collect())
+    want = brute_nearest(rows, rows, 7, measure)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-9, atol=1e-8)
+    (q_blocks, v_blocks, answers), = seen
+    assert q_blocks > 1 and v_blocks > 1 and answers.groupBy("q_key").count().agg(F.max("count")).first()[0] <= 7 * v_blocks
+
+
 def test_pivots_rule_out_cells(spark):
     """Of clustered vectors a query meets few; of random directions all."""
     rng = np.random.default_rng(7)
