@@ -363,6 +363,19 @@ def test_blocks_match_whole(spark):
     assert all(r.id == np.argsort(d[r.query_id], kind="stable")[r["rank"] - 1] or r["rank"] == 1 for r in top)
 
 
+def test_blocks_travel_packed(spark):
+    """What is shuffled before two blocks meet is a row for each pair of blocks and side, not one for each vector and block."""
+    frame = spark.range(90).select("id", F.array(F.lit(1.0).cast("float"), F.col("id").cast("float")).alias("vector"))
+    packed = blocks._packed(frame, 3, 4, "q").collect()
+    assert len(packed) == 12 and sum(len(r.ids) for r in packed) == 4 * 90 * 8 and sum(len(r.vectors) for r in packed) == 4 * 90 * 2 * 4
+    got = blocks.compared(frame, frame, "dot", block_rows=31, digits=0)
+    assert {(r.query_id, r.id): r.score for r in got.collect()} == {(i, j): 1.0 + i * j for i in range(90) for j in range(90)}
+    assert blocks.compared(frame.limit(0), frame, "dot").count() == 0
+    assert repr(blocks.halves_up(np.array([-4e-7, 4e-7, 0.0000025, -0.0000015, 2.0]), 6).tolist()) == "[-0.0, 0.0, 3e-06, -2e-06, 2.0]"
+    with pytest.raises(Exception, match="different lengths"):
+        blocks.compared(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vector array<double>"), frame, "dot").count()
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_distances_are_counted_in_blocks(spark, monkeypatch, block_rows):
     """Pairs of rows stay in the tasks: what they return is some numbers for each pair of blocks."""
