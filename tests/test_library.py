@@ -846,6 +846,17 @@ def test_search_from_coarse_to_fine(spark):
     assert {g.passes for g in pyramids.search(frame, hashed.limit(0), 70.0).collect()} == {False}
 
 
+def test_dots_of_columns_are_those_of_rows(spark, data):
+    rng = np.random.default_rng(4)
+    rows = [([float(v) for v in rng.normal(size=n)], [float(v) for v in rng.normal(size=n)]) for n in [64] * 50 + [3] * 9 + [0]] + [(None, [1.0]), ([1.0], None)]
+    frame = spark.createDataFrame(rows, "a array<float>, b array<float>")
+    got = frame.select(distances.dots(F.col("a"), F.col("b")).alias("x"), distances.dot(F.col("a"), F.col("b")).alias("y")).collect()
+    assert len(got) == 62 and all(r.x == r.y for r in got)
+    # No pair of the comparison adds its components in an interpreted lambda.
+    plan = plans.QUERIES["level_comparison"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan.lower() and "added(" in plan
+
+
 def test_comparison_by_level(spark):
     schema = "a int, d int, p int, feature double, raw double"
     rows = [(8, 7, 16, 90.0, 50.0), (8, 7, 16, 10.0, 50.0), (None, None, None, 90.0, 50.0), (None, None, None, None, 50.0), (None, 7, None, None, 50.0), (None, None, None, None, None)]
